@@ -19,7 +19,7 @@ _rng = np.random.RandomState(20240229)
 _TABLE = _rng.randint(0, 2**63, 256, dtype=np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE = 0x9E3779B97F4A7C15
 _BASE_INVERSE = pow(_BASE, -1, 2**64)
-_SLICE = 1 << 20
+_SLICE = 1 << 15
 _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
