@@ -86,31 +86,67 @@ def range_of(keys: np.ndarray, p: int) -> np.ndarray:
     return ((keys >> np.uint64(32)) * np.uint64(p) >> np.uint64(32)).astype(np.int64)
 
 
-def messages(block: str, keys: np.ndarray, extra: np.ndarray, p: int) -> pa.RecordBatch:
-    """A block's messages: sorted distinct keys, and bytes (rows of uint8) that go with them."""
+def messages(block: str, keys: np.ndarray, extra: np.ndarray, p: int, small: bool = False) -> pa.RecordBatch:
+    """A block's messages: sorted keys, and bytes (rows of uint8) that go with them; small: compressed."""
+    form = squeeze if small else lambda x: np.ascontiguousarray(x.T).tobytes()
     cut = np.searchsorted(range_of(keys, p), np.arange(p + 1))
     at = np.flatnonzero(np.diff(cut))
     return pa.RecordBatch.from_arrays(
-        [pa.array([block] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array([pack(keys[cut[i] : cut[i + 1]]) for i in at], pa.binary()), pa.array([np.ascontiguousarray(extra[cut[i] : cut[i + 1]].T).tobytes() for i in at], pa.binary())],
+        [pa.array([block] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array([pack(keys[cut[i] : cut[i + 1]]) for i in at], pa.binary()), pa.array([form(extra[cut[i] : cut[i + 1]]) for i in at], pa.binary())],
         names=["block", "p", "keys", "extra"],
     )
 
 
-def answers(sent: DataFrame, reply: Callable[[np.ndarray, np.ndarray], np.ndarray], width: int, p: int, name: str) -> DataFrame:
+def squeeze(rows: np.ndarray) -> bytes:
+    """Rows of bytes, plane by plane, compressed."""
+    raw = np.ascontiguousarray(rows.T).tobytes()
+    return len(raw).to_bytes(8, "little") + (pa.Codec("zstd", compression_level=1).compress(raw, asbytes=True) if raw else b"")
+
+
+def unsqueeze(data: bytes, width: int) -> np.ndarray:
+    size = int.from_bytes(data[:8], "little")
+    raw = pa.Codec("zstd").decompress(data[8:], decompressed_size=size, asbytes=True) if size else b""
+    return np.frombuffer(raw, np.uint8).reshape(width, -1).T
+
+
+def planes(*columns: np.ndarray) -> np.ndarray:
+    """Rows of bytes of columns of numbers."""
+    return np.concatenate([np.ascontiguousarray(c).view(np.uint8).reshape(len(c), c.itemsize * (c.shape[1] if c.ndim > 1 else 1)) for c in columns], axis=1)
+
+
+def column(rows: np.ndarray, at: int, kind) -> np.ndarray:
+    width = np.dtype(kind).itemsize
+    return np.ascontiguousarray(rows[:, at : at + width]).view(kind).ravel()
+
+
+def replied(sent: DataFrame, reply: Callable, name: str) -> DataFrame:
+    """A written table (block, p, answer, stats, heavy): reply(keys, extras) gets all messages of a range, as lists, and gives an
+    answer in bytes for each, a list of numbers to be summed over all ranges, and rows (key, numbers) about the few heavy keys."""
+
+    def run(key, got):
+        out, stats, heavy = reply([unpack(x) for x in got.column("keys").to_pylist()], got.column("extra").to_pylist())
+        none = [None] * (len(out) - 1)
+        return pa.table(
+            [got.column("block"), got.column("p"), pa.array(out, pa.binary()), pa.array([stats, *none], pa.list_(pa.int64())), pa.array([heavy, *none], pa.list_(pa.struct([("key", pa.int64()), ("numbers", pa.list_(pa.float64()))])))],
+            names=["block", "p", "answer", "stats", "heavy"],
+        )
+
+    return table(sent.groupBy("p").applyInArrow(run, "block string, p int, answer binary, stats array<bigint>, heavy array<struct<key:bigint,numbers:array<double>>>"), name)
+
+
+def answers(sent: DataFrame, reply: Callable[[np.ndarray, np.ndarray], np.ndarray], width: int, name: str) -> DataFrame:
     """A written table (block, p, answer): reply(keys, extra) gives answer bytes (rows of uint8) for all messages of a range at once.
 
     keys aren't sorted across messages; equal keys are what different blocks have said of the same thing.
     """
 
-    def run(key, got):
-        keys = [unpack(x) for x in got.column("keys").to_pylist()]
+    def each(keys, extras):
         sizes = [len(x) for x in keys]
-        extra = [np.frombuffer(x, np.uint8).reshape(width, n).T for x, n in zip(got.column("extra").to_pylist(), sizes, strict=True)]
+        extra = [np.frombuffer(x, np.uint8).reshape(width, n).T for x, n in zip(extras, sizes, strict=True)]
         out = reply(np.concatenate(keys), np.concatenate(extra))
-        parts = np.split(out, np.cumsum(sizes)[:-1])
-        return pa.table([got.column("block"), got.column("p"), pa.array([np.ascontiguousarray(x.T).tobytes() for x in parts], pa.binary())], names=["block", "p", "answer"])
+        return [np.ascontiguousarray(x.T).tobytes() for x in np.split(out, np.cumsum(sizes)[:-1])], [], []
 
-    return table(sent.groupBy("p").applyInArrow(run, "block string, p int, answer binary"), name)
+    return replied(sent, each, name).select("block", "p", "answer")
 
 
 def joined(answer: list[tuple[int, bytes]], width: int) -> np.ndarray:

@@ -99,7 +99,7 @@ def runs(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, block_byte
         distinct, _, twice = _keyed(BlockWindows(read_block(path, block), window, anchor).anchors)
         yield messages(block, distinct, twice[:, None].astype(np.uint8), p)
 
-    known = answers(each_block(blocks, anchors, MESSAGE), _repeated, 1, p, "anchors")
+    known = answers(each_block(blocks, anchors, MESSAGE), _repeated, 1, "anchors")
 
     def candidates(block, got):
         b = BlockWindows(read_block(path, block), window, anchor)
@@ -112,7 +112,7 @@ def runs(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, block_byte
         _, _, (distinct, _, twice) = candidates(block, got)
         yield messages(block, distinct, twice[:, None].astype(np.uint8), p)
 
-    seen = answers(each_block(blocks, edges, MESSAGE, known), _repeated, 1, p, "edges")
+    seen = answers(each_block(blocks, edges, MESSAGE, known), _repeated, 1, "edges")
 
     def paths(block, got):
         b, may, (_, place, _) = candidates(block, got)
