@@ -179,8 +179,8 @@ def text_scores(column: pa.Array, logit: np.ndarray, prior: float, s: Settings)
     return 1 / (1 + np.exp(-np.clip(total / np.maximum(n, 1) + prior, -40, 40)))
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """docs with score, in one pass.  Null texts count as empty.  Nothing but the text is an input."""
+def score(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
+    """docs with a column of scores, in one pass.  Null texts count as empty.  Nothing but the text is an input."""
     spark, s = docs.sparkSession, model.settings
     sent = spark.sparkContext.broadcast((model.logit, model.prior))  # 4 bytes x buckets
 
@@ -188,7 +188,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     def of(text: pd.Series) -> pd.Series:
         return pd.Series(text_scores(pa.array(text, pa.large_string(), from_pandas=True), *sent.value, s))
 
-    return docs.withColumn("score", of("text"))
+    return docs.withColumn(name, of("text"))
 
 
 def classify(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -> DataFrame:
