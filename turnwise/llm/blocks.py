@@ -20,7 +20,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from .files import reading, writing
-from .shared import shared_dir, table
+from .shared import release, shared_dir, table
 from .textbuf import chunks, utf8
 
 #: Bytes of text in a block (or one document), and about how many bytes of a corpus a key range answers for.
@@ -72,13 +72,10 @@ def ranges(n_bytes: int, spark) -> int:
     return max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(n_bytes / RANGE_BYTES))
 
 
-def pack(keys: np.ndarray) -> bytes:
-    """Sorted uint64 as differences, byte plane by byte plane, which shuffles compress well."""
-    return np.ascontiguousarray(np.diff(keys, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T).tobytes()
-
-
-def unpack(data: bytes) -> np.ndarray:
-    return np.cumsum(np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).view(np.uint64).ravel(), dtype=np.uint64)
+def unpack(data: bytes, small: bool = False) -> np.ndarray:
+    """Keys of a message."""
+    rows = unsqueeze(data, 8) if small else np.frombuffer(data, np.uint8).reshape(8, -1).T
+    return np.cumsum(np.ascontiguousarray(rows).view(np.uint64).ravel(), dtype=np.uint64)
 
 
 def range_of(keys: np.ndarray, p: int) -> np.ndarray:
@@ -87,12 +84,16 @@ def range_of(keys: np.ndarray, p: int) -> np.ndarray:
 
 
 def messages(block: str, keys: np.ndarray, extra: np.ndarray, p: int, small: bool = False) -> pa.RecordBatch:
-    """A block's messages: sorted keys, and bytes (rows of uint8) that go with them; small: compressed."""
+    """A block's messages: sorted keys, and bytes (rows of uint8) that go with them.
+
+    Keys travel as differences, byte plane by byte plane.  small: compressed by zstd, else left to the shuffle's own codec.
+    """
     form = squeeze if small else lambda x: np.ascontiguousarray(x.T).tobytes()
+    keyed = lambda k: np.diff(k, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8)
     cut = np.searchsorted(range_of(keys, p), np.arange(p + 1))
     at = np.flatnonzero(np.diff(cut))
     return pa.RecordBatch.from_arrays(
-        [pa.array([block] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array([pack(keys[cut[i] : cut[i + 1]]) for i in at], pa.binary()), pa.array([form(extra[cut[i] : cut[i + 1]]) for i in at], pa.binary())],
+        [pa.array([block] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array([form(keyed(keys[cut[i] : cut[i + 1]])) for i in at], pa.binary()), pa.array([form(extra[cut[i] : cut[i + 1]]) for i in at], pa.binary())],
         names=["block", "p", "keys", "extra"],
     )
 
@@ -119,19 +120,21 @@ def column(rows: np.ndarray, at: int, kind) -> np.ndarray:
     return np.ascontiguousarray(rows[:, at : at + width]).view(kind).ravel()
 
 
-def replied(sent: DataFrame, reply: Callable, name: str) -> DataFrame:
+def replied(sent: DataFrame, reply: Callable, name: str, small: bool = True) -> DataFrame:
     """A written table (block, p, answer, stats, heavy): reply(keys, extras) gets all messages of a range, as lists, and gives an
     answer in bytes for each, a list of numbers to be summed over all ranges, and rows (key, numbers) about the few heavy keys."""
 
     def run(key, got):
-        out, stats, heavy = reply([unpack(x) for x in got.column("keys").to_pylist()], got.column("extra").to_pylist())
+        out, stats, heavy = reply([unpack(x, small) for x in got.column("keys").to_pylist()], got.column("extra").to_pylist())
         none = [None] * (len(out) - 1)
         return pa.table(
             [got.column("block"), got.column("p"), pa.array(out, pa.binary()), pa.array([stats, *none], pa.list_(pa.int64())), pa.array([heavy, *none], pa.list_(pa.struct([("key", pa.int64()), ("numbers", pa.list_(pa.float64()))])))],
             names=["block", "p", "answer", "stats", "heavy"],
         )
 
-    return table(sent.groupBy("p").applyInArrow(run, "block string, p int, answer binary, stats array<bigint>, heavy array<struct<key:bigint,numbers:array<double>>>"), name)
+    out = table(sent.groupBy("p").applyInArrow(run, "block string, p int, answer binary, stats array<bigint>, heavy array<struct<key:bigint,numbers:array<double>>>"), name)
+    release(sent)
+    return out
 
 
 def answers(sent: DataFrame, reply: Callable[[np.ndarray, np.ndarray], np.ndarray], width: int, name: str) -> DataFrame:
@@ -146,7 +149,7 @@ def answers(sent: DataFrame, reply: Callable[[np.ndarray, np.ndarray], np.ndarra
         out = reply(np.concatenate(keys), np.concatenate(extra))
         return [np.ascontiguousarray(x.T).tobytes() for x in np.split(out, np.cumsum(sizes)[:-1])], [], []
 
-    return replied(sent, each, name).select("block", "p", "answer")
+    return replied(sent, each, name, small=False).select("block", "p", "answer")
 
 
 def joined(answer: list[tuple[int, bytes]], width: int) -> np.ndarray:

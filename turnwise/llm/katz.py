@@ -16,6 +16,8 @@ large share of all tokens are dealt by n-gram instead, and their few sums are ad
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -64,6 +66,10 @@ class Level:
         else:
             self.unknown, self.scale = 1.0, 0.0
 
+    def word(self, c: np.ndarray) -> np.ndarray:
+        """Level 1's probability of words that occur c times."""
+        return np.where(c > 0, self.discounted(c) * self.scale, self.unknown)
+
     def discounted(self, r: np.ndarray) -> np.ndarray:
         return self.d[np.where(r <= TOP, r, 0).astype(np.int64)] * r
 
@@ -88,19 +94,27 @@ class BlockTokens:
         self.seq[self.at[is_word]] = hash_spans(w.buf, w.start, w.end)
         self.train = np.asarray(got.column("train").to_numpy(), bool)[self.doc]
 
+    def _all_grams(self, j: int) -> np.ndarray:
+        g = self.seq
+        for _ in range(j - 1):
+            g = _extended(np.concatenate([g[:1], g[:-1]]), self.seq)
+        return g
+
     def grams(self, j: int) -> np.ndarray:
         """Hash of the j tokens that end at each predicted token."""
-        g = self.seq[self.at - j + 1]
-        for k in range(j - 2, -1, -1):
-            g = mix(g * np.uint64(0x9E3779B97F4A7C15) + self.seq[self.at - k])
-        return g
+        return self._all_grams(j)[self.at]
 
     def grams_before(self, j: int) -> np.ndarray:
         """Hash of the j-1 tokens before each predicted token: the context of its j-gram."""
-        g = self.seq[self.at - j + 1]
-        for k in range(j - 2, 0, -1):
-            g = mix(g * np.uint64(0x9E3779B97F4A7C15) + self.seq[self.at - k])
-        return g
+        return self._all_grams(j - 1)[self.at - 1]
+
+
+_HIGH, _LOW = np.uint64(0xFFFF << 48), np.uint64((1 << 48) - 1)
+
+
+def _extended(context: np.ndarray, token: np.ndarray) -> np.ndarray:
+    """Hash of a context and a token.  Its upper 16 bits follow from the context, so that 48 bits tell a context's n-grams apart."""
+    return (mix(context) & _HIGH) | (mix(context * np.uint64(0x9E3779B97F4A7C15) + token) & _LOW)
 
 
 def _distinct(g: np.ndarray, train: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -136,18 +150,22 @@ def _count_words(keys, extras):
     return [squeeze(planes(x)) for x in np.split(total[of.ravel()], np.cumsum(sizes)[:-1])], stats, heavy
 
 
-_WIDTH = 8 + 4 + 8 + 1
+_WIDTH = 6 + 4 + 8 + 1
 
 
-def _count_grams(keys, extras):
-    """Level 2 and above.  A row: 8 bytes of the n-gram's hash, count, lower probability, and the hot context's number or 0.
+def _count_grams(keys, extras, words: Level | None = None):
+    """Level 2 and above.  A row: 6 bytes of the n-gram's hash, its count, the lower level's probability (at level 2, the word's
+    count, from which words has it), and the hot context's number or 0.
 
     Keys are contexts, or n-grams where the context is hot.  Heavy rows: (n-gram, [-1, total]) and (hot context's number, its sums).
     """
     sizes = [len(k) for k in keys]
     key = np.concatenate(keys)
     rows = np.concatenate([unsqueeze(x, _WIDTH) for x in extras])
-    gram, n, lower, hot = column(rows, 0, np.uint64), column(rows, 8, np.uint32), column(rows, 12, np.float64), rows[:, 20].astype(np.int64)
+    n, hot = column(rows, 6, np.uint32), rows[:, 18].astype(np.int64)
+    gram = column(np.concatenate([rows[:, :6], np.zeros((len(rows), 2), np.uint8)], axis=1), 0, np.uint64)
+    gram = np.where(hot > 0, key, (mix(key) & _HIGH) | gram)
+    lower = column(rows, 10, np.float64) if words is None else words.word(column(rows, 10, np.int64))
     del rows
     distinct, first, of, _ = _distinct(gram, n)
     total = np.bincount(of, weights=n, minlength=len(distinct)).astype(np.int64)
@@ -186,10 +204,13 @@ class Scorer:
         _, _, of, _ = _distinct(self.t.grams(1), self.t.train)
         parts = [column(unsqueeze(x, 8), 0, np.int64) for _, x in sorted(answer)]
         c = (np.concatenate(parts) if parts else np.zeros(0, np.int64))[of]
-        return c, np.where(c > 0, level.discounted(c) * level.scale, level.unknown)
+        return c, level.word(c)
 
     def rows(self, j: int, lower: np.ndarray):
-        """Level j's distinct n-grams in the order in which they are sent: (keys, extra bytes, place of each token's, hot numbers)."""
+        """Level j's distinct n-grams in the order in which they are sent: (keys, extra bytes, place of each token's, hot numbers).
+
+        lower: 8 bytes for each token: the lower level's probability, or at level 2 the word's count.
+        """
         g = self.t.grams(j)
         distinct, at, of, n = _distinct(g, self.t.train)
         context = self.t.grams_before(j)[at]
@@ -200,7 +221,8 @@ class Scorer:
         order = np.argsort(key, kind="stable")
         back = np.empty(len(order), np.int64)
         back[order] = np.arange(len(order))
-        extra = planes(distinct[order], n[order].astype(np.uint32), lower[at[order]], hot[order].astype(np.uint8))
+        parts = planes(distinct[order], n[order].astype(np.uint32), lower[at[order]], hot[order].astype(np.uint8))
+        extra = np.concatenate([parts[:, :6], parts[:, 8:]], axis=1)
         return key[order], extra, back[of], hot[order]
 
     def next(self, j: int, lower: np.ndarray, answer: list[tuple[int, bytes]]) -> np.ndarray:
@@ -275,13 +297,13 @@ def score(docs: DataFrame, training: Column | None = None, order: int = ORDER, b
         def send(block, got, j=j, levels=levels):
             t = BlockTokens(read_block(path, block), order)
             scorer = Scorer(t, levels)
-            prob = scorer.first(got[0])[1]
+            count, prob = scorer.first(got[0])
             for k in range(2, j):
                 prob = scorer.next(k, prob, got[k - 1])
-            keys, extra, _, _ = scorer.rows(j, prob)
+            keys, extra, _, _ = scorer.rows(j, count if j == 2 else prob)
             yield messages(block, keys, extra, p, True)
 
-        answered.append(replied(each_block(blocks, send, MESSAGE, *answered), _count_grams, f"katz-{j}"))
+        answered.append(replied(each_block(blocks, send, MESSAGE, *answered), functools.partial(_count_grams, words=levels[0] if j == 2 else None), f"katz-{j}"))
         now = _summed(answered[-1], TOP + 3)
         few = answered[-1].where("heavy is not null").select(F.explode("heavy").alias("h")).where(F.size("h.numbers") == TOP + 2)
         few = few.groupBy("h.key").agg(*[F.sum(F.element_at("h.numbers", i + 1)).alias(f"s{i}") for i in range(TOP + 2)])

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import atexit
 import functools
+import gc
 import tempfile
 import uuid
 
@@ -67,6 +68,13 @@ def table(df: DataFrame, name: str, partition_by: list[str] | None = None) -> Da
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(df: DataFrame) -> None:
+    """Let Spark remove the shuffle files of finished jobs now.  It does so when the driver's garbage is collected, which may be long
+    after the disks are full; with a table written, nothing needs them."""
+    gc.collect()
+    df.sparkSession.sparkContext._jvm.System.gc()
+
+
 #: A key with this many rows is joined by broadcast; at most HEAVY_KEYS keys are, which bounds what is sent.
 HEAVY_ROWS, HEAVY_KEYS = 2_000, 1_000
 
