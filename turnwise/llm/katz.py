@@ -138,6 +138,11 @@ def _sums(group: np.ndarray, n: int, r: np.ndarray, lower: np.ndarray) -> np.nda
     return out
 
 
+def _heavy(total: np.ndarray) -> np.ndarray:
+    """What holds more than one in HOT_SHARE of a range; whatever holds so much of all ranges is among it."""
+    return np.flatnonzero((total > total.sum() / HOT_SHARE) & (total > 1))
+
+
 def _count_words(keys, extras):
     """Level 1: total counts; stats are N, V and the numbers of words that occur 1..TOP+1 times; heavy: the most frequent."""
     sizes = [len(k) for k in keys]
@@ -145,19 +150,19 @@ def _count_words(keys, extras):
     distinct, of = np.unique(k, return_inverse=True)
     total = np.bincount(of.ravel(), weights=n).astype(np.int64)
     stats = [int(total.sum()), int((total > 0).sum()), *[int((total == r).sum()) for r in range(1, TOP + 2)]]
-    top = np.argsort(-total, kind="stable")[:HOT_SHARE]
-    heavy = [{"key": int(distinct[i].view(np.int64)), "numbers": [float(total[i])]} for i in top]
+    heavy = [{"key": int(distinct[i].view(np.int64)), "numbers": [float(total[i])]} for i in _heavy(total)]
     return [squeeze(planes(x)) for x in np.split(total[of.ravel()], np.cumsum(sizes)[:-1])], stats, heavy
 
 
 _WIDTH = 6 + 4 + 8 + 1
 
 
-def _count_grams(keys, extras, words: Level | None = None):
+def _count_grams(keys, extras, words: Level | None = None, last: bool = False):
     """Level 2 and above.  A row: 6 bytes of the n-gram's hash, its count, the lower level's probability (at level 2, the word's
     count, from which words has it), and the hot context's number or 0.
 
-    Keys are contexts, or n-grams where the context is hot.  Heavy rows: (n-gram, [-1, total]) and (hot context's number, its sums).
+    Keys are contexts, or n-grams where the context is hot.  Heavy rows: (n-gram, [-1, total]), unless this is the last level, and
+    (hot context's number, its sums).
     """
     sizes = [len(k) for k in keys]
     key = np.concatenate(keys)
@@ -171,8 +176,7 @@ def _count_grams(keys, extras, words: Level | None = None):
     total = np.bincount(of, weights=n, minlength=len(distinct)).astype(np.int64)
     r = total[of]
     stats = [int(total.sum()), int((total > 0).sum()), *[int((total == x).sum()) for x in range(1, TOP + 2)]]
-    top = np.argsort(-total, kind="stable")[:HOT_SHARE]
-    heavy = [{"key": int(distinct[i].view(np.int64)), "numbers": [-1.0, float(total[i])]} for i in top]
+    heavy = [] if last else [{"key": int(distinct[i].view(np.int64)), "numbers": [-1.0, float(total[i])]} for i in _heavy(total)]
     n_hot = int(hot.max(initial=0)) + 1
     each_hot, each_low, each_key = hot[first], lower[first], key[first]
     of_hot = _sums(each_hot, n_hot, total, each_low)
@@ -204,12 +208,13 @@ class Scorer:
         _, _, of, _ = _distinct(self.t.grams(1), self.t.train)
         parts = [column(unsqueeze(x, 8), 0, np.int64) for _, x in sorted(answer)]
         c = (np.concatenate(parts) if parts else np.zeros(0, np.int64))[of]
+        self.count = c
         return c, level.word(c)
 
     def rows(self, j: int, lower: np.ndarray):
         """Level j's distinct n-grams in the order in which they are sent: (keys, extra bytes, place of each token's, hot numbers).
 
-        lower: 8 bytes for each token: the lower level's probability, or at level 2 the word's count.
+        What goes with an n-gram is the lower level's probability, or at level 2 its word's count.
         """
         g = self.t.grams(j)
         distinct, at, of, n = _distinct(g, self.t.train)
@@ -218,10 +223,12 @@ class Scorer:
         place = np.minimum(np.searchsorted(hot_keys, context), max(0, len(hot_keys) - 1))
         hot = np.where(hot_keys[place] == context, place + 1, 0) if len(hot_keys) else np.zeros(len(context), np.int64)
         key = np.where(hot > 0, distinct, context)
-        order = np.argsort(key, kind="stable")
+        lower = (self.count if j == 2 else lower)[at]
+        order = np.lexsort((lower, key))  # equal contexts' words by count, which compresses well
         back = np.empty(len(order), np.int64)
         back[order] = np.arange(len(order))
-        parts = planes(distinct[order], n[order].astype(np.uint32), lower[at[order]], hot[order].astype(np.uint8))
+        tag = np.where(hot > 0, np.uint64(0), distinct)  # a hot context's n-gram is the key itself
+        parts = planes(tag[order], n[order].astype(np.uint32), lower[order], hot[order].astype(np.uint8))
         extra = np.concatenate([parts[:, :6], parts[:, 8:]], axis=1)
         return key[order], extra, back[of], hot[order]
 
@@ -297,19 +304,20 @@ def score(docs: DataFrame, training: Column | None = None, order: int = ORDER, b
         def send(block, got, j=j, levels=levels):
             t = BlockTokens(read_block(path, block), order)
             scorer = Scorer(t, levels)
-            count, prob = scorer.first(got[0])
+            prob = scorer.first(got[0])[1]
             for k in range(2, j):
                 prob = scorer.next(k, prob, got[k - 1])
-            keys, extra, _, _ = scorer.rows(j, count if j == 2 else prob)
+            keys, extra, _, _ = scorer.rows(j, prob)
             yield messages(block, keys, extra, p, True)
 
-        answered.append(replied(each_block(blocks, send, MESSAGE, *answered), functools.partial(_count_grams, words=levels[0] if j == 2 else None), f"katz-{j}"))
+        answered.append(replied(each_block(blocks, send, MESSAGE, *answered), functools.partial(_count_grams, words=levels[0] if j == 2 else None, last=j == order), f"katz-{j}"))
         now = _summed(answered[-1], TOP + 3)
         few = answered[-1].where("heavy is not null").select(F.explode("heavy").alias("h")).where(F.size("h.numbers") == TOP + 2)
         few = few.groupBy("h.key").agg(*[F.sum(F.element_at("h.numbers", i + 1)).alias(f"s{i}") for i in range(TOP + 2)])
         hot = {r[0]: list(r[1:]) for r in few.collect()}  # fewer than HOT_SHARE contexts
         levels = [*levels, Level(now[2:], hot, now[0], now[1])]
-        levels[-1].next_hot = _next_hot(answered[-1], now[0])
+        if j < order:
+            levels[-1].next_hot = _next_hot(answered[-1], now[0])
     n_train, n_types = levels[0].total, levels[0].vocabulary
 
     def finish(block, got):
