@@ -12,17 +12,17 @@ import hashlib
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import table
-from .textbuf import ALNUM, LOWER, chunks, hash_spans, utf8, words
+from .textbuf import ALNUM, LOWER, chunks, hash_spans, trim, utf8, words
 
 WINDOW = 10
 #: Words of a shard, and bytes of benchmark texts that are sent at once; a larger benchmark is searched in blocks, one after the other.
-SHARD_WORDS, BLOCK_BYTES = 1 << 19, 16 << 20
+SHARD_WORDS, BLOCK_BYTES = 1 << 18, 16 << 20
 SAMPLE = 8
 
 
@@ -237,6 +237,7 @@ def _pass(docs: DataFrame, p: Phrases, keep: list[str], window: int, shard_words
             cols += [pa.array(n_words), pa.array([len(x) for x in hits], pa.int64()), pa.array([sorted(x) for x in items], pa.list_(pa.string()))]
             cols += [pa.array([[y[k] for y in x] for x in hits], pa.list_(pa.int64())) for k in (0, 1)]
             yield pa.RecordBatch.from_arrays(cols, names=[*carried, "_n_words", "_n_hit", "_items", "_starts", "_ends"])
+            trim()
 
     carried = [f"_c{i}" for i in range(len(keep))] + ["_text"]
     if not again:
@@ -305,11 +306,19 @@ def remove(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shard_wo
     out = _search(docs, benchmark, cols, window, shard_words, block_bytes)
     out = out.select(*[F.col(f"_c{i}").alias(c) for i, c in enumerate(cols)], "_n_hit", "_starts", "_ends")
 
-    @F.pandas_udf("string")
-    def cut(text: pd.Series, starts: pd.Series, ends: pd.Series) -> pd.Series:
-        return pd.Series([cut_spans(*x) for x in zip(text, starts, ends, strict=True)], dtype=object)
+    at = [out.columns.index(c) for c in ("text", "_n_hit", "_starts", "_ends")]
 
-    out = out.withColumn("text", cut("text", "_starts", "_ends"))
+    def cut(batches):
+        for b in batches:
+            text, n, starts, ends = (b.column(i) for i in at)
+            hit = np.flatnonzero(n.to_numpy() > 0)
+            if len(hit):  # only texts with a hit become Python strings
+                new = [cut_spans(text[i].as_py(), starts[i].as_py(), ends[i].as_py()) for i in hit.tolist()]
+                b = b.set_column(at[0], "text", pc.replace_with_mask(text, pa.array(n.to_numpy() > 0), pa.array(new, text.type)))
+            yield b
+            trim()
+
+    out = out.mapInArrow(cut, out.schema)
     if "n_chars" in cols:
         out = out.withColumn("n_chars", F.when(F.col("_n_hit") > 0, F.length("text").cast(dict(docs.dtypes)["n_chars"])).otherwise(F.col("n_chars")))
     return out.select(cols)

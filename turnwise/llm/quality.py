@@ -11,12 +11,12 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .textbuf import NOT_SPACE, chunks, hash_spans, mix, utf8, words
+from .textbuf import NOT_SPACE, chunks, hash_spans, mix, trim, utf8, words
 
 #: At most so many labelled rows of each class are learned from, those with the smallest hashes; see MAX_TRAIN_BYTES.
 MAX_PER_CLASS = 1500
@@ -172,7 +172,7 @@ def text_scores(column: pa.Array, logit: np.ndarray, prior: float, s: Settings)
     """Probability of class 1 of each whole text; a text without features has the prior's."""
     buf, off = utf8(column)
     total, n = np.zeros(len(off) - 1), np.zeros(len(off) - 1)
-    for r0, r1 in chunks(off, 1 << 20):
+    for r0, r1 in chunks(off, 1 << 19):
         ids, rows = feature_ids(buf[off[r0] : off[r1]], off[r0 : r1 + 1] - off[r0], s)
         total[r0:r1] = np.bincount(rows, weights=logit[ids], minlength=r1 - r0)
         n[r0:r1] = np.bincount(rows, minlength=r1 - r0)
@@ -184,11 +184,14 @@ def score(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
     spark, s = docs.sparkSession, model.settings
     sent = spark.sparkContext.broadcast((model.logit, model.prior))  # 4 bytes x buckets
 
-    @F.pandas_udf("double")
-    def of(text: pd.Series) -> pd.Series:
-        return pd.Series(text_scores(pa.array(text, pa.large_string(), from_pandas=True), *sent.value, s))
+    text_at, names = docs.columns.index("text"), [*docs.columns, name]
 
-    return docs.withColumn(name, of("text"))
+    def run(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(text_scores(b.column(text_at), *sent.value, s))], names=names)
+            trim()
+
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(name, DoubleType())]))
 
 
 def classify(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -> DataFrame:

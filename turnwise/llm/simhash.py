@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import drop_shared, shared_dir, skew_join, table
-from .textbuf import LOWER, chunks, utf8, words, xxh64
+from .textbuf import LOWER, chunks, trim, utf8, words, xxh64
 
 SHINGLE, DISTANCE, SEED = 3, 3, 42
 _EDGES = [0, 11, 22, 33, 44, 54, 64]
@@ -72,6 +72,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     def run(batches):
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(text_fingerprints(b.column(1)).view(np.int64))], names=["doc_id", "fp"])
+            trim()
 
     kind = dict(docs.dtypes)["doc_id"]
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, fp long")
