@@ -40,7 +40,7 @@ def write_blocks(docs: DataFrame, name: str, block_bytes: int = BLOCK_BYTES) ->
         def give():
             nonlocal number, held, size
             block = f"{part:06d}-{number:05d}"
-            with writing(f"{path}/{block}") as out, pa.ipc.new_file(out, held[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as f:
+            with writing(f"{path}/{block}") as out, pa.ipc.new_file(out, held[0].schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=6))) as f:
                 for x in held:
                     f.write_batch(x)
             got = pa.RecordBatch.from_arrays([pa.array([block]), pa.array([size], pa.int64())], names=["block", "bytes"])

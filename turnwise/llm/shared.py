@@ -11,6 +11,7 @@ import atexit
 import functools
 import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -71,8 +72,10 @@ def table(df: DataFrame, name: str, partition_by: list[str] | None = None) -> Da
 def release(df: DataFrame) -> None:
     """Let Spark remove the shuffle files of finished jobs now.  It does so when the driver's garbage is collected, which may be long
     after the disks are full; with a table written, nothing needs them."""
-    gc.collect()
-    df.sparkSession.sparkContext._jvm.System.gc()
+    for _ in range(2):  # the first finds what Python let go, the second what hung on that; the cleaner works beside
+        gc.collect()
+        df.sparkSession.sparkContext._jvm.System.gc()
+        time.sleep(0.5)
 
 
 #: A key with this many rows is joined by broadcast; at most HEAVY_KEYS keys are, which bounds what is sent.
