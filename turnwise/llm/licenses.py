@@ -2,8 +2,8 @@
 
 Each line of a text is compared as a header, and the whole text as a licence file, with each template: vectors are sparse and hold
 term frequency times the inverse document frequency among the templates; a term that no template has weighs as much as the rarest.
-A line can only reach the threshold for a template if it holds one of that template's heaviest terms: what is left without them is
-too short.  So lines without any such term are left out before words are counted, without a change to the result.
+A line can only reach the threshold for a template if it holds one of that template's key terms, chosen so that what is left without
+them is too short.  So lines without any such term are left out before words are counted, without a change to the result.
 
 A text whose whole is a licence is its directory's licence file.  Texts without a licence of their own take that of the nearest
 directory above them that has one, found by joining the distinct directories' ancestors with the directories of licence files.
@@ -55,7 +55,8 @@ def terms(text: str) -> list[str]:
 
 
 class Vectors:
-    """weights: (template number, licence, term, weight) rows; norms by template; rare: weight of other terms; key: heavy terms."""
+    """weights: (template number, licence, term, weight) rows; norms by template; rare: weight of other terms; key: of each template,
+    terms without which nothing reaches the threshold."""
 
     def __init__(self, templates=TEMPLATES, threshold: float = THRESHOLD):
         bags = [Counter(terms(t)) for _, t in templates]
@@ -69,15 +70,15 @@ class Vectors:
         for k in range(n):
             rest = sum(w * w for j, _, _, w in self.rows if j == k)
             limit = (threshold * self.norms[k]) ** 2 * (1 - 1e-9)
-            for w, t in sorted(((w, t) for j, _, t, w in self.rows if j == k), key=lambda x: (-x[0], x[1])):
+            for w, t in sorted(((w, t) for j, _, t, w in self.rows if j == k), key=lambda x: (-len(x[1]), -x[0], x[1])):  # long terms are rare in texts
                 if rest < limit:
                     break
                 self.key.add(t)
                 rest -= w * w
 
     def key_pattern(self) -> str:
-        """A cheap test that every line with a key term passes: the terms as substrings."""
-        return "|".join(re.escape(t) for t in sorted(self.key))
+        """A cheap test that every line with a key term passes."""
+        return "(?<![a-z0-9])(?:" + "|".join(re.escape(t) for t in sorted(self.key)) + ")(?![a-z0-9])"
 
 
 def default_path() -> Column:
