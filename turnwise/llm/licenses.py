@@ -44,6 +44,9 @@ TEMPLATES: tuple[tuple[str, str], ...] = (
     ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted."),
 )
 
+#: Words of the templates that any text has; they serve as key terms last.
+COMMON = frozenset(("that", "this", "with", "from", "under", "the", "of", "is", "be", "in", "to", "by", "and", "or", "it", "any", "can", "you", "not", "may", "use", "for"))
+
 
 def fold(c: Column) -> Column:
     """A-Z to a-z, and nothing else."""
@@ -70,7 +73,7 @@ class Vectors:
         for k in range(n):
             rest = sum(w * w for j, _, _, w in self.rows if j == k)
             limit = (threshold * self.norms[k]) ** 2 * (1 - 1e-9)
-            for w, t in sorted(((w, t) for j, _, t, w in self.rows if j == k), key=lambda x: (-len(x[1]), -x[0], x[1])):  # long terms are rare in texts
+            for w, t in sorted(((w, t) for j, _, t, w in self.rows if j == k), key=lambda x: (x[1] in COMMON, -len(x[1]), -x[0], x[1])):  # long terms are rare in texts
                 if rest < limit:
                     break
                 self.key.add(t)
