@@ -79,6 +79,8 @@ def subtitle_turns(raw: DataFrame, strict: bool = False) -> DataFrame:
     strict: what precedes the first sentence is an empty utterance and the last sentence is lost; else blanks are dropped.
     """
     order = Window.partitionBy("file").orderBy("line_no")
+    if strict:  # what precedes the first sentence is there even where no line does
+        raw = raw.select("file", "line_no", "value").unionByName(raw.select("file").distinct().select("file", F.lit(-1).alias("line_no"), F.lit("").alias("value")))
     rows = raw.withColumn("opens", F.col("value").contains("<s id=").cast("int"))
     rows = rows.withColumn("sentence", F.sum("opens").over(order)).withColumn("word", F.when(F.col("value").contains("<w id=") & (F.col("opens") == 0), F.translate(F.regexp_extract("value", '<w id="[^>]*>(.*?)</w', 1), "\t", " ")))
     said = rows.groupBy("file", "sentence").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("word").isNotNull(), F.struct("line_no", "word")))), lambda x: x["word"]), " ").alias("text"))
