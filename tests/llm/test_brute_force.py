@@ -124,14 +124,30 @@ def without_benchmark(text, windows):
     return "".join([*out, text[at:]])
 
 
-def test_pipeline(spark):
-    docs = {r.doc_id: r for r in spark.read.parquet(f"{DIR}/documents.parquet").collect()}
-    predicted = {r.doc_id: r.predicted for r in queries.op4_quality(spark, DIR).collect()}
+@pytest.fixture(scope="module")
+def planted(tmp_path_factory):
+    """The small tables, with near copies of some documents: a word more at the end."""
+    path = tmp_path_factory.mktemp("planted")
+    for name in ("labels", "benchmark"):
+        pd.read_parquet(f"{DIR}/{name}.parquet").to_parquet(path / f"{name}.parquet")
+    docs = pd.read_parquet(f"{DIR}/documents.parquet")
+    more = docs[docs.text.str.len().between(2000, 10000)].copy()
+    more["doc_id"] += 1_000_000
+    more["text"] += " afterwards"
+    pd.concat([docs, more]).to_parquet(path / "documents.parquet")
+    return str(path)
+
+
+def test_pipeline(spark, planted):
+    docs = {r.doc_id: r for r in spark.read.parquet(f"{planted}/documents.parquet").collect()}
+    predicted = {r.doc_id: r.predicted for r in queries.op4_quality(spark, planted).collect()}
     left = {i: r for i, r in docs.items() if predicted[i] == 1}
+    counts = [len(docs), len(left)]
     last = {}
     for i, r in sorted(left.items()):
         last[r.text or ""] = i
     left = {i: left[i] for i in last.values()}
+    counts.append(len(left))
     prints = {i: fingerprint(r.text) for i, r in left.items()}
     root = {i: i for i in left}
     moved = True
@@ -142,13 +158,15 @@ def test_pipeline(spark):
             if low < root[i]:
                 root[i], moved = low, True
     left = {i: r for i, r in left.items() if root[i] == i}
-    items = [ALNUM.findall((r.text or "").translate(FOLD)) for r in spark.read.parquet(f"{DIR}/benchmark.parquet").collect()]
+    counts.append(len(left))
+    assert counts == sorted(set(counts), reverse=True)  # each of the three stages drops some and keeps some
+    items = [ALNUM.findall((r.text or "").translate(FOLD)) for r in spark.read.parquet(f"{planted}/benchmark.parquet").collect()]
     windows = {tuple(w[i : i + 10]) for w in items if w for i in range(max(len(w) - 9, 1))}
     rows = [(i, None if r.text is None else without_benchmark(r.text, windows), r.source) for i, r in left.items()]
+    assert any(text != left[i].text for i, text, _ in rows)
     con = duckdb.connect()
     con.register("documents", pd.DataFrame(rows, columns=["doc_id", "text", "source"]))
     cols = ["doc_id", "size", "source_size", "target", "taken"]
     want = con.execute(f"SELECT {', '.join(cols)} FROM ({queries.SQL['op9_mixing']}) ORDER BY doc_id").fetchall()
-    got = corpus_pipeline.run(spark, DIR).select(cols).orderBy("doc_id").collect()
-    assert 0 < len(got) < len(docs)
+    got = corpus_pipeline.run(spark, planted).select(cols).orderBy("doc_id").collect()
     assert [tuple(r) for r in got] == want
