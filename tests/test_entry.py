@@ -4,13 +4,13 @@ import pytest
 import __spark_entry__ as entry
 
 DIR = "/root/testdata/sf0.001"
-OWN = ["dialog_split", "vocab_topk", "identity_entropy", "eval_bleu"]
+OWN = ["dialog_split", "vocab_topk", "identity_entropy", "eval_bleu", "beam_topk"]
 
 
 @pytest.mark.parametrize("name", OWN)
 def test_query_and_sql_agree(spark, name):
     con = duckdb.connect()
-    for t in ("conversations", "documents", "events"):
+    for t in ("conversations", "documents", "events", "embeddings"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{DIR}/{t}.parquet'")
     got = entry.queries()[name](spark, DIR)
     cols = sorted(got.columns)
@@ -21,3 +21,12 @@ def test_query_and_sql_agree(spark, name):
 
 def test_every_sql_has_a_query():
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_scores_in_blocks_are_the_same(spark):
+    from turnwise.operators.metrics import dot_scores
+
+    rows = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(9)], "id long, vector array<double>")
+    whole = dot_scores(rows, rows)
+    assert whole.count() == 72
+    assert sorted(map(tuple, dot_scores(rows, rows, 2).collect())) == sorted(map(tuple, whole.collect()))

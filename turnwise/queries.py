@@ -385,10 +385,8 @@ def shuffle_sample(spark, sf_dir):
 SELECT input, candidate, score, row_number() OVER (PARTITION BY input ORDER BY score DESC, candidate) AS rank FROM s QUALIFY rank <= 10""")
 def beam_topk(spark, sf_dir):
     """Ten best candidates of each input; inputs are the stated query set: ids divisible by 50."""
-    e = read(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("e"))
-    q = F.broadcast(e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("input"), F.col("e").alias("q")))
-    dot = F.aggregate(F.zip_with("q", "e", lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
-    s = q.join(e, F.col("input") != F.col("vec_id")).select("input", F.col("vec_id").alias("candidate"), F.round(dot, 4).alias("score"))
+    e = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("vector"))
+    s = M.dot_scores(e.where("id % 50 = 0"), e)
     return M.best(s, "input", "score", "candidate", 10).select("input", "candidate", "score", F.col("rank").cast("long"))
 
 
