@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import table
+from .shared import small_batches, table
 from .textbuf import ALNUM, LOWER, chunks, hash_spans, trim, utf8, words
 
 WINDOW = 10
@@ -247,6 +247,7 @@ def _pass(docs: DataFrame, p: Phrases, keep: list[str], window: int, shard_words
 
 
 def _search(docs: DataFrame, benchmark: DataFrame, keep: list[str], window: int, shard_words: int, block_bytes: int) -> DataFrame:
+    small_batches(docs.sparkSession)
     size = benchmark.agg(F.sum(F.octet_length("text") + 64)).first()[0] or 0
     blocks = -(-int(size) // block_bytes) or 1
     out = docs

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
+from .shared import small_batches
 from .textbuf import NOT_SPACE, chunks, hash_spans, mix, trim, utf8, words
 
 #: At most so many labelled rows of each class are learned from, those with the smallest hashes; see MAX_TRAIN_BYTES.
@@ -149,6 +150,7 @@ def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings(), max
     Rows of labels without doc_id or with a quality other than 0 and 1 are left out; an id with several labels counts once, as the
     larger share of them says (a tie: left out).
     """
+    small_batches(docs.sparkSession)
     known = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1) & (fold_of(F.col("doc_id")) != HELD_OUT))
     known = known.groupBy("doc_id").agg(F.avg("quality").alias("share")).where("share <> 0.5")
     known = known.select("doc_id", (F.col("share") > 0.5).cast("int").alias("label"), F.xxhash64("doc_id", F.lit(SEED)).alias("h"))
@@ -161,6 +163,7 @@ def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings(), max
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), b.column(1), pa.array([x[0].astype(np.int32).tobytes() for x in got], pa.binary()), pa.array([x[1].tobytes() for x in got], pa.binary())], names=["h", "label", "ids", "share"]
             )
+            trim()
 
     # at most 2 x max_per_class rows, or as many more as ids repeat in docs: those are counted once, too
     got = rows.mapInArrow(run, "h long, label int, ids binary, share binary").dropDuplicates(["h"]).toPandas().sort_values("h")
@@ -172,7 +175,7 @@ def text_scores(column: pa.Array, logit: np.ndarray, prior: float, s: Settings)
     """Probability of class 1 of each whole text; a text without features has the prior's."""
     buf, off = utf8(column)
     total, n = np.zeros(len(off) - 1), np.zeros(len(off) - 1)
-    for r0, r1 in chunks(off, 1 << 19):
+    for r0, r1 in chunks(off, 1 << 18):
         ids, rows = feature_ids(buf[off[r0] : off[r1]], off[r0 : r1 + 1] - off[r0], s)
         total[r0:r1] = np.bincount(rows, weights=logit[ids], minlength=r1 - r0)
         n[r0:r1] = np.bincount(rows, minlength=r1 - r0)
@@ -182,6 +185,7 @@ def text_scores(column: pa.Array, logit: np.ndarray, prior: float, s: Settings)
 def score(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
     """docs with a column of scores, in one pass.  Null texts count as empty.  Nothing but the text is an input."""
     spark, s = docs.sparkSession, model.settings
+    small_batches(spark)
     sent = spark.sparkContext.broadcast((model.logit, model.prior))  # 4 bytes x buckets
 
     text_at, names = docs.columns.index("text"), [*docs.columns, name]

@@ -69,6 +69,19 @@ def table(df: DataFrame, name: str, partition_by: list[str] | None = None) -> Da
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Arrow batches of texts hold about this many bytes; a longer text is a batch of its own.
+BATCH_BYTES = 4 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bound what a Python worker and its JVM hold of a table of texts at a time: Spark's own bound is 10,000 rows or 64 MB.  A session's
+    smaller bound stays."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    jconf = spark._jsparkSession.sessionState().conf()
+    if jconf.arrowMaxBytesPerBatch() > BATCH_BYTES:
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
 def release(df: DataFrame) -> None:
     """Let Spark remove the shuffle files of finished jobs now.  It does so when the driver's garbage is collected, which may be long
     after the disks are full; with a table written, nothing needs them."""

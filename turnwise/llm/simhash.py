@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import drop_shared, shared_dir, skew_join, table
+from .shared import drop_shared, shared_dir, skew_join, small_batches, table
 from .textbuf import LOWER, chunks, trim, utf8, words, xxh64
 
 SHINGLE, DISTANCE, SEED = 3, 3, 42
@@ -74,6 +74,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(text_fingerprints(b.column(1)).view(np.int64))], names=["doc_id", "fp"])
             trim()
 
+    small_batches(docs.sparkSession)
     kind = dict(docs.dtypes)["doc_id"]
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, fp long")
 
