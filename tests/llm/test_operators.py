@@ -123,6 +123,8 @@ def test_decontamination(spark, docs):
     in_blocks = {r.doc_id: (r.n_words, r.n_hit, list(r["items"])) for r in decontaminate.search(docs, items, block_bytes=100).collect()}
     assert in_blocks == got
     left = {r.doc_id: r.text for r in decontaminate.remove(docs, items).collect()}
+    left_by_blocks = {r.doc_id: r.text for r in decontaminate.remove(docs, items, block_bytes=100).collect()}
+    assert left_by_blocks == left and decontaminate.remove(docs, items).columns == docs.columns
     assert left[1].split() == ["a", "e", "f", "g"] and left[3] is None and left[8] == ROWS[9][1]
 
 

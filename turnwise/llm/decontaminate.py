@@ -221,8 +221,8 @@ def search_texts(column: pa.Array, p: Phrases, window: int = WINDOW, shard_words
 _FOUND = "_n_words long, _n_hit long, _items array<string>, _starts array<long>, _ends array<long>"
 
 
-def _pass(docs: DataFrame, p: Phrases, keep: list[str], window: int, shard_words: int) -> DataFrame:
-    """keep's columns with what was found; adds to what an earlier pass has found."""
+def _pass(docs: DataFrame, p: Phrases, keep: list[str], window: int, shard_words: int, cut: bool = False) -> DataFrame:
+    """keep's columns with what was found; adds to what an earlier pass has found.  cut: with the texts cut and _n_hit alone."""
     sent = docs.sparkSession.sparkContext.broadcast(p)  # at most BLOCK_BYTES of benchmark text
     again = "_n_words" in docs.columns
 
@@ -234,6 +234,10 @@ def _pass(docs: DataFrame, p: Phrases, keep: list[str], window: int, shard_words
                     items[i] |= set(more)
                     hits[i] = sorted({*hits[i], *zip(s, e, strict=True)})
             cols = [b.column(c) for c in carried]
+            if cut:
+                yield pa.RecordBatch.from_arrays([*cols[:-1], cut_texts(cols[-1], hits), pa.array([len(x) for x in hits], pa.int64())], names=[*carried, "_n_hit"])
+                trim()
+                continue
             cols += [pa.array(n_words), pa.array([len(x) for x in hits], pa.int64()), pa.array([sorted(x) for x in items], pa.list_(pa.string()))]
             cols += [pa.array([[y[k] for y in x] for x in hits], pa.list_(pa.int64())) for k in (0, 1)]
             yield pa.RecordBatch.from_arrays(cols, names=[*carried, "_n_words", "_n_hit", "_items", "_starts", "_ends"])
@@ -243,10 +247,10 @@ def _pass(docs: DataFrame, p: Phrases, keep: list[str], window: int, shard_words
     if not again:
         docs = docs.select(*[F.col(c).alias(f"_c{i}") for i, c in enumerate(keep)], F.col("text").alias("_text"))
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in docs.schema.fields if f.name in carried)
-    return docs.mapInArrow(run, f"{schema}, {_FOUND}")
+    return docs.mapInArrow(run, f"{schema}, _n_hit long" if cut else f"{schema}, {_FOUND}")
 
 
-def _search(docs: DataFrame, benchmark: DataFrame, keep: list[str], window: int, shard_words: int, block_bytes: int) -> DataFrame:
+def _search(docs: DataFrame, benchmark: DataFrame, keep: list[str], window: int, shard_words: int, block_bytes: int, cut: bool = False) -> DataFrame:
     small_batches(docs.sparkSession)
     size = benchmark.agg(F.sum(F.octet_length("text") + 64)).first()[0] or 0
     blocks = -(-int(size) // block_bytes) or 1
@@ -257,7 +261,7 @@ def _search(docs: DataFrame, benchmark: DataFrame, keep: list[str], window: int,
             part = part.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k)
             out = table(out, "searched") if k else out
         got = part.toArrow()
-        out = _pass(out, phrases(got.column("item_id").to_pylist(), got.column("text"), window), keep, window, shard_words)
+        out = _pass(out, phrases(got.column("item_id").to_pylist(), got.column("text"), window), keep, window, shard_words, cut and k == blocks - 1)
     return out
 
 
@@ -298,28 +302,25 @@ def cut_spans(text: str | None, starts, ends) -> str | None:
     return b"".join([*out, raw[at:]]).decode()
 
 
+def cut_texts(texts: pa.Array, hits: list[list[tuple[int, int]]]) -> pa.Array:
+    """texts without their hit words; only texts with a hit become Python strings."""
+    hit = [i for i, x in enumerate(hits) if x]
+    if not hit:
+        return texts
+    new = [cut_spans(texts[i].as_py(), *zip(*hits[i], strict=True)) for i in hit]
+    return pc.replace_with_mask(texts, pa.array([bool(x) for x in hits]), pa.array(new, texts.type))
+
+
 def remove(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shard_words: int = SHARD_WORDS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """docs, all columns, with the merged spans of hit words cut from the text.
 
     Texts without a hit stay as they are, null ones too.  Where n_chars is a column it is counted anew for texts that changed.
     """
     cols = docs.columns
-    out = _search(docs, benchmark, cols, window, shard_words, block_bytes)
-    out = out.select(*[F.col(f"_c{i}").alias(c) for i, c in enumerate(cols)], "_n_hit", "_starts", "_ends")
-
-    at = [out.columns.index(c) for c in ("text", "_n_hit", "_starts", "_ends")]
-
-    def cut(batches):
-        for b in batches:
-            text, n, starts, ends = (b.column(i) for i in at)
-            hit = np.flatnonzero(n.to_numpy() > 0)
-            if len(hit):  # only texts with a hit become Python strings
-                new = [cut_spans(text[i].as_py(), starts[i].as_py(), ends[i].as_py()) for i in hit.tolist()]
-                b = b.set_column(at[0], "text", pc.replace_with_mask(text, pa.array(n.to_numpy() > 0), pa.array(new, text.type)))
-            yield b
-            trim()
-
-    out = out.mapInArrow(cut, out.schema)
+    others = [c for c in cols if c != "text"]
+    out = _search(docs, benchmark, others, window, shard_words, block_bytes, cut=True)
+    at = {c: f"_c{i}" for i, c in enumerate(others)} | {"text": "_text"}
+    out = out.select(*[F.col(at[c]).alias(c) for c in cols], "_n_hit")
     if "n_chars" in cols:
         out = out.withColumn("n_chars", F.when(F.col("_n_hit") > 0, F.length("text").cast(dict(docs.dtypes)["n_chars"])).otherwise(F.col("n_chars")))
     return out.select(cols)
