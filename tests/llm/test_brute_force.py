@@ -2,6 +2,7 @@
 
 import math
 import re
+import zlib
 from collections import Counter, defaultdict
 
 import duckdb
@@ -92,6 +93,16 @@ def test_katz(spark, corpus, order):
         assert got[i].score == pytest.approx(sum(math.log10(model.p(tuple(seq[at - order + 1 : at]), seq[at])) for at in places))
 
 
+def test_katz_as_registered(spark, corpus, tmp_path):
+    """op2_katz looks two words back."""
+    model = PlainKatz([t for i, t in corpus if zlib.crc32(str(i).encode()) % katz.FOLDS != katz.HELD_OUT], 3)
+    spark.createDataFrame(corpus, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.score for r in queries.op2_katz(spark, str(tmp_path)).collect()}
+    for i, text in corpus:
+        seq = tokens(text, 3)
+        assert got[i] == pytest.approx(sum(math.log10(model.p(tuple(seq[at - 2 : at]), seq[at])) for at in range(2, len(seq))))
+
+
 @pytest.mark.parametrize("order", [2, 3])
 def test_plain_katz_sums_to_one(corpus, order):
     """The model that the operator is held to is itself normalised in every context."""

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from .blocks import MESSAGE, column, each_block, messages, planes, ranges, read_block, replied, squeeze, unsqueeze, write_blocks
 from .textbuf import LOWER, hash_spans, mix, utf8, words
 
-ORDER, TOP = 2, 5
+ORDER, TOP = 3, 5
 FOLDS, HELD_OUT = 7, 2
 #: A context with more than one in HOT_SHARE tokens is dealt by n-gram; so there are fewer than HOT_SHARE of them.
 HOT_SHARE = 200
