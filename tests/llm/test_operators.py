@@ -8,6 +8,7 @@ from collections import Counter
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from turnwise.llm import decontaminate, exact_dedup, katz, licenses, mixing, secret_scan, simhash, substring_dedup, textbuf, warc
 
@@ -173,3 +174,16 @@ def test_licenses(spark):
     got = {r.doc_id: r for r in licenses.scan(docs).collect()}
     assert got[1].is_license_file and got[1].license == "MIT" and got[7].license == "CC-BY-NC-4.0" and not got[7].is_license_file
     assert (got[12].license, got[12].license_from, got[12].license_dir) == ("MIT", "ancestor", "s")
+
+
+def test_real_license_texts(spark):
+    """Texts as packages ship them: each is its own licence, and what lies below it inherits it."""
+    texts = dict(licenses.file_templates())
+    holder = lambda n: texts[n].replace("<year>", "2019-2024").replace("<holder>", "Jane Q. Example and contributors")
+    rows = [(f"{n}/{f}", t) for n in texts for f, t in (("LICENSE", holder(n)), ("src/a.py", "alpha beta"))] + [("none/a.py", "words only")]
+    docs = spark.createDataFrame([(i, t, p) for i, (p, t) in enumerate(rows)], "doc_id long, text string, path string").withColumn("source", F.lit("s"))
+    got = {r.path: r for r in licenses.scan(docs, F.col("path")).collect()}
+    for n in texts:
+        assert (got[f"{n}/LICENSE"].own_license, got[f"{n}/LICENSE"].is_license_file) == (n, True)
+        assert (got[f"{n}/src/a.py"].license, got[f"{n}/src/a.py"].license_from, got[f"{n}/src/a.py"].license_dir) == (n, "ancestor", n)
+    assert got["none/a.py"].license is None

@@ -1,9 +1,10 @@
 """Licence scans (DataFrame operations only): TF-IDF cosine to templates, then inheritance from the nearest ancestor directory.
 
-Each line of a text is compared as a header, and the whole text as a licence file, with each template: vectors are sparse and hold
-term frequency times the inverse document frequency among the templates; a term that no template has weighs as much as the rarest.
+Each line of a text is compared as a header with the notices, and the whole text as a licence file with the notices and with the full
+licence texts: vectors are sparse and hold term frequency times the inverse document frequency among the templates; a term that no
+template has weighs as much as the rarest.  Full texts are compared without their most common words, in vectors of their own.
 A line can only reach the threshold for a template if it holds one of that template's key terms, chosen so that what is left without
-them is too short.  So lines without any such term are left out before words are counted, without a change to the result.
+them is too short.  So texts and lines without any such term are left out before words are counted, without a change to the result.
 
 A text whose whole is a licence is its directory's licence file.  Texts without a licence of their own take that of the nearest
 directory above them that has one, found by joining the distinct directories' ancestors with the directories of licence files.
@@ -14,6 +15,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -47,6 +49,16 @@ TEMPLATES: tuple[tuple[str, str], ...] = (
 #: Words of the templates that any text has; they serve as key terms last.
 COMMON = frozenset(("that", "this", "with", "from", "under", "the", "of", "is", "be", "in", "to", "by", "and", "or", "it", "any", "can", "you", "not", "may", "use", "for"))
 
+#: What full licence texts are compared without, as they are long and mostly of these.
+STOP = COMMON | frozenset(("a", "an", "are", "as", "at", "all", "if", "for", "its", "no", "on", "other", "such", "that", "which", "will", "your"))
+
+
+def file_templates() -> tuple[tuple[str, str], ...]:
+    """Full licence texts by SPDX identifier: a fixed list, read by the driver.  AGPL-3.0 is GPL-3.0 under its other name."""
+    texts = [(p.stem, p.read_text(encoding="utf-8")) for p in sorted((Path(__file__).parent / "license_texts").glob("*.txt"))]
+    agpl = [("AGPL-3.0", re.sub(r"(GNU) (General Public License)", r"\1 Affero \2", t, flags=re.IGNORECASE)) for n, t in texts if n == "GPL-3.0"]
+    return (*texts, *agpl)
+
 
 def fold(c: Column) -> Column:
     """A-Z to a-z, and nothing else."""
@@ -59,21 +71,23 @@ def terms(text: str) -> list[str]:
 
 class Vectors:
     """weights: (template number, licence, term, weight) rows; norms by template; rare: weight of other terms; key: of each template,
-    terms without which nothing reaches the threshold."""
+    terms without which nothing reaches the threshold.  Terms in stop count nowhere.  Key terms are long ones, or few that weigh much."""
 
-    def __init__(self, templates=TEMPLATES, threshold: float = THRESHOLD):
-        bags = [Counter(terms(t)) for _, t in templates]
+    def __init__(self, templates=TEMPLATES, threshold: float = THRESHOLD, stop: frozenset[str] = frozenset(), few: bool = False):
+        bags = [Counter(x for x in terms(t) if x not in stop) for _, t in templates]
         df = Counter(t for b in bags for t in b)
         n = len(templates)
         idf = {t: math.log((1 + n) / (1 + d)) + 1 for t, d in df.items()}
+        self.stop = sorted(stop)
         self.idf, self.rare = {t: round(x, 12) for t, x in sorted(idf.items())}, round(math.log(1 + n) + 1, 12)
-        self.rows = [(k, templates[k][0], t, c * self.idf[t]) for k, b in enumerate(bags) for t, c in sorted(b.items())]
-        self.norms = [math.sqrt(sum(w * w for j, _, _, w in self.rows if j == k)) for k in range(n)]
+        weights = [[(t, c * self.idf[t]) for t, c in sorted(b.items())] for b in bags]
+        self.rows = [(k, templates[k][0], t, w) for k, ws in enumerate(weights) for t, w in ws]
+        self.norms = [math.sqrt(sum(w * w for _, w in ws)) for ws in weights]
         self.key: set[str] = set()
-        for k in range(n):
-            rest = sum(w * w for j, _, _, w in self.rows if j == k)
-            limit = (threshold * self.norms[k]) ** 2 * (1 - 1e-9)
-            for w, t in sorted(((w, t) for j, _, t, w in self.rows if j == k), key=lambda x: (x[1] in COMMON, -len(x[1]), -x[0], x[1])):  # long terms are rare in texts
+        for k, ws in enumerate(weights):
+            rest = sum(w * w for _, w in ws)
+            limit = (threshold * self.norms[k]) ** 2 * (1 - 1e-5)  # a cosine that is rounded up to the threshold reaches it
+            for w, t in sorted(((w, t) for t, w in ws), key=lambda x: (x[1] in COMMON, 0 if few else -len(x[1]), -x[0], x[1])):  # long terms are rare in texts
                 if rest < limit:
                     break
                 self.key.add(t)
@@ -91,38 +105,49 @@ def default_path() -> Column:
     return F.concat(F.coalesce(F.col("source"), F.lit("none")), F.lit("/"), inner, digits)
 
 
-def _cosines(spark: SparkSession, units: DataFrame, v: Vectors) -> DataFrame:
-    """(rid, unit, template, license, cosine) of units (rid, unit, body) that share a term with a template."""
+def _bags(spark: SparkSession, units: DataFrame, v: Vectors) -> DataFrame:
+    """(rid, unit, term, tf, idf, w) of units (rid, unit, body); idf is null for terms that no template has."""
     words = units.select("rid", "unit", F.explode(F.regexp_extract_all("body", F.lit(TERM), F.lit(0))).alias("term"))
+    words = words.where(~F.col("term").isin(v.stop)) if v.stop else words
     words = words.groupBy("rid", "unit", "term").agg(F.count(F.lit(1)).alias("tf"))
     idf = F.broadcast(spark.createDataFrame(list(v.idf.items()), "term string, idf double"))  # the templates' terms: a fixed number
-    words = words.join(idf, "term", "left").withColumn("w", F.col("tf") * F.coalesce("idf", F.lit(v.rare)))
+    return words.join(idf, "term", "left").withColumn("w", F.col("tf") * F.coalesce("idf", F.lit(v.rare)))
+
+
+def _cosines(spark: SparkSession, units: DataFrame, v: Vectors) -> DataFrame:
+    """(rid, unit, template, license, cosine) of units (rid, unit, body) that share a term with a template."""
+    words = _bags(spark, units, v)
     norms = words.groupBy("rid", "unit").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     rows = F.broadcast(spark.createDataFrame([(k, i, t, w / v.norms[k]) for k, i, t, w in v.rows], "template int, license string, term string, share double"))
     dots = words.join(rows, "term").groupBy("rid", "unit", "template", "license").agg(F.sum(F.col("w") * F.col("share")).alias("dot"))
     return dots.join(norms, ["rid", "unit"]).select("rid", "unit", "template", "license", F.round(F.col("dot") / F.col("norm"), 6).alias("cosine"))
 
 
-def scan(docs: DataFrame, path: Column | None = None, templates=TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
+def scan(docs: DataFrame, path: Column | None = None, templates=TEMPLATES, threshold: float = THRESHOLD, files=None) -> DataFrame:
     """(doc_id, path, own_license, own_score, is_license_file, license, license_from) for each row of docs.
 
-    own_license: of the best line (ties: the first template); license_from: 'own', 'ancestor' (then of the directory in license_dir)
+    own_license: of the file if the whole text is one of files (default: the full licence texts), else of the best line, else of
+    the whole text (ties: the first template); license_from: 'own', 'ancestor' (then of the directory in license_dir)
     or null.  Directories with several licence files take the highest score, then the smallest path.  Null texts count as empty; rows
     that repeat are judged alike; rows without doc_id or source lie in folders named none.
     """
     spark, v = docs.sparkSession, Vectors(templates, threshold)
+    texts = file_templates() if files is None else files
+    t = Vectors(texts, threshold, STOP, few=True)
     body = fold(F.coalesce("text", F.lit("")))
-    likely = F.filter(F.split(body, "\n"), lambda x: x.rlike(v.key_pattern()))
-    base = docs.select(F.monotonically_increasing_id().alias("rid"), "doc_id", (default_path() if path is None else path).alias("path"), body.alias("body"), likely.alias("lines"))
-    base = base.withColumn("body", F.when(F.size("lines") > 0, F.col("body")))
+    base = docs.select(F.monotonically_increasing_id().alias("rid"), "doc_id", (default_path() if path is None else path).alias("path"), body.alias("body"))
+    base = base.withColumn("notice", F.col("body").rlike(v.key_pattern())).withColumn("whole", F.col("body").rlike(t.key_pattern()))
+    base = base.withColumn("body", F.when(F.col("notice") | F.col("whole"), F.col("body")))
     base = table(base.withColumn("dir", F.regexp_replace("path", "/[^/]*$", "")), "license-lines")
-    hits = base.where(F.size("lines") > 0)
-    units = hits.select("rid", F.posexplode("lines").alias("unit", "body")).unionByName(hits.select("rid", F.lit(-1).alias("unit"), "body"))
-    found = _cosines(spark, units, v).where(F.col("cosine") >= threshold)
+    lines = base.where("notice").select("rid", F.posexplode(F.filter(F.split("body", "\n"), lambda x: x.rlike(v.key_pattern()))).alias("unit", "body"))
+    units = lines.unionByName(base.where("notice").select("rid", F.lit(-1).alias("unit"), "body"))
+    found = _cosines(spark, units, v)
+    full = _cosines(spark, base.where("whole").select("rid", F.lit(-1).alias("unit"), "body"), t)
+    found = found.unionByName(full.withColumn("template", F.col("template") + len(templates))).where(F.col("cosine") >= threshold)
     best = lambda when: F.max(F.when(when, F.struct("cosine", (-F.col("template")).alias("t"), "license")))
-    own = table(found.groupBy("rid").agg(best(F.col("unit") >= 0).alias("line"), best(F.col("unit") < 0).alias("file")), "own-licenses")
+    own = table(found.groupBy("rid").agg(best(F.col("unit") >= 0).alias("line"), best(F.col("unit") < 0).alias("file"), best(F.col("template") >= len(templates)).alias("full")), "own-licenses")
     rows = base.select("rid", "doc_id", "path", "dir").join(own, "rid", "left")
-    rows = rows.select("doc_id", "path", "dir", F.coalesce("line.license", "file.license").alias("own_license"), F.coalesce("line.cosine", "file.cosine").alias("own_score"), F.col("file").isNotNull().alias("is_license_file"), F.col("file.license").alias("file_license"), F.col("file.cosine").alias("file_score"))
+    rows = rows.select("doc_id", "path", "dir", F.coalesce("full.license", "line.license", "file.license").alias("own_license"), F.coalesce("full.cosine", "line.cosine", "file.cosine").alias("own_score"), F.col("file").isNotNull().alias("is_license_file"), F.coalesce("full.license", "file.license").alias("file_license"), F.coalesce("full.cosine", "file.cosine").alias("file_score"))
     rows = table(rows, "licensed")
     files = rows.where("is_license_file").groupBy(F.col("dir").alias("license_dir")).agg(F.min(F.struct((-F.col("file_score")).alias("s"), "path", "file_license")).alias("f"))
     files = files.select("license_dir", F.col("f.file_license").alias("dir_license"))
