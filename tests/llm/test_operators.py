@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import math
 import re
 from collections import Counter
 
@@ -176,6 +177,49 @@ def test_licenses(spark):
     assert (got[12].license, got[12].license_from, got[12].license_dir) == ("MIT", "ancestor", "s")
 
 
+BSD = "# Use of this source code is governed by a BSD-style\n# license that can be found in the LICENSE file.\n"
+GPL = """ * This program is free software: you can redistribute it and/or modify
+ * it under the terms of the GNU General Public License as published by
+ * the Free Software Foundation, either version 3 of the License, or
+ *
+ * (at your option) any later version.
+"""
+
+
+def test_wrapped_license_headers(spark):
+    code = "".join(f"int value{i} = compute{i}(alpha{i}, beta{i});\n" for i in range(40))
+    isc = "Permission to use, copy, modify, and/or distribute this software\nfor any purpose with or without fee is\nhereby granted.\n"
+    texts = [BSD + code, "/*\n" + GPL + " */\n" + code, code + GPL.replace("version 3", "version 2") + code, code + isc + code, code, " ".join(GPL.split()).replace(" *", "") + "\n" + code]
+    docs = spark.createDataFrame([(i, t, "s") for i, t in enumerate(texts)], "doc_id long, text string, source string")
+    got = {r.doc_id: (r.own_license, r.is_license_file) for r in licenses.scan(docs).collect()}
+    assert got == {0: ("BSD-3-Clause", False), 1: ("GPL-3.0", False), 2: ("GPL-2.0", False), 3: ("ISC", False), 4: (None, False), 5: ("GPL-3.0", False)}
+
+
+def test_pruned_license_runs_are_all_that_matter(spark):
+    """Against every run of lines in plain Python."""
+    v, most = licenses.Vectors(), licenses.most_lines()
+    rng = np.random.RandomState(3)
+    words = sorted({w for _, t in licenses.TEMPLATES for w in licenses.terms(t)}) + [f"x{i}" for i in range(30)]
+    texts = []
+    for _, t in licenses.TEMPLATES * 2:
+        noisy = [w if rng.rand() > 0.1 else words[rng.randint(len(words))] for w in licenses.terms(t)]
+        cut = sorted(rng.randint(0, len(noisy) + 1, rng.randint(0, 4)))
+        parts = [" ".join(noisy[a:b]) for a, b in zip([0, *cut], [*cut, len(noisy)], strict=True)]
+        texts.append("\n".join(["x1 x2 the x3", *parts, "x4 of x5 x6"]))
+
+    def cosine(lines, k):
+        bag = Counter(licenses.terms(" ".join(lines)))
+        w = {t: c * v.idf.get(t, v.rare) for t, c in bag.items()}
+        return round(sum(w.get(t, 0) * x for j, _, t, x in v.rows if j == k) / v.norms[k] / math.sqrt(sum(x * x for x in w.values())), 6)
+
+    docs = spark.createDataFrame([(i, t, "s") for i, t in enumerate(texts)], "doc_id long, text string, source string")
+    got = {r.doc_id: r.own_score for r in licenses.scan(docs, files=(("none", "zzz"),)).collect()}
+    for i, t in enumerate(texts):
+        lines = [x for x in t.split("\n") if x.strip()]
+        best = max(cosine(lines[a:b], k) for a in range(len(lines)) for b in range(a + 1, min(len(lines), a + most) + 1) for k in range(len(v.norms)))
+        assert got[i] == (pytest.approx(best, abs=2e-6) if best >= licenses.THRESHOLD else None)
+
+
 def test_real_license_texts(spark):
     """Texts as packages ship them: each is its own licence, and what lies below it inherits it."""
     texts = dict(licenses.file_templates())

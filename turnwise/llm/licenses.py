@@ -1,10 +1,12 @@
 """Licence scans (DataFrame operations only): TF-IDF cosine to templates, then inheritance from the nearest ancestor directory.
 
-Each line of a text is compared as a header with the notices, and the whole text as a licence file with the notices and with the full
-licence texts: vectors are sparse and hold term frequency times the inverse document frequency among the templates; a term that no
-template has weighs as much as the rarest.  Full texts are compared without their most common words, in vectors of their own.
-A line can only reach the threshold for a template if it holds one of that template's key terms, chosen so that what is left without
-them is too short.  So texts and lines without any such term are left out before words are counted, without a change to the result.
+Runs of consecutive lines (one, and as many as the longest notice wraps to; lines without a term don't count) are compared as headers
+with the notices, and the whole text as a licence file with the notices and with the full licence texts: vectors are sparse and hold
+term frequency times the inverse document frequency among the templates; a term that no template has weighs as much as the rarest.
+Full texts are compared without their most common words, in vectors of their own.
+A run can only reach the threshold for a template if it holds one of that template's key terms, chosen so that what is left without
+them is too short.  So texts without any such term, and runs around no such line, are left out before words are counted; and runs in
+which terms that no notice has weigh too much, by their lines' sums.  Neither changes the result.
 
 A text whose whole is a licence is its directory's licence file.  Texts without a licence of their own take that of the nearest
 directory above them that has one, found by joining the distinct directories' ancestors with the directories of licence files.
@@ -44,6 +46,10 @@ TEMPLATES: tuple[tuple[str, str], ...] = (
     ("CC0-1.0", "Released into the public domain under CC0 1.0 Universal."),
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
     ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted."),
+    ("GPL-2.0", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 2 of the License, or (at your option) any later version."),
+    ("LGPL-2.1", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 2.1 of the License, or (at your option) any later version."),
+    ("LGPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("AGPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
 )
 
 #: Words of the templates that any text has; they serve as key terms last.
@@ -51,6 +57,8 @@ COMMON = frozenset(("that", "this", "with", "from", "under", "the", "of", "is",
 
 #: What full licence texts are compared without, as they are long and mostly of these.
 STOP = COMMON | frozenset(("a", "an", "are", "as", "at", "all", "if", "for", "its", "no", "on", "other", "such", "that", "which", "will", "your"))
+#: A wrapped notice is looked for in as many lines as it has at so many columns.
+COLUMNS = 20
 
 
 def file_templates() -> tuple[tuple[str, str], ...]:
@@ -123,10 +131,38 @@ def _cosines(spark: SparkSession, units: DataFrame, v: Vectors) -> DataFrame:
     return dots.join(norms, ["rid", "unit"]).select("rid", "unit", "template", "license", F.round(F.col("dot") / F.col("norm"), 6).alias("cosine"))
 
 
+def most_lines(templates=TEMPLATES) -> int:
+    """The lines that the longest notice wraps to at COLUMNS columns."""
+    return max(math.ceil(len(t) / COLUMNS) for _, t in templates)
+
+
+def _runs(spark: SparkSession, lined: DataFrame, v: Vectors, most: int, threshold: float) -> DataFrame:
+    """(rid, unit, body): the runs of at most most lines of lined (rid, lines) that may reach the threshold.
+
+    Norms of lines add up to no less than the norm of their run, and their squares to no more.  So a run is out if the share of
+    terms that some notice has is too small even with the sum of their norms against the sum of the other terms' squares.
+    """
+    key = F.filter(F.transform("lines", lambda x, i: F.when(x.rlike(v.key_pattern()), i)), lambda i: i.isNotNull())
+    keyed = lined.withColumn("key", key).where(F.size("key") > 0)
+    square, known = F.col("w") * F.col("w"), F.col("idf").isNotNull()
+    sums = _bags(spark, keyed.select("rid", F.posexplode("lines").alias("unit", "body")), v).groupBy("rid", "unit")
+    sums = sums.agg(F.sqrt(F.sum(F.when(known, square).otherwise(0.0))).alias("a"), F.sum(F.when(known, 0.0).otherwise(square)).alias("b"))
+    sums = sums.groupBy("rid").agg(F.array_sort(F.collect_list(F.struct("unit", "a", "b"))).alias("sums"))  # of each of a text's lines
+    starts = F.array_distinct(F.flatten(F.transform("key", lambda i: F.sequence(F.greatest(i - (most - 1), F.lit(0)), i))))
+    line = F.transform("lines", lambda x, i: F.struct(x.alias("body"), F.array_contains("key", i).alias("key"), F.get("sums", i)["a"].alias("a"), F.get("sums", i)["b"].alias("b")))
+    runs = keyed.join(sums, "rid").select("rid", starts.alias("starts"), line.alias("line"))
+    runs = runs.select("rid", F.explode(F.transform("starts", lambda s: F.struct(s.alias("s"), F.slice("line", s + 1, most).alias("line")))).alias("r")).select("rid", "r.s", "r.line")
+    total = lambda x, k: F.aggregate(x, F.lit(0.0), lambda a, y: a + y[k])
+    share = threshold**2 * (1 - 1e-5)
+    may = lambda x: F.exists(x, lambda y: y["key"]) & (total(x, "a") * total(x, "a") * (1 - share) >= total(x, "b") * share)
+    runs = runs.select("rid", "s", "line", F.explode(F.filter(F.sequence(F.lit(1), F.size("line")), lambda n: may(F.slice("line", F.lit(1), n)))).alias("n"))
+    return runs.select("rid", (F.col("s") * most + F.col("n") - 1).alias("unit"), F.array_join(F.slice("line", F.lit(1), F.col("n"))["body"], "\n").alias("body"))
+
+
 def scan(docs: DataFrame, path: Column | None = None, templates=TEMPLATES, threshold: float = THRESHOLD, files=None) -> DataFrame:
     """(doc_id, path, own_license, own_score, is_license_file, license, license_from) for each row of docs.
 
-    own_license: of the file if the whole text is one of files (default: the full licence texts), else of the best line, else of
+    own_license: of the file if the whole text is one of files (default: the full licence texts), else of the best run of lines, else of
     the whole text (ties: the first template); license_from: 'own', 'ancestor' (then of the directory in license_dir)
     or null.  Directories with several licence files take the highest score, then the smallest path.  Null texts count as empty; rows
     that repeat are judged alike; rows without doc_id or source lie in folders named none.
@@ -139,8 +175,9 @@ def scan(docs: DataFrame, path: Column | None = None, templates=TEMPLATES, thres
     base = base.withColumn("notice", F.col("body").rlike(v.key_pattern())).withColumn("whole", F.col("body").rlike(t.key_pattern()))
     base = base.withColumn("body", F.when(F.col("notice") | F.col("whole"), F.col("body")))
     base = table(base.withColumn("dir", F.regexp_replace("path", "/[^/]*$", "")), "license-lines")
-    lines = base.where("notice").select("rid", F.posexplode(F.filter(F.split("body", "\n"), lambda x: x.rlike(v.key_pattern()))).alias("unit", "body"))
-    units = lines.unionByName(base.where("notice").select("rid", F.lit(-1).alias("unit"), "body"))
+    lined = base.where("notice").select("rid", F.filter(F.split("body", "\n"), lambda x: x.rlike("[a-z0-9]")).alias("lines"))
+    runs = table(_runs(spark, lined, v, most_lines(templates), threshold), "license-runs")
+    units = runs.unionByName(base.where("notice").select("rid", F.lit(-1).alias("unit"), "body"))
     found = _cosines(spark, units, v)
     full = _cosines(spark, base.where("whole").select("rid", F.lit(-1).alias("unit"), "body"), t)
     found = found.unionByName(full.withColumn("template", F.col("template") + len(templates))).where(F.col("cosine") >= threshold)
