@@ -30,3 +30,16 @@ def test_scores_in_blocks_are_the_same(spark):
     whole = dot_scores(rows, rows)
     assert whole.count() == 72
     assert sorted(map(tuple, dot_scores(rows, rows, 2).collect())) == sorted(map(tuple, whole.collect()))
+
+
+def test_every_copy_is_in_a_near_duplicate_pair(spark, tmp_path):
+    long = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty"
+    texts = [long, long.upper(), long, long + " more", "short", "short", "some thing else", None, long + " more"]
+    turns = [(1, i, "user", t) for i, t in enumerate(texts)]
+    spark.createDataFrame(turns, "conv_id long, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    spark.createDataFrame([(10 + i, t) for i, t in enumerate(texts)] + [(None, long)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    copies = {(0, 1), (0, 2), (4, 5), (3, 8)}
+    for name, of in (("minhash_near_dups", lambda i: f"1:{i}"), ("minhash_near_docs", lambda i: 10 + i)):
+        got = entry.queries()[name](spark, str(tmp_path)).collect()
+        assert sorted((r.a, r.b) for r in got if r["copy"]) == sorted((of(a), of(b)) for a, b in copies)
+        assert [(r.a, r.b, r.jaccard) for r in got if not r["copy"]] == [(of(0), of(3), round(16 / 17, 6))]

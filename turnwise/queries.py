@@ -508,12 +508,22 @@ def avg_embedding(spark, sf_dir):
     return v.select(part[0].cast("long").alias("dialog_no"), part[1].cast("long").alias("turn"), F.round(F.col("vector")[0], 6).alias("x0"), F.round(F.col("vector")[1], 6).alias("x1"))
 
 
+def _shingles(clean):
+    return F.array_distinct(M.ngrams(T.tokens(clean), 5))
+
+
 @query()
 def minhash_near_dups(spark, sf_dir):
-    """Near-duplicate turns as sets of five-word shingles, by MinHash and exact Jaccard of 0.8 or more."""
-    t = turns(spark, sf_dir).groupBy("clean").agg(F.min(F.struct("dialog_no", "turn")).alias("f"))  # equal texts count once
-    grams = F.array_distinct(M.ngrams(T.tokens(F.col("clean")), 5))
-    return E.minhash_pairs(t.select(F.concat_ws(":", "f.dialog_no", "f.turn").alias("id"), grams.alias("words")), "id", "words")
+    """Near-duplicate turns as sets of five-word shingles, by MinHash and exact Jaccard of 0.8 or more; turns that clean alike are copies."""
+    t = turns(spark, sf_dir).select(F.concat_ws(":", "dialog_no", "turn").alias("id"), "clean")
+    return E.near_copies(t, "id", "clean", _shingles)
+
+
+@query()
+def minhash_near_docs(spark, sf_dir):
+    """The same over documents."""
+    d = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), T.clean(F.col("text")).alias("clean"))
+    return E.near_copies(d, "id", "clean", _shingles)
 
 
 # ---- Streams ----------------------------------------------------------------------------------------------------------------
