@@ -43,3 +43,18 @@ def test_every_copy_is_in_a_near_duplicate_pair(spark, tmp_path):
         got = entry.queries()[name](spark, str(tmp_path)).collect()
         assert sorted((r.a, r.b) for r in got if r["copy"]) == sorted((of(a), of(b)) for a, b in copies)
         assert [(r.a, r.b, r.jaccard) for r in got if not r["copy"]] == [(of(0), of(3), round(16 / 17, 6))]
+
+
+def test_sweep_decodes_the_whole_test_split(spark):
+    from turnwise.plans.config import SWEEP
+
+    path = "/root/testdata/sf0.01"  # the smallest table has no conversation in the test split
+    got = entry.queries()["checkpoint_sweep_test"](spark, path)
+    test = entry.queries()["dialog_split"](spark, path).where("split = 'test'")
+    assert got.where("turn > 0").count() > 0
+    assert got.count() == len(SWEEP) * test.count()
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW conversations AS SELECT * FROM '{path}/conversations.parquet'")
+    cols = sorted(got.columns)
+    want = con.execute(f"SELECT {', '.join(cols)} FROM ({entry.oracle_sql()['checkpoint_sweep_test']})").fetchall()
+    assert sorted(map(tuple, got.select(cols).collect())) == sorted(want)

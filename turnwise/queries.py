@@ -444,6 +444,14 @@ def checkpoint_sweep(spark, sf_dir):
     return firsts.crossJoin(steps).select("checkpoint", "conv_id", "turn", F.concat(F.lit("test_set_"), "checkpoint", F.lit(".txt")).alias("output"))
 
 
+@query(f"WITH {_SPLIT} SELECT CAST(c AS INT) AS checkpoint, dialog_no AS conv_id, turn, source, 'test_set_' || c || '.txt' AS output FROM (SELECT unnest({list(C.SWEEP)}) AS c), routed WHERE split = 'test'")
+def checkpoint_sweep_test(spark, sf_dir):
+    """Every checkpoint decodes every source of the test split."""
+    steps = F.broadcast(spark.createDataFrame([(x,) for x in C.SWEEP], "checkpoint int"))  # a fixed list
+    sources = routed(spark, sf_dir).where("split = 'test'").select(F.col("dialog_no").alias("conv_id"), "turn", "source")
+    return sources.crossJoin(steps).select("checkpoint", "conv_id", "turn", "source", F.concat(F.lit("test_set_"), "checkpoint", F.lit(".txt")).alias("output"))
+
+
 @query("SELECT l.quality, l.toxic, count(*) AS n, round(avg(CASE WHEN d.n_chars > 500 THEN 1 ELSE 0 END), 6) AS long_share FROM labels l JOIN documents d USING (doc_id) GROUP BY ALL")
 def labels_against_prediction(spark, sf_dir):
     j = read(spark, sf_dir, "labels").join(read(spark, sf_dir, "documents").select("doc_id", "n_chars"), "doc_id")
