@@ -231,3 +231,11 @@ def test_real_license_texts(spark):
         assert (got[f"{n}/LICENSE"].own_license, got[f"{n}/LICENSE"].is_license_file) == (n, True)
         assert (got[f"{n}/src/a.py"].license, got[f"{n}/src/a.py"].license_from, got[f"{n}/src/a.py"].license_dir) == (n, "ancestor", n)
     assert got["none/a.py"].license is None
+
+
+def test_one_of_each_with_repeated_and_missing_ids(spark):
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(200)) for x in "abcd")
+    rows = [(1, a), (2, a + " "), (2, b), (2, b), (None, c), (None, c + " "), (None, c), (None, a), (3, d), (4, d)]
+    docs = spark.createDataFrame([(i, t, k) for k, (i, t) in enumerate(rows)], "doc_id long, text string, place int").repartition(3)
+    got = [rows[r.place] for r in simhash.one_of_each(docs).select("place").collect()]
+    assert sorted((i or 0, t.strip()) for i, t in got) == [(0, c), (1, a), (2, b), (3, d)]

@@ -208,6 +208,16 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     return final
 
 
+def _grouped(docs: DataFrame, distance: int) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, fp) of each row of docs, and (fp, n, component_id, root) of each distinct fingerprint."""
+    prints = table(fingerprints(docs), "fingerprints")
+    each = table(prints.groupBy("fp").agg(F.min("doc_id").alias("low"), F.count(F.lit(1)).alias("n")), "distinct-fingerprints")
+    roots = components(links(each.select("fp"), distance))
+    rooted = each.join(roots, each.fp == roots.node, "left").select("fp", "low", "n", F.coalesce("root", "fp").alias("root"))
+    least = rooted.groupBy("root").agg(F.min("low").alias("component_id"), F.count(F.lit(1)).alias("members"))
+    return prints, table(skew_join(rooted, least, ["root"], "members").select("fp", "n", "component_id", "root"), "components")
+
+
 def near_duplicates(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
     """(doc_id, fingerprint, component_id) for each row of docs.
 
@@ -215,18 +225,22 @@ def near_duplicates(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
     white space) have fingerprint zero and link like any other.  Rows that repeat share a fingerprint, so a component.  Rows without
     doc_id link others but name no component; component_id is null where no row of a component has an id.  Other columns are not read.
     """
-    prints = table(fingerprints(docs), "fingerprints")
-    each = table(prints.groupBy("fp").agg(F.min("doc_id").alias("low"), F.count(F.lit(1)).alias("n")), "distinct-fingerprints")
-    roots = components(links(each.select("fp"), distance))
-    rooted = each.join(roots, each.fp == roots.node, "left").select("fp", "low", "n", F.coalesce("root", "fp").alias("root"))
-    least = rooted.groupBy("root").agg(F.min("low").alias("component_id"), F.count(F.lit(1)).alias("members"))
-    named = table(skew_join(rooted, least, ["root"], "members").select("fp", "n", "component_id"), "components")
-    out = skew_join(prints, named, ["fp"], "n")
+    out = skew_join(*_grouped(docs, distance), ["fp"], "n")
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def one_of_each(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
-    """The rows of docs whose doc_id names their component, with all columns; rows without doc_id stay."""
-    found = near_duplicates(docs, distance)
-    gone = table(found.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct(), "near-copies")
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    """One row of docs for each component, with all columns: of the smallest doc_id, or any where no row has an id.
+
+    Rows whose doc_id no other row has are found by it; only rows that repeat an id or have none are fingerprinted once more.
+    """
+    prints, named = _grouped(docs, distance)
+    ids = skew_join(prints, named, ["fp"], "n").where("doc_id is not null")
+    ids = table(ids.groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows"), F.max(F.col("doc_id") == F.col("component_id")).alias("stays")).where("rows > 1 or not stays"), "near-copies")
+    plain = docs.where("doc_id is not null").join(ids.select("doc_id"), "doc_id", "left_anti")
+    odd = docs.join(ids.where("stays").select("doc_id"), "doc_id", "left_semi").select(docs.columns).unionByName(docs.where("doc_id is null"))
+    odd = table(odd.withColumn("_rid", F.monotonically_increasing_id()), "rows-of-unclear-id")
+    fps = fingerprints(odd.select(F.col("_rid").alias("doc_id"), "text")).withColumnRenamed("doc_id", "_rid")
+    which = skew_join(odd.select("_rid", "doc_id").join(fps, "_rid"), named, ["fp"], "n").where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    which = table(which.groupBy("root").agg(F.min("_rid").alias("_rid")).select("_rid"), "rows-that-stay")
+    return plain.select(docs.columns).unionByName(odd.join(which, "_rid", "left_semi").select(docs.columns))
