@@ -233,6 +233,14 @@ def test_real_license_texts(spark):
     assert got["none/a.py"].license is None
 
 
+def test_urls_with_long_or_no_names(spark):
+    urls = [f"https://ci:{'x' * 300}@host.example", "redis://:hunter22@cache", f"ftp://{'u' * 90}:abc@h", "http://u:ab@h", "http://host/a:b@c"]
+    docs = spark.createDataFrame([(i, f"see {u} here") for i, u in enumerate(urls)], "doc_id long, text string")
+    got = {r.doc_id: r.texts for r in secret_scan.scan(docs).collect()}
+    assert got == {0: [urls[0]], 1: [urls[1]], 2: [urls[2]], 3: [], 4: []}
+    assert b"://" in secret_scan.trigrams(secret_scan.trigram_query(secret_scan.RULES[-1]))
+
+
 def test_one_of_each_with_repeated_and_missing_ids(spark):
     a, b, c, d = (" ".join(f"{x}{i}" for i in range(200)) for x in "abcd")
     rows = [(1, a), (2, a + " "), (2, b), (2, b), (None, c), (None, c + " "), (None, c), (None, a), (3, d), (4, d)]

@@ -53,7 +53,7 @@ MORE = (
     Rule("stripe", r"[rs]k_live_[A-Za-z0-9]{16,}"),
     Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
     Rule("pem", r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----"),
-    Rule("url", r"[a-z][a-z0-9+.-]{1,20}://[^\x00-\x20/:@]{1,64}:[^\x00-\x20/:@]{3,128}@[A-Za-z0-9.-]+"),
+    Rule("url", r"[a-z][a-z0-9+.-]{1,20}://[^\x00-\x20/:@]*+:[^\x00-\x20/:@]{3,}+@[A-Za-z0-9.-]+"),
 )
 RULES = BASE + MORE
 
