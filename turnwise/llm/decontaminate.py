@@ -221,10 +221,10 @@ def search_texts(column: pa.Array, p: Phrases, window: int = WINDOW, shard_words
 _FOUND = "_n_words long, _n_hit long, _items array<string>, _starts array<long>, _ends array<long>"
 
 
-def _pass(docs: DataFrame, p: Phrases, keep: list[str], window: int, shard_words: int, cut: bool = False) -> DataFrame:
-    """keep's columns with what was found; adds to what an earlier pass has found.  cut: with the texts cut and _n_hit alone."""
+def _pass(docs: DataFrame, p: Phrases, keep: list[str], window: int, shard_words: int, cut: bool = False, again: bool = False) -> DataFrame:
+    """keep's columns with what was found.  again: docs comes from an earlier pass, whose finds are added to.  cut: with the texts cut
+    and _n_hit alone."""
     sent = docs.sparkSession.sparkContext.broadcast(p)  # at most BLOCK_BYTES of benchmark text
-    again = "_n_words" in docs.columns
 
     def run(batches):
         for b in batches:
@@ -261,7 +261,7 @@ def _search(docs: DataFrame, benchmark: DataFrame, keep: list[str], window: int,
             part = part.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k)
             out = table(out, "searched") if k else out
         got = part.toArrow()
-        out = _pass(out, phrases(got.column("item_id").to_pylist(), got.column("text"), window), keep, window, shard_words, cut and k == blocks - 1)
+        out = _pass(out, phrases(got.column("item_id").to_pylist(), got.column("text"), window), keep, window, shard_words, cut and k == blocks - 1, k > 0)
     return out
 
 

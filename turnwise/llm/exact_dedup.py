@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import skew_join, table
+from .shared import place, rows_in, skew_join, table
 
 _KEY = ["digest", "n_bytes", "check"]
 
@@ -21,11 +21,14 @@ def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 
 
-def digests(docs: DataFrame, text: Column | None = None) -> DataFrame:
-    """(rid, run, doc_id, digest, n_bytes, check) of each row, as a written table, so that rid names the same row ever after."""
+def digests(docs: DataFrame, text: Column | None = None, at: Column | None = None) -> DataFrame:
+    """(at, run, doc_id, digest, n_bytes, check) of each row, as a written table, so that at names the same row ever after.
+
+    at: what names a row; default: a number.
+    """
     body = text_or_empty() if text is None else text
     rows = docs.select(
-        F.monotonically_increasing_id().alias("rid"),
+        (F.monotonically_increasing_id() if at is None else at).alias("at"),
         F.spark_partition_id().cast("long").alias("run"),
         F.col("doc_id"),
         F.unhex(F.sha2(body.cast("binary"), 256)).alias("digest"),
@@ -36,45 +39,43 @@ def digests(docs: DataFrame, text: Column | None = None) -> DataFrame:
 
 
 def merge_runs(rows: DataFrame, keep: str = "largest", bits: int = 3) -> DataFrame:
-    """One row for each distinct text: its key, the row that stays (keep_id, keep_rid) and group_size.
+    """One row for each distinct text: its key, the row that stays (keep_id, keep_at) and group_size.
 
-    keep: 'largest' or 'smallest' doc_id; null ids lose against any other, and rows that tie stay by the smallest rid.
+    keep: 'largest' or 'smallest' doc_id, of any type that has an order.  Null ids lose against any other.  Of rows that tie, the one
+    with the largest (or smallest) at stays.
     """
-    rank = F.col("doc_id") if keep == "largest" else -F.col("doc_id")
-    level = rows.select("run", *_KEY, F.struct(rank.alias("rank"), (-F.col("rid")).alias("neg"), F.col("doc_id")).alias("best"), F.lit(1).cast("long").alias("n"))
+    if keep not in ("largest", "smallest"):
+        raise ValueError("keep is 'largest' or 'smallest'")
+    pick = F.max if keep == "largest" else F.min
+    has = F.col("doc_id").isNotNull() if keep == "largest" else F.col("doc_id").isNull()
+    level = rows.select("run", *_KEY, F.struct(has.alias("has"), F.col("doc_id"), F.col("at")).alias("best"), F.lit(1).cast("long").alias("n"))
     top = rows.agg(F.max("run")).first()[0] or 0
-    level = level.groupBy("run", *_KEY).agg(F.max("best").alias("best"), F.sum("n").alias("n"))
+    level = level.groupBy("run", *_KEY).agg(pick("best").alias("best"), F.sum("n").alias("n"))
     while top > 0:
         top >>= bits
-        level = level.groupBy(F.shiftright("run", bits).alias("run"), *_KEY).agg(F.max("best").alias("best"), F.sum("n").alias("n"))
-    return level.select(*_KEY, F.col("best.doc_id").alias("keep_id"), (-F.col("best.neg")).alias("keep_rid"), F.col("n").alias("group_size"))
+        level = level.groupBy(F.shiftright("run", bits).alias("run"), *_KEY).agg(pick("best").alias("best"), F.sum("n").alias("n"))
+    return level.select(*_KEY, F.col("best.doc_id").alias("keep_id"), F.col("best.at").alias("keep_at"), F.col("n").alias("group_size"))
 
 
 def mark(docs: DataFrame, keep: str = "largest", text: Column | None = None, bits: int = 3) -> DataFrame:
     """(doc_id, keep_id, group_size, kept, text_sha256) for every row of docs.
 
     Null texts count as empty and are equal to empty ones.  Rows that repeat doc_id and text are copies too: exactly one row of a
-    group is kept.  keep_id is null where all rows of a group have no doc_id.  An empty table gives an empty result; other columns
-    of docs are not read.
+    group is kept.  keep_id is null where all rows of a group have no doc_id.  Texts of any length are digested whole.  An empty table
+    gives an empty result; other columns of docs are not read.
     """
     rows = digests(docs, text)
     groups = table(merge_runs(rows, keep, bits), "digest-groups")
     out = skew_join(rows, groups, _KEY, "group_size")
-    return out.select("doc_id", "keep_id", "group_size", (F.col("rid") == F.col("keep_rid")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
+    return out.select("doc_id", "keep_id", "group_size", (F.col("at") == F.col("keep_at")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
 
 
-def distinct(docs: DataFrame, keep: str = "largest") -> DataFrame:
-    """The rows of docs that :func:`mark` keeps, with all their columns.
+def distinct(docs: DataFrame, keep: str = "largest", written: bool = False) -> DataFrame:
+    """The rows of docs that stay, with all their columns: of each group of equal texts exactly one, chosen as :func:`mark` does.
 
-    Rows to drop are found by (doc_id, digest); only rows that repeat both are compared once more as whole rows.
+    Null and empty texts are one group.  Digests alone are exchanged: the rows that stay are told by file and row number, and texts
+    never move.  written: docs is read from Parquet files as it is; else it is written first, so that rows have such names.
     """
-    marks = mark(docs, keep)
-    pairs = marks.groupBy("doc_id", "text_sha256").agg(F.count(F.lit(1)).alias("rows"), F.max("kept").alias("any"))
-    body = F.sha2(text_or_empty().cast("binary"), 256)
-    gone = table(pairs.where(~F.col("any")).select("doc_id", F.col("text_sha256").alias("gone_sha")), "gone")
-    twice = table(pairs.where(F.col("any") & (F.col("rows") > 1)).select("doc_id", F.col("text_sha256").alias("twice_sha")), "twice")
-    on = lambda a, b, c: (F.col(f"{a}.doc_id").eqNullSafe(F.col(f"{b}.doc_id"))) & (body == F.col(f"{b}.{c}"))
-    left = docs.alias("d").join(gone.alias("g"), on("d", "g", "gone_sha"), "left_anti").alias("d")
-    once = left.join(twice.alias("t"), on("d", "t", "twice_sha"), "left_anti")
-    again = docs.alias("d").join(twice.alias("t"), on("d", "t", "twice_sha"), "left_semi").dropDuplicates(["doc_id", "text"])
-    return once.unionByName(again.select(docs.columns))
+    docs = docs if written else table(docs, "rows")
+    rows = digests(docs, at=F.struct(*place(docs)))
+    return rows_in(docs, merge_runs(rows, keep).select("keep_at.file", "keep_at.row"))

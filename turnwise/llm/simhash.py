@@ -15,8 +15,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
-from .shared import drop_shared, shared_dir, skew_join, small_batches, table
+from .shared import drop_shared, place, rows_in, shared_dir, skew_join, small_batches, table
 from .textbuf import LOWER, chunks, trim, utf8, words, xxh64
 
 SHINGLE, DISTANCE, SEED = 3, 3, 42
@@ -67,16 +68,18 @@ def text_fingerprints(column: pa.Array, shingle: int = SHINGLE) -> np.ndarray:
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp): fp is the fingerprint's 64 bits as a signed long."""
+    """docs' columns but text, and fp: the fingerprint's 64 bits as a signed long."""
+    others = [f for f in docs.schema.fields if f.name != "text"]
+    names = [*(f.name for f in others), "fp"]
 
     def run(batches):
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(text_fingerprints(b.column(1)).view(np.int64))], names=["doc_id", "fp"])
+            fp = pa.array(text_fingerprints(b.column(b.num_columns - 1)).view(np.int64))
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], fp], names=names)
             trim()
 
     small_batches(docs.sparkSession)
-    kind = dict(docs.dtypes)["doc_id"]
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, fp long")
+    return docs.select(*names[:-1], "text").mapInArrow(run, StructType([*others, StructField("fp", LongType())]))
 
 
 def _popcount(x: np.ndarray) -> np.ndarray:
@@ -209,13 +212,15 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
 
 
 def _grouped(docs: DataFrame, distance: int) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, fp) of each row of docs, and (fp, n, component_id, root) of each distinct fingerprint."""
+    """Fingerprints of docs' rows, and (fp, n, low) of each distinct fingerprint; low: its component's least (no id, doc_id, others)."""
     prints = table(fingerprints(docs), "fingerprints")
-    each = table(prints.groupBy("fp").agg(F.min("doc_id").alias("low"), F.count(F.lit(1)).alias("n")), "distinct-fingerprints")
+    others = [c for c in prints.columns if c not in ("doc_id", "fp")]
+    low = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", *others))
+    each = table(prints.groupBy("fp").agg(low.alias("low"), F.count(F.lit(1)).alias("n")), "distinct-fingerprints")
     roots = components(links(each.select("fp"), distance))
     rooted = each.join(roots, each.fp == roots.node, "left").select("fp", "low", "n", F.coalesce("root", "fp").alias("root"))
-    least = rooted.groupBy("root").agg(F.min("low").alias("component_id"), F.count(F.lit(1)).alias("members"))
-    return prints, table(skew_join(rooted, least, ["root"], "members").select("fp", "n", "component_id", "root"), "components")
+    least = rooted.groupBy("root").agg(F.min("low").alias("least"), F.count(F.lit(1)).alias("members"))
+    return prints, table(skew_join(rooted.drop("low"), least, ["root"], "members").select("fp", "n", "root", F.col("least").alias("low")), "components")
 
 
 def near_duplicates(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
@@ -223,24 +228,19 @@ def near_duplicates(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
 
     component_id is the smallest doc_id that links of at most distance differing bits reach.  Texts without words (null, empty,
     white space) have fingerprint zero and link like any other.  Rows that repeat share a fingerprint, so a component.  Rows without
-    doc_id link others but name no component; component_id is null where no row of a component has an id.  Other columns are not read.
+    doc_id link others but name no component; component_id is null where no row of a component has an id.  Texts of any length are
+    read whole.  An empty table gives an empty result; other columns are not read.
     """
-    out = skew_join(*_grouped(docs, distance), ["fp"], "n")
-    return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    out = skew_join(*_grouped(docs.select("doc_id", "text"), distance), ["fp"], "n")
+    return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.col("low.doc_id").alias("component_id"))
 
 
-def one_of_each(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
-    """One row of docs for each component, with all columns: of the smallest doc_id, or any where no row has an id.
+def one_of_each(docs: DataFrame, distance: int = DISTANCE, written: bool = False) -> DataFrame:
+    """Exactly one row of docs for each component, with all columns: of the smallest doc_id (null ids last), and of those any one.
 
-    Rows whose doc_id no other row has are found by it; only rows that repeat an id or have none are fingerprinted once more.
+    It is decided row by row, so rows that share a doc_id but not their texts are judged apart.  The rows that stay are told by file
+    and row number, and texts never move.  written: docs is read from Parquet files as it is; else it is written first.
     """
-    prints, named = _grouped(docs, distance)
-    ids = skew_join(prints, named, ["fp"], "n").where("doc_id is not null")
-    ids = table(ids.groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows"), F.max(F.col("doc_id") == F.col("component_id")).alias("stays")).where("rows > 1 or not stays"), "near-copies")
-    plain = docs.where("doc_id is not null").join(ids.select("doc_id"), "doc_id", "left_anti")
-    odd = docs.join(ids.where("stays").select("doc_id"), "doc_id", "left_semi").select(docs.columns).unionByName(docs.where("doc_id is null"))
-    odd = table(odd.withColumn("_rid", F.monotonically_increasing_id()), "rows-of-unclear-id")
-    fps = fingerprints(odd.select(F.col("_rid").alias("doc_id"), "text")).withColumnRenamed("doc_id", "_rid")
-    which = skew_join(odd.select("_rid", "doc_id").join(fps, "_rid"), named, ["fp"], "n").where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    which = table(which.groupBy("root").agg(F.min("_rid").alias("_rid")).select("_rid"), "rows-that-stay")
-    return plain.select(docs.columns).unionByName(odd.join(which, "_rid", "left_semi").select(docs.columns))
+    docs = docs if written else table(docs, "rows")
+    _, named = _grouped(docs.select("doc_id", "text", *place(docs)), distance)
+    return rows_in(docs, named.where("fp = root").select("low.file", "low.row"))
