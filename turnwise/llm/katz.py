@@ -10,8 +10,9 @@ so every context's probabilities sum to 1 over the vocabulary and the unknown wo
 
 Counts cover all training texts.  Blocks of documents send their distinct n-grams, with their own counts and the lower level's
 probability, to the range that holds the context; ranges answer with total counts and, for each context, what alpha needs.  The
-answers are tables partitioned by range, and each block evaluates the recursion for all its tokens from them.  Contexts that hold a
-large share of all tokens are dealt by n-gram instead, and their few sums are added up afterwards.
+answers are tables partitioned by range, and each block evaluates the recursion for all its tokens from them.  A context that has
+more than a range's share of tokens is cut into parts by its n-grams' hashes; a part is dealt like a context of its own, and the
+parts' sums are added up afterwards.
 """
 
 from __future__ import annotations
@@ -28,8 +29,9 @@ from .textbuf import LOWER, hash_spans, mix, utf8, words
 
 ORDER, TOP = 3, 5
 FOLDS, HELD_OUT = 7, 2
-#: A context with more than one in HOT_SHARE tokens is dealt by n-gram; so there are fewer than HOT_SHARE of them.
-HOT_SHARE = 200
+#: Contexts that occur more often than once in TOKEN_BYTES bytes of a share of the corpus are cut into parts.  A share is a key range's, but
+#: not more than one in LEAST_SHARES nor less than one in MOST_SHARES, which bounds the list of them that is sent: 12 bytes each.
+TOKEN_BYTES, LEAST_SHARES, MOST_SHARES = 8, 200, 1 << 20
 BLOCK_BYTES = 10 << 20
 _END, _BEGIN = np.uint64(0xE0D0_0000_0000_0001), np.uint64(0xB0E0_0000_0000_0003)
 
@@ -51,12 +53,15 @@ def discounts(counts: list[int], top: int = TOP) -> np.ndarray:
 
 
 class Level:
-    """What all blocks must know of one level: its discounts, and the sums of hot contexts (key: c, n(1..top), lower sum)."""
+    """What all blocks must know of one level: its discounts, and hot: rows of sums (c, n(1..top), lower sum) of hot contexts from 1.
 
-    def __init__(self, stats: list[int], hot: dict[int, list[float]], total: int = 0, vocabulary: int = 0):
+    next_hot, next_parts: n-grams that are hot contexts of the next level, ascending, and into how many parts each is cut.
+    """
+
+    def __init__(self, stats: list[int], hot: np.ndarray, total: int = 0, vocabulary: int = 0):
         self.d = discounts(stats)
         self.stats, self.hot, self.total, self.vocabulary = stats, hot, total, vocabulary
-        self.next_hot: np.ndarray = np.zeros(0, np.uint64)
+        self.next_hot, self.next_parts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         if total:
             freed = sum((1 - self.d[r]) * r * stats[r - 1] for r in range(1, TOP + 1)) / total
             self.unknown = freed or 1 / (total + 1)
@@ -138,49 +143,58 @@ def _sums(group: np.ndarray, n: int, r: np.ndarray, lower: np.ndarray) -> np.nda
     return out
 
 
-def _heavy(total: np.ndarray) -> np.ndarray:
-    """What holds more than one in HOT_SHARE of a range; whatever holds so much of all ranges is among it."""
-    return np.flatnonzero((total > total.sum() / HOT_SHARE) & (total > 1))
+def _heavy(total: np.ndarray, least: int) -> np.ndarray:
+    return np.flatnonzero(total > least)
 
 
-def _count_words(keys, extras):
-    """Level 1: total counts; stats are N, V and the numbers of words that occur 1..TOP+1 times; heavy: the most frequent."""
+def _count_words(keys, extras, least: int):
+    """Level 1: total counts; stats are N, V and the numbers of words that occur 1..TOP+1 times; heavy: what occurs more than least times."""
     sizes = [len(k) for k in keys]
     k, n = np.concatenate(keys), np.concatenate([column(unsqueeze(x, 8), 0, np.int64) for x in extras])
     distinct, of = np.unique(k, return_inverse=True)
     total = np.bincount(of.ravel(), weights=n).astype(np.int64)
     stats = [int(total.sum()), int((total > 0).sum()), *[int((total == r).sum()) for r in range(1, TOP + 2)]]
-    heavy = [{"key": int(distinct[i].view(np.int64)), "numbers": [float(total[i])]} for i in _heavy(total)]
+    heavy = [{"key": int(distinct[i].view(np.int64)), "numbers": [float(total[i])]} for i in _heavy(total, least)]
     return [squeeze(planes(x)) for x in np.split(total[of.ravel()], np.cumsum(sizes)[:-1])], stats, heavy
 
 
-_WIDTH = 6 + 4 + 8 + 1
+_WIDTH = 6 + 4 + 8 + 4
+
+
+def part_keys(context: np.ndarray, gram: np.ndarray, hot: np.ndarray, parts: np.ndarray) -> np.ndarray:
+    """What an n-gram is dealt by, evenly over all 64 bits: its context, or the part of its context where that is hot (a number from 1)."""
+    many = parts[np.maximum(hot, 1) - 1].astype(np.uint64) if len(parts) else np.ones(len(hot), np.uint64)
+    part = mix(gram) % many + np.uint64(1)
+    return mix(np.where(hot > 0, mix(context ^ (part * np.uint64(0x9E3779B97F4A7C15))), context))
 
 
-def _count_grams(keys, extras, words: Level | None = None, last: bool = False):
+def _count_grams(keys, extras, least: int, hot_contexts: np.ndarray, words: Level | None = None, last: bool = False):
     """Level 2 and above.  A row: 6 bytes of the n-gram's hash, its count, the lower level's probability (at level 2, the word's
     count, from which words has it), and the hot context's number or 0.
 
-    Keys are contexts, or n-grams where the context is hot.  Heavy rows: (n-gram, [-1, total]), unless this is the last level, and
-    (hot context's number, its sums).
+    Heavy rows: (n-gram, [-1, total]), unless this is the last level, and (hot context's number, sums of its part here).
     """
     sizes = [len(k) for k in keys]
     key = np.concatenate(keys)
     rows = np.concatenate([unsqueeze(x, _WIDTH) for x in extras])
-    n, hot = column(rows, 6, np.uint32), rows[:, 18].astype(np.int64)
-    gram = column(np.concatenate([rows[:, :6], np.zeros((len(rows), 2), np.uint8)], axis=1), 0, np.uint64)
-    gram = np.where(hot > 0, key, (mix(key) & _HIGH) | gram)
+    n, hot = column(rows, 6, np.uint32), column(rows, 18, np.uint32).astype(np.int64)
+    tag = column(np.concatenate([rows[:, :6], np.zeros((len(rows), 2), np.uint8)], axis=1), 0, np.uint64)
+    of_context = key  # which is the context mixed, or for a hot one that of a part
+    if len(hot_contexts):
+        of_context = np.where(hot > 0, mix(hot_contexts[np.maximum(hot, 1) - 1]), key)
+    gram = (of_context & _HIGH) | tag
     lower = column(rows, 10, np.float64) if words is None else words.word(column(rows, 10, np.int64))
-    del rows
+    del rows, of_context, tag
     distinct, first, of, _ = _distinct(gram, n)
     total = np.bincount(of, weights=n, minlength=len(distinct)).astype(np.int64)
     r = total[of]
     stats = [int(total.sum()), int((total > 0).sum()), *[int((total == x).sum()) for x in range(1, TOP + 2)]]
-    heavy = [] if last else [{"key": int(distinct[i].view(np.int64)), "numbers": [-1.0, float(total[i])]} for i in _heavy(total)]
-    n_hot = int(hot.max(initial=0)) + 1
+    heavy = [] if last else [{"key": int(distinct[i].view(np.int64)), "numbers": [-1.0, float(total[i])]} for i in _heavy(total, least)]
     each_hot, each_low, each_key = hot[first], lower[first], key[first]
-    of_hot = _sums(each_hot, n_hot, total, each_low)
-    heavy += [{"key": x, "numbers": of_hot[x].tolist()} for x in range(1, n_hot) if of_hot[x, 0]]
+    warm = np.flatnonzero(each_hot > 0)
+    numbers, group = np.unique(each_hot[warm], return_inverse=True)
+    of_hot = _sums(group.ravel(), len(numbers), total[warm], each_low[warm])
+    heavy += [{"key": int(x), "numbers": y.tolist()} for x, y in zip(numbers, of_hot, strict=True) if y[0]]
     cold = np.flatnonzero(each_hot == 0)
     contexts, group = np.unique(each_key[cold], return_inverse=True)
     sums = _sums(group.ravel(), len(contexts), total[cold], each_low[cold])
@@ -222,13 +236,12 @@ class Scorer:
         hot_keys = self.levels[j - 2].next_hot
         place = np.minimum(np.searchsorted(hot_keys, context), max(0, len(hot_keys) - 1))
         hot = np.where(hot_keys[place] == context, place + 1, 0) if len(hot_keys) else np.zeros(len(context), np.int64)
-        key = np.where(hot > 0, distinct, context)
+        key = part_keys(context, distinct, hot, self.levels[j - 2].next_parts)
         lower = (self.count if j == 2 else lower)[at]
         order = np.lexsort((lower, key))  # equal contexts' words by count, which compresses well
         back = np.empty(len(order), np.int64)
         back[order] = np.arange(len(order))
-        tag = np.where(hot > 0, np.uint64(0), distinct)  # a hot context's n-gram is the key itself
-        parts = planes(tag[order], n[order].astype(np.uint32), lower[order], hot[order].astype(np.uint8))
+        parts = planes(distinct[order], n[order].astype(np.uint32), lower[order], hot[order].astype(np.uint32))
         extra = np.concatenate([parts[:, :6], parts[:, 8:]], axis=1)
         return key[order], extra, back[of], hot[order]
 
@@ -247,7 +260,7 @@ class Scorer:
         numbers = np.concatenate([*[column(sums, 8 * i, np.uint64).astype(np.float64)[:, None] for i in range(TOP + 1)], column(sums, 8 * (TOP + 1), np.float64)[:, None]], axis=1)
         cold = hot == 0
         heads = np.concatenate([[True], key[cold][1:] != key[cold][:-1]]) if cold.any() else np.zeros(0, bool)
-        hot_sums = np.array([level.hot.get(i, [0.0] * (TOP + 2)) for i in range(int(hot.max(initial=0)) + 1)])
+        hot_sums = level.hot
         of_context = np.zeros(len(key), np.int64)
         of_context[cold] = np.cumsum(heads) - 1 + len(hot_sums)
         of_context[~cold] = hot[~cold]
@@ -268,11 +281,22 @@ def _summed(answered: DataFrame, n: int) -> list[int]:
     return [int(x or 0) for x in row]
 
 
-def _next_hot(answered: DataFrame, total: int) -> np.ndarray:
-    """n-grams with more than one in HOT_SHARE tokens: fewer than HOT_SHARE rows."""
-    few = answered.where("heavy is not null").select(F.explode("heavy").alias("h")).select("h.key", F.element_at("h.numbers", -1).alias("n"), F.element_at("h.numbers", 1).alias("kind"), F.size("h.numbers").alias("w"))
-    few = few.where((F.col("w") <= 2) & (F.col("n") > total / HOT_SHARE)).select("key")
-    return np.sort(np.array([r[0] for r in few.collect()], np.int64).view(np.uint64))
+def _next_hot(answered: DataFrame, least: int, range_share: int) -> tuple[np.ndarray, np.ndarray]:
+    """(n-grams that occur more than least times, ascending; parts of each): least bounds how many there are."""
+    few = answered.where("heavy is not null").select(F.explode("heavy").alias("h")).where(F.size("h.numbers") <= 2)
+    got = few.select("h.key", F.element_at("h.numbers", -1).alias("n")).toPandas()
+    keys = got["key"].to_numpy(np.int64).view(np.uint64)
+    order = np.argsort(keys)
+    return keys[order], np.maximum(1, -(-got["n"].to_numpy(np.int64)[order] // max(1, range_share)))
+
+
+def _hot_sums(answered: DataFrame, n_hot: int) -> np.ndarray:
+    """Rows of sums of hot contexts, by number; row 0 is of none."""
+    few = answered.where("heavy is not null").select(F.explode("heavy").alias("h")).where(F.size("h.numbers") == TOP + 2)
+    got = few.groupBy("h.key").agg(*[F.sum(F.element_at("h.numbers", i + 1)).alias(f"s{i}") for i in range(TOP + 2)]).toPandas()
+    out = np.zeros((n_hot + 1, TOP + 2))
+    out[got["key"].to_numpy(np.int64)] = got[[f"s{i}" for i in range(TOP + 2)]].to_numpy(np.float64)
+    return out
 
 
 def score(docs: DataFrame, training: Column | None = None, order: int = ORDER, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -295,10 +319,12 @@ def score(docs: DataFrame, training: Column | None = None, order: int = ORDER, b
         keys, _, _, n = _distinct(t.grams(1), t.train)
         yield messages(block, keys, planes(n), p, True)
 
-    answered = [replied(each_block(blocks, send_words, MESSAGE), _count_words, "katz-1")]
+    least = max(1, n_bytes // (TOKEN_BYTES * min(max(p, LEAST_SHARES), MOST_SHARES)))
+    share = max(1, n_bytes // (TOKEN_BYTES * max(p, LEAST_SHARES)))
+    answered = [replied(each_block(blocks, send_words, MESSAGE), functools.partial(_count_words, least=least), "katz-1")]
     stats = _summed(answered[0], TOP + 3)
-    levels = [Level(stats[2:], {}, stats[0], stats[1])]
-    levels[0].next_hot = _next_hot(answered[0], stats[0])
+    levels = [Level(stats[2:], np.zeros((1, TOP + 2)), stats[0], stats[1])]
+    levels[0].next_hot, levels[0].next_parts = _next_hot(answered[0], least, share)
     for j in range(2, order + 1):
 
         def send(block, got, j=j, levels=levels):
@@ -310,14 +336,12 @@ def score(docs: DataFrame, training: Column | None = None, order: int = ORDER, b
             keys, extra, _, _ = scorer.rows(j, prob)
             yield messages(block, keys, extra, p, True)
 
-        answered.append(replied(each_block(blocks, send, MESSAGE, *answered), functools.partial(_count_grams, words=levels[0] if j == 2 else None, last=j == order), f"katz-{j}"))
+        count = functools.partial(_count_grams, least=least, hot_contexts=levels[-1].next_hot, words=levels[0] if j == 2 else None, last=j == order)
+        answered.append(replied(each_block(blocks, send, MESSAGE, *answered), count, f"katz-{j}"))
         now = _summed(answered[-1], TOP + 3)
-        few = answered[-1].where("heavy is not null").select(F.explode("heavy").alias("h")).where(F.size("h.numbers") == TOP + 2)
-        few = few.groupBy("h.key").agg(*[F.sum(F.element_at("h.numbers", i + 1)).alias(f"s{i}") for i in range(TOP + 2)])
-        hot = {r[0]: list(r[1:]) for r in few.collect()}  # fewer than HOT_SHARE contexts
-        levels = [*levels, Level(now[2:], hot, now[0], now[1])]
+        levels = [*levels, Level(now[2:], _hot_sums(answered[-1], len(levels[-1].next_hot)), now[0], now[1])]
         if j < order:
-            levels[-1].next_hot = _next_hot(answered[-1], now[0])
+            levels[-1].next_hot, levels[-1].next_parts = _next_hot(answered[-1], least, share)
     n_train, n_types = levels[0].total, levels[0].vocabulary
 
     def finish(block, got):
