@@ -5,11 +5,14 @@ The k-mers are windows of ``window`` words.  They are the graph's edges; their f
 1. Every window is named by its minimiser, the 16-word run with the smallest hash in it.  Windows with equal words have equal
    minimisers at equal offsets, so only windows whose minimiser occurs twice can repeat.  Blocks exchange about a tenth of their
    positions to learn which do.
-2. The candidates' own hashes are exchanged: an edge that occurs twice, anywhere, is a repeated edge.
-3. Consecutive repeated edges of a document are a path.  Equal paths of all documents are one; paths whose ends meet in a node
-   without branches are joined by pointer jumping (Spark joins over written tables).
-4. Source coordinates (document, first word, words) verify that a path's occurrences have its length, and every word that an
-   occurrence of a verified path covers is removed.
+2. The candidates' own hashes are exchanged: an edge that occurs twice, anywhere, is a repeated edge.  The graph is of these.
+3. Consecutive repeated edges of a document are a walk.  Blocks exchange their walks' nodes with the edges before and after: where
+   occurrences don't agree (a branch, or a walk that begins or ends) walks are cut.  Each repeated edge then lies in one piece only,
+   and whoever holds one of a piece's edges holds all of it.
+4. Pieces of all documents are grouped by their words (length, hash and SHA-256 of the words at their source coordinates); a piece
+   that two coordinates hold is verified.  Spark joins compact pieces that meet in a node without branches to one path, by pointer
+   jumping over written tables.
+5. Every word that an occurrence of a verified path's piece covers is removed.
 """
 
 from __future__ import annotations
@@ -21,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import BLOCK_BYTES, MESSAGE, answers, each_block, joined, messages, ranges, read_block, write_blocks
+from .blocks import BLOCK_BYTES, MESSAGE, answers, each_block, joined, messages, planes, ranges, read_block, write_blocks
 from .shared import table
 from .textbuf import hash_spans, mix, rolling, utf8, words
 
@@ -87,11 +90,63 @@ def _repeated(keys: np.ndarray, twice: np.ndarray) -> np.ndarray:
     return out
 
 
-def runs(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, block_bytes: int = BLOCK_BYTES):
-    """(written table of paths' occurrences, blocks, folder): (block, row, first, words, path, tail, head) for each document's
-    maximal runs of repeated windows; path, tail and head are hashes of all its words, its first and its last window-1 words."""
-    if anchor > window:
-        raise ValueError("an anchor lies within a window")
+def _disagree(nodes: np.ndarray, sides: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(order by node, group of each in that order, whether a group's sides differ or some of it is known to differ)."""
+    order = np.argsort(nodes, kind="stable")
+    n, s = nodes[order], sides[order]
+    head = np.concatenate([[True], n[1:] != n[:-1]]) if len(n) else np.zeros(0, bool)
+    group = np.cumsum(head) - 1
+    other = (s != s[head][group]) | known[order]
+    return order, group, np.bincount(group, weights=other, minlength=int(head.sum())) > 0
+
+
+def _any_differ(keys: np.ndarray, extra: np.ndarray) -> np.ndarray:
+    sides = np.concatenate([extra[:, :_SIDES], np.zeros((len(extra), 8 - _SIDES), np.uint8)], axis=1).view(np.uint64).ravel()
+    order, group, cut = _disagree(keys, sides, extra[:, _SIDES] > 0)
+    out = np.zeros((len(keys), 1), np.uint8)
+    out[order, 0] = cut[group]
+    return out
+
+
+#: Bytes of the hash of a node's two edges that are compared; what they miss, the pieces' digests tell.
+_SIDES = 6
+
+
+class Walks:
+    """A block's walks of repeated windows: first word of each window, where walks begin, and their nodes."""
+
+    def __init__(self, b: BlockWindows, hit: np.ndarray):
+        self.first = b.start[hit]
+        self.row = b.row[self.first]
+        self.new = np.concatenate([[True], (np.diff(self.first) != 1) | (np.diff(self.row) != 0)]) if len(hit) else np.zeros(0, bool)
+        ends = np.concatenate([self.new[1:], [True]]) if len(hit) else self.new
+        at = np.sort(np.concatenate([self.first, self.first[ends] + 1]))
+        edge = b.edges()[hit]
+        k = np.searchsorted(self.first, at)
+        here, before = np.minimum(k, max(0, len(edge) - 1)), np.maximum(k - 1, 0)
+        none = np.uint64(0)
+        after = np.where((k < len(edge)) & (self.first[here] == at), edge[here], none) if len(edge) else edge
+        prior = np.where((k > 0) & (self.first[before] == at - 1), edge[before], none) if len(edge) else edge
+        nodes = rolling(b.tokens, b.window - 1)[at] if len(edge) else edge
+        sides = mix(mix(prior + np.uint64(0x632BE59BD9B4E019)) ^ after) & np.uint64((1 << 8 * _SIDES) - 1)
+        order, group, self.differ = _disagree(nodes, sides, np.zeros(len(at), bool))
+        head = np.concatenate([[True], group[1:] != group[:-1]]) if len(group) else np.zeros(0, bool)
+        self.nodes, self.sides = nodes[order][head], sides[order][head]
+        place = np.empty(len(at), np.int64)
+        place[order] = group
+        self.place = place[np.searchsorted(at, self.first)]  # of the node where each window begins
+
+    def pieces(self, cut: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row, first word, windows) of each piece; cut: of each of nodes."""
+        heads = np.flatnonzero(self.new | (cut[self.place] > 0))
+        return self.row[heads], self.first[heads], np.diff(np.concatenate([heads, [len(self.first)]]))
+
+
+def walks(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, block_bytes: int = BLOCK_BYTES):
+    """(written table of pieces, blocks, folder): (block, path, digest, words, tail, head, rows, firsts) for each piece in a block, with
+    the rows and first words where it lies; path, tail and head are hashes of all its words, its first and its last window-1 words."""
+    if anchor > window or window < 2:
+        raise ValueError("a window has two words at least, and an anchor lies within a window")
     blocks, path, n_bytes = write_blocks(docs.select("doc_id", "text"), "substring", block_bytes)
     p = ranges(n_bytes, docs.sparkSession)
 
@@ -114,27 +169,41 @@ def runs(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, block_byte
 
     seen = answers(each_block(blocks, edges, MESSAGE, known), _repeated, 1, "edges")
 
-    def paths(block, got):
+    def walked(block, got):
         b, may, (_, place, _) = candidates(block, got)
-        hit = may[joined(got[1], 1)[:, 0].astype(bool)[place]] if len(may) else may
-        first = b.start[hit]
-        if not len(first):
+        return b, Walks(b, may[joined(got[1], 1)[:, 0].astype(bool)[place]] if len(may) else may)
+
+    def nodes(block, got):
+        _, w = walked(block, got)
+        yield messages(block, w.nodes, planes(w.sides, w.differ.astype(np.uint8))[:, [*range(_SIDES), 8]], p)
+
+    cuts = answers(each_block(blocks, nodes, MESSAGE, known, seen), _any_differ, _SIDES + 1, "nodes")
+
+    def pieces(block, got):
+        b, w = walked(block, got)
+        if not len(w.first):
             return
-        row = b.row[first]
-        new = np.concatenate([[True], (np.diff(first) != 1) | (np.diff(row) != 0)])
-        heads = np.flatnonzero(new)
-        ends = np.concatenate([heads[1:], [len(first)]]) - 1
-        begin, n = first[heads], first[ends] - first[heads] + window
+        row, begin, n = w.pieces(joined(got[2], 1)[:, 0])
+        n = n + window - 1
         total = np.concatenate([[np.uint64(0)], np.cumsum(mix(b.tokens) * _powers(len(b.tokens)), dtype=np.uint64)])
         inverse = _powers(len(b.tokens) + 1, True)
         of = lambda s, e: mix((total[e] - total[s]) * inverse[s] + (e - s).astype(np.uint64)).view(np.int64)
+        names = of(begin, begin + n)
+        raw, words_of = b.text[0], b.words
+        digest = [hashlib.sha256(b" ".join(raw[words_of.start[s] : words_of.end[e - 1]].tobytes().split())).digest()[:16] for s, e in zip(begin, begin + n, strict=True)]
+        order = sorted(range(len(names)), key=lambda i: (names[i], digest[i], begin[i]))
+        heads = [k for k, i in enumerate(order) if not k or (names[i], digest[i]) != (names[order[k - 1]], digest[order[k - 1]])]
+        some = np.array([order[k] for k in heads])
+        off = pa.array(np.array([*heads, len(order)], np.int32))
+        lists = [pa.ListArray.from_arrays(off, pa.array(x[order].astype(np.int64))) for x in (row, begin - b.words.off[row])]
+        begin, n = begin[some], n[some]
         yield pa.RecordBatch.from_arrays(
-            [pa.array([block] * len(heads)), pa.array(row[heads]), pa.array(begin - b.words.off[row[heads]]), pa.array(n), pa.array(of(begin, begin + n)), pa.array(of(begin, begin + window - 1)), pa.array(of(begin + n - window + 1, begin + n))],
-            names=["block", "row", "first", "words", "path", "tail", "head"],
+            [pa.array([block] * len(some)), pa.array(names[some]), pa.array([digest[i] for i in some], pa.binary()), pa.array(n), pa.array(of(begin, begin + window - 1)), pa.array(of(begin + n - window + 1, begin + n)), *lists],
+            names=["block", "path", "digest", "words", "tail", "head", "rows", "firsts"],
         )
 
-    found = each_block(blocks, paths, "block string, row long, first long, words long, path long, tail long, head long", known, seen)
-    return table(found, "runs"), blocks, path
+    found = each_block(blocks, pieces, "block string, path long, digest binary, words long, tail long, head long, rows array<long>, firsts array<long>", known, seen, cuts)
+    return table(found, "pieces"), blocks, path
 
 
 def _powers(n: int, inverse: bool = False) -> np.ndarray:
@@ -144,14 +213,18 @@ def _powers(n: int, inverse: bool = False) -> np.ndarray:
     return np.multiply.accumulate(a)[:n]
 
 
-def compact(occurrences: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(path, unitig, words, n, verified) for each distinct path; unitig names the compacted path that it is part of.
+def verified(found: DataFrame) -> DataFrame:
+    """(path, digest, words, tail, head, n) of each piece whose words two source coordinates hold at least, as a written table."""
+    each = found.groupBy("path", "digest", "words").agg(F.min("tail").alias("tail"), F.min("head").alias("head"), F.sum(F.size("rows")).alias("n"))
+    return table(each.where("n > 1"), "verified")
+
+
+def compact(each: DataFrame) -> DataFrame:
+    """(path, digest, words, n, unitig) for each piece (path, digest, words, tail, head, n); unitig names the compacted path it is part of.
 
-    A path leads to the one that starts where it ends, if no other path ends or starts there.  Pointers jump by doubling until none
-    moves; what goes round in a circle names its smallest path.  verified: all occurrences have one length and one pair of ends.
+    A piece leads to the one that starts where it ends, if no other piece ends or starts there.  Pointers jump by doubling until none
+    moves; what goes round in a circle names its smallest piece.
     """
-    each = occurrences.groupBy("path").agg(F.min("tail").alias("tail"), F.min("head").alias("head"), F.min("words").alias("words"), F.count(F.lit(1)).alias("n"), ((F.min("words") == F.max("words")) & (F.min("tail") == F.max("tail")) & (F.min("head") == F.max("head"))).alias("verified"))
-    each = table(each, "paths")
     starts = each.groupBy(F.col("tail").alias("node")).agg(F.count(F.lit(1)).alias("out"), F.min("path").alias("to"))
     stops = each.groupBy(F.col("head").alias("node")).agg(F.count(F.lit(1)).alias("in"), F.min("path").alias("of"))
     step = table(stops.where("`in` = 1").join(starts.where("out = 1"), "node").select(F.col("of").alias("path"), "to").where("path <> to"), "steps")
@@ -169,35 +242,37 @@ def compact(occurrences: DataFrame, window: int = WINDOW) -> DataFrame:
     # on a line the last path names it; in a circle, which has no last, the smallest one
     ends = low.select("path", "to", "least").join(step.select(F.col("path").alias("to"), F.lit(True).alias("circle")), "to", "left")
     named = ends.select("path", F.when(F.col("circle"), F.col("least")).otherwise(F.col("to")).alias("unitig"))
-    return table(each.join(named, "path", "left").select("path", F.coalesce("unitig", "path").alias("unitig"), "words", "n", "verified"), "unitigs")
+    return table(each.join(named, "path", "left").select("path", "digest", "words", "n", F.coalesce("unitig", "path").alias("unitig")), "unitigs")
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_sha256, spans) for each row of docs.
 
     Words are runs of non-space bytes, unchanged; a word goes if a window over it occurs elsewhere, in this document too.  Null texts
-    have no words; rows that repeat are documents of their own, so both lose what they share.  spans: (first word, words, unitig).
+    have no words; rows that repeat are documents of their own, so both lose what they share.  Texts of any length are read whole; an
+    empty table gives an empty result; other columns are not read.  spans: (first word, words, unitig) of the pieces that went.
     """
-    found, blocks, path = runs(docs, window, anchor, block_bytes)
-    unitigs = compact(found, window)
-    # an occurrence is one row; its path's name is looked up, never its copies
-    kept = found.join(unitigs.where("verified").select("path", "unitig"), "path", "inner")
-    packed = kept.groupBy("block").agg(F.collect_list(F.struct("row", "first", "words", "unitig")).alias("spans"))  # at most a block's words
+    found, blocks, path = walks(docs, window, anchor, block_bytes)
+    unitigs = compact(verified(found)).select("path", "digest", "words", "unitig")
+    # a piece is one row for each block that holds it; where it lies goes along, its words don't
+    kept = found.join(unitigs, ["path", "digest", "words"]).select("block", F.struct("words", "unitig", "rows", "firsts").alias("piece"))
+    packed = kept.groupBy("block").agg(F.collect_list("piece").alias("pieces"))  # no more than a block's words
     todo = blocks.select("block").join(packed, "block", "left")
 
     def run(batches):
         for b in batches:
-            for block, spans in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            for block, pieces in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 got = read_block(path, block)
                 buf, off = utf8(got.column("text"))
                 w = words(buf, off)
                 gone = np.zeros(len(w.start) + 1, np.int64)
                 per: list[list] = [[] for _ in range(got.num_rows)]
-                for s in sorted(spans or (), key=lambda s: (s["row"], s["first"])):
-                    at = w.off[s["row"]] + s["first"]
+                spans = [(row, first, x["words"], x["unitig"]) for x in pieces or () for row, first in zip(x["rows"], x["firsts"], strict=True)]
+                for row, first, n, unitig in sorted(spans):
+                    at = w.off[row] + first
                     gone[at] += 1
-                    gone[at + s["words"]] -= 1
-                    per[s["row"]].append({"first": s["first"], "words": s["words"], "unitig": s["unitig"]})
+                    gone[at + n] -= 1
+                    per[row].append({"first": first, "words": n, "unitig": unitig})
                 stay = np.cumsum(gone[:-1]) == 0
                 n_stay = np.add.reduceat(np.concatenate([stay, [False]]), np.minimum(w.off[:-1], len(stay))) * (w.counts > 0) if got.num_rows else np.zeros(0, int)
                 shas = []
