@@ -8,7 +8,8 @@ A run can only reach the threshold for a template if it holds one of that templa
 them is too short.  So texts without any such term, and runs around no such line, are left out before words are counted; and runs in
 which terms that no notice has weigh too much, by their lines' sums.  Neither changes the result.
 
-A text whose whole is a licence is its directory's licence file.  Texts without a licence of their own take that of the nearest
+A text whose whole is a full licence text is its directory's licence file; one that is a notice, or little more, has that licence
+itself but gives it to nobody else, since a short file of code with a header looks the same.  Texts without a licence of their own take that of the nearest
 directory above them that has one, found by joining the distinct directories' ancestors with the directories of licence files.
 """
 
@@ -163,7 +164,7 @@ def scan(docs: DataFrame, path: Column | None = None, templates=TEMPLATES, thres
     """(doc_id, path, own_license, own_score, is_license_file, license, license_from) for each row of docs.
 
     own_license: of the file if the whole text is one of files (default: the full licence texts), else of the best run of lines, else of
-    the whole text (ties: the first template); license_from: 'own', 'ancestor' (then of the directory in license_dir)
+    the whole text (ties: the first template); is_license_file: the whole text is one of files; license_from: 'own', 'ancestor' (then of the directory in license_dir)
     or null.  Directories with several licence files take the highest score, then the smallest path.  Null texts count as empty; rows
     that repeat are judged alike; rows without doc_id or source lie in folders named none.
     """
@@ -184,7 +185,7 @@ def scan(docs: DataFrame, path: Column | None = None, templates=TEMPLATES, thres
     best = lambda when: F.max(F.when(when, F.struct("cosine", (-F.col("template")).alias("t"), "license")))
     own = table(found.groupBy("rid").agg(best(F.col("unit") >= 0).alias("line"), best(F.col("unit") < 0).alias("file"), best(F.col("template") >= len(templates)).alias("full")), "own-licenses")
     rows = base.select("rid", "doc_id", "path", "dir").join(own, "rid", "left")
-    rows = rows.select("doc_id", "path", "dir", F.coalesce("full.license", "line.license", "file.license").alias("own_license"), F.coalesce("full.cosine", "line.cosine", "file.cosine").alias("own_score"), F.col("file").isNotNull().alias("is_license_file"), F.coalesce("full.license", "file.license").alias("file_license"), F.coalesce("full.cosine", "file.cosine").alias("file_score"))
+    rows = rows.select("doc_id", "path", "dir", F.coalesce("full.license", "line.license", "file.license").alias("own_license"), F.coalesce("full.cosine", "line.cosine", "file.cosine").alias("own_score"), F.col("full").isNotNull().alias("is_license_file"), F.col("full.license").alias("file_license"), F.col("full.cosine").alias("file_score"))
     rows = table(rows, "licensed")
     files = rows.where("is_license_file").groupBy(F.col("dir").alias("license_dir")).agg(F.min(F.struct((-F.col("file_score")).alias("s"), "path", "file_license")).alias("f"))
     files = files.select("license_dir", F.col("f.file_license").alias("dir_license"))
