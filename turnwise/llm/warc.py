@@ -15,6 +15,7 @@ import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -104,7 +105,7 @@ def records(pieces: Iterator[bytes]) -> Iterator[tuple[dict[str, str], bytes, by
 def write_monolithic(pages: DataFrame, path: str) -> DataFrame:
     """Write a response record for each row of pages (page_id, url, html; null html: empty) to monolithic files below path.
 
-    Gives (archive, seq, page_id, digest, payload_bytes), as a written table.  An archive is filled by one task, in the order of its rows.
+    Gives (archive, seq, page_id, digest, payload_bytes, check), as a written table; check is a second hash of the payload.  An archive is filled by one task, in the order of its rows.
     """
 
     def run(batches):
@@ -120,17 +121,21 @@ def write_monolithic(pages: DataFrame, path: str) -> DataFrame:
                     payload = (html or "").encode()
                     sha = digest(payload)
                     out.write(engine.compress(record(page_id, url, payload, sha)))
-                    index.append((name, len(index), page_id, sha, len(payload)))
+                    index.append((name, len(index), page_id, sha, len(payload), xxhash.xxh64_intdigest(payload) - (1 << 63)))
                     filled += len(payload)
                     ahead = next(rows, None)
                 out.write(engine.flush())
             number += 1
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*index, strict=True), kinds, strict=True)], names=names)
 
-    names = ["archive", "seq", "page_id", "digest", "payload_bytes"]
-    kinds = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64()]
+    names = ["archive", "seq", "page_id", "digest", "payload_bytes", "check"]
+    kinds = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64()]
     rows = pages.select(F.col("page_id").cast("long"), "url", "html")
-    return table(rows.mapInArrow(run, "archive string, seq long, page_id long, digest string, payload_bytes long"), "warc-rows")
+    return table(rows.mapInArrow(run, "archive string, seq long, page_id long, digest string, payload_bytes long, check long"), "warc-rows")
+
+
+#: What equal payloads agree in.
+_PAYLOAD = ["digest", "payload_bytes", "check"]
 
 
 def decide(index: DataFrame, least_bytes: int = 0) -> DataFrame:
@@ -138,9 +143,9 @@ def decide(index: DataFrame, least_bytes: int = 0) -> DataFrame:
     stays a response and the others refer to it.  Rows that share the smallest page_id: the first in (archive, seq) stays.  Rows
     without page_id come last; where a group has no other, refers_to is null."""
     best = F.min(F.struct(F.col("page_id").isNull().alias("none"), "page_id", "archive", "seq")).alias("best")
-    groups = index.where(F.col("payload_bytes") >= least_bytes).groupBy("digest").agg(best, F.count(F.lit(1)).alias("n")).where("n > 1")
-    groups = table(groups.select("digest", "n", F.col("best.page_id").alias("first_id"), F.col("best.archive").alias("first_archive"), F.col("best.seq").alias("first_seq")), "payload-groups")
-    found = skew_join(index, groups, ["digest"], "n")
+    groups = index.where(F.col("payload_bytes") >= least_bytes).groupBy(*_PAYLOAD).agg(best, F.count(F.lit(1)).alias("n")).where("n > 1")
+    groups = table(groups.select(*_PAYLOAD, "n", F.col("best.page_id").alias("first_id"), F.col("best.archive").alias("first_archive"), F.col("best.seq").alias("first_seq")), "payload-groups")
+    found = skew_join(index, groups, _PAYLOAD, "n")
     again = found.where(F.col("n").isNotNull() & ~((F.col("archive") == F.col("first_archive")) & (F.col("seq") == F.col("first_seq"))))
     # an archive has at most ARCHIVE_RECORDS records
     some = again.groupBy("archive").agg(F.collect_list(F.struct("seq", F.col("first_id").alias("refers_to"))).alias("revisits"))
