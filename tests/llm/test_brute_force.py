@@ -1,5 +1,6 @@
 """What SQL can't express, against plain Python: the Katz model at two and three levels, and the whole pipeline."""
 
+import hashlib
 import math
 import re
 import zlib
@@ -10,9 +11,10 @@ import numpy as np
 import pandas as pd
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from turnwise.llm import katz, queries
+from turnwise.llm import blocks, katz, licenses, mixing, queries, textbuf
 
 DIR = "/root/testdata/sf0.001"
 WORD, ALNUM = re.compile(r"[^\x20\x09-\x0D]+"), re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -111,6 +113,18 @@ def test_plain_katz_sums_to_one(corpus, order):
         assert sum(model.p(context, w) for w in [*model.vocabulary, UNKNOWN]) == pytest.approx(1)
 
 
+def test_hot_contexts_reach_most_ranges():
+    """The n-grams of one context go to as many ranges as it has parts, and contexts of two words that begin alike to all of them."""
+    grams = textbuf.mix(np.arange(200_000, dtype=np.uint64))
+    context = np.full(len(grams), grams[5])
+    for p in (36, 1000):
+        hot = katz.part_keys(context, grams, np.ones(len(grams), np.int64), np.array([4 * p]))
+        assert len(np.unique(hot)) == 4 * p and len(np.unique(blocks.range_of(np.sort(hot), p))) > 0.9 * p
+        cold = katz.part_keys(katz._extended(context, grams), grams, np.zeros(len(grams), np.int64), np.zeros(0, np.int64))
+        load = np.bincount(blocks.range_of(np.sort(cold), p), minlength=p)
+        assert load.min() > 0.5 * load.mean() and load.max() < 1.5 * load.mean()
+
+
 def fingerprint(text):
     w = [x.encode() for x in WORD.findall((text or "").translate(FOLD))]
     shingles = [b" ".join(w[i : i + 3]) for i in range(max(len(w) - 2, 1))] if w else []
@@ -181,3 +195,74 @@ def test_pipeline(spark, planted):
     want = con.execute(f"SELECT {', '.join(cols)} FROM ({queries.SQL['op9_mixing']}) ORDER BY doc_id").fetchall()
     got = corpus_pipeline.run(spark, planted).select(cols).orderBy("doc_id").collect()
     assert [tuple(r) for r in got] == want
+
+
+ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
+ACCESS, HEX = re.compile("AKIA[A-Z0-9]+"), re.compile("[0-9a-f]+")
+
+
+def test_secrets_over_whole_documents(spark):
+    """op3_secrets against plain patterns: every base span of every text, whole."""
+    path = "/root/testdata/sf0.01"
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{path}/documents.parquet").select("doc_id", "text").collect()}
+    got = {r.doc_id: r for r in queries.op3_secrets(spark, path).collect()}
+    assert set(got) == set(texts)
+    seen = 0
+    for i, t in texts.items():
+        assign = [m for m in ASSIGN.finditer(t) if len(m.group(2)) >= 6]
+        access = [m for m in ACCESS.finditer(t) if len(m.group()) >= 20]
+        hexes = [m for m in HEX.finditer(t) if len(m.group()) >= 24]
+        spans = sorted((m.start(), k, m.end()) for k, ms in enumerate((assign, access, hexes)) for m in ms)
+        said = ",".join(f"{('assign', 'access', 'hex')[k]}:{a}:{e}" for a, k, e in spans)
+        assert (got[i].n_assign, got[i].n_access, got[i].n_hex) == (len(assign), len(access), len(hexes))
+        assert got[i].base_sha256 == hashlib.sha256(said.encode()).hexdigest()
+        assert set(said.split(",") if said else []) <= set(got[i].spans.split(","))
+        seen += len(spans)
+    assert seen > 10
+
+
+def quotients(weights, seats):
+    """Seats by the highest quotients w / (2k - 1), one at a time; ties to the first."""
+    won = [0] * len(weights)
+    for _ in range(seats):
+        best = max(range(len(weights)), key=lambda i: (weights[i] / (2 * won[i] + 1), -i))
+        won[best] += 1
+    return won
+
+
+def test_apportionment_is_by_highest_quotients(spark):
+    rng = np.random.RandomState(4)
+    groups = {g: [int(x) for x in rng.randint(0, 1000, rng.randint(1, 12))] for g in range(30)} | {99: [0, 0], 98: [5, 5, 5, 5]}
+    seats = {g: int(rng.randint(0, 200)) if sum(w) else 0 for g, w in groups.items()} | {98: 6}
+    rows = [(g, k, w, sum(ws), seats[g]) for g, ws in groups.items() for k, w in enumerate(ws)]
+    df = spark.createDataFrame(rows, "g long, k long, w long, total long, seats long")
+    got = {(r.g, r.k): r.quota for r in mixing.sainte_lague(df, ["g"], ["k"], F.col("w"), F.col("total"), F.col("seats")).collect()}
+    for g, ws in groups.items():
+        assert [got[g, k] for k in range(len(ws))] == quotients(ws, seats[g])
+
+
+def test_license_file_cosines(spark):
+    """The whole text's cosine to each full licence text, in plain Python."""
+    files = licenses.file_templates()
+    bags = [Counter(w for w in licenses.terms(t) if w not in licenses.STOP) for _, t in files]
+    df = Counter(w for b in bags for w in b)
+    idf = lambda w: math.log((1 + len(files)) / (1 + df[w])) + 1
+    rng = np.random.RandomState(8)
+    texts = []
+    for _, t in files:
+        words = t.split()
+        for share in (0.02, 0.2, 0.5):
+            texts.append(" ".join(w if rng.rand() > share else f"other{rng.randint(50)}" for w in words))
+    docs = spark.createDataFrame([(i, t, "s") for i, t in enumerate(texts)], "doc_id long, text string, source string")
+    got = {r.doc_id: (r.is_license_file, r.own_score) for r in licenses.scan(docs).collect()}
+    norm = lambda v: math.sqrt(sum(x * x for x in v.values()))
+    vectors = [{w: c * idf(w) for w, c in b.items()} for b in bags]
+    full = 0
+    for i, t in enumerate(texts):
+        v = {w: c * idf(w) for w, c in Counter(x for x in licenses.terms(t) if x not in licenses.STOP).items()}
+        best = max(sum(x * u.get(w, 0) for w, x in v.items()) / (norm(v) * norm(u)) for u in vectors)
+        assert got[i][0] == (round(best, 6) >= licenses.THRESHOLD)
+        if got[i][0]:
+            full += 1
+            assert got[i][1] == pytest.approx(best, abs=2e-6)
+    assert 10 < full < len(texts)
