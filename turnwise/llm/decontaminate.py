@@ -9,6 +9,8 @@ the spans found are merged.  A shard lives in its task: one pass over the docume
 from __future__ import annotations
 
 import hashlib
+import pickle
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 
 import numpy as np
@@ -17,11 +19,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import small_batches, table
+from .files import reading, writing
+from .shared import quoted, shared_dir, small_batches
 from .textbuf import ALNUM, LOWER, chunks, hash_spans, trim, utf8, words
 
 WINDOW = 10
-#: Words of a shard, and bytes of benchmark texts that are sent at once; a larger benchmark is searched in blocks, one after the other.
+#: Words of a shard, and bytes of benchmark texts that are sent at once; a larger benchmark is searched in blocks, each read from a file.
 SHARD_WORDS, BLOCK_BYTES = 1 << 18, 16 << 20
 SAMPLE = 8
 
@@ -162,24 +165,37 @@ def phrases(ids: list, texts: pa.Array, window: int = WINDOW) -> Phrases:
     return Phrases(hash_spans(w.buf, w.start, w.end), start, np.minimum(n, window)[item], item, ["null" if i is None else str(i) for i in ids])
 
 
-def search_shard(tokens: np.ndarray, p: Phrases, window: int) -> tuple[np.ndarray, np.ndarray]:
-    """(phrase, position) of every occurrence in a shard of word hashes, where 0 parts documents."""
-    vocabulary, t = np.unique(tokens, return_inverse=True)
-    place = np.minimum(np.searchsorted(vocabulary, p.hashes), len(vocabulary) - 1)
-    known = np.concatenate([[0], np.cumsum(vocabulary[place] == p.hashes)])
-    which = np.flatnonzero(known[p.start + p.length] - known[p.start] == p.length)
-    index = FMIndex(t.ravel() + 1)
-    if not len(which):
-        return which, which
-    at = np.minimum(p.start[which][:, None] + np.arange(window)[None, :], len(place) - 1)
-    lo, hi = index.search(place[at] + 1, p.length[which])
-    n = hi - lo
-    row = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())
-    return np.repeat(which, n), index.locate(row)
-
-
-def search_texts(column: pa.Array, p: Phrases, window: int = WINDOW, shard_words: int = SHARD_WORDS):
-    """For each text: number of words, start and end bytes of hit words, items found; by shards of shard_words words."""
+class Shard:
+    """A shard of word hashes, where 0 parts documents, and its index: built once, searched for one block of phrases after the other."""
+
+    def __init__(self, tokens: np.ndarray):
+        self.vocabulary, t = np.unique(tokens, return_inverse=True)
+        self.index = FMIndex(t.ravel() + 1)
+
+    def search(self, p: Phrases, window: int) -> tuple[np.ndarray, np.ndarray]:
+        """(phrase, position) of every occurrence."""
+        place = np.minimum(np.searchsorted(self.vocabulary, p.hashes), len(self.vocabulary) - 1)
+        known = np.concatenate([[0], np.cumsum(self.vocabulary[place] == p.hashes)])
+        which = np.flatnonzero(known[p.start + p.length] - known[p.start] == p.length)
+        if not len(which):
+            return which, which
+        at = np.minimum(p.start[which][:, None] + np.arange(window)[None, :], len(place) - 1)
+        lo, hi = self.index.search(place[at] + 1, p.length[which])
+        n = hi - lo
+        row = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        return np.repeat(which, n), self.index.locate(row)
+
+
+#: Shards whose indexes are held at once.
+SHARDS_HELD = 4
+
+
+def search_texts(column: pa.Array, phrases_of: Phrases | Callable[[], Iterable[Phrases]], window: int = WINDOW, shard_words: int = SHARD_WORDS):
+    """For each text: number of words, start and end bytes of hit words, items found; by shards of shard_words words.
+
+    phrases_of: the phrases, or a function that gives them block by block.
+    """
+    blocks = (lambda: (phrases_of,)) if isinstance(phrases_of, Phrases) else phrases_of
     buf, off = utf8(column)
     rows = len(off) - 1
     n_words, hits, items = np.zeros(rows, np.int64), [[] for _ in range(rows)], [set() for _ in range(rows)]
@@ -198,41 +214,65 @@ def search_texts(column: pa.Array, p: Phrases, window: int = WINDOW, shard_words
         word_at = np.zeros(len(tokens), np.int64)
         word_at[place] = np.arange(len(row))
         cover = np.zeros(len(tokens) + 1, np.int64)
-        found = []
-        step = max(1, shard_words - window + 1)
-        for s in range(0, max(1, len(tokens) - window + 1), step):
-            which, pos = search_shard(tokens[s : s + shard_words], p, window)
-            if len(which):
-                pos = pos + s
-                found.append(np.unique(row[word_at[pos]] * len(p.ids) + p.item[which]))
-                np.add.at(cover, pos, 1)
-                np.add.at(cover, pos + p.length[which], -1)
-        if found:
-            for x in np.unique(np.concatenate(found)).tolist():
-                items[r0 + x // len(p.ids)].add(p.ids[x % len(p.ids)])
-            hit = np.flatnonzero(np.cumsum(cover[:-1])[place] > 0)
-            lead = base - off[r0 : r1 + 1]
-            for i in hit.tolist():
-                r = int(row[i])
-                hits[r0 + r].append((int(w.start[i] + lead[r]), int(w.end[i] + lead[r])))
+        starts = range(0, max(1, len(tokens) - window + 1), max(1, shard_words - window + 1))
+        for g in range(0, len(starts), SHARDS_HELD):
+            shards = [(s, Shard(tokens[s : s + shard_words])) for s in starts[g : g + SHARDS_HELD]]
+            for p in blocks():
+                for s, shard in shards:
+                    which, pos = shard.search(p, window)
+                    if not len(which):
+                        continue
+                    pos = pos + s
+                    for x in np.unique(row[word_at[pos]] * len(p.ids) + p.item[which]).tolist():
+                        items[r0 + x // len(p.ids)].add(p.ids[x % len(p.ids)])
+                    np.add.at(cover, pos, 1)
+                    np.add.at(cover, pos + p.length[which], -1)
+        hit = np.flatnonzero(np.cumsum(cover[:-1])[place] > 0)
+        lead = base - off[r0 : r1 + 1]
+        for i in hit.tolist():
+            r = int(row[i])
+            hits[r0 + r].append((int(w.start[i] + lead[r]), int(w.end[i] + lead[r])))
     return n_words, hits, items
 
 
 _FOUND = "_n_words long, _n_hit long, _items array<string>, _starts array<long>, _ends array<long>"
 
 
-def _pass(docs: DataFrame, p: Phrases, keep: list[str], window: int, shard_words: int, cut: bool = False, again: bool = False) -> DataFrame:
-    """keep's columns with what was found.  again: docs comes from an earlier pass, whose finds are added to.  cut: with the texts cut
-    and _n_hit alone."""
-    sent = docs.sparkSession.sparkContext.broadcast(p)  # at most BLOCK_BYTES of benchmark text
+def _blocks(benchmark: DataFrame, window: int, block_bytes: int) -> Callable[[], Iterable[Phrases]]:
+    """The benchmark's phrases for the tasks: sent at once, or where they have more than block_bytes as files of about so many each in the
+    shared folder, which a task reads one at a time."""
+    spark = benchmark.sparkSession
+    size = benchmark.agg(F.sum(F.octet_length("text") + 64)).first()[0] or 0
+    n = -(-int(size) // block_bytes) or 1
+    rows = benchmark.select("item_id", "text")
+    some = lambda k: rows if n == 1 else rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k)
+    made = (phrases(got.column("item_id").to_pylist(), got.column("text"), window) for got in (some(k).toArrow() for k in range(n)))
+    if n == 1:
+        sent = spark.sparkContext.broadcast(next(made))  # at most block_bytes of benchmark text
+        return lambda: (sent.value,)
+    path = shared_dir(spark, "phrases")
+    for k, p in enumerate(made):
+        with writing(f"{path}/{k}") as out:
+            pickle.dump(p, out)
+
+    def read():
+        for k in range(n):
+            with reading(f"{path}/{k}") as f:
+                yield pickle.loads(f.read())
+
+    return read
+
+
+def _search(docs: DataFrame, benchmark: DataFrame, keep: list[str], window: int, shard_words: int, block_bytes: int, cut: bool = False) -> DataFrame:
+    """keep's columns and the text with what was found; cut: with the texts cut and _n_hit alone."""
+    small_batches(docs.sparkSession)
+    blocks = _blocks(benchmark, window, block_bytes)
+    carried = [f"_c{i}" for i in range(len(keep))] + ["_text"]
+    docs = docs.select(*[F.col(quoted(c)).alias(f"_c{i}") for i, c in enumerate(keep)], F.col("text").alias("_text"))
 
     def run(batches):
         for b in batches:
-            n_words, hits, items = search_texts(b.column("_text"), sent.value, window, shard_words)
-            if again:
-                for i, (more, s, e) in enumerate(zip(b.column("_items").to_pylist(), b.column("_starts").to_pylist(), b.column("_ends").to_pylist(), strict=True)):
-                    items[i] |= set(more)
-                    hits[i] = sorted({*hits[i], *zip(s, e, strict=True)})
+            n_words, hits, items = search_texts(b.column("_text"), blocks, window, shard_words)
             cols = [b.column(c) for c in carried]
             if cut:
                 yield pa.RecordBatch.from_arrays([*cols[:-1], cut_texts(cols[-1], hits), pa.array([len(x) for x in hits], pa.int64())], names=[*carried, "_n_hit"])
@@ -243,34 +283,17 @@ def _pass(docs: DataFrame, p: Phrases, keep: list[str], window: int, shard_words
             yield pa.RecordBatch.from_arrays(cols, names=[*carried, "_n_words", "_n_hit", "_items", "_starts", "_ends"])
             trim()
 
-    carried = [f"_c{i}" for i in range(len(keep))] + ["_text"]
-    if not again:
-        docs = docs.select(*[F.col(c).alias(f"_c{i}") for i, c in enumerate(keep)], F.col("text").alias("_text"))
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in docs.schema.fields if f.name in carried)
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in docs.schema.fields)
     return docs.mapInArrow(run, f"{schema}, _n_hit long" if cut else f"{schema}, {_FOUND}")
 
 
-def _search(docs: DataFrame, benchmark: DataFrame, keep: list[str], window: int, shard_words: int, block_bytes: int, cut: bool = False) -> DataFrame:
-    small_batches(docs.sparkSession)
-    size = benchmark.agg(F.sum(F.octet_length("text") + 64)).first()[0] or 0
-    blocks = -(-int(size) // block_bytes) or 1
-    out = docs
-    for k in range(blocks):
-        part = benchmark.select("item_id", "text")
-        if blocks > 1:
-            part = part.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k)
-            out = table(out, "searched") if k else out
-        got = part.toArrow()
-        out = _pass(out, phrases(got.column("item_id").to_pylist(), got.column("text"), window), keep, window, shard_words, cut and k == blocks - 1, k > 0)
-    return out
-
-
 def search(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shard_words: int = SHARD_WORDS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(doc_id, n_words, n_hit, n_items, items_sha256, contaminated, items, starts, ends) for every row of docs.
 
     A document word is hit if it lies in an occurrence of window consecutive words of an item (or of all words of a shorter one).
     starts and ends are the hit words' bytes in the text.  Null texts have no words; items without words find nothing; items that
-    repeat an item_id count as one; a null item_id is named "null".  Rows that repeat are each searched.
+    repeat an item_id count as one; a null item_id is named "null".  Rows that repeat are each searched, and texts of any length are
+    searched whole.  An empty table gives an empty result, and an empty benchmark hits nothing; other columns are not read.
     """
     out = _search(docs.select("doc_id", "text"), benchmark, ["doc_id"], window, shard_words, block_bytes)
     return out.select(
@@ -320,10 +343,8 @@ def remove(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shard_wo
     others = [c for c in cols if c != "text"]
     out = _search(docs, benchmark, others, window, shard_words, block_bytes, cut=True)
     at = {c: f"_c{i}" for i, c in enumerate(others)} | {"text": "_text"}
-    out = out.select(*[F.col(at[c]).alias(c) for c in cols], "_n_hit")
-    if "n_chars" in cols:
-        out = out.withColumn("n_chars", F.when(F.col("_n_hit") > 0, F.length("text").cast(dict(docs.dtypes)["n_chars"])).otherwise(F.col("n_chars")))
-    return out.select(cols)
+    counted = F.when(F.col("_n_hit") > 0, F.length("_text").cast(dict(docs.dtypes).get("n_chars", "long")))
+    return out.select(*[(F.coalesce(counted, F.col(at[c])) if c == "n_chars" else F.col(at[c])).alias(c) for c in cols])
 
 
 def digest_of(items: list[str]) -> str:
