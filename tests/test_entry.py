@@ -4,7 +4,7 @@ import pytest
 import __spark_entry__ as entry
 
 DIR = "/root/testdata/sf0.001"
-OWN = ["dialog_split", "vocab_topk", "identity_entropy", "eval_bleu", "beam_topk"]
+OWN = ["dialog_split", "vocab_topk", "identity_entropy", "eval_bleu", "beam_topk", "persona_silence_prefix", "encode_bytes", "avg_embedding_filter_both", "generate_cornell_names", "generate_persona"]
 
 
 @pytest.mark.parametrize("name", OWN)

@@ -19,7 +19,7 @@ def _chain(c: Column, steps: list[tuple[str, str]]) -> Column:
     return c
 
 
-_PAD = [(r"\.", " . "), (r"\?", " ? "), ("!", " ! ")]
+_PAD = [("([.?!])", " $1 ")]
 #: Apostrophes between two words' letters: a match of three characters is marked first, then every apostrophe in it gets a space.
 _APOSTROPHES = [
     (" ' ", " "),
@@ -35,7 +35,13 @@ _APOSTROPHES = [
 
 def clean(c: Column) -> Column:
     """Lower case, ASCII words and . ? ! ' only, punctuation and contractions set apart by spaces.  Null stays null."""
-    return _chain(F.lower(c), [(_DROP, ""), *_PAD, *_APOSTROPHES])
+    plain = _chain(F.lower(c), [(_DROP, ""), *_PAD])
+    return F.when(c.contains("'"), _chain(plain, _APOSTROPHES)).otherwise(plain)
+
+
+def let(value: Column, body) -> Column:
+    """body(value), with value evaluated once however often body has it, also within the functions of arrays."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
 @cache
@@ -56,10 +62,11 @@ def decomposed(c: Column) -> Column:
     table = compatibility_map()
     single = {k: v for k, v in table.items() if len(v) == 1}
     several = {k: v for k, v in table.items() if len(v) > 1}
-    c = F.translate(c, "".join(single), "".join(single.values()))
     lookup = F.create_map(*[F.lit(x) for kv in several.items() for x in kv])
-    spelled = F.array_join(F.transform(F.split(c, ""), lambda x: F.coalesce(F.element_at(lookup, x), x)), "")
-    return F.when(c.rlike("[" + "".join(several) + "]"), spelled).otherwise(c)
+    odd = "".join(several)
+    # runs of other characters are one element each, so only characters that become several are looked up
+    spelled = F.array_join(F.transform(F.regexp_extract_all(c, F.lit(f"[{odd}]|[^{odd}]+"), F.lit(0)), lambda x: F.when(F.length(x) == 1, F.coalesce(F.element_at(lookup, x), x)).otherwise(x)), "")
+    return F.translate(F.when(c.rlike(f"[{odd}]"), spelled).otherwise(c), "".join(single), "".join(single.values()))
 
 
 #: Public treebank conventions that can still apply after cleaning.
@@ -93,8 +100,6 @@ def tokens(c: Column) -> Column:
 
 
 def byte_ids(c: Column, reserved: int = 2, end: int = 1) -> Column:
-    """UTF-8 bytes as numbers after the reserved ones, then the end's."""
-    raw = F.hex(F.encode(c, "UTF-8"))
-    n = F.octet_length(c)
-    ids = F.transform(F.sequence(F.lit(1), n), lambda i: F.conv(F.substring(raw, 2 * i - 1, F.lit(2)), 16, 10).cast("int") + reserved)
-    return F.concat(F.when(n > 0, ids).otherwise(F.array().cast("array<int>")), F.array(F.lit(end)))
+    """UTF-8 bytes as numbers after the reserved ones, then the end's; null has no bytes."""
+    pairs = F.regexp_extract_all(F.hex(F.encode(F.coalesce(c, F.lit("")), "UTF-8")), F.lit(".."), F.lit(0))
+    return F.concat(F.transform(pairs, lambda x: F.conv(x, 16, 10).cast("int") + reserved), F.array(F.lit(end)))

@@ -5,22 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from turnwise.functions.order import ordinals, range_width, running
+
 #: Targets that are never used; fixed values.
 EXCLUDED = ("L211194", "L1045")
 
 
-def ordinals(keys: DataFrame, key: str, width: int = 1 << 16) -> DataFrame:
-    """(key, ordinal from 0) of a distinct whole-number key, in its order, without sorting everything in one task.
-
-    Ranges of width key values are numbered by themselves and moved by how many keys lie before them.
-    """
-    k = keys.select(key).distinct().withColumn("_b", F.floor(F.col(key) / width))
-    before = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    bases = k.groupBy("_b").agg(F.count(F.lit(1)).alias("_n")).select("_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
-    at = F.row_number().over(Window.partitionBy("_b").orderBy(key)) - 1
-    return k.join(bases, "_b").select(key, (F.col("_base") + at).alias("ordinal"))
-
-
 def slot_of(ordinal: Column, base: int = 1) -> Column:
     """Cyclic counter of 100 places from base."""
     return F.pmod(ordinal, F.lit(100)) + base
@@ -50,24 +40,41 @@ def with_split(rows: DataFrame, dialogs: DataFrame, base: int = 1, split: dict[s
     return rows.join(slots, key)
 
 
-def limited_dialogs(turns: DataFrame, n: int, strict: bool = False) -> DataFrame:
-    """Whole dialogs, in order, until n utterances: strict lets the one that passes n in, else none passes n."""
-    sizes = turns.groupBy("dialog_no").agg(F.count(F.lit(1)).alias("n"))
-    width = 1 << 16
-    b = sizes.withColumn("_b", F.floor(F.col("dialog_no") / width))
-    bases = b.groupBy("_b").agg(F.sum("n").alias("s")).select("_b", F.coalesce(F.sum("s").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
-    run = F.sum("n").over(Window.partitionBy("_b").orderBy("dialog_no")) + F.col("base")
-    keep = b.join(bases, "_b").withColumn("upto", run).where((F.col("upto") - F.col("n") <= n) if strict else (F.col("upto") <= n))
+def limited_dialogs(turns: DataFrame, n: int, strict: bool = False, extra: int = 0) -> DataFrame:
+    """Whole dialogs, in order, until n utterances: strict lets the one that passes n in, else none passes n.  A dialog counts as extra
+    more utterances than it has."""
+    sizes = turns.groupBy("dialog_no").agg((F.count(F.lit(1)) + extra).alias("n"))
+    keep = running(sizes, [], "dialog_no", F.col("n"), "upto", range_width(turns, "dialog_no"))
+    keep = keep.where((F.col("upto") - F.col("n") <= n) if strict else (F.col("upto") <= n))
     return turns.join(keep.select("dialog_no"), "dialog_no", "left_semi")
 
 
+def known_names(names: DataFrame, column: Column, unknown: str) -> tuple[DataFrame, Column]:
+    """(names, name column) to join to column, and what to say then; the kept names, whose number is a setting, are broadcast."""
+    return F.broadcast(names.select(F.col("name").alias("_name"))), F.coalesce("_name", F.lit(unknown))
+
+
+def replaced_names(lines: DataFrame, names: DataFrame, unknown: str = "<unk_name>") -> DataFrame:
+    """lines (…, speaker, clean) where a speaker outside the kept names is unknown, wherever its name stands as a word in the line.
+
+    The name is compared as it is, not as a pattern; as the first word it is the line's own, and of names in a row, which share their
+    space, every second stays.
+    """
+    known, name = known_names(names, F.col("speaker"), unknown)
+    joined = lines.join(known, F.col("speaker") == F.col("_name"), "left")
+    spaced = F.concat(F.lit(" "), F.concat_ws(" ", "speaker", "clean"), F.lit(" "))
+    said = F.trim(F.replace(spaced, F.concat(F.lit(" "), F.col("speaker"), F.lit(" ")), F.lit(f" {unknown} ")))
+    rest = F.substr(said, F.lit(len(unknown) + 2))  # after the line's own name
+    clean = F.when(F.col("_name").isNotNull() | F.col("speaker").isNull() | F.col("clean").isNull(), F.col("clean")).otherwise(rest)
+    return joined.withColumn("clean", clean).withColumn("speaker", F.when(F.col("speaker").isNotNull(), name)).select(lines.columns)
+
+
 def named_pairs(pair: DataFrame, names: DataFrame, unknown: str = "<unk_name>") -> DataFrame:
     """Source: speaker, words, target's speaker; names outside the kept ones are unknown.  names: (name), as many as are kept."""
-    known = F.broadcast(names.select("name"))  # the kept names, whose number is a setting
-    a = pair.join(known.select(F.col("name").alias("_s")), F.col("speaker") == F.col("_s"), "left")
-    a = a.join(known.select(F.col("name").alias("_t")), F.col("target_speaker") == F.col("_t"), "left")
-    source = F.concat_ws(" ", F.coalesce("_s", F.lit(unknown)), F.col("source"), F.coalesce("_t", F.lit(unknown)))
-    return a.select("dialog_no", "turn", source.alias("source"), "target")
+    for column in ("speaker", "target_speaker"):
+        known, name = known_names(names, F.col(column), unknown)
+        pair = pair.join(known, F.col(column) == F.col("_name"), "left").withColumn(column, name).drop("_name")
+    return pair.select("dialog_no", "turn", F.concat_ws(" ", "speaker", "source", "target_speaker").alias("source"), "target")
 
 
 def random_responses(sources: DataFrame, train: DataFrame, key: str = "ordinal", step: int = 7919, seed: int = 13) -> DataFrame:

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
 from turnwise.functions.text import tokens
 
@@ -41,13 +44,44 @@ def vocabulary(freq: DataFrame, size: int, names: DataFrame | None = None, n_nam
 
 
 def encode(rows: DataFrame, text: str, keys: list[str], vocab: DataFrame, end: int = 1) -> DataFrame:
-    """(keys, ids): ids of the words, <unk> for others, then the end's; vocab has a set size, so it is broadcast."""
-    known = F.broadcast(vocab.where("kind = 'word'").select("token", "id"))
-    unk = F.broadcast(vocab.where("token = '<unk>'").select(F.col("id").alias("_u")))
-    each = exploded(rows, text, keys).join(known, "token", "left").crossJoin(unk)  # one row
-    ids = each.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", F.coalesce("id", "_u").alias("id")))), lambda x: x["id"]).alias("ids"))
-    out = rows.select(*keys).join(ids, keys, "left")
-    return out.select(*keys, F.concat(F.coalesce("ids", F.array().cast("array<int>")), F.array(F.lit(end))).alias("ids"))
+    """(keys, ids): ids of the text's words, <unk>'s for others, then the end's."""
+    return encoded(rows.select(*keys, F.col(text).alias("_text")), {"ids": "_text"}, vocab, end).select(*keys, "ids")
+
+
+def encoded(rows: DataFrame, texts: dict[str, str], vocab: DataFrame, end: int = 1) -> DataFrame:
+    """rows with a column of ids for each text, by name: ids of its words, <unk>'s for others, then the end's.
+
+    vocab (id, token) has a set size, so the driver sends it; texts are encoded where they are, a batch at a time.
+    """
+    known = vocab.select("id", "token").orderBy("id").toArrow()
+    tokens_of, ids_of = known.column("token").combine_chunks(), known.column("id").combine_chunks().cast("int32")
+    unknown = next((i for i, t in zip(ids_of.to_pylist(), tokens_of.to_pylist(), strict=True) if t == "<unk>"), None)
+    names = list(texts)
+
+    def coded(column):
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        lists = column.cast(pa.list_(pa.string()))
+        at = pc.index_in(lists.values, value_set=tokens_of)
+        got = pc.fill_null(pc.take(ids_of, at), unknown).to_numpy(zero_copy_only=False)
+        off = lists.offsets.to_numpy()
+        sizes = np.diff(off)
+        ids = np.full(int(sizes.sum()) + len(sizes), end, np.int32)
+        place = np.arange(int(sizes.sum())) + np.repeat(np.arange(len(sizes)), sizes)
+        ids[place] = got[off[0] : off[-1]]
+        return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes + 1)]).astype(np.int32)), pa.array(ids))
+
+    def run(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            n = b.num_columns - len(names)
+            yield pa.RecordBatch.from_arrays([*b.columns[:n], *(coded(b.column(n + k)) for k in range(len(names)))], names=[*b.schema.names[:n], *names])
+
+    words = [F.coalesce(tokens(F.col(t)), F.array().cast("array<string>")).alias(n) for n, t in texts.items()]
+    fields = [*rows.schema.fields, *(StructField(n, ArrayType(IntegerType())) for n in names)]
+    return rows.select(*rows.columns, *words).mapInArrow(run, StructType(fields))
 
 
 def without(text: Column, stop: list[str]) -> Column:
@@ -64,22 +98,47 @@ def shuffled(rows: DataFrame, keys: list[str], seed: int = 42) -> DataFrame:
     return rows.orderBy(F.xxhash64(F.lit(seed), *keys), *keys)
 
 
-def packed(rows: DataFrame, ids: str, length: int) -> DataFrame:
-    """Consecutive examples of each partition, put together as long as they fit in length ids (longer ones stay alone)."""
+def packed(rows: DataFrame, keys: list[str], length: int) -> DataFrame:
+    """(keys, inputs, targets, and of each the segment, from 1, and the place in it): consecutive rows (keys, inputs, targets) of the
+    same keys put together as long as either side fits in length ids.  Longer rows stay alone and whole."""
+    sides = ("inputs", "targets")
+    lists = [StructField(f"{s}{x}", ArrayType(IntegerType())) for s in sides for x in ("", "_segmentation", "_position")]
+    schema = StructType([*(rows.schema[k] for k in keys), *lists])
+    arrow, names = to_arrow_schema(schema), schema.names
 
     def run(batches):
         import pyarrow as pa
 
-        held: list[int] = []
-        for b in batches:
+        key, held, out = None, [], []
+
+        def close():
+            nonlocal held
+            if held:
+                row = dict(zip(keys, key, strict=True))
+                for k, s in enumerate(sides):
+                    row[s] = [x for h in held for x in h[k]]
+                    row[f"{s}_segmentation"] = [i for i, h in enumerate(held, 1) for _ in h[k]]
+                    row[f"{s}_position"] = [p for h in held for p in range(len(h[k]))]
+                out.append(row)
+            held = []
+
+        def taken():
+            nonlocal out
+            given = pa.RecordBatch.from_arrays([pa.array([r[f.name] for r in out], f.type) for f in arrow], schema=arrow)
             out = []
-            for x in b.column(0).to_pylist():
-                if held and len(held) + len(x) > length:
-                    out.append(held)
-                    held = []
-                held = held + x
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.list_(pa.int32()))], names=["ids"])
-        if held:
-            yield pa.RecordBatch.from_arrays([pa.array([held], pa.list_(pa.int32()))], names=["ids"])
-
-    return rows.select(F.col(ids).cast("array<int>")).mapInArrow(run, "ids array<int>")
+            return given
+
+        for b in batches:
+            for row in b.to_pylist():
+                now, pair = tuple(row[k] for k in keys), (row["inputs"], row["targets"])
+                if now != key or any(sum(len(h[k]) for h in held) + len(pair[k]) > length for k in (0, 1)):
+                    close()
+                    key = now
+                held.append(pair)
+            if out:
+                yield taken()
+        close()
+        if out:
+            yield taken()
+
+    return rows.select(*keys, *sides).mapInArrow(run, schema)

@@ -1,25 +1,22 @@
-"""Settings, split rules, hyperparameter presets and run manifests."""
+"""Settings and hyperparameter presets."""
 
 from __future__ import annotations
 
 import hashlib
 import json
-from dataclasses import asdict, dataclass, field, replace
-
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+from dataclasses import asdict, dataclass, field
 
 
 @dataclass(frozen=True)
 class Config:
-    """strict reproduces the known oddities of each raw format; otherwise the evident intent holds."""
+    """strict reproduces the known oddities of each raw format; otherwise the evident intent holds.  dataset_size 0: all of it."""
 
     vocabulary_size: int = 16384
     name_vocabulary_size: int = 3000
     dataset_size: int = 0
     dataset_split: dict[str, int] = field(default_factory=lambda: {"train": 80, "val": 10, "test": 10})
-    max_length: int = 64
     shards: dict[str, int] = field(default_factory=lambda: {"train": 1, "dev": 1, "test": 1})
+    packed_length: int = 0
     opensubtitles_year: int = 2012
     strict: bool = False
 
@@ -27,14 +24,6 @@ class Config:
         """Names outputs, so that a changed setting never meets an old table."""
         return hashlib.sha256(json.dumps(asdict(self), sort_keys=True).encode()).hexdigest()[:16]
 
-    def with_(self, **changes) -> Config:
-        return replace(self, **changes)
-
-
-def manifest(spark: SparkSession, config: Config) -> DataFrame:
-    """One row: when, with which settings, under which key."""
-    return spark.range(1).select(F.current_timestamp().alias("at"), F.lit(json.dumps(asdict(config), sort_keys=True)).alias("settings"), F.lit(config.key()).alias("key"))
-
 
 # presets' overrides, each on top of the one it is made from.
 _TRANSFORMER = {"roulette": "Normal", "roulette_beam_size": 100, "batch_size": 4096, "layer_prepostprocess_dropout": 0.4, "symbol_modality_num_shards": 16, "attention_dropout": 0.2, "relu_dropout": 0.2, "summarize_vars": True}

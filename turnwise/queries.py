@@ -6,11 +6,14 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from turnwise.functions import text as T
+from turnwise.functions.order import row_ordinals
 from turnwise.operators import dialogs as D
 from turnwise.operators import filtering as E
 from turnwise.operators import metrics as M
 from turnwise.operators import vocab as V
 from turnwise.plans import config as C
+from turnwise.plans import problems as P
+from turnwise.sinks.paths import scratch, written
 from turnwise.sources import readers as R
 from turnwise.streaming import incremental as S
 
@@ -184,8 +187,8 @@ _LINES = "SELECT dialog_no, turn, dialog_no || '-' || turn AS line_id, clean, ro
 
 def _line_turns(spark, sf_dir) -> DataFrame:
     t = turns(spark, sf_dir).withColumn("line_id", F.concat_ws("-", "dialog_no", "turn"))
-    last = t.groupBy("dialog_no").agg(F.max_by("line_id", "turn").alias("last_id"))
-    return t.join(last, "dialog_no").withColumn("speaker", F.col("role"))
+    whole = Window.partitionBy("dialog_no").orderBy("turn").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    return t.withColumn("last_id", F.last_value("line_id").over(whole)).withColumn("speaker", F.col("role"))
 
 
 @query(f"""WITH {_TURNS}, l AS ({_LINES}), n AS (SELECT *, lead(line_id) OVER w AS target_id, trim(lead(clean) OVER w) AS target FROM l WINDOW w AS (PARTITION BY dialog_no ORDER BY turn))
@@ -323,8 +326,11 @@ def dataset_size_dialogs_strict(spark, sf_dir):
 @query(f"WITH {_TURNS}, m AS (SELECT *, max(role = 'system') OVER (PARTITION BY dialog_no ORDER BY turn DESC) AS muted, max(CASE WHEN turn >= 4 THEN 1 ELSE 0 END) OVER (PARTITION BY dialog_no ORDER BY turn ROWS UNBOUNDED PRECEDING) AS late FROM turns) SELECT dialog_no, turn, clean FROM m WHERE late = 0")
 def persona_silence_prefix(spark, sf_dir):
     """A dialog's prefix before its first muted turn; here turn 4 is muted."""
-    w = Window.partitionBy("dialog_no").orderBy("turn").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return turns(spark, sf_dir).withColumn("late", F.max((F.col("turn") >= 4).cast("int")).over(w)).where("late = 0").select("dialog_no", "turn", "clean")
+    marked = F.when(F.col("turn") >= 4, "__SILENCE__").otherwise("")
+    value = F.concat((F.col("turn") + 1).cast("string"), F.lit(" "), F.col("dialog_no").cast("string"), F.lit("x"), F.col("clean"), marked, F.lit("\t"))
+    raw = row_ordinals(turns(spark, sf_dir), "dialog_no", "turn", "line_no").select(F.lit(0).alias("part"), "line_no", value.alias("value"))
+    kept = R.numbered_dialogs(raw).where("turn % 2 = 0")  # a turn a line, with an empty target
+    return kept.select(F.regexp_extract("text", "^([0-9]+)x", 1).cast("long").alias("dialog_no"), F.floor(F.col("turn") / 2).alias("turn"), F.regexp_replace("text", "^[0-9]+x", "").alias("clean"))
 
 
 @query("""WITH l AS (SELECT page_id, unnest(string_split(replace(html, '><', '>' || chr(10) || '<'), chr(10))) AS line, generate_subscripts(string_split(replace(html, '><', '>' || chr(10) || '<'), chr(10)), 1) - 1 AS line_no FROM pages),
@@ -335,10 +341,11 @@ def subtitle_sentences(spark, sf_dir):
     """Words of tag lines put together by the sentence that is open: the subtitle scan, over the lines of web pages."""
     parts = F.split(F.replace("html", F.lit("><"), F.lit(">\n<")), "\n")
     rows = read(spark, sf_dir, "pages").select("page_id", F.posexplode(parts).alias("line_no", "line"))
-    rows = rows.withColumn("sentence", F.sum(F.col("line").contains("<ul").cast("int")).over(Window.partitionBy("page_id").orderBy("line_no")))
-    rows = rows.where(F.col("line").rlike("<a [^>]*>[^<]*</a")).withColumn("word", F.regexp_extract("line", "<a [^>]*>([^<]*)</a", 1))
-    said = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "word"))), lambda x: x["word"]), " ")
-    return rows.groupBy("page_id", "sentence").agg(said.alias("text"))
+    opens = F.when(F.col("line").contains("<ul"), F.lit('<s id="1">'))
+    word = F.when(F.col("line").rlike("<a [^>]*>[^<]*</a"), F.concat(F.lit('<w id="1">'), F.regexp_extract("line", "<a [^>]*>([^<]*)</a", 1), F.lit("</w>")))
+    lines = rows.select(F.col("page_id").alias("file"), "line_no", F.posexplode(F.array(opens, word)).alias("k", "value"))
+    lines = lines.select("file", (2 * F.col("line_no") + F.col("k")).cast("long").alias("line_no"), F.coalesce("value", F.lit("")).alias("value"))
+    return R.subtitle_sentences(lines).where("n_words > 0").select(F.col("file").alias("page_id"), "sentence", "text")
 
 
 @query(f"WITH {_TURNS} SELECT dialog_no, turn, trim(clean) || ' ' AS clean FROM turns")
@@ -419,14 +426,31 @@ def eval_bleu(spark, sf_dir):
     return M.bleu(_predicted(spark, sf_dir), ["dialog_no", "turn"], "p", "g")
 
 
+@query(f"""{_PREDICTED}, e AS (SELECT len(g) AS n, len(list_filter(range(1, len(g) + 1), lambda i: list_contains(p[greatest(i - 2, 1):i + 2], g[i]))) AS r FROM t)
+SELECT CAST(sum(n) AS BIGINT) AS tokens, round(sum(r) / sum(n), 6) AS top_accuracy FROM e""")
+def eval_top_accuracy(spark, sf_dir):
+    """A place's five candidates are the predicted words around it."""
+    near = T.let(F.col("p"), lambda p: F.transform(F.sequence(F.lit(1), F.greatest(F.size("g"), F.lit(1))), lambda i: F.slice(p, F.greatest(i - 2, F.lit(1)), F.least(F.lit(5), i + 2))))
+    return M.top_accuracy(_predicted(spark, sf_dir).withColumn("candidates", near), "candidates", "g")
+
+
+@query(f"""WITH {_WORDS}, n AS (SELECT sum(n) AS n, count(*) AS v FROM freq), w AS (SELECT unnest({words_sql('target')}) AS token FROM routed WHERE split = 'test')
+SELECT count(*) AS tokens, round(avg(ln((coalesce(freq.n, 0) + 1) / (n.n + n.v + 1))), 6) AS neg_log_perplexity FROM w LEFT JOIN freq USING (token), n""")
+def eval_perplexity(spark, sf_dir):
+    """Test targets under the training sources' words, each counted once more, and one unknown word."""
+    freq = written(train_frequencies(spark, sf_dir).select("token", "n"), scratch(spark, "frequencies"))
+    size = freq.agg(F.sum("n").alias("all"), F.count(F.lit(1)).alias("types"))  # one row
+    w = V.exploded(routed(spark, sf_dir).where("split = 'test'"), "target", []).join(freq, "token", "left").crossJoin(size)
+    return M.neg_log_perplexity(w, F.log((F.coalesce("n", F.lit(0)) + 1) / (F.col("all") + F.col("types") + 1)))
+
+
 @query(f"""WITH {_SPLIT}, o AS (SELECT *, row_number() OVER (ORDER BY dialog_no, turn) - 1 AS ordinal FROM routed WHERE split = 'train'), s AS (SELECT dialog_no, turn, source, row_number() OVER (ORDER BY dialog_no, turn) - 1 AS ordinal FROM routed WHERE split = 'test'), n AS (SELECT count(*) AS n FROM o)
 SELECT s.dialog_no, s.turn, s.source, o.target AS response FROM s, n JOIN o ON o.ordinal = (s.ordinal * 7919 + 13) % n.n""")
 def random_response_baseline(spark, sf_dir):
     r = routed(spark, sf_dir)
 
-    def numbered(name):  # a number for each pair in order: pairs before the dialog, then the place in it
-        x = r.where(F.col("split") == name).withColumn("id", F.col("dialog_no") * 1_000_000 + F.col("turn"))
-        return x.join(D.ordinals(x, "id", 1 << 32), "id")
+    def numbered(name):
+        return row_ordinals(r.where(F.col("split") == name), "dialog_no", "turn")
 
     return D.random_responses(numbered("test"), numbered("train")).select("dialog_no", "turn", "source", "response")
 
@@ -516,6 +540,80 @@ def avg_embedding(spark, sf_dir):
     return v.select(part[0].cast("long").alias("dialog_no"), part[1].cast("long").alias("turn"), F.round(F.col("vector")[0], 6).alias("x0"), F.round(F.col("vector")[1], 6).alias("x1"))
 
 
+_POINTS = f"""{_TURNS}, {_PAIRS}, ut AS (SELECT DISTINCT u FROM (SELECT source AS u FROM pairs UNION ALL SELECT target FROM pairs)), w AS (SELECT u, unnest({words_sql('u')}) AS token FROM ut), ne AS (SELECT count(*) AS n FROM embeddings),
+wv AS (SELECT u, generate_subscripts(embedding, 1) AS i, unnest(embedding::DOUBLE[]) AS x FROM w, ne JOIN embeddings ON vec_id = (length(token) * 31 + ascii(token)) % ne.n), uv AS (SELECT u, list(a ORDER BY i) AS e FROM (SELECT u, i, avg(x) AS a FROM wv GROUP BY ALL) GROUP BY u),
+ce AS (SELECT vec_id AS centre, embedding::DOUBLE[] AS c FROM embeddings WHERE vec_id % 50 = 0), ds AS (SELECT u, centre, round(list_distance(e, c) ** 2, 6) AS distance FROM uv, ce), ac AS (SELECT * FROM ds QUALIFY row_number() OVER (PARTITION BY u ORDER BY distance, centre) = 1)"""
+
+
+def _vectors(spark, sf_dir) -> DataFrame:
+    """(id, utterance, vector) of distinct sources and targets: means of their words' vectors, which are the embeddings by length and first code."""
+    p = D.pairs(turns(spark, sf_dir))
+    said = p.select(F.col("source").alias("utterance")).unionByName(p.select(F.col("target").alias("utterance"))).distinct()
+    e = read(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("vector"))
+    n = e.agg(F.count(F.lit(1)).alias("n"))  # one row
+    w = V.exploded(said, "utterance", ["utterance"]).crossJoin(n)
+    vectors = w.select("token", "n").distinct().withColumn("vec_id", (F.length("token") * 31 + F.ascii("token")) % F.col("n")).join(e, "vec_id").select("token", "vector")
+    v = E.average_embedding(w.select(F.col("utterance").alias("id"), "token"), vectors, "id")
+    return v.select("id", F.col("id").alias("utterance"), "vector")
+
+
+def _centres(spark, sf_dir) -> DataFrame:
+    return read(spark, sf_dir, "embeddings").where("vec_id % 50 = 0").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+
+
+@query(f"WITH {_POINTS} SELECT u AS utterance, centre AS cluster, distance FROM ac")
+def avg_embedding_cluster(spark, sf_dir):
+    """Utterances by the nearest of given centres (ids divisible by 50) to the mean of their words' vectors."""
+    near = E.nearest(_vectors(spark, sf_dir).select("id", "vector"), _centres(spark, sf_dir))
+    return near.select(F.col("id").alias("utterance"), F.col("centre").alias("cluster"), "distance")
+
+
+_CLUSTER_LIMITS = E.Limits(threshold=0.9, min_cluster_size=2, max_avg_length=60)
+
+
+def _cluster_filter(side):
+    def run(spark, sf_dir):
+        c = written(avg_embedding_cluster(spark, sf_dir), scratch(spark, "clusters")).select("utterance", "cluster", F.col("utterance").alias("medoid"))
+        return E.cluster_filter(E.clustered(D.pairs(turns(spark, sf_dir)), c, c), side, _CLUSTER_LIMITS).select("dialog_no", "turn", "source", "target", "source_cluster", "target_cluster")
+
+    run.__name__ = f"avg_embedding_filter_{side}"
+    run.__doc__ = "Pairs whose cluster of mean word vectors has answers, or questions, of few clusters only."
+    ent = lambda a, b: f"""SELECT {a}_cluster FROM (SELECT {a}_cluster, sum(c) AS n, round(log2(sum(c)) - sum(c * log2(c)) / sum(c), 6) AS h FROM (SELECT {a}_cluster, {b}_cluster, count(*) AS c FROM cp GROUP BY ALL) GROUP BY ALL)
+JOIN (SELECT {a}_cluster, round(avg(len({words_sql(a)})), 6) AS l FROM cp GROUP BY ALL) USING ({a}_cluster) WHERE h > 0.9 AND n >= 2 AND l <= 60"""
+    cond = {"source": f"source_cluster NOT IN ({ent('source', 'target')})", "target": f"target_cluster NOT IN ({ent('target', 'source')})"}
+    where = " AND ".join(cond.values()) if side == "both" else cond[side]
+    return query(f"WITH {_POINTS}, cp AS (SELECT p.*, a.centre AS source_cluster, b.centre AS target_cluster FROM pairs p JOIN ac a ON a.u = p.source JOIN ac b ON b.u = p.target) SELECT dialog_no, turn, source, target, source_cluster, target_cluster FROM cp WHERE {where}")(run)
+
+
+avg_embedding_filter_source, avg_embedding_filter_target, avg_embedding_filter_both = map(_cluster_filter, ("source", "target", "both"))
+
+
+@query()
+def k_medoids(spark, sf_dir):
+    """Embeddings by iterated medoids until they stay."""
+    points = written(read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector")), scratch(spark, "points"))
+    return E.k_medoids(points, 8)[0]
+
+
+@query()
+def sentence_distance(spark, sf_dir):
+    """Turns near to the stated query set, ids divisible by 50, by the distances of their words' vectors; the vocabulary is the 500 most frequent words."""
+    t = row_ordinals(turns(spark, sf_dir), "dialog_no", "turn", "id").select("id", F.col("clean").alias("utterance"))
+    words = V.top(V.frequencies(t, "utterance", ["id"]), 500).select("token")
+    e = read(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("vector"))
+    n = e.agg(F.count(F.lit(1)).alias("n"))  # one row
+    vectors = words.crossJoin(n).withColumn("vec_id", (F.length("token") * 31 + F.ascii("token")) % F.col("n")).join(e, "vec_id").select("token", "vector")
+    return E.sentence_distances(t.where("id % 50 = 0"), t, *E.word_distances(vectors), most=0.5)
+
+
+@query(f"""{_PREDICTED}, x AS (SELECT p[1] AS first, g, unnest(range(1, len(g) + 1)) AS i FROM t WHERE len(g) > 0), c AS (SELECT first, g[1:i-1] AS before, g[i] AS word, count(*) AS c FROM x GROUP BY ALL),
+n AS (SELECT sum(c) AS n, sum(c * ln(c)) AS s FROM c GROUP BY first, before) SELECT CAST(sum(n) AS BIGINT) AS tokens, round(sum(n * ln(n) - s) / sum(n), 6) + 0.0 AS loss FROM n""")
+def distribution_loss(spark, sf_dir):
+    """The least loss of answers' words, given the first word of what they answer."""
+    rows = _predicted(spark, sf_dir).select(F.get("p", F.lit(0)).alias("first"), "g")
+    return E.next_word_loss(rows, "first", "g")
+
+
 def _shingles(clean):
     return F.array_distinct(M.ngrams(T.tokens(clean), 5))
 
@@ -539,9 +637,150 @@ def minhash_near_docs(spark, sf_dir):
 
 @query(f"WITH {_TURNS} SELECT token, count(*) AS n FROM (SELECT unnest({words_sql('clean')}) AS token FROM turns) GROUP BY token")
 def streaming_word_count(spark, sf_dir):
-    return S.drained(spark, f"{sf_dir}/conversations.parque[t]", S.word_counts, "complete", "turnwise_word_count")
+    return S.drained(spark, f"{sf_dir}/conversations.parque[t]", S.word_counts, "complete", scratch(spark, "word-counts"))
 
 
 @query("SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS value FROM events GROUP BY ALL")
 def windowed_event_counts(spark, sf_dir):
     return S.windowed_events(read(spark, sf_dir, "events"))
+
+
+# ---- Whole runs: raw files, generation, and what is read back ---------------------------------------------------------------
+
+
+def _generated(spark, problem: str, files: dict[str, DataFrame], config: C.Config) -> DataFrame:
+    """(split, ordinal, dialog_no, turn, source, target, inputs, targets) of a run over raw files (name: ordered column of lines)."""
+    raw, out = scratch(spark, "raw"), scratch(spark, "generated")
+    for name, rows in files.items():
+        rows.write.partitionBy(*[c for c in rows.columns if c != "value"]).text(f"{raw}/{name}")
+    made = P.generate(spark, problem, raw, out, config)
+    coded = spark.read.parquet(made.encoded).select("ordinal", F.array_join("inputs", " ").alias("inputs"), F.array_join("targets", " ").alias("targets"))
+    return spark.read.parquet(made.pairs).join(coded, "ordinal").select("split", "ordinal", "dialog_no", "turn", "source", "target", "inputs", "targets")
+
+
+def _in_order(rows: DataFrame, order: list[str], value) -> DataFrame:
+    """One file of lines in order."""
+    return rows.coalesce(1).sortWithinPartitions(*order).select(value.alias("value"))
+
+
+_SMALL = C.Config(vocabulary_size=300, name_vocabulary_size=12, shards={"train": 3, "dev": 2, "test": 1})
+
+
+def _coded_sql(vocab: str, rows: str) -> str:
+    """Ids of both sides of rows (…, source, target), by vocab (id, token)."""
+    side = lambda c, to: f"""{to}_w AS (SELECT dialog_no, turn, generate_subscripts({words_sql(c)}, 1) AS pos, unnest({words_sql(c)}) AS token FROM rows),
+{to}_e AS (SELECT dialog_no, turn, string_agg(CAST(coalesce(v.id, u.id) AS VARCHAR), ' ' ORDER BY pos) AS ids FROM {to}_w LEFT JOIN vocab v USING (token), (SELECT id FROM vocab WHERE token = '<unk>') u GROUP BY ALL)"""
+    return f"""{vocab}, rows AS ({rows}), {side('source', 'i')}, {side('target', 't')}
+SELECT split, row_number() OVER (ORDER BY dialog_no, turn) - 1 AS ordinal, dialog_no, turn, source, target, concat_ws(' ', i_e.ids, '1') AS inputs, concat_ws(' ', t_e.ids, '1') AS targets FROM rows LEFT JOIN i_e USING (dialog_no, turn) LEFT JOIN t_e USING (dialog_no, turn)"""
+
+
+def _vocab_sql(freq: str, size: int, names: str = "") -> str:
+    out = f"""freq AS ({freq}), top AS (SELECT token, row_number() OVER (ORDER BY n DESC, f) AS r FROM freq QUALIFY r <= {size - 3}), wv AS (SELECT 0 AS id, '<pad>' AS token UNION ALL SELECT 1, '<EOS>' UNION ALL SELECT r + 1, token FROM top UNION ALL SELECT (SELECT count(*) + 2 FROM top), '<unk>')"""
+    return f"{out}, vocab AS (SELECT * FROM wv{names})"
+
+
+def _filed(given: str = _TURNS, where: str = "true") -> str:
+    """Dialogs are rendered in their order, so their numbers in the files are their ranks."""
+    return f"""WITH {given}, rk AS (SELECT dialog_no AS conv, row_number() OVER (ORDER BY dialog_no) - 1 AS dialog_no FROM (SELECT DISTINCT dialog_no FROM turns)),
+rt AS (SELECT * FROM (SELECT rk.dialog_no, turn, role, clean, count(*) OVER (PARTITION BY rk.dialog_no) AS size FROM turns JOIN rk ON rk.conv = turns.dialog_no) WHERE {where}),
+rp AS (SELECT * FROM (SELECT dialog_no, turn, trim(clean) AS source, trim(lead(clean) OVER w) AS target FROM rt WINDOW w AS (PARTITION BY dialog_no ORDER BY turn)) WHERE target IS NOT NULL),
+sp AS (SELECT DISTINCT dialog_no, CASE WHEN dialog_no % 100 < 80 THEN 'train' WHEN dialog_no % 100 < 90 THEN 'dev' ELSE 'test' END AS split FROM rt)"""
+
+
+def _counted(rows: str, c: str) -> str:
+    return f"SELECT token, count(*) AS n, min((dialog_no, turn, pos)) AS f FROM (SELECT dialog_no, turn, generate_subscripts({words_sql(c)}, 1) AS pos, unnest({words_sql(c)}) AS token FROM ({rows}) WHERE split = 'train') GROUP BY token"
+
+
+_UTTERED = _vocab_sql(_counted("SELECT * FROM rt JOIN sp USING (dialog_no)", "clean"), 300)
+_ROUTED = "SELECT split, dialog_no, turn, source, target FROM rp JOIN sp USING (dialog_no)"
+
+
+def _raw_turns(spark, sf_dir) -> DataFrame:
+    """Turns with their text as it is but for line ends and tabs, which cleaning deletes."""
+    return turns(spark, sf_dir).withColumn("said", F.translate("text", "\n\r\t", ""))
+
+
+@query(f"{_filed()}, {_coded_sql(_UTTERED, _ROUTED)}")
+def generate_daily(spark, sf_dir):
+    """Conversations written as marked dialogs, a line each, and generated from there."""
+    t = _raw_turns(spark, sf_dir)
+    said = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "said"))), lambda x: F.concat(x["said"], F.lit("__eou__"))), "")
+    return _generated(spark, "daily_dialog_chatbot", {"dialogues_text.txt": _in_order(t.groupBy("dialog_no").agg(said.alias("said")), ["dialog_no"], F.col("said"))}, _SMALL)
+
+
+@query(f"{_filed(where='turn < 4 AND turn < size - size % 2')}, {_coded_sql(_UTTERED, _ROUTED)}")
+def generate_persona(spark, sf_dir):
+    """Conversations written as numbered lines of two turns in two files, a silence from the third line on; a last turn alone is left out."""
+    t = _raw_turns(spark, sf_dir)
+    both = t.withColumn("target", F.lead("said").over(Window.partitionBy("dialog_no").orderBy("turn"))).where("turn % 2 = 0 and target is not null")
+    value = F.concat((F.col("turn") / 2 + 1).cast("int").cast("string"), F.lit(" "), F.trim("said"), F.when(F.col("turn") >= 4, " __SILENCE__").otherwise(""), F.lit("\t"), F.col("target"))
+    middle = t.agg(F.expr("percentile_approx(dialog_no, 0.5)")).first()[0] or 0
+    names = R.CORPORA["persona"]["files"]
+    halves = {names[0]: both.where(F.col("dialog_no") <= middle), names[1]: both.where(F.col("dialog_no") > middle)}
+    return _generated(spark, "persona_chat_chatbot", {n: _in_order(x, ["dialog_no", "turn"], value) for n, x in halves.items()}, _SMALL)
+
+
+def _movie_files(spark, sf_dir) -> dict[str, DataFrame]:
+    t = _raw_turns(spark, sf_dir)
+    name = F.concat(F.lit("L"), "dialog_no", F.lit("T"), "turn")
+    line = F.concat_ws(" +++$+++ ", name, F.lit("u0"), F.concat(F.lit("m"), F.col("dialog_no") % 10), "role", "said")
+    ids = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", name.alias("i")))), lambda x: F.concat(F.lit("'"), x["i"], F.lit("'"))), ", ")
+    listed = t.groupBy("dialog_no").agg(F.concat(F.lit("u0 +++$+++ u1 +++$+++ m0 +++$+++ ["), ids, F.lit("]")).alias("ids"))
+    return {"movie_lines.txt": _in_order(t, ["dialog_no", "turn"], line), "movie_conversations.txt": _in_order(listed, ["dialog_no"], F.col("ids"))}
+
+
+@query(f"{_filed()}, {_coded_sql(_vocab_sql(_counted(_ROUTED, 'source'), 300), _ROUTED)}")
+def generate_cornell(spark, sf_dir):
+    """Conversations written as the movie corpus: delimited lines, and lists of their ids."""
+    return _generated(spark, "cornell_chatbot_basic", _movie_files(spark, sf_dir), _SMALL)
+
+
+_NAMED = """nm AS (SELECT dialog_no, turn, role || '_m' || conv % 10 AS name, 'L' || conv || 'T' || turn AS line_id FROM rt JOIN rk USING (dialog_no)), nf AS (SELECT name AS token, count(*) AS n, min((length(line_id), line_id)) AS f FROM nm GROUP BY name), kept AS (SELECT token, row_number() OVER (ORDER BY n DESC, f) AS r FROM nf QUALIFY r <= 11),
+np AS (SELECT split, dialog_no, rp.turn, source AS words, coalesce(k.token, '<unk_name>') || ' ' || source || ' ' || coalesce(l.token, '<unk_name>') AS source, target FROM rp JOIN sp USING (dialog_no) JOIN nm a USING (dialog_no, turn) JOIN nm b ON b.dialog_no = rp.dialog_no AND b.turn = rp.turn + 1 LEFT JOIN kept k ON k.token = a.name LEFT JOIN kept l ON l.token = b.name)"""
+_NAME_IDS = " UNION ALL SELECT (SELECT max(id) FROM wv) + r, token FROM kept UNION ALL SELECT (SELECT max(id) FROM wv) + (SELECT count(*) FROM kept) + 1, '<unk_name>'"
+
+
+@query(f"{_filed()}, {_NAMED}, {_coded_sql(_vocab_sql(_counted('FROM np', 'words'), 300, _NAME_IDS), 'SELECT split, dialog_no, turn, source, target FROM np')}")
+def generate_cornell_names(spark, sf_dir):
+    """The same with speakers' names, of which the most frequent are known."""
+    return _generated(spark, "cornell_chatbot_separate_names", _movie_files(spark, sf_dir), _SMALL)
+
+
+_SUBTITLED = _TURNS.replace("text, regexp", "text, trim(regexp_replace(regexp", 1).replace(" AS clean FROM conversations", ", ' +', ' ', 'g')) AS clean FROM conversations", 1)
+
+
+@query(f"{_filed(_SUBTITLED)}, {_coded_sql(_UTTERED, _ROUTED)}")
+def generate_opensubtitles(spark, sf_dir):
+    """Conversations written as subtitle XML, a file each in a folder of its own, an element a line."""
+    t = turns(spark, sf_dir)
+    words = F.transform(T.tokens(F.col("clean")), lambda w: F.concat(F.lit('<w id="1">'), w, F.lit("</w>")))
+    body = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("turn", F.concat(F.array(F.lit('<s id="1">')), words).alias("x")))), lambda x: x["x"]))
+    rows = t.groupBy("dialog_no").agg(F.array_join(body, "\n").alias("value")).select("value", F.lpad(F.col("dialog_no").cast("string"), 12, "0").alias("at"))
+    return _generated(spark, "opensubtitles_chatbot", {"OpenSubtitles/xml/en/2012": rows}, _SMALL)
+
+
+_BYTES = lambda c: f"array_to_string(list_concat(list_transform(range(1, octet_length(encode({c})) + 1), lambda i: ('0x' || substr(hex(encode({c})), CAST(2 * i - 1 AS INT), 2))::INT + 2), [1]), ' ')"
+
+
+@query(f"""WITH {_SPLIT}, x AS (SELECT split, source, target, row_number() OVER (PARTITION BY split ORDER BY dialog_no, turn) - 1 AS line FROM routed), y AS (SELECT split, line * 3 + CASE split WHEN 'train' THEN 0 WHEN 'dev' THEN 1 ELSE 2 END AS dialog_no, 0 AS turn, source, target FROM x)
+SELECT split, row_number() OVER (ORDER BY dialog_no) - 1 AS ordinal, dialog_no, turn, source, target, {_BYTES('source')} AS inputs, {_BYTES('target')} AS targets FROM y""")
+def generate_character(spark, sf_dir):
+    """Pairs written as aligned files by split, and encoded as bytes from there."""
+    r = routed(spark, sf_dir)
+    files = {f"{split}{side.title()}.txt": _in_order(r.where(F.col("split") == split), ["dialog_no", "turn"], F.col(side)) for split in ("train", "dev", "test") for side in ("source", "target")}
+    return _generated(spark, "character_chatbot", files, _SMALL)
+
+
+@query()
+def packed_examples(spark, sf_dir):
+    """Training examples in a seeded order, put together to 128 ids at most."""
+    vocab = V.vocabulary(train_frequencies(spark, sf_dir), 1000)
+    coded = V.encoded(routed(spark, sf_dir).where("split = 'train'"), {"inputs": "source", "targets": "target"}, vocab)
+    rows = coded.select(F.pmod("dialog_no", F.lit(4)).cast("int").alias("shard"), "dialog_no", "turn", "inputs", "targets")
+    return V.packed(rows.repartition("shard").sortWithinPartitions("shard", F.xxhash64(F.lit(42), "dialog_no", "turn")), ["shard"], 128)
+
+
+@query()
+def validation_sample(spark, sf_dir):
+    """A seeded sample of validation pairs to decode."""
+    return R.random_sample(routed(spark, sf_dir).where("split = 'dev'"), ["dialog_no", "turn"], 20)

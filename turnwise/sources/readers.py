@@ -5,25 +5,34 @@ Every line keeps its file and its place in it, since a DataFrame has no order of
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Iterable
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from turnwise.functions.order import running
+
 DELIMITER = r" \+\+\+\$\+\+\+ "
 
 
 def lines(spark: SparkSession, path: str | list[str], recursive: bool = False) -> DataFrame:
-    """(file, line_no from 0, value): one file is one task, so numbering needs no shuffle of other files."""
-    raw = spark.read.option("recursiveFileLookup", recursive).text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.regexp_replace("value", r"\r?\n\z", "").alias("value"))
-    return raw.select("file", F.posexplode(F.split("value", r"\r?\n")).alias("line_no", "value"))
+    """(file, line_no from 0, value).  Files are read by splits, however long they are; a line's number is its place in its split
+    after the lines of the splits before."""
+    raw = spark.read.option("recursiveFileLookup", recursive).text(path)
+    m = raw.metadataColumn("_metadata")
+    at = [m["file_path"].alias("file"), m["file_block_start"].alias("_split")]
+    rows = raw.select(*at, F.monotonically_increasing_id().alias("_id"), "value")
+    rows = rows.withColumn("_at", F.row_number().over(Window.partitionBy("file", "_split").orderBy("_id")) - 1)
+    before = F.sum("_n").over(Window.partitionBy("file").orderBy("_split").rowsBetween(Window.unboundedPreceding, -1))
+    splits = raw.select(*at).groupBy("file", "_split").agg(F.count(F.lit(1)).alias("_n")).select("file", "_split", F.coalesce(before, F.lit(0)).alias("_from"))
+    return rows.join(splits, ["file", "_split"]).select("file", (F.col("_from") + F.col("_at")).alias("line_no"), "value")
 
 
 def numbered(spark: SparkSession, paths: list[str]) -> DataFrame:
     """(part, line_no, value) of several files, one after the other."""
     parts = [lines(spark, p).select(F.lit(i).alias("part"), "line_no", "value") for i, p in enumerate(paths)]
-    out = parts[0]
-    for x in parts[1:]:
-        out = out.unionByName(x)
-    return out
+    return functools.reduce(DataFrame.unionByName, parts)
 
 
 def movie_lines(raw: DataFrame) -> DataFrame:
@@ -41,11 +50,16 @@ def movie_dialogs(raw: DataFrame) -> DataFrame:
     return raw.where(F.size(F.split("value", DELIMITER, -1)) >= 4).select(F.col("line_no").cast("long").alias("dialog_no"), ids.alias("line_ids"))
 
 
-def movie_turns(spoken: DataFrame, dialogs: DataFrame) -> DataFrame:
-    """One join of dialogs' ids with lines; a missing line keeps its place with a null text, so no gap is bridged."""
+def spoken_turns(dialogs: DataFrame, lines: DataFrame) -> DataFrame:
+    """One join of dialogs' ids with lines (line_id, …); a missing line keeps its place with nulls, so no gap is bridged."""
     turns = dialogs.select("dialog_no", F.posexplode("line_ids").alias("turn", "line_id"), F.element_at("line_ids", -1).alias("last_id"))
+    return turns.join(lines, "line_id", "left").select("dialog_no", "turn", "line_id", "last_id", *[c for c in lines.columns if c != "line_id"])
+
+
+def movie_turns(spoken: DataFrame, dialogs: DataFrame) -> DataFrame:
+    """(dialog_no, turn, line_id, last_id, speaker, text) of the movie corpus; speakers are named by name and movie."""
     speaker = F.concat(F.translate("name", " ", "_"), F.lit("_"), F.col("movie_id")).alias("speaker")
-    return turns.join(spoken.select("line_id", speaker, "text"), "line_id", "left").select("dialog_no", "turn", "line_id", "last_id", "speaker", "text")
+    return spoken_turns(dialogs, spoken.select("line_id", speaker, "text"))
 
 
 def marked_dialogs(raw: DataFrame, marker: str = "__eou__") -> DataFrame:
@@ -55,40 +69,49 @@ def marked_dialogs(raw: DataFrame, marker: str = "__eou__") -> DataFrame:
     return raw.select(F.col("line_no").cast("long").alias("dialog_no"), F.posexplode(utterances).alias("turn", "text"))
 
 
-def numbered_dialogs(raw: DataFrame, strict: bool = False, silence: str = "__SILENCE__") -> DataFrame:
+def numbered_dialogs(raw: DataFrame, strict: bool = False, silence: str = "__SILENCE__", size: int = 0) -> DataFrame:
     """'<n> source<TAB>target' lines, where n = 1 starts a dialog; a dialog keeps what precedes its first silence.
 
-    strict: the last dialog that keeps anything is lost.  Dialogs run on over the files' parts in order.
+    strict: the last dialog that keeps anything is lost.  Dialogs run on over the files' parts in order.  size: so many lines are kept
+    at most, strict: one more; 0: all.
     """
     cols = F.split("value", "\t", -1)
     rows = raw.where(F.size(cols) >= 2).select("part", "line_no", F.regexp_extract("value", r"^\s*(\d+)", 1).cast("int").alias("n"), F.regexp_replace(cols.getItem(0), r"^\s*\d+\s*", "").alias("source"), cols.getItem(1).alias("target"), F.instr("value", silence).alias("mute"))
-    within = Window.partitionBy("part").orderBy("line_no")
-    rows = rows.withColumn("k", F.sum((F.col("n") == 1).cast("long")).over(within))
+    rows = running(rows, ["part"], "line_no", F.coalesce((F.col("n") == 1).cast("long"), F.lit(0)), "k")
     starts = rows.groupBy("part").agg(F.max("k").alias("n")).withColumn("before", F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)))
-    rows = rows.join(F.broadcast(starts), "part").withColumn("dialog_no", F.col("k") + F.coalesce("before", F.lit(0)) - 1)  # a row for each file
+    rows = rows.join(F.broadcast(starts.select("part", "before")), "part").withColumn("dialog_no", F.col("k") + F.coalesce("before", F.lit(0)) - 1)  # a row for each file
     dialog = Window.partitionBy("dialog_no").orderBy("part", "line_no")
     rows = rows.withColumn("muted", F.max(F.col("mute") > 0).over(dialog)).where("not muted").withColumn("at", F.row_number().over(dialog) - 1)
+    if size:
+        rows = running(rows, ["part"], "line_no", F.lit(1), "kept")
+        per = rows.groupBy("part").agg(F.count(F.lit(1)).alias("n_kept")).withColumn("kept_before", F.sum("n_kept").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)))
+        rows = rows.join(F.broadcast(per.select("part", "kept_before")), "part").where(F.col("kept") + F.coalesce("kept_before", F.lit(0)) <= size + strict)
     if strict:
         rows = rows.join(rows.agg(F.max("dialog_no").alias("lost")), F.col("dialog_no") < F.col("lost"), "left_semi")
     return rows.select("dialog_no", F.posexplode(F.array("source", "target")).alias("side", "text"), "at").select("dialog_no", (2 * F.col("at") + F.col("side")).alias("turn"), "text")
 
 
+def subtitle_sentences(raw: DataFrame) -> DataFrame:
+    """(file, sentence, text, n_words) of lines (file, line_no, value): '<s id=' opens a sentence, '<w id=' holds a word; sentence 0 is
+    what precedes the first.  Words of a line that opens a sentence don't count."""
+    rows = raw.withColumn("opens", F.col("value").contains("<s id=").cast("int"))
+    rows = running(rows, ["file"], "line_no", F.col("opens"), "sentence").withColumn("word", F.when(F.col("value").contains("<w id=") & (F.col("opens") == 0), F.translate(F.regexp_extract("value", '<w id="[^>]*>(.*?)</w', 1), "\t", " ")))
+    words = F.array_sort(F.collect_list(F.when(F.col("word").isNotNull(), F.struct("line_no", "word"))))  # a sentence's
+    said = rows.groupBy("file", "sentence").agg(words.alias("words"))
+    return said.select("file", "sentence", F.array_join(F.transform("words", lambda x: x["word"]), " ").alias("text"), F.size("words").alias("n_words"))
+
+
 def subtitle_turns(raw: DataFrame, strict: bool = False) -> DataFrame:
-    """XML with an element a line: '<s id=' opens a sentence, '<w id=' holds a word; a file is a dialog.
+    """(file, turn, text) of XML with an element a line; a file is a dialog.
 
     strict: what precedes the first sentence is an empty utterance and the last sentence is lost; else blanks are dropped.
     """
-    order = Window.partitionBy("file").orderBy("line_no")
-    if strict:  # what precedes the first sentence is there even where no line does
-        raw = raw.select("file", "line_no", "value").unionByName(raw.select("file").distinct().select("file", F.lit(-1).alias("line_no"), F.lit("").alias("value")))
-    rows = raw.withColumn("opens", F.col("value").contains("<s id=").cast("int"))
-    rows = rows.withColumn("sentence", F.sum("opens").over(order)).withColumn("word", F.when(F.col("value").contains("<w id=") & (F.col("opens") == 0), F.translate(F.regexp_extract("value", '<w id="[^>]*>(.*?)</w', 1), "\t", " ")))
-    said = rows.groupBy("file", "sentence").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("word").isNotNull(), F.struct("line_no", "word")))), lambda x: x["word"]), " ").alias("text"))
     per = Window.partitionBy("file")
-    if strict:
-        said = said.withColumn("last", F.max("sentence").over(per)).where("sentence < last")
+    if strict:  # what precedes the first sentence is there even where no line does
+        raw = raw.select("file", "line_no", "value").unionByName(raw.select("file").distinct().select("file", F.lit(-1).cast("long").alias("line_no"), F.lit("").alias("value")))
+        said = subtitle_sentences(raw).withColumn("last", F.max("sentence").over(per)).where("sentence < last")
     else:
-        said = said.where("trim(text) <> ''")
+        said = subtitle_sentences(raw).where("trim(text) <> ''")
     return said.select("file", (F.row_number().over(per.orderBy("sentence")) - 1).alias("turn"), "text")
 
 
@@ -103,12 +126,41 @@ def word_list(raw: DataFrame) -> DataFrame:
     return raw.select(F.trim("value").alias("token")).distinct()
 
 
-#: Corpora and the files that they are read from.
+def input_file(spark: SparkSession, path: str) -> DataFrame:
+    """(ordinal, source): utterances to answer, one a line."""
+    return lines(spark, path).select(F.col("line_no").alias("ordinal"), F.col("value").alias("source"))
+
+
+def typed_lines(spark: SparkSession, typed: Iterable[str]) -> DataFrame:
+    """(ordinal, source): what has been typed, such as sys.stdin, until an empty line."""
+    rows = []
+    for line in typed:
+        if not line.strip():
+            break
+        rows.append((len(rows), line.rstrip("\n")))
+    return spark.createDataFrame(rows, "ordinal long, source string")
+
+
+def arriving_lines(spark: SparkSession, folder: str) -> DataFrame:
+    """(source) as a stream: lines of the text files that arrive in a folder."""
+    return spark.readStream.schema("value string").text(folder).select(F.col("value").alias("source"))
+
+
+def random_sample(rows: DataFrame, keys: list[str], n: int, seed: int = 42) -> DataFrame:
+    """n rows, chosen by a seeded hash of their keys: the same ones whatever the partitions."""
+    return rows.orderBy(F.xxhash64(F.lit(seed), *keys), *keys).limit(n)
+
+
+#: What each corpus is called, the files it is read from below its raw folder, and its archive.
 CORPORA = {
-    "opensubtitles_chatbot": ("xml", "OpenSubtitles/xml/en"),
-    "cornell_chatbot_basic": ("delimited", "movie_lines.txt", "movie_conversations.txt"),
-    "cornell_chatbot_separate_names": ("delimited", "movie_lines.txt", "movie_conversations.txt"),
-    "daily_dialog_chatbot": ("marked", "dialogues_text.txt"),
-    "persona_chat_chatbot": ("numbered", "train_none_original_no_cands.txt", "valid_none_original_no_cands.txt"),
-    "character_chatbot": ("pairs", "source", "target"),
+    "opensubtitles": {"files": ["OpenSubtitles/xml/en{year}"], "archive": "en.tar.gz"},
+    "cornell": {"files": ["movie_lines.txt", "movie_conversations.txt"], "archive": "cornell_movie_dialogs_corpus.zip"},
+    "daily": {"files": ["dialogues_text.txt"], "archive": "ijcnlp_dailydialog.zip"},
+    "persona": {"files": ["train_none_original_no_cands.txt", "valid_none_original_no_cands.txt"], "archive": "personachat.tgz"},
+    "pairs": {"files": [], "archive": ""},
 }
+
+
+def corpus_files(corpus: str, raw_dir: str, year: int | None = None) -> list[str]:
+    """Paths of a corpus' files below raw_dir; the corpus of 2009 has no year in its path."""
+    return [f"{raw_dir}/{f.format(year='' if year in (None, 2009) else f'/{year}')}" for f in CORPORA[corpus]["files"]]

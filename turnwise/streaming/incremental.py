@@ -20,9 +20,20 @@ def windowed_events(events: DataFrame, late: str = "10 minutes", width: str = "1
     return e.groupBy(F.window("ts", width), "event_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("value")).select(F.col("window.start").alias("start"), "event_type", "n", "value")
 
 
-def drained(spark: SparkSession, path: str, plan, mode: str, name: str) -> DataFrame:
-    """plan over the Parquet files below path as a stream, run until all are read."""
+def drained(spark: SparkSession, path: str, plan, mode: str, folder: str) -> DataFrame:
+    """plan over the Parquet files below path as a stream, run until all are read: its last output, which lies below folder.
+
+    Executors write every batch's output (in complete mode all of it, anew), and the driver holds none.
+    """
     schema = spark.read.parquet(path).schema
-    q = plan(spark.readStream.schema(schema).parquet(path)).writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start()
-    q.awaitTermination()
-    return spark.table(name)
+    result = plan(spark.readStream.schema(schema).parquet(path))
+    last: list[int] = []
+
+    def write(df: DataFrame, batch: int) -> None:
+        df.write.mode("overwrite").parquet(f"{folder}/{batch if mode == 'complete' else 'all'}-{batch}")
+        last.append(batch)
+
+    result.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/state").foreachBatch(write).trigger(availableNow=True).start().awaitTermination()
+    if not last:
+        return spark.createDataFrame([], result.schema)
+    return spark.read.schema(result.schema).parquet(f"{folder}/{last[-1]}-{last[-1]}" if mode == "complete" else f"{folder}/all-*")
