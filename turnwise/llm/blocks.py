@@ -25,6 +25,7 @@ from .textbuf import chunks, utf8
 
 #: Bytes of text in a block (or one document), and about how many bytes of a corpus a key range answers for.
 BLOCK_BYTES, RANGE_BYTES = 6 << 20, 12 << 20
+BLOCKS_A_TASK = 64
 MESSAGE = "block string, p int, keys binary, extra binary"
 
 
@@ -159,9 +160,12 @@ def joined(answer: list[tuple[int, bytes]], width: int) -> np.ndarray:
 
 
 def each_block(blocks: DataFrame, run: Callable, schema: str, *answered: DataFrame) -> DataFrame:
-    """run(block, [answers of each table as (p, bytes)]) for every block, gives record batches of schema."""
+    """run(block, [answers of each table as (p, bytes)]) for every block, gives record batches of schema.
+
+    Tasks have BLOCKS_A_TASK blocks each, or fewer so that all cores are busy, however few bytes a block's answers have.
+    """
+    n = max(1, blocks.sparkSession.sparkContext.defaultParallelism * 3, blocks.count() // BLOCKS_A_TASK)
     if not answered:
-        n = max(1, blocks.sparkSession.sparkContext.defaultParallelism * 3)
 
         def over(batches):
             for b in batches:
@@ -182,6 +186,4 @@ def each_block(blocks: DataFrame, run: Callable, schema: str, *answered: DataFra
         out = list(run(key[0].as_py(), held))
         return pa.Table.from_batches(out) if out else empty
 
-    return rows.groupBy("block").applyInArrow(grouped, schema)
-
-
+    return rows.repartition(n, "block").groupBy("block").applyInArrow(grouped, schema)
