@@ -63,10 +63,10 @@ def decomposed(c: Column) -> Column:
     single = {k: v for k, v in table.items() if len(v) == 1}
     several = {k: v for k, v in table.items() if len(v) > 1}
     lookup = F.create_map(*[F.lit(x) for kv in several.items() for x in kv])
-    odd = "".join(several)
-    # runs of other characters are one element each, so only characters that become several are looked up
-    spelled = F.array_join(F.transform(F.regexp_extract_all(c, F.lit(f"[{odd}]|[^{odd}]+"), F.lit(0)), lambda x: F.when(F.length(x) == 1, F.coalesce(F.element_at(lookup, x), x)).otherwise(x)), "")
-    return F.translate(F.when(c.rlike(f"[{odd}]"), spelled).otherwise(c), "".join(single), "".join(single.values()))
+    # runs of ASCII are one element each, and a character that becomes one other is ASCII already; so few are looked up
+    parts = lambda t: F.regexp_extract_all(t, F.lit("[\\x00-\\x7F]+|[^\\x00-\\x7F]"), F.lit(0))
+    spelled = lambda t: F.array_join(F.transform(parts(t), lambda x: F.when(F.octet_length(x) == F.length(x), x).otherwise(F.coalesce(F.element_at(lookup, x), x))), "")
+    return F.when(c.rlike(r"[^\x00-\x7F]"), spelled(F.translate(c, "".join(single), "".join(single.values())))).otherwise(c)
 
 
 #: Public treebank conventions that can still apply after cleaning.
