@@ -8,9 +8,11 @@ that followed it r times d(r) r / c(h), and any other word alpha(h) times what l
 so every context's probabilities sum to 1 over the vocabulary and the unknown word.  A context that discounting leaves nothing
 (all its words are frequent) keeps 1 / (c(h) + 1) aside instead.
 
-Counts cover all training texts.  Blocks of documents send their distinct n-grams, with their own counts and the lower level's
-probability, to the range that holds the context; ranges answer with total counts and, for each context, what alpha needs.  The
-answers are tables partitioned by range, and each block evaluates the recursion for all its tokens from them.  A context that has
+Counts cover all training texts.  Blocks of documents send their distinct n-grams, with their own counts and the total count r' one
+level below, to the range that holds the context; ranges answer with total counts and, for each context, what alpha needs.  What
+followed h also followed h without its first word, with the same c below for all, so the sum in alpha is that of d(r') r' over that
+c; ranges add up the first, blocks know the second.  The answers are tables partitioned by range, and each block evaluates the
+recursion for all its tokens from them.  A context that has
 more than a range's share of tokens is cut into parts by its n-grams' hashes; a part is dealt like a context of its own, and the
 parts' sums are added up afterwards.
 """
@@ -53,7 +55,7 @@ def discounts(counts: list[int], top: int = TOP) -> np.ndarray:
 
 
 class Level:
-    """What all blocks must know of one level: its discounts, and hot: rows of sums (c, n(1..top), lower sum) of hot contexts from 1.
+    """What all blocks must know of one level: its discounts, and hot: rows of sums (c, n(1..top), sum of d(r') r') of hot contexts from 1.
 
     next_hot, next_parts: n-grams that are hot contexts of the next level, ascending, and into how many parts each is cut.
     """
@@ -168,9 +170,10 @@ def part_keys(context: np.ndarray, gram: np.ndarray, hot: np.ndarray, parts: np.
     return mix(np.where(hot > 0, mix(context ^ (part * np.uint64(0x9E3779B97F4A7C15))), context))
 
 
-def _count_grams(keys, extras, least: int, hot_contexts: np.ndarray, words: Level | None = None, last: bool = False):
-    """Level 2 and above.  A row: 6 bytes of the n-gram's hash, its count, the lower level's probability (at level 2, the word's
-    count, from which words has it), and the hot context's number or 0.
+def _count_grams(keys, extras, least: int, hot_contexts: np.ndarray, below: Level, last: bool = False):
+    """Level 2 and above.  A row: 6 bytes of the n-gram's hash, its count, its total count one level below, and the hot context's number
+    or 0.  The answer has a context's sum, and more of its counts than whether there are any, only where the message holds an n-gram of
+    it that training lacks: nothing else backs off.
 
     Heavy rows: (n-gram, [-1, total]), unless this is the last level, and (hot context's number, sums of its part here).
     """
@@ -183,7 +186,7 @@ def _count_grams(keys, extras, least: int, hot_contexts: np.ndarray, words: Leve
     if len(hot_contexts):
         of_context = np.where(hot > 0, mix(hot_contexts[np.maximum(hot, 1) - 1]), key)
     gram = (of_context & _HIGH) | tag
-    lower = column(rows, 10, np.float64) if words is None else words.word(column(rows, 10, np.int64))
+    lower = below.discounted(column(rows, 10, np.int64))
     del rows, of_context, tag
     distinct, first, of, _ = _distinct(gram, n)
     total = np.bincount(of, weights=n, minlength=len(distinct)).astype(np.int64)
@@ -200,9 +203,13 @@ def _count_grams(keys, extras, least: int, hot_contexts: np.ndarray, words: Leve
     sums = _sums(group.ravel(), len(contexts), total[cold], each_low[cold])
     out, at = [], 0
     for k, size in zip(keys, sizes, strict=True):
-        own = k[hot[at : at + size] == 0]
-        heads = own[np.concatenate([[True], own[1:] != own[:-1]])] if len(own) else own
-        mine = sums[np.searchsorted(contexts, heads)]
+        mine_cold = hot[at : at + size] == 0
+        own = k[mine_cold]
+        head = np.concatenate([[True], own[1:] != own[:-1]]) if len(own) else np.zeros(0, bool)
+        mine = sums[np.searchsorted(contexts, own[head])]
+        backs_off = np.bincount(np.cumsum(head) - 1, weights=r[at : at + size][mine_cold] == 0, minlength=int(head.sum())) > 0
+        mine[~backs_off, 1:] = np.minimum(mine[~backs_off, 1:], 1)
+        mine[~backs_off, -1] = 0
         a = squeeze(planes(r[at : at + size]))
         b = squeeze(planes(mine[:, :-1].astype(np.uint64), mine[:, -1]))
         out.append(len(a).to_bytes(8, "little") + a + b)
@@ -211,25 +218,26 @@ def _count_grams(keys, extras, least: int, hot_contexts: np.ndarray, words: Leve
 
 
 class Scorer:
-    """Evaluates the recursion for a block, level by level, from the answers so far."""
+    """Evaluates the recursion for a block, level by level, from the answers so far.
+
+    count: each token's n-gram's total count at the level reached; scale: what one occurrence weighs in its context there.
+    """
 
     def __init__(self, tokens: BlockTokens, levels: list[Level]):
         self.t, self.levels = tokens, levels
 
-    def first(self, answer: list[tuple[int, bytes]]) -> tuple[np.ndarray, np.ndarray]:
-        """(count of each token, its level 1 probability)."""
+    def first(self, answer: list[tuple[int, bytes]]) -> np.ndarray:
+        """Level 1's probability of each token."""
         level = self.levels[0]
         _, _, of, _ = _distinct(self.t.grams(1), self.t.train)
         parts = [column(unsqueeze(x, 8), 0, np.int64) for _, x in sorted(answer)]
-        c = (np.concatenate(parts) if parts else np.zeros(0, np.int64))[of]
-        self.count = c
-        return c, level.word(c)
-
-    def rows(self, j: int, lower: np.ndarray):
-        """Level j's distinct n-grams in the order in which they are sent: (keys, extra bytes, place of each token's, hot numbers).
+        self.count = (np.concatenate(parts) if parts else np.zeros(0, np.int64))[of]
+        self.scale = np.full(len(of), level.scale)
+        return level.word(self.count)
 
-        What goes with an n-gram is the lower level's probability, or at level 2 its word's count.
-        """
+    def rows(self, j: int):
+        """Level j's distinct n-grams in the order in which they are sent: (keys, extra bytes, row of each token's, hot numbers, first
+        place of each)."""
         g = self.t.grams(j)
         distinct, at, of, n = _distinct(g, self.t.train)
         context = self.t.grams_before(j)[at]
@@ -237,43 +245,50 @@ class Scorer:
         place = np.minimum(np.searchsorted(hot_keys, context), max(0, len(hot_keys) - 1))
         hot = np.where(hot_keys[place] == context, place + 1, 0) if len(hot_keys) else np.zeros(len(context), np.int64)
         key = part_keys(context, distinct, hot, self.levels[j - 2].next_parts)
-        lower = (self.count if j == 2 else lower)[at]
-        order = np.lexsort((lower, key))  # equal contexts' words by count, which compresses well
+        below = self.count[at]
+        order = np.lexsort((below, key))  # equal contexts' words by count, which compresses well
         back = np.empty(len(order), np.int64)
         back[order] = np.arange(len(order))
-        parts = planes(distinct[order], n[order].astype(np.uint32), lower[order], hot[order].astype(np.uint32))
+        parts = planes(distinct[order], n[order].astype(np.uint32), below[order], hot[order].astype(np.uint32))
         extra = np.concatenate([parts[:, :6], parts[:, 8:]], axis=1)
-        return key[order], extra, back[of], hot[order]
+        return key[order], extra, back[of], hot[order], at[order]
+
+    def counts(self, j: int, answer: list[tuple[int, bytes]]) -> None:
+        """Go on to level j's counts alone."""
+        _, _, of, _, _ = self.rows(j)
+        if answer:
+            self.count = np.concatenate([self._counts(x) for _, x in sorted(answer)])[of]
+
+    @staticmethod
+    def _counts(x: bytes) -> np.ndarray:
+        return column(unsqueeze(x[8 : 8 + int.from_bytes(x[:8], "little")], 8), 0, np.int64)
 
     def next(self, j: int, lower: np.ndarray, answer: list[tuple[int, bytes]]) -> np.ndarray:
-        """Level j's probability of each token."""
-        key, _, of, hot = self.rows(j, lower)
+        """Level j's probability of each token, from that one level below."""
+        key, _, of, hot, at = self.rows(j)
         level = self.levels[j - 1]
-        counts, sums = [], []
-        for _, x in sorted(answer):
-            size = int.from_bytes(x[:8], "little")
-            counts.append(column(unsqueeze(x[8 : 8 + size], 8), 0, np.int64))
-            sums.append(unsqueeze(x[8 + size :], 8 * (TOP + 2)))
-        if not counts:
+        if not answer:
             return lower
-        r, sums = np.concatenate(counts), np.concatenate(sums)
+        r = np.concatenate([self._counts(x) for _, x in sorted(answer)])
+        sums = np.concatenate([unsqueeze(x[8 + int.from_bytes(x[:8], "little") :], 8 * (TOP + 2)) for _, x in sorted(answer)])
         numbers = np.concatenate([*[column(sums, 8 * i, np.uint64).astype(np.float64)[:, None] for i in range(TOP + 1)], column(sums, 8 * (TOP + 1), np.float64)[:, None]], axis=1)
         cold = hot == 0
         heads = np.concatenate([[True], key[cold][1:] != key[cold][:-1]]) if cold.any() else np.zeros(0, bool)
-        hot_sums = level.hot
         of_context = np.zeros(len(key), np.int64)
-        of_context[cold] = np.cumsum(heads) - 1 + len(hot_sums)
+        of_context[cold] = np.cumsum(heads) - 1 + len(level.hot)
         of_context[~cold] = hot[~cold]
-        s = np.concatenate([hot_sums, numbers])
+        s = np.concatenate([level.hot, numbers])
         c = s[:, 0]
         freed = sum((1 - level.d[k]) * k * s[:, k] for k in range(1, TOP + 1))
         none = freed <= 0
         with np.errstate(divide="ignore", invalid="ignore"):
             scale = np.where(c > 0, np.where(none, 1 / (c + 1), 1 / c), 0)
-            alpha = np.where(c > 0, np.where(none, scale, freed * scale) / np.maximum(1 - s[:, TOP + 1], 1e-15), 1.0)
-        plain = none[of_context]
-        seen = np.where(plain, r, level.discounted(r)) * scale[of_context]
-        return np.where(r[of] > 0, seen[of], alpha[of_context][of] * lower)
+        kept = np.where(none, scale, freed * scale)[of_context]
+        alpha = np.where(c[of_context] > 0, kept / np.maximum(1 - s[of_context, TOP + 1] * self.scale[at], 1e-15), 1.0)
+        seen = np.where(none[of_context], r, level.discounted(r)) * scale[of_context]
+        out = np.where(r[of] > 0, seen[of], alpha[of] * lower)
+        self.count, self.scale = r[of], scale[of_context][of]
+        return out
 
 
 def _summed(answered: DataFrame, n: int) -> list[int]:
@@ -328,15 +343,14 @@ def score(docs: DataFrame, training: Column | None = None, order: int = ORDER, b
     for j in range(2, order + 1):
 
         def send(block, got, j=j, levels=levels):
-            t = BlockTokens(read_block(path, block), order)
-            scorer = Scorer(t, levels)
-            prob = scorer.first(got[0])[1]
+            scorer = Scorer(BlockTokens(read_block(path, block), order), levels)
+            scorer.first(got[0])
             for k in range(2, j):
-                prob = scorer.next(k, prob, got[k - 1])
-            keys, extra, _, _ = scorer.rows(j, prob)
+                scorer.counts(k, got[k - 1])
+            keys, extra, _, _, _ = scorer.rows(j)
             yield messages(block, keys, extra, p, True)
 
-        count = functools.partial(_count_grams, least=least, hot_contexts=levels[-1].next_hot, words=levels[0] if j == 2 else None, last=j == order)
+        count = functools.partial(_count_grams, least=least, hot_contexts=levels[-1].next_hot, below=levels[-1], last=j == order)
         answered.append(replied(each_block(blocks, send, MESSAGE, *answered), count, f"katz-{j}"))
         now = _summed(answered[-1], TOP + 3)
         levels = [*levels, Level(now[2:], _hot_sums(answered[-1], len(levels[-1].next_hot)), now[0], now[1])]
@@ -348,7 +362,8 @@ def score(docs: DataFrame, training: Column | None = None, order: int = ORDER, b
         table = read_block(path, block)
         t = BlockTokens(table, order)
         scorer = Scorer(t, levels)
-        c, prob = scorer.first(got[0])
+        prob = scorer.first(got[0])
+        c = scorer.count
         for j in range(2, order + 1):
             prob = scorer.next(j, prob, got[j - 1])
         rows = table.num_rows

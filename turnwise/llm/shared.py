@@ -102,7 +102,7 @@ def release(df: DataFrame) -> None:
     for _ in range(2):  # the first finds what Python let go, the second what hung on that; the cleaner works beside
         gc.collect()
         df.sparkSession.sparkContext._jvm.System.gc()
-        time.sleep(0.5)
+        time.sleep(0.1)
 
 
 #: A key with this many rows is joined by broadcast; at most HEAVY_KEYS keys are, which bounds what is sent.
