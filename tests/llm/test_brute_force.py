@@ -125,6 +125,15 @@ def test_hot_contexts_reach_most_ranges():
         assert load.min() > 0.5 * load.mean() and load.max() < 1.5 * load.mean()
 
 
+def test_order_by_key():
+    rng = np.random.RandomState(6)
+    for low in (1 << 62, 1 << 21, 50):  # keys that differ in their last bits alone take the other way
+        key = rng.randint(0, low, 3000).astype(np.uint64)[rng.randint(0, 1500, 3000)]
+        n = rng.randint(0, 1 << 24, 3000)
+        k = key[katz.by_key(key, n)]
+        assert 1 + (k[1:] != k[:-1]).sum() == len(np.unique(key)) and (np.diff((k >> np.uint64(32)).astype(np.int64)) >= 0).all()
+
+
 def fingerprint(text):
     w = [x.encode() for x in WORD.findall((text or "").translate(FOLD))]
     shingles = [b" ".join(w[i : i + 3]) for i in range(max(len(w) - 2, 1))] if w else []

@@ -217,6 +217,21 @@ def _count_grams(keys, extras, least: int, hot_contexts: np.ndarray, below: Leve
     return out, stats, heavy
 
 
+_RANK = np.uint64((1 << 20) - 1)
+
+
+def by_key(key: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """An order in which equal keys stand together, by ascending n, which compresses well; keys ascend but for their last 20 bits.
+
+    One sort serves unless keys differ in those bits alone.
+    """
+    order = np.argsort((key & ~_RANK) | np.minimum(n, int(_RANK)).astype(np.uint64), kind="stable")
+    k = key[order]
+    if ((k[1:] != k[:-1]) & ((k[1:] | _RANK) == (k[:-1] | _RANK))).any():
+        return np.lexsort((n, key))
+    return order
+
+
 class Scorer:
     """Evaluates the recursion for a block, level by level, from the answers so far.
 
@@ -246,7 +261,7 @@ class Scorer:
         hot = np.where(hot_keys[place] == context, place + 1, 0) if len(hot_keys) else np.zeros(len(context), np.int64)
         key = part_keys(context, distinct, hot, self.levels[j - 2].next_parts)
         below = self.count[at]
-        order = np.lexsort((below, key))  # equal contexts' words by count, which compresses well
+        order = by_key(key, below)
         back = np.empty(len(order), np.int64)
         back[order] = np.arange(len(order))
         parts = planes(distinct[order], n[order].astype(np.uint32), below[order], hot[order].astype(np.uint32))
