@@ -150,13 +150,20 @@ def test_substring_dedup_with_branches(spark, block_bytes):
     assert sum(s.words - 34 for s in spans[8]) + 34 == 70  # pieces share 34 words, and no more
 
 
-def test_substring_dedup_needs_the_cuts(spark, monkeypatch):
-    """Without them a walk that begins within another is a piece of its own that nobody else holds."""
-    lists = branching()
-    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in lists], "doc_id long, text string").repartition(1)
-    monkeypatch.setattr(substring_dedup.Walks, "pieces", lambda self, cut, whole=substring_dedup.Walks.pieces: whole(self, cut * 0))
-    found, _, _ = substring_dedup.walks(docs)
-    assert found.count() > substring_dedup.verified(found).count()
+def test_substring_dedup_needs_the_cuts():
+    """Cut where occurrences disagree, every piece of a walk is held twice; without, a walk that begins within another is held once."""
+    texts = [" ".join(t) for _, t in branching()]
+    block = substring_dedup.BlockWindows(pa.table({"doc_id": list(range(len(texts))), "text": texts}), 35, 16)
+    _, place, twice = substring_dedup._keyed(block.edges())
+    walks = substring_dedup.Walks(block, np.flatnonzero(twice[place]))
+    words = [w for t in texts for w in t.split()]
+
+    def held(cut):
+        _, begin, n = walks.pieces(cut)
+        return Counter(tuple(words[b : b + k + 34]) for b, k in zip(begin, n, strict=True))
+
+    assert min(held(walks.differ).values()) > 1
+    assert min(held(walks.differ & False).values()) == 1
 
 
 def test_decontamination(spark, docs):

@@ -21,7 +21,7 @@ from pyspark.sql.types import StructType
 
 from .files import reading, writing
 from .shared import release, shared_dir, table
-from .textbuf import chunks, utf8
+from .textbuf import chunks, trim, utf8
 
 #: Bytes of text in a block (or one document), and about how many bytes of a corpus a key range answers for.
 BLOCK_BYTES, RANGE_BYTES = 6 << 20, 12 << 20
@@ -159,18 +159,23 @@ def joined(answer: list[tuple[int, bytes]], width: int) -> np.ndarray:
     return np.concatenate(parts) if parts else np.zeros((0, width), np.uint8)
 
 
+def tasks(blocks: DataFrame) -> int:
+    return max(1, blocks.sparkSession.sparkContext.defaultParallelism * 3, blocks.count() // BLOCKS_A_TASK)
+
+
 def each_block(blocks: DataFrame, run: Callable, schema: str, *answered: DataFrame) -> DataFrame:
     """run(block, [answers of each table as (p, bytes)]) for every block, gives record batches of schema.
 
     Tasks have BLOCKS_A_TASK blocks each, or fewer so that all cores are busy, however few bytes a block's answers have.
     """
-    n = max(1, blocks.sparkSession.sparkContext.defaultParallelism * 3, blocks.count() // BLOCKS_A_TASK)
+    n = tasks(blocks)
     if not answered:
 
         def over(batches):
             for b in batches:
                 for block in b.column(0).to_pylist():
                     yield from run(block, [])
+                    trim()
 
         return blocks.select("block").repartition(n, F.xxhash64("block")).mapInArrow(over, schema)
     rows = blocks.select("block", F.lit(-1).alias("k"), F.lit(-1).alias("p"), F.lit(None).cast("binary").alias("answer"))
@@ -184,6 +189,7 @@ def each_block(blocks: DataFrame, run: Callable, schema: str, *answered: DataFra
             if k >= 0:
                 held[k].append((p, a))
         out = list(run(key[0].as_py(), held))
+        trim()
         return pa.Table.from_batches(out) if out else empty
 
     return rows.repartition(n, "block").groupBy("block").applyInArrow(grouped, schema)

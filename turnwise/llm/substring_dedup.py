@@ -24,9 +24,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import BLOCK_BYTES, MESSAGE, answers, each_block, joined, messages, planes, ranges, read_block, write_blocks
+from .blocks import BLOCK_BYTES, MESSAGE, answers, each_block, joined, messages, planes, ranges, read_block, tasks, write_blocks
 from .shared import table
-from .textbuf import hash_spans, mix, rolling, utf8, words
+from .textbuf import hash_spans, mix, rolling, trim, utf8, words
 
 WINDOW, ANCHOR = 35, 16
 _POSITION = 24
@@ -256,8 +256,9 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR,
     unitigs = compact(verified(found)).select("path", "digest", "words", "unitig")
     # a piece is one row for each block that holds it; where it lies goes along, its words don't
     kept = found.join(unitigs, ["path", "digest", "words"]).select("block", F.struct("words", "unitig", "rows", "firsts").alias("piece"))
-    packed = kept.groupBy("block").agg(F.collect_list("piece").alias("pieces"))  # no more than a block's words
-    todo = blocks.select("block").join(packed, "block", "left")
+    n = tasks(blocks)
+    packed = kept.repartition(n, "block").groupBy("block").agg(F.collect_list("piece").alias("pieces"))  # no more than a block's words
+    todo = blocks.select("block").repartition(n, "block").join(packed, "block", "left")
 
     def run(batches):
         for b in batches:
@@ -287,6 +288,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR,
                     [got.column("doc_id").combine_chunks(), pa.array(w.counts), pa.array(w.counts - n_stay), pa.array(shas, pa.string()), pa.array(per, pa.list_(pa.struct([("first", pa.int64()), ("words", pa.int64()), ("unitig", pa.int64())])))],
                     names=["doc_id", "n_words", "n_removed", "kept_sha256", "spans"],
                 )
+                trim()
 
     kind = dict(docs.dtypes)["doc_id"]
     return todo.mapInArrow(run, f"doc_id {kind}, n_words long, n_removed long, kept_sha256 string, spans array<struct<first:bigint,words:bigint,unitig:bigint>>")
