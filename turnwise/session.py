@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import zipfile
@@ -20,6 +21,7 @@ def ship(spark: SparkSession) -> None:
     home = Path(__file__).resolve().parent
     made, path = tempfile.mkstemp(suffix=".zip", prefix=f"{home.name}-")
     os.close(made)
+    atexit.register(Path(path).unlink, missing_ok=True)
     with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
         for p in sorted(home.rglob("*.py")):
             z.write(p, f"{home.name}/{p.relative_to(home)}")
