@@ -12,43 +12,53 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages as WARC records: written, normalised and read back.  Null html is an empty payload; see :func:`warc.round_trip`."""
     return warc.round_trip(spark, _read(spark, sf_dir, "pages"))
 
 
 def op2_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text's log10 probability under the three-level model of the training fold; see :func:`katz.score`."""
     return katz.score(_read(spark, sf_dir, "documents"))
 
 
 def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of secrets in every text, null ones empty; see :func:`secret_scan.scan`."""
     return secret_scan.scan(_read(spark, sf_dir, "documents")).drop("texts")
 
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text's score by the classifier of the labelled training fold; see :func:`quality.classify`."""
     return quality.classify(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
 
 
 def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text's own or inherited licence; see :func:`licenses.scan`."""
     return licenses.scan(_read(spark, sf_dir, "documents"))
 
 
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hit words and items of every text; see :func:`decontaminate.search`."""
     found = decontaminate.search(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row's fingerprint and component; see :func:`simhash.near_duplicates`."""
     return simhash.near_duplicates(_read(spark, sf_dir, "documents"))
 
 
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row's group of equal texts; see :func:`exact_dedup.mark`."""
     return exact_dedup.mark(_read(spark, sf_dir, "documents"))
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The words that the mix takes of every row; see :func:`mixing.mix`."""
     return mixing.mix(_read(spark, sf_dir, "documents"))
 
 
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text's words but the repeated ones; see :func:`substring_dedup.remove_repeats`."""
     found = substring_dedup.remove_repeats(_read(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_words", "n_removed", "kept_sha256")
 
