@@ -588,6 +588,26 @@ JOIN (SELECT {a}_cluster, round(avg(len({words_sql(a)})), 6) AS l FROM cp GROUP
 avg_embedding_filter_source, avg_embedding_filter_target, avg_embedding_filter_both = map(_cluster_filter, ("source", "target", "both"))
 
 
+def _filtered_by(spark, sf_dir, clusters: DataFrame) -> DataFrame:
+    c = written(clusters, scratch(spark, "clusters"))
+    return E.cluster_filter(E.clustered(D.pairs(turns(spark, sf_dir)), c, c), "both", E.Limits(threshold=0.9, min_cluster_size=2)).select("dialog_no", "turn", "source", "target", "source_cluster", "target_cluster")
+
+
+@query()
+def semantic_filter(spark, sf_dir):
+    """Pairs without those of k-means clusters of mean word vectors whose other side is of many clusters."""
+    vectors = written(_vectors(spark, sf_dir), scratch(spark, "vectors"))
+    return _filtered_by(spark, sf_dir, E.vector_clusters(vectors, E.k_means(vectors, 8)))
+
+
+@query()
+def near_copy_filter(spark, sf_dir):
+    """The same with clusters of near copies."""
+    p = D.pairs(turns(spark, sf_dir))
+    said = p.select(F.col("source").alias("utterance")).unionByName(p.select(F.col("target").alias("utterance")))
+    return _filtered_by(spark, sf_dir, E.near_clusters(said, _shingles))
+
+
 @query()
 def k_medoids(spark, sf_dir):
     """Embeddings by iterated medoids until they stay."""
