@@ -120,7 +120,7 @@ def test_hot_contexts_reach_most_ranges():
     for p in (36, 1000):
         hot = katz.part_keys(context, grams, np.ones(len(grams), np.int64), np.array([4 * p]))
         assert len(np.unique(hot)) == 4 * p and len(np.unique(blocks.range_of(np.sort(hot), p))) > 0.9 * p
-        cold = katz.part_keys(katz._extended(context, grams), grams, np.zeros(len(grams), np.int64), np.zeros(0, np.int64))
+        cold = katz.part_keys(katz.extended(context, grams), grams, np.zeros(len(grams), np.int64), np.zeros(0, np.int64))
         load = np.bincount(blocks.range_of(np.sort(cold), p), minlength=p)
         assert load.min() > 0.5 * load.mean() and load.max() < 1.5 * load.mean()
 

@@ -122,11 +122,11 @@ def column(rows: np.ndarray, at: int, kind) -> np.ndarray:
 
 
 def replied(sent: DataFrame, reply: Callable, name: str, small: bool = True) -> DataFrame:
-    """A written table (block, p, answer, stats, heavy): reply(keys, extras) gets all messages of a range, as lists, and gives an
+    """A written table (block, p, answer, stats, heavy): reply(keys, extras, p) gets all messages of range p, as lists, and gives an
     answer in bytes for each, a list of numbers to be summed over all ranges, and rows (key, numbers) about the few heavy keys."""
 
     def run(key, got):
-        out, stats, heavy = reply([unpack(x, small) for x in got.column("keys").to_pylist()], got.column("extra").to_pylist())
+        out, stats, heavy = reply([unpack(x, small) for x in got.column("keys").to_pylist()], got.column("extra").to_pylist(), key[0].as_py())
         none = [None] * (len(out) - 1)
         return pa.table(
             [got.column("block"), got.column("p"), pa.array(out, pa.binary()), pa.array([stats, *none], pa.list_(pa.int64())), pa.array([heavy, *none], pa.list_(pa.struct([("key", pa.int64()), ("numbers", pa.list_(pa.float64()))])))],
@@ -144,7 +144,7 @@ def answers(sent: DataFrame, reply: Callable[[np.ndarray, np.ndarray], np.ndarra
     keys aren't sorted across messages; equal keys are what different blocks have said of the same thing.
     """
 
-    def each(keys, extras):
+    def each(keys, extras, p):
         sizes = [len(x) for x in keys]
         extra = [np.frombuffer(x, np.uint8).reshape(width, n).T for x, n in zip(extras, sizes, strict=True)]
         out = reply(np.concatenate(keys), np.concatenate(extra))

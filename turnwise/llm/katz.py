@@ -82,7 +82,11 @@ class Level:
 
 
 class BlockTokens:
-    """A block's tokens (words, then one end, for each document) after order-1 beginnings."""
+    """A block's tokens (words, then one end, for each document) after order-1 beginnings.
+
+    Words are told by their hashes until the first answer numbers them; then n-grams are hashes of numbers, and within a context a word
+    is its number, which is exact and, as frequent words have small ones, short.
+    """
 
     def __init__(self, got: pa.Table, order: int):
         buf, off = utf8(got.column("text"))
@@ -101,10 +105,19 @@ class BlockTokens:
         self.seq[self.at[is_word]] = hash_spans(w.buf, w.start, w.end)
         self.train = np.asarray(got.column("train").to_numpy(), bool)[self.doc]
 
+    def words(self) -> np.ndarray:
+        return self.seq[self.at]
+
+    def number(self, numbers: np.ndarray) -> None:
+        """From now on predicted tokens are these numbers."""
+        self.seq = np.full(len(self.seq), _BEGIN, np.uint64)
+        self.seq[self.at] = numbers
+        self.numbers = numbers
+
     def _all_grams(self, j: int) -> np.ndarray:
-        g = self.seq
+        g = word_gram(self.seq)
         for _ in range(j - 1):
-            g = _extended(np.concatenate([g[:1], g[:-1]]), self.seq)
+            g = extended(mix(np.concatenate([g[:1], g[:-1]])), self.seq)
         return g
 
     def grams(self, j: int) -> np.ndarray:
@@ -116,12 +129,13 @@ class BlockTokens:
         return self._all_grams(j - 1)[self.at - 1]
 
 
-_HIGH, _LOW = np.uint64(0xFFFF << 48), np.uint64((1 << 48) - 1)
+def word_gram(number: np.ndarray) -> np.ndarray:
+    return mix(number + np.uint64(1))
 
 
-def _extended(context: np.ndarray, token: np.ndarray) -> np.ndarray:
-    """Hash of a context and a token.  Its upper 16 bits follow from the context, so that 48 bits tell a context's n-grams apart."""
-    return (mix(context) & _HIGH) | (mix(context * np.uint64(0x9E3779B97F4A7C15) + token) & _LOW)
+def extended(mixed_context: np.ndarray, number: np.ndarray) -> np.ndarray:
+    """Hash of a context, given by its mixed hash, and the word of a number after it."""
+    return mix(mixed_context + (number + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15))
 
 
 def _distinct(g: np.ndarray, train: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -149,18 +163,25 @@ def _heavy(total: np.ndarray, least: int) -> np.ndarray:
     return np.flatnonzero(total > least)
 
 
-def _count_words(keys, extras, least: int):
-    """Level 1: total counts; stats are N, V and the numbers of words that occur 1..TOP+1 times; heavy: what occurs more than least times."""
+def _count_words(keys, extras, p, least: int, n_ranges: int):
+    """Level 1, of range p: total counts, and numbers, the smaller the more frequent and of no two words alike.  Stats are N, V and the
+    numbers of words that occur 1..TOP+1 times; heavy: what occurs more than least times."""
     sizes = [len(k) for k in keys]
     k, n = np.concatenate(keys), np.concatenate([column(unsqueeze(x, 8), 0, np.int64) for x in extras])
     distinct, of = np.unique(k, return_inverse=True)
-    total = np.bincount(of.ravel(), weights=n).astype(np.int64)
+    of = of.ravel()
+    total = np.bincount(of, weights=n).astype(np.int64)
     stats = [int(total.sum()), int((total > 0).sum()), *[int((total == r).sum()) for r in range(1, TOP + 2)]]
-    heavy = [{"key": int(distinct[i].view(np.int64)), "numbers": [float(total[i])]} for i in _heavy(total, least)]
-    return [squeeze(planes(x)) for x in np.split(total[of.ravel()], np.cumsum(sizes)[:-1])], stats, heavy
+    rank = np.empty(len(distinct), np.uint64)
+    rank[np.argsort(-total, kind="stable")] = np.arange(len(distinct), dtype=np.uint64)
+    number = rank * np.uint64(n_ranges) + np.uint64(p)
+    grams = word_gram(number).view(np.int64)
+    heavy = [{"key": int(grams[i]), "numbers": [float(total[i])]} for i in _heavy(total, least)]
+    at = np.cumsum(sizes)[:-1]
+    return [squeeze(planes(x, y)) for x, y in zip(np.split(total[of], at), np.split(number[of], at), strict=True)], stats, heavy
 
 
-_WIDTH = 6 + 4 + 8 + 4
+_WIDTH = 8 + 4 + 8 + 4
 
 
 def part_keys(context: np.ndarray, gram: np.ndarray, hot: np.ndarray, parts: np.ndarray) -> np.ndarray:
@@ -170,8 +191,8 @@ def part_keys(context: np.ndarray, gram: np.ndarray, hot: np.ndarray, parts: np.
     return mix(np.where(hot > 0, mix(context ^ (part * np.uint64(0x9E3779B97F4A7C15))), context))
 
 
-def _count_grams(keys, extras, least: int, hot_contexts: np.ndarray, below: Level, last: bool = False):
-    """Level 2 and above.  A row: 6 bytes of the n-gram's hash, its count, its total count one level below, and the hot context's number
+def _count_grams(keys, extras, p, least: int, hot_contexts: np.ndarray, below: Level, last: bool = False):
+    """Level 2 and above.  A row: the last word's number, the n-gram's count, its total count one level below, and the hot context's number
     or 0.  The answer has a context's sum, and more of its counts than whether there are any, only where the message holds an n-gram of
     it that training lacks: nothing else backs off.
 
@@ -180,14 +201,13 @@ def _count_grams(keys, extras, least: int, hot_contexts: np.ndarray, below: Leve
     sizes = [len(k) for k in keys]
     key = np.concatenate(keys)
     rows = np.concatenate([unsqueeze(x, _WIDTH) for x in extras])
-    n, hot = column(rows, 6, np.uint32), column(rows, 18, np.uint32).astype(np.int64)
-    tag = column(np.concatenate([rows[:, :6], np.zeros((len(rows), 2), np.uint8)], axis=1), 0, np.uint64)
+    n, hot = column(rows, 8, np.uint32), column(rows, 20, np.uint32).astype(np.int64)
     of_context = key  # which is the context mixed, or for a hot one that of a part
     if len(hot_contexts):
         of_context = np.where(hot > 0, mix(hot_contexts[np.maximum(hot, 1) - 1]), key)
-    gram = (of_context & _HIGH) | tag
-    lower = below.discounted(column(rows, 10, np.int64))
-    del rows, of_context, tag
+    gram = extended(of_context, column(rows, 0, np.uint64))
+    lower = below.discounted(column(rows, 12, np.int64))
+    del rows, of_context
     distinct, first, of, _ = _distinct(gram, n)
     total = np.bincount(of, weights=n, minlength=len(distinct)).astype(np.int64)
     r = total[of]
@@ -244,9 +264,10 @@ class Scorer:
     def first(self, answer: list[tuple[int, bytes]]) -> np.ndarray:
         """Level 1's probability of each token."""
         level = self.levels[0]
-        _, _, of, _ = _distinct(self.t.grams(1), self.t.train)
-        parts = [column(unsqueeze(x, 8), 0, np.int64) for _, x in sorted(answer)]
-        self.count = (np.concatenate(parts) if parts else np.zeros(0, np.int64))[of]
+        _, _, of, _ = _distinct(self.t.words(), self.t.train)
+        rows = np.concatenate([unsqueeze(x, 16) for _, x in sorted(answer)]) if answer else np.zeros((0, 16), np.uint8)
+        self.count = column(rows, 0, np.int64)[of]
+        self.t.number(column(rows, 8, np.uint64)[of])
         self.scale = np.full(len(of), level.scale)
         return level.word(self.count)
 
@@ -264,8 +285,7 @@ class Scorer:
         order = by_key(key, below)
         back = np.empty(len(order), np.int64)
         back[order] = np.arange(len(order))
-        parts = planes(distinct[order], n[order].astype(np.uint32), below[order], hot[order].astype(np.uint32))
-        extra = np.concatenate([parts[:, :6], parts[:, 8:]], axis=1)
+        extra = planes(self.t.numbers[at[order]], n[order].astype(np.uint32), below[order], hot[order].astype(np.uint32))
         return key[order], extra, back[of], hot[order], at[order]
 
     def counts(self, j: int, answer: list[tuple[int, bytes]]) -> None:
@@ -346,12 +366,12 @@ def score(docs: DataFrame, training: Column | None = None, order: int = ORDER, b
 
     def send_words(block, _):
         t = BlockTokens(read_block(path, block), order)
-        keys, _, _, n = _distinct(t.grams(1), t.train)
+        keys, _, _, n = _distinct(t.words(), t.train)
         yield messages(block, keys, planes(n), p, True)
 
     least = max(1, n_bytes // (TOKEN_BYTES * min(max(p, LEAST_SHARES), MOST_SHARES)))
     share = max(1, n_bytes // (TOKEN_BYTES * max(p, LEAST_SHARES)))
-    answered = [replied(each_block(blocks, send_words, MESSAGE), functools.partial(_count_words, least=least), "katz-1")]
+    answered = [replied(each_block(blocks, send_words, MESSAGE), functools.partial(_count_words, least=least, n_ranges=p), "katz-1")]
     stats = _summed(answered[0], TOP + 3)
     levels = [Level(stats[2:], np.zeros((1, TOP + 2)), stats[0], stats[1])]
     levels[0].next_hot, levels[0].next_parts = _next_hot(answered[0], least, share)
