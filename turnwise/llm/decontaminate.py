@@ -8,7 +8,6 @@ the spans found are merged.  A shard lives in its task: one pass over the docume
 
 from __future__ import annotations
 
-import hashlib
 import pickle
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass
@@ -345,8 +344,3 @@ def remove(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shard_wo
     at = {c: f"_c{i}" for i, c in enumerate(others)} | {"text": "_text"}
     counted = F.when(F.col("_n_hit") > 0, F.length("_text").cast(dict(docs.dtypes).get("n_chars", "long")))
     return out.select(*[(F.coalesce(counted, F.col(at[c])) if c == "n_chars" else F.col(at[c])).alias(c) for c in cols])
-
-
-def digest_of(items: list[str]) -> str:
-    """items_sha256 of item ids, for tests."""
-    return hashlib.sha256(",".join(sorted(items)).encode()).hexdigest()
