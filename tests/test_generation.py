@@ -68,7 +68,8 @@ def test_movies(spark, tmp_path):
     lines = {s: [r.value for r in R.lines(spark, f"{made.folder}/train{s}.txt").orderBy("file", "line_no").collect()] for s in ("Source", "Target")}
     assert [spaced(x) for x in lines["Source"]] == [p[1] for p in pairs_of(spark, made)]
     assert [spaced(x) for x in lines["Target"]] == [p[2] for p in pairs_of(spark, made)]
-    assert any(p.name.startswith("config.") for p in Path(made.folder).iterdir())
+    record = next(p for p in Path(made.folder).iterdir() if p.name.startswith("config."))
+    assert json.loads(record.read_text())["rows"] == {"turns": 8, "splits": 3, "routed": 3}
 
 
 def test_what_is_there_is_not_made_again(spark, tmp_path):
@@ -181,6 +182,7 @@ def test_modes(spark, tmp_path):
     sample = M.inputs_of(spark, "dataset", None, spark.read.parquet(made.pairs), 5)
     assert sample.count() == 5 and {r.source for r in sample.collect()} <= {r.source for r in spark.read.parquet(made.pairs).where("split = 'dev'").collect()}
     assert [r.source for r in M.inputs_of(spark, "interactive", None, None, 0, ["a\n", "b\n", "\n", "c\n"]).collect()] == ["a", "b"]
+    assert R.arriving_lines(spark, str(tmp_path / "in")).isStreaming
     outs = M.experiment(spark, made, sample, str(tmp_path), str(tmp_path / "sweep"), beam_size=1, steps=SWEEP[:2])
     assert [Path(o).name for o in outs] == ["test_set_1.txt", "test_set_1328.txt"]
     assert Path(tmp_path, "checkpoint").read_text() == 'model_checkpoint_path: "model.ckpt-1328"'

@@ -201,15 +201,16 @@ def generate(spark: SparkSession, problem: str | Problem, raw_dir: str, out_dir:
     files = R.corpus_files(p.corpus, raw_dir, config.opensubtitles_year)
     if files and not all(exists(spark, f) for f in files):
         files = provided(files, R.CORPORA[p.corpus]["archive"], raw_dir, url)
+    counts: dict[str, int] = {}
     if p.corpus == "pairs":
         routed, turns, splits = given_pairs(spark, raw_dir), None, None
     else:
-        turns = written(p.parse(spark, files, config, folder), f"{folder}/turns")
+        turns = written(p.parse(spark, files, config, folder), f"{folder}/turns", counts)
         # a dialog takes its place in the split whether it has pairs or not
         dialogs = _marked_dialogs(spark, files) if p.corpus == "daily" and not config.dataset_size else turns
-        splits = written(D.with_split(dialogs.select("dialog_no").distinct(), dialogs, p.slot_base(config), config.dataset_split), f"{folder}/splits")
+        splits = written(D.with_split(dialogs.select("dialog_no").distinct(), dialogs, p.slot_base(config), config.dataset_split), f"{folder}/splits", counts)
         routed = p.pair(turns).join(splits, "dialog_no")
-    routed = written(routed, f"{folder}/routed")
+    routed = written(routed, f"{folder}/routed", counts)
     pairs = O.write_pairs(row_ordinals(routed, "dialog_no", "turn").select("split", "ordinal", "dialog_no", "turn", "source", "target"), folder)
     O.export_six(pairs, folder)
     if p.character_level:
@@ -226,7 +227,7 @@ def generate(spark: SparkSession, problem: str | Problem, raw_dir: str, out_dir:
     sharded = O.write_shards(encoded, config.shards, out.encoded)
     if config.packed_length:
         O.write_packed(sharded, config.packed_length, f"{folder}/packed")
-    O.write_record(spark, config, folder)
+    O.write_record(spark, config, folder, counts=counts)
     return out
 
 

@@ -88,11 +88,11 @@ def write_filtered(rows: DataFrame, text: str, stop: list[str], order: list[str]
     write_lines(rows.withColumn("_kept", V.without(F.col(text), stop)), "_kept", order, path)
 
 
-def write_record(spark: SparkSession, config: Config, folder: str, now: datetime | None = None) -> str:
-    """config.<year>.<month>.<day>.<hour>.<minute>.<second>.txt, numbers as they are: the settings of a run."""
+def write_record(spark: SparkSession, config: Config, folder: str, now: datetime | None = None, counts: dict[str, int] | None = None) -> str:
+    """config.<year>.<month>.<day>.<hour>.<minute>.<second>.txt, numbers as they are: the settings of a run, and rows that it has written."""
     t = now or datetime.now()
     stamp = ".".join(str(x) for x in (t.year, t.month, t.day, t.hour, t.minute, t.second))
-    return write_small(spark, f"{folder}/config.{stamp}.txt", json.dumps(asdict(config) | {"key": config.key()}, sort_keys=True, indent=1))
+    return write_small(spark, f"{folder}/config.{stamp}.txt", json.dumps(asdict(config) | {"key": config.key(), "rows": counts or {}}, sort_keys=True, indent=1))
 
 
 def write_checkpoint_pointer(spark: SparkSession, folder: str, step: int) -> str:

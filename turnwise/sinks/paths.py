@@ -7,7 +7,8 @@ import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 _made: list[tuple[SparkSession, str]] = []
 
@@ -49,11 +50,15 @@ def scratch(spark: SparkSession, name: str) -> str:
     return path
 
 
-def written(df: DataFrame, path: str) -> DataFrame:
-    """df as a Parquet table at path, unless that is there already."""
+def written(df: DataFrame, path: str, counts: dict[str, int] | None = None) -> DataFrame:
+    """df as a Parquet table at path, unless that is there already.  counts gets the number of rows by the table's name, which is counted
+    on the way."""
     spark = df.sparkSession
     if not done(spark, path):
-        df.write.mode("overwrite").parquet(path)
+        rows = Observation()
+        df.observe(rows, F.count(F.lit(1)).alias("n")).write.mode("overwrite").parquet(path)
+        if counts is not None:
+            counts[path.rpartition("/")[2]] = rows.get["n"]
     return spark.read.schema(df.schema).parquet(path)
 
 
