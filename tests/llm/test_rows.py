@@ -33,6 +33,10 @@ def test_one_row_of_each_text(spark, keep, want):
     assert marked.count() == len(ROWS)
 
 
+def test_rows_that_come_from_no_file(spark):
+    assert len(kept(exact_dedup.distinct(frame(spark, ROWS), written=True))) == 5
+
+
 def test_ids_of_any_type(spark):
     docs = spark.createDataFrame([("b", "x"), ("a", "x"), (None, "x"), ("c", "y")], "doc_id string, text string")
     assert {r.keep_id for r in exact_dedup.mark(docs, "smallest").collect()} == {"a", "c"}

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import place, rows_in, skew_join, table
+from .shared import place, placed, rows_in, skew_join, table
 
 _KEY = ["digest", "n_bytes", "check"]
 
@@ -76,6 +76,6 @@ def distinct(docs: DataFrame, keep: str = "largest", written: bool = False) -> D
     Null and empty texts are one group.  Digests alone are exchanged: the rows that stay are told by file and row number, and texts
     never move.  written: docs is read from Parquet files as it is; else it is written first, so that rows have such names.
     """
-    docs = docs if written else table(docs, "rows")
+    docs = placed(docs, written)
     rows = digests(docs, at=F.struct(*place(docs)))
     return rows_in(docs, merge_runs(rows, keep).select("keep_at.file", "keep_at.row"))

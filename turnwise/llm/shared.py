@@ -15,6 +15,7 @@ import tempfile
 import time
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -148,6 +149,17 @@ def place(docs: DataFrame) -> tuple[Column, Column]:
     return F.xxhash64(m["file_path"]).alias("file"), m["row_index"].alias("row")
 
 
+def placed(docs: DataFrame, written: bool) -> DataFrame:
+    """docs, if it is told to be read from Parquet files as it is, and has places; else docs written and read again."""
+    if written:
+        try:
+            docs.select(*place(docs)).schema
+            return docs
+        except AnalysisException:  # rows that come from no file
+            pass
+    return table(docs, "rows")
+
+
 def rows_in(docs: DataFrame, stays: DataFrame, maps_sent: int = MAPS_SENT) -> DataFrame:
     """The rows of docs, a table read from Parquet files, that stays names by (file, row) of :func:`place`; rows of docs don't move.
 

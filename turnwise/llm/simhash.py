@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from .shared import drop_shared, place, rows_in, shared_dir, skew_join, small_batches, table
+from .shared import drop_shared, place, placed, rows_in, shared_dir, skew_join, small_batches, table
 from .textbuf import LOWER, chunks, trim, utf8, words, xxh64
 
 SHINGLE, DISTANCE, SEED = 3, 3, 42
@@ -241,6 +241,6 @@ def one_of_each(docs: DataFrame, distance: int = DISTANCE, written: bool = False
     It is decided row by row, so rows that share a doc_id but not their texts are judged apart.  The rows that stay are told by file
     and row number, and texts never move.  written: docs is read from Parquet files as it is; else it is written first.
     """
-    docs = docs if written else table(docs, "rows")
+    docs = placed(docs, written)
     _, named = _grouped(docs.select("doc_id", "text", *place(docs)), distance)
     return rows_in(docs, named.where("fp = root").select("low.file", "low.row"))
