@@ -122,18 +122,19 @@ def column(rows: np.ndarray, at: int, kind) -> np.ndarray:
 
 
 def replied(sent: DataFrame, reply: Callable, name: str, small: bool = True) -> DataFrame:
-    """A written table (block, p, answer, stats, heavy): reply(keys, extras, p) gets all messages of range p, as lists, and gives an
-    answer in bytes for each, a list of numbers to be summed over all ranges, and rows (key, numbers) about the few heavy keys."""
+    """A written table (block, p, answer, more, stats, heavy): reply(keys, extras, p) gets all messages of range p, as lists, and gives an
+    answer in bytes for each, or a pair of them (answer, more), a list of numbers to be summed over all ranges, and rows (key, numbers) about the few heavy keys."""
 
     def run(key, got):
         out, stats, heavy = reply([unpack(x, small) for x in got.column("keys").to_pylist()], got.column("extra").to_pylist(), key[0].as_py())
         none = [None] * (len(out) - 1)
+        out, more = zip(*(x if isinstance(x, tuple) else (x, None) for x in out), strict=True)
         return pa.table(
-            [got.column("block"), got.column("p"), pa.array(out, pa.binary()), pa.array([stats, *none], pa.list_(pa.int64())), pa.array([heavy, *none], pa.list_(pa.struct([("key", pa.int64()), ("numbers", pa.list_(pa.float64()))])))],
-            names=["block", "p", "answer", "stats", "heavy"],
+            [got.column("block"), got.column("p"), pa.array(out, pa.binary()), pa.array(more, pa.binary()), pa.array([stats, *none], pa.list_(pa.int64())), pa.array([heavy, *none], pa.list_(pa.struct([("key", pa.int64()), ("numbers", pa.list_(pa.float64()))])))],
+            names=["block", "p", "answer", "more", "stats", "heavy"],
         )
 
-    out = table(sent.groupBy("p").applyInArrow(run, "block string, p int, answer binary, stats array<bigint>, heavy array<struct<key:bigint,numbers:array<double>>>"), name)
+    out = table(sent.groupBy("p").applyInArrow(run, "block string, p int, answer binary, more binary, stats array<bigint>, heavy array<struct<key:bigint,numbers:array<double>>>"), name)
     release(sent)
     return out
 

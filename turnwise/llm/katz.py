@@ -181,7 +181,7 @@ def _count_words(keys, extras, p, least: int, n_ranges: int):
     return [squeeze(planes(x, y)) for x, y in zip(np.split(total[of], at), np.split(number[of], at), strict=True)], stats, heavy
 
 
-_WIDTH = 8 + 4 + 8 + 4
+_WIDTH, _BACKS_OFF = 8 + 4 + 8 + 4, 7
 
 
 def part_keys(context: np.ndarray, gram: np.ndarray, hot: np.ndarray, parts: np.ndarray) -> np.ndarray:
@@ -193,8 +193,9 @@ def part_keys(context: np.ndarray, gram: np.ndarray, hot: np.ndarray, parts: np.
 
 def _count_grams(keys, extras, p, least: int, hot_contexts: np.ndarray, below: Level, last: bool = False):
     """Level 2 and above.  A row: the last word's number, the n-gram's count, its total count one level below, and the hot context's number
-    or 0.  The answer has a context's sum, and more of its counts than whether there are any, only where the message holds an n-gram of
-    it that training lacks: nothing else backs off.
+    or 0.  Answers are the n-grams' total counts and, apart, of each context which of n(1..TOP) there are; the numbers themselves and the
+    sum only where the message holds an n-gram of it that training lacks, as nothing else backs off.  How often a context occurs, blocks
+    know from the level below.
 
     Heavy rows: (n-gram, [-1, total]), unless this is the last level, and (hot context's number, sums of its part here).
     """
@@ -228,11 +229,10 @@ def _count_grams(keys, extras, p, least: int, hot_contexts: np.ndarray, below: L
         head = np.concatenate([[True], own[1:] != own[:-1]]) if len(own) else np.zeros(0, bool)
         mine = sums[np.searchsorted(contexts, own[head])]
         backs_off = np.bincount(np.cumsum(head) - 1, weights=r[at : at + size][mine_cold] == 0, minlength=int(head.sum())) > 0
-        mine[~backs_off, 1:] = np.minimum(mine[~backs_off, 1:], 1)
-        mine[~backs_off, -1] = 0
-        a = squeeze(planes(r[at : at + size]))
-        b = squeeze(planes(mine[:, :-1].astype(np.uint64), mine[:, -1]))
-        out.append(len(a).to_bytes(8, "little") + a + b)
+        which = ((mine[:, 1:-1] > 0) << np.arange(TOP)).sum(1).astype(np.uint8) | (backs_off << _BACKS_OFF).astype(np.uint8)
+        full = mine[backs_off]
+        some = squeeze(which[:, None])
+        out.append((squeeze(planes(r[at : at + size])), len(some).to_bytes(8, "little") + some + squeeze(planes(full[:, 1:-1].astype(np.uint64), full[:, -1]))))
         at += size
     return out, stats, heavy
 
@@ -269,8 +269,16 @@ class Scorer:
         self.count = column(rows, 0, np.int64)[of]
         self.t.number(column(rows, 8, np.uint64)[of])
         self.scale = np.full(len(of), level.scale)
+        begins = np.cumsum(self.t.n_words + 1) - (self.t.n_words + 1)
+        self.begins, self.texts = begins, self.count[begins + self.t.n_words][:1]  # each text ends once
         return level.word(self.count)
 
+    def contexts(self) -> np.ndarray:
+        """How often the next level's context of each token occurs: as often as what ends before the token, or as there are texts."""
+        c = np.concatenate([self.texts, self.count[:-1]])
+        c[self.begins] = self.texts
+        return c
+
     def rows(self, j: int):
         """Level j's distinct n-grams in the order in which they are sent: (keys, extra bytes, row of each token's, hot numbers, first
         place of each)."""
@@ -292,37 +300,50 @@ class Scorer:
         """Go on to level j's counts alone."""
         _, _, of, _, _ = self.rows(j)
         if answer:
-            self.count = np.concatenate([self._counts(x) for _, x in sorted(answer)])[of]
+            self.count = self._counts(answer)[of]
 
     @staticmethod
-    def _counts(x: bytes) -> np.ndarray:
-        return column(unsqueeze(x[8 : 8 + int.from_bytes(x[:8], "little")], 8), 0, np.int64)
+    def _counts(answer: list[tuple[int, bytes]]) -> np.ndarray:
+        return np.concatenate([column(unsqueeze(x, 8), 0, np.int64) for _, x in sorted(answer)])
 
-    def next(self, j: int, lower: np.ndarray, answer: list[tuple[int, bytes]]) -> np.ndarray:
+    @staticmethod
+    def _sums(answer: list[tuple[int, bytes]]) -> np.ndarray:
+        """Rows (n(1..TOP), sum) of contexts; n is 0 or 1 and the sum missing where nothing backs off."""
+        parts = []
+        for _, x in sorted(answer):
+            size = 8 + int.from_bytes(x[:8], "little")
+            which, full = unsqueeze(x[8:size], 1)[:, 0], unsqueeze(x[size:], 8 * (TOP + 1))
+            s = np.concatenate([(which[:, None] >> np.arange(TOP)) & 1, np.zeros((len(which), 1))], axis=1).astype(np.float64)
+            at = np.flatnonzero(which >> _BACKS_OFF)
+            for k in range(TOP):
+                s[at, k] = column(full, 8 * k, np.uint64)
+            s[at, TOP] = column(full, 8 * TOP, np.float64)
+            parts.append(s)
+        return np.concatenate(parts)
+
+    def next(self, j: int, lower: np.ndarray, answer: list[tuple[int, bytes]], sums: list[tuple[int, bytes]]) -> np.ndarray:
         """Level j's probability of each token, from that one level below."""
         key, _, of, hot, at = self.rows(j)
         level = self.levels[j - 1]
         if not answer:
             return lower
-        r = np.concatenate([self._counts(x) for _, x in sorted(answer)])
-        sums = np.concatenate([unsqueeze(x[8 + int.from_bytes(x[:8], "little") :], 8 * (TOP + 2)) for _, x in sorted(answer)])
-        numbers = np.concatenate([*[column(sums, 8 * i, np.uint64).astype(np.float64)[:, None] for i in range(TOP + 1)], column(sums, 8 * (TOP + 1), np.float64)[:, None]], axis=1)
+        r = self._counts(answer)
         cold = hot == 0
         heads = np.concatenate([[True], key[cold][1:] != key[cold][:-1]]) if cold.any() else np.zeros(0, bool)
         of_context = np.zeros(len(key), np.int64)
         of_context[cold] = np.cumsum(heads) - 1 + len(level.hot)
         of_context[~cold] = hot[~cold]
-        s = np.concatenate([level.hot, numbers])
-        c = s[:, 0]
-        freed = sum((1 - level.d[k]) * k * s[:, k] for k in range(1, TOP + 1))
+        s = np.concatenate([level.hot[:, 1:], self._sums(sums)])
+        c = self.contexts()[at]
+        freed = sum((1 - level.d[k]) * k * s[:, k - 1] for k in range(1, TOP + 1))[of_context]
         none = freed <= 0
-        with np.errstate(divide="ignore", invalid="ignore"):
+        with np.errstate(divide="ignore"):
             scale = np.where(c > 0, np.where(none, 1 / (c + 1), 1 / c), 0)
-        kept = np.where(none, scale, freed * scale)[of_context]
-        alpha = np.where(c[of_context] > 0, kept / np.maximum(1 - s[of_context, TOP + 1] * self.scale[at], 1e-15), 1.0)
-        seen = np.where(none[of_context], r, level.discounted(r)) * scale[of_context]
+        kept = np.where(none, scale, freed * scale)
+        alpha = np.where(c > 0, kept / np.maximum(1 - s[of_context, TOP] * self.scale[at], 1e-15), 1.0)
+        seen = np.where(none, r, level.discounted(r)) * scale
         out = np.where(r[of] > 0, seen[of], alpha[of] * lower)
-        self.count, self.scale = r[of], scale[of_context][of]
+        self.count, self.scale = r[of], scale[of]
         return out
 
 
@@ -386,7 +407,7 @@ def score(docs: DataFrame, training: Column | None = None, order: int = ORDER, b
             yield messages(block, keys, extra, p, True)
 
         count = functools.partial(_count_grams, least=least, hot_contexts=levels[-1].next_hot, below=levels[-1], last=j == order)
-        answered.append(replied(each_block(blocks, send, MESSAGE, *answered), count, f"katz-{j}"))
+        answered.append(replied(each_block(blocks, send, MESSAGE, *[a.select("block", "p", "answer") for a in answered]), count, f"katz-{j}"))
         now = _summed(answered[-1], TOP + 3)
         levels = [*levels, Level(now[2:], _hot_sums(answered[-1], len(levels[-1].next_hot)), now[0], now[1])]
         if j < order:
@@ -400,7 +421,7 @@ def score(docs: DataFrame, training: Column | None = None, order: int = ORDER, b
         prob = scorer.first(got[0])
         c = scorer.count
         for j in range(2, order + 1):
-            prob = scorer.next(j, prob, got[j - 1])
+            prob = scorer.next(j, prob, got[j - 1], got[order + j - 2])
         rows = table.num_rows
         base = np.bincount(t.doc, weights=np.log10((c + 1) / (n_train + n_types + 1)), minlength=rows)
         total = np.bincount(t.doc, weights=np.log10(prob), minlength=rows)
@@ -413,4 +434,4 @@ def score(docs: DataFrame, training: Column | None = None, order: int = ORDER, b
         )
 
     kind = dict(docs.dtypes)["doc_id"]
-    return each_block(blocks, finish, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double", *answered)
+    return each_block(blocks, finish, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double", *answered, *[a.select("block", "p", F.col("more").alias("answer")) for a in answered[1:]])
