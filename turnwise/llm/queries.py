@@ -1,10 +1,11 @@
-"""The ten operators as queries over the whole tables, with their SQL where SQL can express them."""
+"""The operators as queries over the whole tables, with their SQL where SQL can express them."""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, exact_dedup, katz, licenses, mixing, quality, secret_scan, simhash, substring_dedup, warc
+from . import decontaminate, divergence, exact_dedup, katz, lexical, licenses, mixing, pieces, quality, secret_scan, simhash, substring_dedup, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -63,7 +64,22 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
-QUERIES = {f.__name__: f for f in (op1_warc, op2_katz, op3_secrets, op4_quality, op5_licenses, op6_decontaminate, op7_simhash, op8_exact_dedup, op9_mixing, op10_substring_dedup)}
+def op11_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 50 best documents of every benchmark item; see :func:`lexical.search`."""
+    return lexical.rank(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+
+
+def op12_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text's ids by the public model of 32,000 pieces, and what they decode to; see :func:`pieces.encode`."""
+    return pieces.digests(pieces.round_trip(_read(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model")))
+
+
+def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of sources and telling terms of every source; see :func:`divergence.audit`."""
+    return divergence.audit(_read(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_warc, op2_katz, op3_secrets, op4_quality, op5_licenses, op6_decontaminate, op7_simhash, op8_exact_dedup, op9_mixing, op10_substring_dedup, op11_lexical, op12_pieces, op13_divergence)}
 
 # ---- SQL for DuckDB ---------------------------------------------------------------------------------------------------------
 
@@ -133,4 +149,23 @@ u AS (SELECT doc_id, unnest(gone) AS p, true AS cut FROM c),
 k AS (SELECT doc_id, string_agg(word, ' ' ORDER BY p) AS kept FROM q ANTI JOIN u USING (doc_id, p) GROUP BY doc_id)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(len(gone), 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN c USING (doc_id) LEFT JOIN k USING (doc_id)"""
 
-SQL = {"op1_warc": _OP1, "op6_decontaminate": _OP6, "op8_exact_dedup": _OP8, "op9_mixing": _op9(), "op10_substring_dedup": _OP10}
+_OP11 = f"""WITH d AS (SELECT doc_id, {_ALNUM} AS w FROM documents), t AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(w) AS term FROM d) GROUP BY ALL),
+s AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n FROM d WHERE len(w) > 0), g AS (SELECT count(*) AS n_docs, CAST(sum(n) AS BIGINT) AS n_terms FROM s),
+q AS (SELECT DISTINCT item_id, unnest({_ALNUM}) AS term FROM benchmark), f AS (SELECT term, CAST(floor(1000 * ln((2 * n_docs + 2) / (2 * df + 1))) AS BIGINT) AS w FROM (SELECT term, count(*) AS df FROM t SEMI JOIN q USING (term) GROUP BY term), g),
+r AS (SELECT item_id, doc_id, CAST(sum(w * (1000000000 * tf // (1000 * tf + 20 * (50 + 50 * n * n_docs // n_terms)))) AS BIGINT) AS score FROM q JOIN f USING (term) JOIN t USING (term) JOIN s USING (doc_id), g GROUP BY item_id, doc_id)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INT) AS rank, doc_id, score FROM r WHERE score > 0 QUALIFY rank <= 50"""
+
+_P = lambda n, total: f"(1 + 1000000000::HUGEINT * (({n}) + 2) // (({total}) + 2 * v))"
+_F = lambda p, q: f"CAST(({p} - {q}) * ({p} - {q}) // ({p} + {q}) AS BIGINT)"
+_OP13 = rf"""WITH d AS (SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source, regexp_extract_all({_LOWER}, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+t0 AS (SELECT lang, source, row_number() OVER () AS i, w FROM d), t1 AS (SELECT lang, source, i, unnest(w) AS term FROM t0), k AS (SELECT lang, term, count(*)::HUGEINT AS ln FROM t1 GROUP BY ALL HAVING count(DISTINCT i) >= 10),
+c AS (SELECT lang, source, term, count(*)::HUGEINT AS n FROM t1 SEMI JOIN k USING (lang, term) GROUP BY ALL), gr AS (SELECT DISTINCT lang, source FROM d), lv AS (SELECT lang, count(*)::HUGEINT AS v, sum(ln)::HUGEINT AS lt FROM k GROUP BY lang),
+g AS (SELECT gr.lang, gr.source, coalesce(v, 0) AS v, coalesce(lt, 0) AS lt, coalesce(total, 0) AS total FROM gr LEFT JOIN lv USING (lang) LEFT JOIN (SELECT lang, source, sum(n)::HUGEINT AS total FROM c GROUP BY ALL) USING (lang, source)),
+x AS (SELECT g.lang, g.source, k.term, coalesce(n, 0) AS n, {_P('coalesce(n, 0)', 'total')} AS p, {_P('ln', 'lt')} AS q FROM g JOIN k USING (lang) LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+pr AS (SELECT a.lang, a.source, b.source AS item, CAST(sum({_F('a.p', 'b.p')}) AS BIGINT) AS value FROM x a JOIN x b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+pa AS (SELECT a.lang, a.source, b.source AS item, coalesce(value, 0) AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN pr ON pr.lang = a.lang AND pr.source = a.source AND pr.item = b.source),
+tm AS (SELECT lang, source, term AS item, {_F('p', 'q')} AS value FROM x WHERE n > 0 AND p > q)
+SELECT lang, source, 'pair' AS part, item, value, CAST(row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item) AS INT) AS rank FROM pa
+UNION ALL SELECT * FROM (SELECT lang, source, 'term' AS part, item, value, CAST(row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item) AS INT) AS rank FROM tm) WHERE rank <= 10"""
+
+SQL = {"op1_warc": _OP1, "op6_decontaminate": _OP6, "op8_exact_dedup": _OP8, "op9_mixing": _op9(), "op10_substring_dedup": _OP10, "op11_lexical": _OP11, "op13_divergence": _OP13}
