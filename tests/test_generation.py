@@ -226,3 +226,76 @@ def test_orders(spark):
     assert [r.g for r in row_ordinals(rows, "far", "i").orderBy("ordinal").collect()] == flat
     sums = running(spark.range(2000).withColumn("k", F.col("id") % 2), ["k"], "id", F.lit(1), "n", 64)
     assert all(r.n == r.id // 2 + 1 for r in sums.collect())
+
+
+@pytest.fixture
+def many_parts(spark):
+    """Sorted outputs have as many part files as there are ranges, however small."""
+    name = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(name, "false")
+    yield
+    spark.conf.unset(name)
+
+
+def test_outputs_of_several_files_are_read_back(spark, tmp_path, many_parts):
+    rows = [(("train", "train", "dev", "test")[i % 4], i, i // 3, i % 3, f"source {i}", f"target {i}" if i % 7 else "") for i in range(160)]
+    pairs = spark.createDataFrame(rows, "split string, ordinal long, dialog_no long, turn long, source string, target string").repartition(4)
+    parts = {Path(path).name: len(list(Path(path).glob("part-*"))) for path in O.export_six(pairs, str(tmp_path))}
+    assert parts["trainSource.txt"] > 1 and parts["trainTarget.txt"] > 1
+    got = P.given_pairs(spark, str(tmp_path)).orderBy("dialog_no").collect()
+    assert sorted((r.split, r.source, r.target) for r in got) == sorted((r[0], r[4], r[5]) for r in rows)
+    for split in O.SPLITS:  # in their order
+        assert [r.source for r in got if r.split == split] == [r[4] for r in rows if r[0] == split]
+    made = P.generate(spark, "character_chatbot", str(tmp_path), str(tmp_path / "out"))
+    again = P.generate(spark, "character_chatbot", made.folder, str(tmp_path / "again"))
+    assert pairs_of(spark, again) == pairs_of(spark, made) and len(pairs_of(spark, made)) == 160
+
+
+def test_dialogs_in_several_files(spark, tmp_path, many_parts):
+    """Dialogs of different part files stay apart and keep their order."""
+    texts = spark.createDataFrame([(i, f"a{i} __eou__ b{i} __eou__") for i in range(60)], "at long, value string")
+    texts.repartition(4).orderBy("at").select("value").write.text(f"{tmp_path}/raw/dialogues_text.txt")
+    assert len(list(Path(tmp_path, "raw/dialogues_text.txt").glob("part-*"))) == 4
+    made = P.generate(spark, "daily_dialog_chatbot", f"{tmp_path}/raw", f"{tmp_path}/out")
+    assert [(a, b) for _, a, b in pairs_of(spark, made)] == [(f"a{i}", f"b{i}") for i in range(60)]
+
+
+def test_part_files_go_by_number(spark):
+    names = ["d/part-99999-x.txt", "d/part-100000-x.txt", "d/part-00002-x.txt", "a/other.txt", "b/other.txt"]
+    got = spark.createDataFrame([(n,) for n in names], "file string").orderBy(R.file_order(F.col("file"))).collect()
+    assert [r.file for r in got] == [names[3], names[4], names[2], names[0], names[1]]
+
+
+def test_places_run_on_over_batches():
+    import pyarrow as pa
+
+    rows = [("a", 0, k) for k in range(5)] + [("a", 64, k) for k in range(3)] + [("b", 0, k) for k in range(4)]
+    batches = [pa.record_batch([pa.array([r[0] for r in rows[i : i + 3]]), pa.array([r[1] for r in rows[i : i + 3]])], names=["file", "_start"]) for i in range(0, 12, 3)]
+    assert [x for b in R._placed([batches[0], batches[0].slice(0, 0), *batches[1:]]) for x in b.column("_at").to_pylist()] == [r[2] for r in rows]
+
+
+@pytest.mark.parametrize("cut", ["write_pairs", "export_six", "write_vocabulary", "write_shards", "write_packed", "write_record", "write_mark"])
+def test_a_run_cut_at_any_step_is_finished_by_the_next(spark, tmp_path, monkeypatch, cut):
+    raw = put(tmp_path / "raw", {"dialogues_text.txt": DAILY})
+    config = Config(packed_length=8, vocabulary_size=9)
+
+    def stop(*_, **__):
+        raise RuntimeError(cut)
+
+    with monkeypatch.context() as m:
+        m.setattr(O, cut, stop)
+        with pytest.raises(RuntimeError):
+            P.generate(spark, "daily_dialog_chatbot", raw, str(tmp_path / "out"), config)
+    made = P.generate(spark, "daily_dialog_chatbot", raw, str(tmp_path / "out"), config)
+    assert Path(made.folder, O.FINISHED).exists() and Path(made.folder, "packed/_SUCCESS").exists()
+    assert len(pairs_of(spark, made)) == 2
+
+
+def test_an_output_that_is_gone_is_made_again(spark, tmp_path):
+    import shutil
+
+    raw = put(tmp_path / "raw", {"dialogues_text.txt": DAILY})
+    made = P.generate(spark, "daily_dialog_chatbot", raw, str(tmp_path / "out"))
+    shutil.rmtree(f"{made.folder}/trainTarget.txt")
+    P.generate(spark, "daily_dialog_chatbot", raw, str(tmp_path / "out"))
+    assert [spaced(r.value) for r in R.lines(spark, f"{made.folder}/trainTarget.txt", whole=True).orderBy("line_no").collect()] == ["i 'm ok !", "bye"]

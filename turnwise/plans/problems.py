@@ -87,7 +87,7 @@ def named(name: str) -> Problem:
 
 
 def _movie_lines(spark: SparkSession, files: list[str], c: Config) -> DataFrame:
-    raw = R.lines(spark, files[0])
+    raw = R.lines(spark, files[0], whole=True)
     if c.dataset_size:
         raw = raw.where(F.col("line_no") < c.dataset_size + c.strict)
     speaker = F.concat(F.translate("name", " ", "_"), F.lit("_"), "movie_id")
@@ -95,7 +95,7 @@ def _movie_lines(spark: SparkSession, files: list[str], c: Config) -> DataFrame:
 
 
 def _movie_turns(spark: SparkSession, files: list[str], c: Config, folder: str) -> DataFrame:
-    return R.spoken_turns(R.movie_dialogs(R.lines(spark, files[1])), _movie_lines(spark, files, c))
+    return R.spoken_turns(R.movie_dialogs(R.lines(spark, files[1], whole=True)), _movie_lines(spark, files, c))
 
 
 def _name_vocabulary(lines: DataFrame) -> DataFrame:
@@ -107,7 +107,7 @@ def _named_turns(spark: SparkSession, files: list[str], c: Config, folder: str)
     lines = written(_movie_lines(spark, files, c), f"{folder}/lines")
     names = written(_name_vocabulary(lines), f"{folder}/names")
     kept = V.top(names, c.name_vocabulary_size - 1).select(F.col("token").alias("name"))
-    return R.spoken_turns(R.movie_dialogs(R.lines(spark, files[1])), D.replaced_names(lines, kept))
+    return R.spoken_turns(R.movie_dialogs(R.lines(spark, files[1], whole=True)), D.replaced_names(lines, kept))
 
 
 def _named_pairs(turns: DataFrame) -> DataFrame:
@@ -121,13 +121,13 @@ def _plain_movie_pairs(turns: DataFrame) -> DataFrame:
 
 
 def _marked_turns(spark: SparkSession, files: list[str], c: Config, folder: str) -> DataFrame:
-    t = R.marked_dialogs(R.lines(spark, files[0])).select("dialog_no", "turn", T.clean(F.col("text")).alias("clean"))
+    t = R.marked_dialogs(R.lines(spark, files[0], whole=True)).select("dialog_no", "turn", T.clean(F.col("text")).alias("clean"))
     return D.limited_dialogs(t, c.dataset_size, c.strict) if c.dataset_size else t
 
 
 def _marked_dialogs(spark: SparkSession, files: list[str]) -> DataFrame:
     """Lines without an utterance are dialogs, too."""
-    return R.lines(spark, files[0]).select(F.col("line_no").alias("dialog_no"))
+    return R.lines(spark, files[0], whole=True).select(F.col("line_no").alias("dialog_no"))
 
 
 def _numbered_turns(spark: SparkSession, files: list[str], c: Config, folder: str) -> DataFrame:
@@ -170,12 +170,13 @@ class Outputs:
 
 
 def given_pairs(spark: SparkSession, raw_dir: str) -> DataFrame:
-    """(split, dialog_no, turn, source, target) of aligned files {train,dev,test}{Source,Target}.txt; a split without files has none."""
+    """(split, dialog_no, turn, source, target) of aligned texts {train,dev,test}{Source,Target}.txt, each
+    a file or a folder of part files; a split without them has none."""
     parts = []
     for k, split in enumerate(O.SPLITS):
         paths = [f"{raw_dir}/{split}{side}.txt" for side in ("Source", "Target")]
         if all(exists(spark, p) for p in paths):
-            both = R.aligned(*(R.lines(spark, p) for p in paths))
+            both = R.aligned(*(R.lines(spark, p, whole=True) for p in paths))
             parts.append(both.select(F.lit(split).alias("split"), (F.col("line_no") * len(O.SPLITS) + k).alias("dialog_no"), F.lit(0).alias("turn"), F.col("inputs").alias("source"), F.col("targets").alias("target")))
     if not parts:
         raise FileNotFoundError(f"no pair of {O.SPLITS[0]}Source.txt and {O.SPLITS[0]}Target.txt, or of another split, in {raw_dir}")
@@ -188,15 +189,17 @@ def given_pairs(spark: SparkSession, raw_dir: str) -> DataFrame:
 def generate(spark: SparkSession, problem: str | Problem, raw_dir: str, out_dir: str, config: Config = Config(), url: str | None = None) -> Outputs:
     """All outputs of a problem from the corpus below raw_dir: pairs, six aligned text outputs, vocabulary, encoded shards, a record.
 
-    They lie in a folder named by the problem and by its settings.  What is there already is not made again; without the corpus' files
-    its archive is unpacked, and without that fetched from url.
+    They lie in a folder named by the problem and by its settings.  What is there already is not made again: a run that was cut at any step
+    is finished by the next one, and so is one whose outputs have been removed; a mark at the end says that all is done.  Without the
+    corpus' files its archive is unpacked, and without that fetched from url.
     """
     p = named(problem) if isinstance(problem, str) else problem
     folder = f"{out_dir.rstrip('/')}/{p.name}-{config.key()}"
     size = p.vocabulary_size(config)
     out = Outputs(folder, f"{folder}/pairs", f"{folder}/encoded", None if p.character_level else O.vocabulary_path(folder, size))
-    wanted = [out.pairs, out.encoded, *([out.vocabulary] if out.vocabulary else [])]
-    if all(done(spark, x) for x in wanted):
+    packed = f"{folder}/packed" if config.packed_length else None
+    wanted = [out.pairs, *O.six_paths(folder), out.encoded, *filter(None, (out.vocabulary, packed))]
+    if exists(spark, f"{folder}/{O.FINISHED}") and all(done(spark, x) for x in wanted):
         return out
     files = R.corpus_files(p.corpus, raw_dir, config.opensubtitles_year)
     if files and not all(exists(spark, f) for f in files):
@@ -225,9 +228,10 @@ def generate(spark: SparkSession, problem: str | Problem, raw_dir: str, out_dir:
         vocab = O.write_vocabulary(V.vocabulary(freq, p.word_block(config), *names), out.vocabulary)
         encoded = V.encoded(pairs.select("split", "ordinal", "source", "target"), {"inputs": "source", "targets": "target"}, vocab, END).drop("source", "target")
     sharded = O.write_shards(encoded, config.shards, out.encoded)
-    if config.packed_length:
-        O.write_packed(sharded, config.packed_length, f"{folder}/packed")
+    if packed:
+        O.write_packed(sharded, config.packed_length, packed)
     O.write_record(spark, config, folder, counts=counts)
+    O.write_mark(spark, folder)
     return out
 
 

@@ -11,9 +11,11 @@ from pyspark.sql import functions as F
 
 from turnwise.operators import vocab as V
 from turnwise.plans.config import Config
-from turnwise.sinks.paths import done, write_small, written
+from turnwise.sinks.paths import done, moved, removed, write_small, written
 
-SPLITS = ("train", "dev", "test")
+SPLITS, SIDES = ("train", "dev", "test"), ("source", "target")
+#: The file that says that a run has made all its outputs.
+FINISHED = "finished"
 
 
 def write_lines(rows: DataFrame, column: str, order: list[str], path: str) -> None:
@@ -30,15 +32,27 @@ def write_pairs(pairs: DataFrame, folder: str) -> DataFrame:
     return pairs.sparkSession.read.schema(pairs.schema).parquet(path).select(pairs.columns)
 
 
+def six_paths(folder: str) -> list[str]:
+    return [f"{folder}/{split}{side.title()}.txt" for split in SPLITS for side in SIDES]
+
+
 def export_six(pairs: DataFrame, folder: str) -> list[str]:
-    """trainSource.txt, trainTarget.txt and so on: of each split, line n of the one belongs to line n of the other."""
-    out = []
-    for split in SPLITS:
-        some = pairs.where(F.col("split") == split)
-        for side in ("source", "target"):
-            out.append(f"{folder}/{split}{side.title()}.txt")
-            write_lines(some, side, ["ordinal"], out[-1])
-    return out
+    """trainSource.txt, trainTarget.txt and so on: of each split, line n of the one text belongs to line n of the other.
+
+    A side's three texts are sorted and written together, by split, and then moved to their names.  Pairs without a split go nowhere.
+    """
+    spark = pairs.sparkSession
+    for side in SIDES:
+        paths = {split: f"{folder}/{split}{side.title()}.txt" for split in SPLITS}
+        if all(done(spark, p) for p in paths.values()):
+            continue
+        together = f"{folder}/{side}-texts"
+        rows = pairs.where(F.col("split").isin(*SPLITS)).orderBy("split", "ordinal")
+        rows.select("split", F.coalesce(side, F.lit("")).alias("value")).write.mode("overwrite").partitionBy("split").text(together)
+        for split, path in paths.items():
+            moved(spark, f"{together}/split={split}", path)
+        removed(spark, together)
+    return six_paths(folder)
 
 
 def vocabulary_path(folder: str, size: int) -> str:
@@ -95,6 +109,10 @@ def write_record(spark: SparkSession, config: Config, folder: str, now: datetime
     return write_small(spark, f"{folder}/config.{stamp}.txt", json.dumps(asdict(config) | {"key": config.key(), "rows": counts or {}}, sort_keys=True, indent=1))
 
 
+def write_mark(spark: SparkSession, folder: str) -> str:
+    return write_small(spark, f"{folder}/{FINISHED}", "")
+
+
 def write_checkpoint_pointer(spark: SparkSession, folder: str, step: int) -> str:
     return write_small(spark, f"{folder}/checkpoint", f'model_checkpoint_path: "model.ckpt-{step}"')
 

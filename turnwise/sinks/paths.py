@@ -37,6 +37,22 @@ def write_small(spark: SparkSession, path: str, text: str) -> str:
     return path
 
 
+def removed(spark: SparkSession, path: str) -> None:
+    fs, p = _at(spark, path)
+    fs.delete(p, True)
+
+
+def moved(spark: SparkSession, path: str, to: str) -> None:
+    """A written folder under another name, in place of what is there, with the mark that it is whole; without path an empty one."""
+    fs, target = _at(spark, to)
+    fs.delete(target, True)
+    if exists(spark, path):
+        fs.rename(_at(spark, path)[1], target)
+    else:
+        fs.mkdirs(target)
+    write_small(spark, f"{to}/_SUCCESS", "")
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A new folder's path below spark.checkpoint.dir, removed at the end; where that is unset, a temporary folder serves local sessions."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()

@@ -8,30 +8,70 @@ from __future__ import annotations
 import functools
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import numpy as np
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from turnwise.functions.order import running
+from turnwise.sinks.paths import scratch, written
 
 DELIMITER = r" \+\+\+\$\+\+\+ "
 
 
-def lines(spark: SparkSession, path: str | list[str], recursive: bool = False) -> DataFrame:
-    """(file, line_no from 0, value).  Files are read by splits, however long they are; a line's number is its place in its split
-    after the lines of the splits before."""
+#: Splits of files whose first numbers are sent to all tasks; more of them are joined.
+SPLITS_SENT = 100_000
+
+
+def _placed(batches):
+    """Rows (file, _start, …) with _at, the row's place from 0 in its split; a task reads a split's rows one after the other."""
+    import pyarrow as pa
+
+    last, after = None, 0
+    for b in batches:
+        if not b.num_rows:
+            continue
+        start, file = b.column(1).to_numpy(), b.column(0).dictionary_encode()
+        code = file.indices.to_numpy()
+        opens = np.concatenate([[True], (start[1:] != start[:-1]) | (code[1:] != code[:-1])])
+        first = np.flatnonzero(opens)
+        at = np.arange(b.num_rows) - np.repeat(first, np.diff(np.append(first, b.num_rows)))
+        name = lambda i: (file.dictionary[int(code[i])].as_py(), int(start[i]))
+        if name(0) == last:
+            at[: first[1] if len(first) > 1 else b.num_rows] += after
+        last, after = name(-1), int(at[-1]) + 1
+        yield pa.RecordBatch.from_arrays([*b.columns, pa.array(at)], names=[*b.schema.names, "_at"])
+
+
+def file_order(file: Column) -> Column:
+    """The order of the files of one output: by part number where they have one, however many digits it has, then by path."""
+    part = F.regexp_extract(file, r"/part-(\d+)[^/]*$", 1).try_cast("long")
+    return F.struct(F.coalesce(part, F.lit(-1)), file)
+
+
+def lines(spark: SparkSession, path: str | list[str], recursive: bool = False, whole: bool = False) -> DataFrame:
+    """(file, line_no from 0, value).  A line's number is its place in its file; whole: in all files of path, one after the other by
+    :func:`file_order`, as one text that an output's part files make up.
+
+    Files are read by splits, however long they are.  Splits' lines are counted first; then a line is numbered where it is read, by its
+    place in its split after the lines of the splits before.
+    """
     raw = spark.read.option("recursiveFileLookup", recursive).text(path)
     m = raw.metadataColumn("_metadata")
-    at = [m["file_path"].alias("file"), m["file_block_start"].alias("_split")]
-    rows = raw.select(*at, F.monotonically_increasing_id().alias("_id"), "value")
-    rows = rows.withColumn("_at", F.row_number().over(Window.partitionBy("file", "_split").orderBy("_id")) - 1)
-    before = F.sum("_n").over(Window.partitionBy("file").orderBy("_split").rowsBetween(Window.unboundedPreceding, -1))
-    splits = raw.select(*at).groupBy("file", "_split").agg(F.count(F.lit(1)).alias("_n")).select("file", "_split", F.coalesce(before, F.lit(0)).alias("_from"))
-    return rows.join(splits, ["file", "_split"]).select("file", (F.col("_from") + F.col("_at")).alias("line_no"), "value")
+    at = [m["file_path"].alias("file"), m["file_block_start"].alias("_start"), m["file_block_length"].alias("_length")]
+    keys = ["file", "_start", "_length"]
+    before = Window.partitionBy(*([] if whole else ["file"])).orderBy(file_order(F.col("file")), "_start").rowsBetween(Window.unboundedPreceding, -1)  # a row for each split
+    counts = raw.select(*at).groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    counts = written(counts.select(*keys, "_n", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_from")), scratch(spark, "splits"))
+    rows = raw.select(*at, "value").mapInArrow(_placed, "file string, _start long, _length long, value string, _at long")
+    first = F.broadcast(counts) if counts.count() <= SPLITS_SENT else counts
+    # the same splits both times, or no result at all
+    known = F.coalesce(F.when(F.col("_at") < F.col("_n"), F.col("_from")), F.raise_error(F.lit("files were split in another way when they were read again")).cast("long"))
+    return rows.join(first, keys, "left").select("file", (known + F.col("_at")).alias("line_no"), "value")
 
 
 def numbered(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """(part, line_no, value) of several files, one after the other."""
-    parts = [lines(spark, p).select(F.lit(i).alias("part"), "line_no", "value") for i, p in enumerate(paths)]
+    """(part, line_no, value) of several texts, one after the other, each a file or a folder of part files."""
+    parts = [lines(spark, p, whole=True).select(F.lit(i).alias("part"), "line_no", "value") for i, p in enumerate(paths)]
     return functools.reduce(DataFrame.unionByName, parts)
 
 
@@ -116,7 +156,7 @@ def subtitle_turns(raw: DataFrame, strict: bool = False) -> DataFrame:
 
 
 def aligned(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Pairs of two line-aligned files, as far as the shorter goes."""
+    """Pairs of two line-aligned texts, as far as the shorter goes; line_no numbers a whole text, over all its part files."""
     a, b = left.select("line_no", F.trim("value").alias("inputs")), right.select("line_no", F.trim("value").alias("targets"))
     return a.join(b, "line_no")
 
@@ -128,7 +168,7 @@ def word_list(raw: DataFrame) -> DataFrame:
 
 def input_file(spark: SparkSession, path: str) -> DataFrame:
     """(ordinal, source): utterances to answer, one a line."""
-    return lines(spark, path).select(F.col("line_no").alias("ordinal"), F.col("value").alias("source"))
+    return lines(spark, path, whole=True).select(F.col("line_no").alias("ordinal"), F.col("value").alias("source"))
 
 
 def typed_lines(spark: SparkSession, typed: Iterable[str]) -> DataFrame:
