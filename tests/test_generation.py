@@ -174,16 +174,19 @@ def test_modes(spark, tmp_path):
     common = ["--problem", "daily_dialog_chatbot", "--raw_dir", raw, "--data_dir", str(tmp_path / "out"), "--decode_dir", str(tmp_path / "decode"), "--train_dir", str(tmp_path / "train"), "--beam_size", "2"]
     asked = put(tmp_path / "in", {"ask.txt": "hello\n\nbye\n"}) + "/ask.txt"
     made = M.main(["--mode", "generate_data", *common], spark)
-    M.main(["--mode", "decode", *common, "--input", asked], spark)
+    M.main(["--mode", "decode", *common, "--input", asked, "--respond", "draw"], spark)
     lines = [r.value for r in R.lines(spark, f"{tmp_path}/decode/inference.txt").orderBy("file", "line_no").collect()]
     assert len(lines) == 3 and all(len(x.split("\t")) == 2 for x in lines)
     train = {r.target for r in spark.read.parquet(made.pairs).where("split = 'train'").collect()}
     assert all(t in train for x in lines for t in x.split("\t"))
+    M.main(["--mode", "decode", *common, "--input", asked, "--output", "beams.txt"], spark)
+    beams = [r.value.split("\t") for r in R.lines(spark, f"{tmp_path}/decode/beams.txt", whole=True).orderBy("line_no").collect()]
+    assert len(beams) == 3 and all(len(x) == 2 and x[0].split(" ")[0] in ("two", "three") for x in beams)
     sample = M.inputs_of(spark, "dataset", None, spark.read.parquet(made.pairs), 5)
     assert sample.count() == 5 and {r.source for r in sample.collect()} <= {r.source for r in spark.read.parquet(made.pairs).where("split = 'dev'").collect()}
     assert [r.source for r in M.inputs_of(spark, "interactive", None, None, 0, ["a\n", "b\n", "\n", "c\n"]).collect()] == ["a", "b"]
     assert R.arriving_lines(spark, str(tmp_path / "in")).isStreaming
-    outs = M.experiment(spark, made, sample, str(tmp_path), str(tmp_path / "sweep"), beam_size=1, steps=SWEEP[:2])
+    outs = M.experiment(spark, made, sample, str(tmp_path), str(tmp_path / "sweep"), M.train_responses, beam_size=1, steps=SWEEP[:2])
     assert [Path(o).name for o in outs] == ["test_set_1.txt", "test_set_1328.txt"]
     assert Path(tmp_path, "checkpoint").read_text() == 'model_checkpoint_path: "model.ckpt-1328"'
     record = next(p for p in (tmp_path / "decode").iterdir() if p.name.startswith("config."))

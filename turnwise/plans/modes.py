@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from turnwise.functions.order import ordinals
+from turnwise.operators import beams as B
 from turnwise.operators import dialogs as D
 from turnwise.operators import metrics as M
 from turnwise.plans import config as C
@@ -22,8 +23,7 @@ DECODE_MODES = ("interactive", "file", "dataset")
 
 
 def train_responses(pairs: DataFrame, inputs: DataFrame, beams: int) -> DataFrame:
-    """(ordinal, response, score): to each input (ordinal, source) as many training targets as beams, by a seeded draw.  A stand-in for
-    a model: whatever gives rows of this form for (pairs, inputs, beams) can take its place."""
+    """(ordinal, response, score): to each input (ordinal, source) as many training targets as beams, by a seeded draw.  A baseline; whatever gives rows of this form for (pairs, inputs, beams) can take its place."""
     train = pairs.where("split = 'train'").select("target", F.col("ordinal").alias("at"))
     train = train.join(ordinals(train, "at").select("at", "ordinal"), "at").select("ordinal", "target")
     each = inputs.select(F.col("ordinal").alias("asked"), "source", F.explode(F.sequence(F.lit(0), F.lit(beams - 1))).alias("k"))
@@ -31,6 +31,22 @@ def train_responses(pairs: DataFrame, inputs: DataFrame, beams: int) -> DataFram
     return drawn.select(F.col("asked").alias("ordinal"), F.col("response"), (-F.col("k")).cast("double").alias("score"))
 
 
+#: The most words of a response that is searched for.
+MOST_WORDS = 30
+
+
+def beam_responses(pairs: DataFrame, inputs: DataFrame, beams: int) -> DataFrame:
+    """(ordinal, response, score): to each input (ordinal, source) the best responses of a beam search over the training pairs' next words."""
+    following = B.next_words(pairs.where("split = 'train'"), beams)
+    asked = inputs.select(F.col("ordinal").alias("input"), B.start_of(F.col("source")).alias("start"))
+    found = B.beam_search(asked, following, beams, MOST_WORDS)
+    return found.select(F.col("input").alias("ordinal"), "response", (-F.col("cost") / 1_000_000).alias("score"))
+
+
+#: By name: what gives responses.
+RESPONSES: dict[str, Callable] = {"beam": beam_responses, "draw": train_responses}
+
+
 def inputs_of(spark: SparkSession, mode: str, path: str | None, pairs: DataFrame, n: int, typed=None) -> DataFrame:
     """(ordinal, source) to answer: typed lines, a file's lines, or a random sample of the validation pairs."""
     if mode == "interactive":
@@ -42,7 +58,7 @@ def inputs_of(spark: SparkSession, mode: str, path: str | None, pairs: DataFrame
     raise ValueError(f"no decode mode {mode}; there are: {', '.join(DECODE_MODES)}")
 
 
-def decode(spark: SparkSession, outputs: P.Outputs, inputs: DataFrame, path: str, respond: Callable = train_responses, beam_size: int = 10, return_beams: bool = True) -> DataFrame:
+def decode(spark: SparkSession, outputs: P.Outputs, inputs: DataFrame, path: str, respond: Callable = beam_responses, beam_size: int = 10, return_beams: bool = True) -> DataFrame:
     """Answers to inputs (ordinal, source) by respond, the best beam_size of each; written to path, all beams or the best one."""
     pairs = spark.read.parquet(outputs.pairs)
     best = M.best(respond(pairs, inputs, beam_size), "ordinal", "score", "response", beam_size)
@@ -50,7 +66,7 @@ def decode(spark: SparkSession, outputs: P.Outputs, inputs: DataFrame, path: str
     return best
 
 
-def experiment(spark: SparkSession, outputs: P.Outputs, inputs: DataFrame, train_dir: str, decode_dir: str, respond: Callable = train_responses, beam_size: int = 10, steps=C.SWEEP) -> list[str]:
+def experiment(spark: SparkSession, outputs: P.Outputs, inputs: DataFrame, train_dir: str, decode_dir: str, respond: Callable = beam_responses, beam_size: int = 10, steps=C.SWEEP) -> list[str]:
     """decode at each checkpoint of the list, whose pointer is written first."""
     made = []
     for step in steps:
@@ -67,12 +83,12 @@ def _train(args, spark, outputs):
 def _decode(args, spark, outputs):
     inputs = inputs_of(spark, args.decode_mode, args.input, spark.read.parquet(outputs.pairs), args.sample)
     O.write_record(spark, P.with_changes(C.Config(), args.config), args.decode_dir)
-    decode(spark, outputs, inputs, f"{args.decode_dir}/{args.output}", beam_size=args.beam_size, return_beams=not args.best_only)
+    decode(spark, outputs, inputs, f"{args.decode_dir}/{args.output}", RESPONSES[args.respond], beam_size=args.beam_size, return_beams=not args.best_only)
 
 
 def _experiment(args, spark, outputs):
     inputs = inputs_of(spark, args.decode_mode, args.input, spark.read.parquet(outputs.pairs), args.sample)
-    experiment(spark, outputs, inputs, args.train_dir, args.decode_dir, beam_size=args.beam_size)
+    experiment(spark, outputs, inputs, args.train_dir, args.decode_dir, RESPONSES[args.respond], beam_size=args.beam_size)
 
 
 #: By name: what runs once the data is there.
@@ -96,6 +112,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> P.
     a.add_argument("--output", default="inference.txt")
     a.add_argument("--sample", type=int, default=100)
     a.add_argument("--beam_size", type=int, default=10)
+    a.add_argument("--respond", default="beam", choices=sorted(RESPONSES))
     a.add_argument("--best_only", action="store_true")
     args = a.parse_args(argv)
     if args.mode not in MODES:

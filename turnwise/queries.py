@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from turnwise.functions import text as T
 from turnwise.functions.order import row_ordinals
+from turnwise.operators import beams as B
 from turnwise.operators import dialogs as D
 from turnwise.operators import filtering as E
 from turnwise.operators import metrics as M
@@ -15,6 +16,7 @@ from turnwise.plans import config as C
 from turnwise.plans import problems as P
 from turnwise.sinks.paths import scratch, written
 from turnwise.sources import readers as R
+from turnwise.streaming import dialogs as SD
 from turnwise.streaming import incremental as S
 
 QUERIES: dict = {}
@@ -482,6 +484,44 @@ def labels_against_prediction(spark, sf_dir):
     return j.groupBy("quality", "toxic").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg((F.col("n_chars") > 500).cast("int")), 6).alias("long_share"))
 
 
+#: A beam's width, and the most words of a response.
+_WIDTH, _LENGTH = 10, 8
+_LAST = lambda c: f"concat_ws(' ', '>', list_extract({words_sql(c)}, -1))"
+_BEAMS = f"""WITH RECURSIVE {_SPLIT}, ft AS (SELECT {_LAST('source')} AS start, {words_sql('target')} AS t FROM routed WHERE split = 'train'),
+tr AS (SELECT unnest(list_concat([start], t)) AS state, unnest(list_concat(t, [''])) AS word FROM ft UNION ALL SELECT '>', coalesce(t[1], '') FROM ft WHERE start <> '>'),
+nw AS (SELECT state, word, CAST(round(ln(sum(c) OVER (PARTITION BY state) / c) * 1000000) AS BIGINT) AS cost FROM (SELECT state, word, count(*) AS c FROM tr GROUP BY ALL)),
+nx AS (SELECT * FROM nw QUALIFY row_number() OVER (PARTITION BY state ORDER BY cost, word) <= {_WIDTH})"""
+
+
+def _beam_sql(inputs: str, keys: str) -> str:
+    """The beams of inputs (keys, start) after the last step."""
+    return f"""{_BEAMS}, asked AS ({inputs}), bm AS (SELECT {keys}, 0 AS step, CAST(1 AS BIGINT) AS rank, CAST([] AS VARCHAR[]) AS said, CASE WHEN start IN (SELECT state FROM nx) THEN start ELSE '>' END AS state, CAST(0 AS BIGINT) AS cost, false AS ended FROM asked
+UNION ALL SELECT {keys}, step + 1, r, CASE WHEN word = '' THEN said ELSE list_append(said, word) END, word, cost, word = '' FROM (SELECT {keys}, step, said, word, sofar AS cost, row_number() OVER (PARTITION BY {keys} ORDER BY sofar, rank, word) AS r
+FROM (SELECT {', '.join('bm.' + k.strip() for k in keys.split(','))}, step, rank, said, coalesce(nx.word, '') AS word, bm.cost + coalesce(nx.cost, 0) AS sofar FROM bm LEFT JOIN nx ON nx.state = bm.state AND NOT ended WHERE step < {_LENGTH} AND (ended OR nx.word IS NOT NULL))) WHERE r <= {_WIDTH})"""
+
+
+_TESTED = f"SELECT dialog_no, turn, {_LAST('source')} AS start FROM routed WHERE split = 'test'"
+
+
+def _beams(spark, sf_dir) -> DataFrame:
+    r = written(routed(spark, sf_dir), scratch(spark, "routed"))
+    inputs = r.where("split = 'test'").select(F.struct("dialog_no", "turn").alias("input"), B.start_of(F.col("source")).alias("start"))
+    found = B.beam_search(inputs, B.next_words(r.where("split = 'train'"), _WIDTH), _WIDTH, _LENGTH)
+    return found.select("input.dialog_no", "input.turn", F.col("rank").cast("long"), "response", "cost")
+
+
+@query(f"{_beam_sql(_TESTED, 'dialog_no, turn')} SELECT dialog_no, turn, rank, array_to_string(said, ' ') AS response, cost FROM bm WHERE step = {_LENGTH}")
+def beam_search(spark, sf_dir):
+    """Ten best responses to each source of the test split, word by word, by the training split's next words; all beams."""
+    return _beams(spark, sf_dir)
+
+
+@query(f"{_beam_sql(_TESTED, 'dialog_no, turn')} SELECT dialog_no, turn, array_to_string(said, ' ') AS response, cost FROM bm WHERE step = {_LENGTH} AND rank = 1")
+def beam_search_best(spark, sf_dir):
+    """The same, the best beam only."""
+    return _beams(spark, sf_dir).where("rank = 1").select("dialog_no", "turn", "response", "cost")
+
+
 # ---- Filtering --------------------------------------------------------------------------------------------------------------
 
 _STEPS = "steps AS (SELECT * FROM (SELECT event_id, user_id, event_type AS source, lead(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS target FROM events) WHERE target IS NOT NULL)"
@@ -660,6 +700,24 @@ def streaming_word_count(spark, sf_dir):
     return S.drained(spark, f"{sf_dir}/conversations.parque[t]", S.word_counts, "complete", scratch(spark, "word-counts"))
 
 
+@query(f"""{_beam_sql("SELECT DISTINCT state AS s, state AS start FROM nx WHERE starts_with(state, '>')", 's')}, an AS (SELECT s, array_to_string(said, ' ') AS response FROM bm WHERE step = {_LENGTH} AND rank = 1)
+SELECT dialog_no, turn, source, coalesce(response, (SELECT response FROM an WHERE s = '>')) AS response FROM (SELECT *, {_LAST('source')} AS start FROM routed WHERE split = 'test') LEFT JOIN an ON an.s = start""")
+def streaming_decode(spark, sf_dir):
+    """Sources of the test split arrive in files, one a batch, and are answered."""
+    r = written(routed(spark, sf_dir), scratch(spark, "routed"))
+    sources, arrived = r.where("split = 'test'").select("dialog_no", "turn", "source"), scratch(spark, "arriving")
+    sources.repartition(3, "dialog_no").write.parquet(arrived)
+    return SD.decoded(SD.arriving(spark, arrived, sources.schema), B.answers(r.where("split = 'train'"), _WIDTH, _LENGTH), scratch(spark, "decoded"))
+
+
+@query(f"WITH {_TURNS}, {_PAIRS} SELECT * FROM pairs")
+def streaming_pairs(spark, sf_dir):
+    """Turns arrive in files, in any order, and are paired with the next one of their dialog."""
+    t, arrived = turns(spark, sf_dir).select("dialog_no", "turn", "clean", F.timestamp_seconds(F.col("turn") + 1_000_000_000).alias("ts")), scratch(spark, "arriving")
+    t.repartition(3, F.xxhash64("dialog_no", "turn")).write.parquet(arrived)
+    return SD.with_rocks(spark, lambda: SD.drained_once(SD.pairs(SD.arriving(spark, arrived, t.schema)), scratch(spark, "paired")))
+
+
 @query("SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS value FROM events GROUP BY ALL")
 def windowed_event_counts(spark, sf_dir):
     return S.windowed_events(read(spark, sf_dir, "events"))
