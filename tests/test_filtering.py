@@ -1,6 +1,7 @@
 """Clusters, medoids, distances and near copies against plain Python."""
 
 import math
+import random
 from collections import Counter
 
 import numpy as np
@@ -8,7 +9,12 @@ import pytest
 from pyspark.sql import functions as F
 
 from turnwise.operators import filtering as E
+from turnwise.operators import forest as H
+from turnwise.operators import medoids as K
 from turnwise.operators import metrics as M
+from turnwise.operators import sentences as SE
+from turnwise.operators import trees as TR
+from turnwise.sinks import clusters as SC
 
 
 def test_cluster_filter(spark):
@@ -39,29 +45,170 @@ def test_next_word_loss(spark):
     assert (got.tokens, got.loss) == (7, pytest.approx(want, abs=1e-6))
 
 
+def points(spark, n=60, dim=3, seed=0):
+    rng = np.random.RandomState(seed)
+    v = np.concatenate([rng.normal(c, 0.1, (n // 3, dim)) for c in (0, 5, 9)])
+    return v, spark.createDataFrame([(i, [float(y) for y in x]) for i, x in enumerate(v)], "id long, vector array<double>")
+
+
+def plain_medoid(v, members):
+    mean = lambda i: round(float(np.mean([np.sqrt(((v[i] - v[j]) ** 2).sum()) for j in members])), 6)
+    return min((mean(i), i) for i in members)
+
+
 def test_medoids_and_nearest(spark):
-    rng = np.random.RandomState(0)
-    v = np.concatenate([rng.normal(c, 0.1, (20, 3)) for c in (0, 5, 9)])
-    df = spark.createDataFrame([(i, [float(y) for y in x]) for i, x in enumerate(v)], "id long, vector array<double>")
-    labels, centres, rounds = E.k_medoids(df, 3)
+    v, df = points(spark)
+    labels, centres, rounds = K.k_medoids(df, 3)
     got = {r.id: r.cluster for r in labels.collect()}
     assert rounds <= 20 and len(centres) == 3
     for i, x in enumerate(v):
         d = [round(float(((x - v[c]) ** 2).sum()), 6) for c in centres]
         assert got[i] == centres[int(np.argmin(d))]
-    means = {c: v[[i for i in got if got[i] == c]].mean(0) for c in centres}
-    best = {c: min((i for i in got if got[i] == c), key=lambda i: (round(float(((v[i] - means[c]) ** 2).sum()), 4), i)) for c in centres}
-    assert sorted(best.values()) == centres  # they stay
+    assert sorted(plain_medoid(v, [i for i in got if got[i] == c])[1] for c in centres) == centres  # they stay
     clusters = E.vector_clusters(df.withColumn("utterance", F.concat(F.lit("u"), "id")), labels).collect()
-    assert {(r.utterance, r.medoid) for r in clusters} == {(f"u{i}", f"u{c}") for i, c in got.items()}
+    assert len(clusters) == 60
+    assert K.k_medoids(df, 3, share=1.0)[2] <= rounds  # stops as soon as points have been seen to move or not
+    assert K.k_medoids(df, 3, max_rounds=0)[2] == 0
+
+
+@pytest.mark.parametrize("block,spread", [(1024, 1.0), (40, 0.0)])
+def test_exact_medoids(spark, monkeypatch, block, spread):
+    """Equal to brute force on clusters of 500, also where all points are alike or far from most pivots, and with few of them measured."""
+    monkeypatch.setattr(K, "BLOCK", block)
+    rng = np.random.RandomState(3)
+    v = np.concatenate([rng.normal(0, 1, (500, 2)) * spread + [0, 0], rng.standard_cauchy((500, 2)) + 50, np.zeros((5, 2)), [[1.0, 2.0]]])
+    label = [0] * 500 + [1] * 500 + [2] * 5 + [3]
+    df = spark.createDataFrame([(i, [float(y) for y in x]) for i, x in enumerate(v)], "id long, vector array<double>").repartition(5)
+    labels = spark.createDataFrame(list(enumerate(label)), "id long, cluster int")
+    got, measured = K.exact_medoids(df, labels)
+    found = {r.cluster: (r.distance, r.medoid) for r in got.collect()}
+    for c in range(4):
+        members = np.flatnonzero(np.array(label) == c)
+        d = np.sqrt(((v[members][:, None] - v[members][None]) ** 2).sum(2)).mean(1).round(6)
+        assert found[c] == (pytest.approx(d.min(), abs=2e-6), found[c][1])
+        assert d[list(members).index(found[c][1])] == pytest.approx(d.min(), abs=2e-6)
+    if spread:
+        assert measured < 600
 
 
 def test_sentence_distances(spark):
-    tokens, m = E.word_distances(spark.createDataFrame([("a", [0.0, 0.0]), ("b", [3.0, 4.0]), ("c", [0.0, 1.0])], "token string, vector array<double>"))
-    assert tokens == ["a", "b", "c"] and m[0, 1] == pytest.approx(5) and m[0, 2] == pytest.approx(1)
+    words = SE.word_distances(spark.createDataFrame([("a", [0.0, 0.0]), ("b", [3.0, 4.0]), ("c", [0.0, 1.0])], "token string, vector array<double>"))
+    assert words.tokens == ["a", "b", "c"] and words.matrix[0, 1] == pytest.approx(5) and words.matrix[0, 2] == pytest.approx(1)
     rows = spark.createDataFrame([(0, "a b"), (1, "c x"), (2, "zzz"), (3, None), (4, "a")], "id long, utterance string")
-    got = {(r.input, r.id): r.distance for r in E.sentence_distances(rows.where("id in (0, 2)"), rows, tokens, m, 99.0).collect()}
+    got = {(r.input, r.id): r.distance for r in SE.sentence_distances(rows.where("id in (0, 2)"), rows, words, 99.0).collect()}
     assert got == {(0, 0): 0.0, (0, 1): pytest.approx((1 + math.sqrt(18)) / 2, abs=1e-6), (0, 4): 2.5}
+    assert SE.sentence_distances(rows.limit(0), rows, words, 99.0).count() == 0
+
+
+@pytest.mark.parametrize("most", [0.3, 0.8])
+def test_pruned_distances_are_the_whole_matrix_s(spark, monkeypatch, most):
+    monkeypatch.setattr(SE, "QUERY_BLOCK", 7)
+    monkeypatch.setattr(SE, "ROW_BLOCK", 50)
+    rng = np.random.RandomState(5)
+    vectors = np.concatenate([rng.normal(c, 0.15, (20, 4)) for c in (0, 1, 2, 3)])
+    names = [f"w{i:02d}" for i in range(80)]
+    words = SE.word_distances(spark.createDataFrame([(n, [float(y) for y in x]) for n, x in zip(names, vectors)], "token string, vector array<double>"))
+    texts = [" ".join(rng.choice(names[20 * (i % 4) : 20 * (i % 4) + 25 + 40 * (i % 7 == 0)], rng.randint(1, 12))) for i in range(400)] + ["", None, "unknown"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id long, utterance string").repartition(3)
+    number = {n: i for i, n in enumerate(names)}
+    bags = [[number[w] for w in (t or "").split() if w in number] for t in texts]
+    want = {}
+    for q in range(0, len(texts), 20):
+        for i, b in enumerate(bags):
+            if bags[q] and b:
+                d = words.matrix[np.ix_(bags[q], b)]
+                far = max(d.min(1).mean(), d.min(0).mean())
+                if far <= most:
+                    want[q, i] = far
+    got = {(r.input, r.id): r.distance for r in SE.sentence_distances(rows.where("id % 20 = 0"), rows, words, most).collect()}
+    assert got == {k: pytest.approx(x, abs=2e-6) for k, x in want.items()}
+    asked, every = SE.Sentences(list(range(0, len(texts), 20)), texts[::20], words), SE.Sentences(list(range(len(texts))), texts, words)
+    measured = SE.near_pairs(asked, every, words, most)[3]
+    assert len(want) <= measured < len(asked) * len(every) / 2
+
+
+def test_word_tree(spark):
+    rng = random.Random(2)
+    said = [[rng.choice("abc") for _ in range(rng.randint(0, 6))] for _ in range(200)] + [None, []]
+    df = spark.createDataFrame(list(enumerate(said)), "id long, words array<string>").repartition(3)
+    for thin, depth in ((1, 9), (5, 3), (1000, 4)):
+        nodes = {}
+        for i, w in enumerate(said):
+            for level in range(1, min(len(w or []), depth) + 1):
+                first, n = nodes.get(tuple(w[:level]), (i, 0))
+                nodes[tuple(w[:level])] = first, n + 1
+        want = {(len(p), x, nodes[p[:-1]][0] if len(p) > 1 else -1, p[-1], n) for p, (x, n) in nodes.items() if len(p) == 1 or nodes[p[:-1]][1] >= thin}
+        tree = TR.word_tree(df, thin, depth)
+        assert {tuple(r) for r in tree.collect()} == want
+        each, total = Counter(w for x in said for w in x or []), sum(len(x or []) for x in said)
+        inside = {p: n for p, (_, n) in nodes.items() if len(p) == 1 or nodes[p[:-1]][1] >= thin}
+        loss, covered = 0.0, 0
+        for x in said:
+            for k in range(1, len(x or []) + 1):
+                if tuple(x[:k]) in inside:
+                    loss -= math.log(inside[tuple(x[:k])] / sum(n for p, n in inside.items() if p[:-1] == tuple(x[: k - 1])))
+                    covered += 1
+                else:
+                    loss -= math.log(each[x[k - 1]] / total)
+        got = TR.tree_loss(tree, df).first()
+        assert (got.tokens, got.in_tree, got.loss) == (total, covered, pytest.approx(loss / total, abs=2e-6))
+
+
+@pytest.mark.parametrize("characters", [False, True])
+def test_nearest_medoids_in_a_forest(spark, characters):
+    """At least nine in ten points get a medoid as similar as the most similar one, and most pairs are never compared."""
+    rng = random.Random(4)
+    said = sorted({r.text.lower() for r in spark.read.parquet("/root/testdata/sf0.01/conversations.parquet").where("text is not null").collect()})
+    if not characters:  # near copies of some among others
+        said = [" ".join(w for w in t.split() if rng.random() < 0.9) + f" x{rng.randint(0, 50)}" for t in said for _ in range(2)]
+    said = sorted(set(said)) + ["", "zzzz qqqq"]
+    cut = (lambda t: set(t)) if characters else (lambda t: set(t.split()))
+    sets = spark.createDataFrame([(t,) for t in said], "id string").select("id", H.elements(F.col("id"), characters).alias("set"))
+    chosen = rng.sample(said[:-2], 40)
+    near, met = H.nearest_medoids(sets, sets.where(F.col("id").isin(chosen)))
+    like = lambda a, b: round(len(cut(a) & cut(b)) / max(1, len(cut(a) | cut(b))), 6)
+    got = {r.id: (r.medoid, r.similarity) for r in near.collect()}
+    assert set(got) == set(said)
+    right = 0
+    for t, (m, s) in got.items():
+        assert m in chosen and s == like(t, m)
+        right += s == max(like(t, c) for c in chosen)
+    assert right >= 0.9 * len(said)
+    if not characters:
+        assert met.count() < 0.8 * len(said) * len(chosen)
+    assert got[""] == (min(chosen), 0.0)
+
+
+def test_forest_clusters_feed_the_filter(spark):
+    pairs = spark.createDataFrame([("how are you my friend", "fine thanks a lot"), ("how are you my dear friend", "not well at all"), ("what is the time now", "noon"), ("what is the time just now", "noon")], "source string, target string")
+    clusters = H.forest_clusters(pairs.select(F.col("source").alias("utterance")), 2)
+    assert clusters.count() == 4 and clusters.select("cluster").distinct().count() <= 2
+    identity = E.identity_clusters(pairs.select(F.col("target").alias("utterance")))
+    left = E.cluster_filter(E.clustered(pairs, clusters, identity), "source", E.Limits(0.9))
+    high = {r.cluster for r in E.flagged(E.cluster_rows(E.clustered(pairs, clusters, identity), "source"), E.Limits(0.9)).collect()}
+    assert {r.source for r in left.collect()} == {r.utterance for r in clusters.collect() if r.cluster not in high}
+
+
+def test_saved_clusters_join_where_they_lie(spark, tmp_path):
+    said = [f"u{i}" for i in range(500)]
+    clusters = spark.createDataFrame([(u, i % 7, f"u{i % 7}") for i, u in enumerate(said)], "utterance string, cluster int, medoid string")
+    pairs = spark.createDataFrame([(said[i % 500], said[i * 7 % 500], i) for i in range(2000)], "source string, target string, place int")
+    try:
+        SC.save_clusters(clusters, "kept_clusters", f"{tmp_path}/c")
+        SC.save_clusters(clusters.where("cluster = 0").withColumn("cluster", F.lit(99)), "newer_clusters", f"{tmp_path}/n")
+        SC.save_pairs(pairs, "source", "kept_pairs", f"{tmp_path}/p")
+        joined = SC.with_side(spark.table("kept_pairs"), SC.load_clusters(spark, "kept_clusters"), "source")
+        plan = joined._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Exchange" not in plan
+        assert {(r.place, r.source_cluster) for r in joined.collect()} == {(i, i % 500 % 7) for i in range(2000)}
+        merged = {r.utterance: r.cluster for r in SC.load_clusters(spark, "kept_clusters", "newer_clusters").collect()}
+        assert merged == {u: i % 7 or 99 for i, u in enumerate(said)}
+        assert {r.cluster: r.n for r in SC.count_lines(clusters).collect()} == Counter(i % 7 for i in range(500))
+        SC.save_clusters(clusters.limit(3), "kept_clusters", f"{tmp_path}/c")  # replaced
+        assert spark.table("kept_clusters").count() == 3
+    finally:
+        for name in ("kept_clusters", "newer_clusters", "kept_pairs"):
+            spark.sql(f"DROP TABLE IF EXISTS {name}")
 
 
 def planted(n):

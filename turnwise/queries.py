@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -10,10 +12,15 @@ from turnwise.functions.order import row_ordinals
 from turnwise.operators import beams as B
 from turnwise.operators import dialogs as D
 from turnwise.operators import filtering as E
+from turnwise.operators import forest as H
+from turnwise.operators import medoids as K
 from turnwise.operators import metrics as M
+from turnwise.operators import sentences as SE
+from turnwise.operators import trees as TR
 from turnwise.operators import vocab as V
 from turnwise.plans import config as C
 from turnwise.plans import problems as P
+from turnwise.sinks import clusters as SC
 from turnwise.sinks.paths import scratch, written
 from turnwise.sources import readers as R
 from turnwise.streaming import dialogs as SD
@@ -628,9 +635,22 @@ JOIN (SELECT {a}_cluster, round(avg(len({words_sql(a)})), 6) AS l FROM cp GROUP
 avg_embedding_filter_source, avg_embedding_filter_target, avg_embedding_filter_both = map(_cluster_filter, ("source", "target", "both"))
 
 
-def _filtered_by(spark, sf_dir, clusters: DataFrame) -> DataFrame:
+@query(SQL["avg_embedding_filter_source"])
+def saved_cluster_filter(spark, sf_dir):
+    """The filter by sources' clusters, with pairs and clusters read from bucketed tables, which join where they lie."""
+    tag = uuid.uuid4().hex
+    names = [f"{kind}_{tag}" for kind in ("clusters", "pairs")]
+    clusters = written(avg_embedding_cluster(spark, sf_dir), scratch(spark, "clusters")).select("utterance", "cluster", F.col("utterance").alias("medoid"))
+    SC.save_clusters(clusters, names[0], scratch(spark, "saved"))
+    SC.save_pairs(D.pairs(turns(spark, sf_dir)), "source", names[1], scratch(spark, "saved"))
+    one = SC.with_side(spark.table(names[1]), SC.load_clusters(spark, names[0]), "source")
+    both = one.join(clusters.select(F.col("utterance").alias("target"), F.col("cluster").alias("target_cluster"), F.col("medoid").alias("target_medoid")), "target")
+    return E.cluster_filter(both, "source", _CLUSTER_LIMITS).select("dialog_no", "turn", "source", "target", "source_cluster", "target_cluster")
+
+
+def _filtered_by(spark, sf_dir, clusters: DataFrame, threshold: float = 0.9) -> DataFrame:
     c = written(clusters, scratch(spark, "clusters"))
-    return E.cluster_filter(E.clustered(D.pairs(turns(spark, sf_dir)), c, c), "both", E.Limits(threshold=0.9, min_cluster_size=2)).select("dialog_no", "turn", "source", "target", "source_cluster", "target_cluster")
+    return E.cluster_filter(E.clustered(D.pairs(turns(spark, sf_dir)), c, c), "both", E.Limits(threshold=threshold, min_cluster_size=2)).select("dialog_no", "turn", "source", "target", "source_cluster", "target_cluster")
 
 
 @query()
@@ -650,9 +670,9 @@ def near_copy_filter(spark, sf_dir):
 
 @query()
 def k_medoids(spark, sf_dir):
-    """Embeddings by iterated medoids until they stay."""
+    """Embeddings by iterated medoids, until one in a hundred moves or fewer."""
     points = written(read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector")), scratch(spark, "points"))
-    return E.k_medoids(points, 8)[0]
+    return K.k_medoids(points, 8, share=0.01)[0]
 
 
 @query()
@@ -663,7 +683,7 @@ def sentence_distance(spark, sf_dir):
     e = read(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("vector"))
     n = e.agg(F.count(F.lit(1)).alias("n"))  # one row
     vectors = words.crossJoin(n).withColumn("vec_id", (F.length("token") * 31 + F.ascii("token")) % F.col("n")).join(e, "vec_id").select("token", "vector")
-    return E.sentence_distances(t.where("id % 50 = 0"), t, *E.word_distances(vectors), most=0.5)
+    return SE.sentence_distances(t.where("id % 50 = 0"), t, SE.word_distances(vectors), most=0.5)
 
 
 @query(f"""{_PREDICTED}, x AS (SELECT p[1] AS first, g, unnest(range(1, len(g) + 1)) AS i FROM t WHERE len(g) > 0), c AS (SELECT first, g[1:i-1] AS before, g[i] AS word, count(*) AS c FROM x GROUP BY ALL),
@@ -674,6 +694,56 @@ def distribution_loss(spark, sf_dir):
     return E.next_word_loss(rows, "first", "g")
 
 
+_TREE = f"""o AS (SELECT *, row_number() OVER (ORDER BY dialog_no, turn) - 1 AS id FROM t), pf AS (SELECT id, i AS level, g[1:i] AS pre, g[1:i-1] AS up, g[i] AS word FROM (SELECT id, g, unnest(range(1, least(len(g), 6) + 1)) AS i FROM o)),
+nd AS (SELECT level, pre, any_value(up) AS up, any_value(word) AS word, min(id) AS node, count(*) AS n FROM pf GROUP BY level, pre), tree AS (SELECT a.level, a.node, coalesce(b.node, -1) AS parent, a.word, a.n FROM nd a LEFT JOIN nd b ON b.level = a.level - 1 AND b.pre = a.up WHERE a.level = 1 OR b.n >= 3)"""
+
+
+def _numbered_targets(spark, sf_dir) -> DataFrame:
+    r = row_ordinals(D.pairs(turns(spark, sf_dir)), "dialog_no", "turn", "id")
+    return written(r.select("id", T.tokens(F.col("target")).alias("words")), scratch(spark, "targets"))
+
+
+@query(f"{_PREDICTED}, {_TREE} SELECT CAST(level AS INT) AS level, node, parent, word, n FROM tree")
+def word_tree(spark, sf_dir):
+    """The tree of words that answers begin with, to a depth of six words; nodes of fewer than three answers have no children."""
+    return TR.word_tree(_numbered_targets(spark, sf_dir), 3, 6)
+
+
+@query(f"""{_PREDICTED}, {_TREE}, al AS (SELECT level, parent, sum(n) AS a FROM tree GROUP BY ALL), kn AS (SELECT word, sum(n) AS covered, sum(n * ln(n / a)) AS s FROM tree JOIN al USING (level, parent) GROUP BY word),
+wd AS (SELECT word, count(*) AS n FROM (SELECT unnest(g) AS word FROM t) GROUP BY word), tk AS (SELECT sum(n) AS tokens FROM wd)
+SELECT CAST(max(tokens) AS BIGINT) AS tokens, CAST(sum(coalesce(covered, 0)) AS BIGINT) AS in_tree, round(-sum(coalesce(s, 0) + (n - coalesce(covered, 0)) * ln(n / tokens)) / max(tokens), 6) + 0.0 AS loss FROM wd LEFT JOIN kn USING (word), tk""")
+def word_tree_loss(spark, sf_dir):
+    """How well the tree tells answers' words, and words' frequencies where the tree is thin."""
+    t = _numbered_targets(spark, sf_dir)
+    return TR.tree_loss(written(TR.word_tree(t, 3, 6), scratch(spark, "tree")), t)
+
+
+@query("""WITH d AS (SELECT label AS cluster, vec_id, embedding::DOUBLE[] AS e FROM embeddings), r AS (SELECT a.cluster, a.vec_id AS medoid, round(avg(list_distance(a.e, b.e)), 6) AS distance FROM d a JOIN d b USING (cluster) GROUP BY ALL)
+SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY cluster ORDER BY distance, medoid) = 1""")
+def exact_medoids(spark, sf_dir):
+    """Of each label the member with the least mean distance to all others."""
+    e = read(spark, sf_dir, "embeddings")
+    return K.exact_medoids(e.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector")), e.select(F.col("vec_id").alias("id"), F.col("label").alias("cluster")))[0]
+
+
+def _said(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """(pairs, their distinct utterances)."""
+    p = written(D.pairs(turns(spark, sf_dir)), scratch(spark, "pairs"))
+    return p, p.select(F.col("source").alias("utterance")).unionByName(p.select(F.col("target").alias("utterance"))).distinct()
+
+
+@query()
+def forest_clusters(spark, sf_dir):
+    """Utterances by the nearest of 32 of them, by words, in a forest of MinHash prefixes."""
+    return H.forest_clusters(_said(spark, sf_dir)[1], 32)
+
+
+@query()
+def forest_filter(spark, sf_dir):
+    """Pairs without those of such clusters, by characters, whose other side is of many clusters."""
+    return _filtered_by(spark, sf_dir, H.forest_clusters(_said(spark, sf_dir)[1], 32, characters=True), 2.0)
+
+
 def _shingles(clean):
     return F.array_distinct(M.ngrams(T.tokens(clean), 5))
 
