@@ -5,6 +5,7 @@ from __future__ import annotations
 import argparse
 import sys
 from collections.abc import Callable
+from contextlib import nullcontext
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,6 +17,7 @@ from turnwise.operators import metrics as M
 from turnwise.plans import config as C
 from turnwise.plans import problems as P
 from turnwise.sinks import outputs as O
+from turnwise.sinks import progress
 from turnwise.sources import readers as R
 
 #: How the inputs to answer are given.
@@ -114,12 +116,14 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> P.
     a.add_argument("--beam_size", type=int, default=10)
     a.add_argument("--respond", default="beam", choices=sorted(RESPONSES))
     a.add_argument("--best_only", action="store_true")
+    a.add_argument("--progress", action="store_true", help="tell rows by stage while it runs")
     args = a.parse_args(argv)
     if args.mode not in MODES:
         a.error("no suitable mode was given; it is one of: " + ", ".join(MODES))
     if args.mode == "train":
         _train(args, None, None)
     spark = spark or SparkSession.builder.getOrCreate()
-    outputs = P.generate(spark, args.problem, args.raw_dir, args.data_dir, P.with_changes(C.Config(), args.config), args.url)
-    MODES[args.mode](args, spark, outputs)
+    with progress.Progress(spark, lambda now: print(progress.line(now), file=sys.stderr)) if args.progress else nullcontext():
+        outputs = P.generate(spark, args.problem, args.raw_dir, args.data_dir, P.with_changes(C.Config(), args.config), args.url)
+        MODES[args.mode](args, spark, outputs)
     return outputs

@@ -5,6 +5,7 @@ A problem says how raw files become turns (:attr:`Problem.parse`) and turns beco
 
 from __future__ import annotations
 
+import functools
 import json
 from collections.abc import Callable
 from dataclasses import asdict, dataclass, replace
@@ -26,16 +27,35 @@ from turnwise.sources.archives import provided
 PAD, END = 0, 1
 
 
+class RawFiles:
+    """A run's raw texts, each a file or a folder of part files; the lines of each are counted once."""
+
+    def __init__(self, spark: SparkSession, paths: list[str]):
+        self.spark, self.paths = spark, paths
+        self._lines: dict[int, DataFrame] = {}
+
+    def lines(self, i: int) -> DataFrame:
+        """(file, line_no, value) of a text."""
+        if i not in self._lines:
+            self._lines[i] = R.lines(self.spark, self.paths[i], whole=True)
+        return self._lines[i]
+
+    def numbered(self) -> DataFrame:
+        """(part, line_no, value) of all texts, one after the other."""
+        parts = [self.lines(i).select(F.lit(i).alias("part"), "line_no", "value") for i in range(len(self.paths))]
+        return functools.reduce(DataFrame.unionByName, parts)
+
+
 @dataclass(frozen=True)
 class Problem:
     """parse: (spark, files, config, folder) to turns (dialog_no, turn, clean, …); pair: turns to (dialog_no, turn, source, target).
 
-    counted: which texts of the training split make the vocabulary.  names: name vocabulary, from lines (speaker).
+    faults: (spark, files) to the lines that parse leaves out.  counted: which texts of the training split make the vocabulary.  names: name vocabulary, from lines (speaker).
     """
 
     name: str
     corpus: str
-    parse: Callable[[SparkSession, list[str], Config, str], DataFrame]
+    parse: Callable[[SparkSession, RawFiles, Config, str], DataFrame]
     pair: Callable[[DataFrame], DataFrame] = D.pairs
     counted: str = "utterances"
     zero_based_if_strict: bool = False
@@ -43,6 +63,7 @@ class Problem:
     character_level: bool = False
     unknown: str = "<unk>"
     version: int = 1
+    faults: Callable[[SparkSession, RawFiles], DataFrame] | None = None
 
     def vocabulary_size(self, c: Config) -> int:
         return 0 if self.character_level else c.vocabulary_size + (c.name_vocabulary_size if self.names else 0)
@@ -86,16 +107,16 @@ def named(name: str) -> Problem:
 # ---- Raw files to turns -----------------------------------------------------------------------------------------------------
 
 
-def _movie_lines(spark: SparkSession, files: list[str], c: Config) -> DataFrame:
-    raw = R.lines(spark, files[0], whole=True)
+def _movie_lines(spark: SparkSession, files: RawFiles, c: Config) -> DataFrame:
+    raw = files.lines(0)
     if c.dataset_size:
         raw = raw.where(F.col("line_no") < c.dataset_size + c.strict)
     speaker = F.concat(F.translate("name", " ", "_"), F.lit("_"), "movie_id")
     return R.movie_lines(raw).select("line_id", speaker.alias("speaker"), T.clean(F.col("text")).alias("clean"))
 
 
-def _movie_turns(spark: SparkSession, files: list[str], c: Config, folder: str) -> DataFrame:
-    return R.spoken_turns(R.movie_dialogs(R.lines(spark, files[1], whole=True)), _movie_lines(spark, files, c))
+def _movie_turns(spark: SparkSession, files: RawFiles, c: Config, folder: str) -> DataFrame:
+    return R.spoken_turns(R.movie_dialogs(files.lines(1)), _movie_lines(spark, files, c))
 
 
 def _name_vocabulary(lines: DataFrame) -> DataFrame:
@@ -103,11 +124,11 @@ def _name_vocabulary(lines: DataFrame) -> DataFrame:
     return lines.groupBy(F.col("speaker").alias("token")).agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(F.length("line_id"), "line_id")).alias("first"))
 
 
-def _named_turns(spark: SparkSession, files: list[str], c: Config, folder: str) -> DataFrame:
+def _named_turns(spark: SparkSession, files: RawFiles, c: Config, folder: str) -> DataFrame:
     lines = written(_movie_lines(spark, files, c), f"{folder}/lines")
     names = written(_name_vocabulary(lines), f"{folder}/names")
     kept = V.top(names, c.name_vocabulary_size - 1).select(F.col("token").alias("name"))
-    return R.spoken_turns(R.movie_dialogs(R.lines(spark, files[1], whole=True)), D.replaced_names(lines, kept))
+    return R.spoken_turns(R.movie_dialogs(files.lines(1)), D.replaced_names(lines, kept))
 
 
 def _named_pairs(turns: DataFrame) -> DataFrame:
@@ -120,23 +141,23 @@ def _plain_movie_pairs(turns: DataFrame) -> DataFrame:
     return D.movie_pairs(turns).select("dialog_no", "turn", "source", "target")
 
 
-def _marked_turns(spark: SparkSession, files: list[str], c: Config, folder: str) -> DataFrame:
-    t = R.marked_dialogs(R.lines(spark, files[0], whole=True)).select("dialog_no", "turn", T.clean(F.col("text")).alias("clean"))
+def _marked_turns(spark: SparkSession, files: RawFiles, c: Config, folder: str) -> DataFrame:
+    t = R.marked_dialogs(files.lines(0)).select("dialog_no", "turn", T.clean(F.col("text")).alias("clean"))
     return D.limited_dialogs(t, c.dataset_size, c.strict) if c.dataset_size else t
 
 
-def _marked_dialogs(spark: SparkSession, files: list[str]) -> DataFrame:
+def _marked_dialogs(spark: SparkSession, files: RawFiles) -> DataFrame:
     """Lines without an utterance are dialogs, too."""
-    return R.lines(spark, files[0], whole=True).select(F.col("line_no").alias("dialog_no"))
+    return files.lines(0).select(F.col("line_no").alias("dialog_no"))
 
 
-def _numbered_turns(spark: SparkSession, files: list[str], c: Config, folder: str) -> DataFrame:
-    t = R.numbered_dialogs(R.numbered(spark, files), c.strict, size=c.dataset_size)
+def _numbered_turns(spark: SparkSession, files: RawFiles, c: Config, folder: str) -> DataFrame:
+    t = R.numbered_dialogs(files.numbered(), c.strict, size=c.dataset_size)
     return t.select("dialog_no", "turn", T.clean(F.col("text")).alias("clean"))
 
 
-def _subtitle_turns(spark: SparkSession, files: list[str], c: Config, folder: str) -> DataFrame:
-    said = R.subtitle_turns(R.lines(spark, files[0], recursive=True), c.strict)
+def _subtitle_turns(spark: SparkSession, files: RawFiles, c: Config, folder: str) -> DataFrame:
+    said = R.subtitle_turns(R.lines(spark, files.paths, recursive=True), c.strict)
     # written in order of their paths, files have numbers in that order
     paths = written(said.select("file").distinct().orderBy("file").select("file", F.monotonically_increasing_id().alias("at")), f"{folder}/files")
     numbers = D.ordinals(paths, "at").join(paths, "at").select("file", F.col("ordinal").alias("dialog_no"))
@@ -144,15 +165,27 @@ def _subtitle_turns(spark: SparkSession, files: list[str], c: Config, folder: st
     return D.limited_dialogs(t, c.dataset_size, c.strict, extra=1) if c.dataset_size else t
 
 
-def _given(spark: SparkSession, files: list[str], c: Config, folder: str) -> DataFrame:
+def _given(spark: SparkSession, files: RawFiles, c: Config, folder: str) -> DataFrame:
     raise ValueError("pairs are given by split, so there are no turns")
 
 
+def _movie_faults(spark: SparkSession, files: RawFiles) -> DataFrame:
+    return R.movie_line_faults(files.lines(0)).unionByName(R.movie_dialog_faults(files.lines(1)))
+
+
+def _marked_faults(spark: SparkSession, files: RawFiles) -> DataFrame:
+    return R.marked_dialog_faults(files.lines(0))
+
+
+def _numbered_faults(spark: SparkSession, files: RawFiles) -> DataFrame:
+    return R.numbered_dialog_faults(files.numbered())
+
+
 register(Problem("opensubtitles_chatbot", "opensubtitles", _subtitle_turns))
-register(Problem("cornell_chatbot_basic", "cornell", _movie_turns, _plain_movie_pairs, "sources"))
-register(Problem("cornell_chatbot_separate_names", "cornell", _named_turns, _named_pairs, "sources", names=True))
-register(Problem("daily_dialog_chatbot", "daily", _marked_turns))
-register(Problem("persona_chat_chatbot", "persona", _numbered_turns, zero_based_if_strict=True))
+register(Problem("cornell_chatbot_basic", "cornell", _movie_turns, _plain_movie_pairs, "sources", faults=_movie_faults))
+register(Problem("cornell_chatbot_separate_names", "cornell", _named_turns, _named_pairs, "sources", names=True, faults=_movie_faults))
+register(Problem("daily_dialog_chatbot", "daily", _marked_turns, faults=_marked_faults))
+register(Problem("persona_chat_chatbot", "persona", _numbered_turns, zero_based_if_strict=True, faults=_numbered_faults))
 register(Problem("character_chatbot", "pairs", _given, character_level=True))
 
 
@@ -187,7 +220,8 @@ def given_pairs(spark: SparkSession, raw_dir: str) -> DataFrame:
 
 
 def generate(spark: SparkSession, problem: str | Problem, raw_dir: str, out_dir: str, config: Config = Config(), url: str | None = None) -> Outputs:
-    """All outputs of a problem from the corpus below raw_dir: pairs, six aligned text outputs, vocabulary, encoded shards, a record.
+    """All outputs of a problem from the corpus below raw_dir: pairs, six aligned text outputs, vocabulary, encoded shards, the raw
+    lines that were left out and why, a record.
 
     They lie in a folder named by the problem and by its settings.  What is there already is not made again: a run that was cut at any step
     is finished by the next one, and so is one whose outputs have been removed; a mark at the end says that all is done.  Without the
@@ -208,7 +242,10 @@ def generate(spark: SparkSession, problem: str | Problem, raw_dir: str, out_dir:
     if p.corpus == "pairs":
         routed, turns, splits = given_pairs(spark, raw_dir), None, None
     else:
+        files = RawFiles(spark, files)
         turns = written(p.parse(spark, files, config, folder), f"{folder}/turns", counts)
+        if p.faults:
+            written(p.faults(spark, files), f"{folder}/quarantine", counts)
         # a dialog takes its place in the split whether it has pairs or not
         dialogs = _marked_dialogs(spark, files) if p.corpus == "daily" and not config.dataset_size else turns
         splits = written(D.with_split(dialogs.select("dialog_no").distinct(), dialogs, p.slot_base(config), config.dataset_split), f"{folder}/splits", counts)

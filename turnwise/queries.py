@@ -374,6 +374,19 @@ def delimited_parse(spark, sf_dir):
     return R.movie_lines(c.select(F.col("turn").alias("line_no"), value.alias("value")))
 
 
+_DELIMITED = "SELECT row_number() OVER (ORDER BY conv_id, turn) - 1 AS line_no, conv_id || '-' || CASE WHEN turn % 7 = 6 THEN turn - 1 ELSE turn END AS line_id, turn % 5 = 3 AS short FROM conversations"
+
+
+@query(f"""WITH l AS ({_DELIMITED}), k AS (SELECT *, max(line_no) OVER (PARTITION BY line_id) AS last FROM l WHERE NOT short)
+SELECT line_no, 'fewer than 5 fields' AS reason FROM l WHERE short UNION ALL SELECT line_no, 'its id comes again' FROM k WHERE line_no < last""")
+def quarantined_lines(spark, sf_dir):
+    """Turns written as delimited lines, some without their text and some with the id of the line before: what the reader leaves out."""
+    c = row_ordinals(read(spark, sf_dir, "conversations"), "conv_id", "turn", "line_no")
+    name = F.concat_ws("-", "conv_id", F.when(F.col("turn") % 7 == 6, F.col("turn") - 1).otherwise(F.col("turn")))
+    value = F.concat_ws(" +++$+++ ", name, F.lit("u0"), F.lit("m0"), "role", F.when(F.col("turn") % 5 != 3, F.translate("text", "\n", " ")))
+    return R.movie_line_faults(c.select("line_no", value.alias("value"))).select("line_no", "reason")
+
+
 @query("SELECT conv_id AS dialog_no, list(conv_id || 'L' || turn ORDER BY turn)[1] AS first_id, count(*) AS n FROM conversations GROUP BY conv_id")
 def dialog_id_lists(spark, sf_dir):
     """Lists of line ids written as the movie corpus does and parsed again."""
@@ -432,7 +445,7 @@ SELECT f.*, s.*, round({brevity}, 6) AS brevity, round(CASE WHEN {zero} THEN 0.0
 
 @query(_bleu_sql())
 def eval_bleu(spark, sf_dir):
-    return M.bleu(_predicted(spark, sf_dir), ["dialog_no", "turn"], "p", "g")
+    return M.bleu(_predicted(spark, sf_dir), "p", "g")
 
 
 @query(f"""{_PREDICTED}, e AS (SELECT len(g) AS n, len(list_filter(range(1, len(g) + 1), lambda i: list_contains(p[greatest(i - 2, 1):i + 2], g[i]))) AS r FROM t)

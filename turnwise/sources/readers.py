@@ -75,19 +75,42 @@ def numbered(spark: SparkSession, paths: list[str]) -> DataFrame:
     return functools.reduce(DataFrame.unionByName, parts)
 
 
+def quarantine(raw: DataFrame, reason: Column) -> DataFrame:
+    """(file, line_no, reason, value), as far as raw has them, of the lines that a reader leaves out."""
+    return raw.withColumn("reason", reason).where(F.col("reason").isNotNull()).select(*[c for c in ("file", "part", "line_no", "reason", "value") if c in (*raw.columns, "reason")])
+
+
+def _fields(n: int) -> Column:
+    return F.size(F.split("value", DELIMITER, -1)) >= n
+
+
 def movie_lines(raw: DataFrame) -> DataFrame:
-    """(line_id, user_id, movie_id, name, text) of ' +++$+++ ' rows; of a repeated line_id the last stays."""
+    """(line_id, user_id, movie_id, name, text) of ' +++$+++ ' rows; of a repeated line_id the last stays.  See :func:`movie_line_faults`."""
     f = F.split("value", DELIMITER, -1)
     cols = [f.getItem(i).alias(c) for i, c in enumerate(("line_id", "user_id", "movie_id", "name", "text"))]
-    rows = raw.where(F.size(f) >= 5).select("line_no", *cols)
+    rows = raw.where(_fields(5)).select("line_no", *cols)
     last = F.max_by(F.struct("user_id", "movie_id", "name", "text"), "line_no")
     return rows.groupBy("line_id").agg(last.alias("r")).select("line_id", "r.*")
 
 
+def movie_line_faults(raw: DataFrame) -> DataFrame:
+    """The lines that :func:`movie_lines` leaves out: with too few fields, or whose line_id comes again."""
+    short = quarantine(raw, F.when(~_fields(5), "fewer than 5 fields"))
+    ids = raw.where(_fields(5)).withColumn("_id", F.split("value", DELIMITER, -1).getItem(0))
+    stays = ids.groupBy("_id").agg(F.max("line_no").alias("_last"), F.count(F.lit(1)).alias("_n")).where("_n > 1").drop("_n")
+    again = ids.join(stays, "_id").where(F.col("line_no") < F.col("_last")).select(raw.columns)
+    return short.unionByName(quarantine(again, F.lit("its id comes again")))
+
+
 def movie_dialogs(raw: DataFrame) -> DataFrame:
-    """(dialog_no, line_ids) from the fourth field's list of ids."""
+    """(dialog_no, line_ids) from the fourth field's list of ids.  See :func:`movie_dialog_faults`."""
     ids = F.transform(F.split(F.split("value", DELIMITER, -1).getItem(3), ","), lambda x: F.regexp_replace(x, "[^A-Z0-9]", ""))
-    return raw.where(F.size(F.split("value", DELIMITER, -1)) >= 4).select(F.col("line_no").cast("long").alias("dialog_no"), ids.alias("line_ids"))
+    return raw.where(_fields(4)).select(F.col("line_no").cast("long").alias("dialog_no"), ids.alias("line_ids"))
+
+
+def movie_dialog_faults(raw: DataFrame) -> DataFrame:
+    """The lines that :func:`movie_dialogs` leaves out."""
+    return quarantine(raw, F.when(~_fields(4), "fewer than 4 fields"))
 
 
 def spoken_turns(dialogs: DataFrame, lines: DataFrame) -> DataFrame:
@@ -109,11 +132,24 @@ def marked_dialogs(raw: DataFrame, marker: str = "__eou__") -> DataFrame:
     return raw.select(F.col("line_no").cast("long").alias("dialog_no"), F.posexplode(utterances).alias("turn", "text"))
 
 
-def numbered_dialogs(raw: DataFrame, strict: bool = False, silence: str = "__SILENCE__", size: int = 0) -> DataFrame:
+def marked_dialog_faults(raw: DataFrame, marker: str = "__eou__") -> DataFrame:
+    """The lines of which :func:`marked_dialogs` has no utterance."""
+    return quarantine(raw, F.when(~F.contains(F.col("value"), F.lit(marker)), f"no {marker}"))
+
+
+def numbered_dialog_faults(raw: DataFrame, silence: str = "__SILENCE__") -> DataFrame:
+    """The lines that :func:`numbered_dialogs` leaves out, a silence and what follows it in its dialog among them."""
+    short = F.size(F.split("value", "\t", -1)) < 2
+    kept = numbered_dialogs(raw, silence=silence, places=True).select("part", "line_no")
+    silent = raw.where(~short).join(kept, ["part", "line_no"], "left_anti").select(raw.columns)
+    return quarantine(raw, F.when(short, "no tab")).unionByName(quarantine(silent, F.lit("silence")))
+
+
+def numbered_dialogs(raw: DataFrame, strict: bool = False, silence: str = "__SILENCE__", size: int = 0, places: bool = False) -> DataFrame:
     """'<n> source<TAB>target' lines, where n = 1 starts a dialog; a dialog keeps what precedes its first silence.
 
     strict: the last dialog that keeps anything is lost.  Dialogs run on over the files' parts in order.  size: so many lines are kept
-    at most, strict: one more; 0: all.
+    at most, strict: one more; 0: all.  places: with the line's part and line_no.
     """
     cols = F.split("value", "\t", -1)
     rows = raw.where(F.size(cols) >= 2).select("part", "line_no", F.regexp_extract("value", r"^\s*(\d+)", 1).cast("int").alias("n"), F.regexp_replace(cols.getItem(0), r"^\s*\d+\s*", "").alias("source"), cols.getItem(1).alias("target"), F.instr("value", silence).alias("mute"))
@@ -128,6 +164,8 @@ def numbered_dialogs(raw: DataFrame, strict: bool = False, silence: str = "__SIL
         rows = rows.join(F.broadcast(per.select("part", "kept_before")), "part").where(F.col("kept") + F.coalesce("kept_before", F.lit(0)) <= size + strict)
     if strict:
         rows = rows.join(rows.agg(F.max("dialog_no").alias("lost")), F.col("dialog_no") < F.col("lost"), "left_semi")
+    if places:
+        return rows.select("dialog_no", "part", "line_no", "source", "target")
     return rows.select("dialog_no", F.posexplode(F.array("source", "target")).alias("side", "text"), "at").select("dialog_no", (2 * F.col("at") + F.col("side")).alias("turn"), "text")
 
 
