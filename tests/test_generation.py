@@ -147,26 +147,69 @@ def test_problems_are_registered():
         P.with_changes(Config(), '{"nothing": 1}')
 
 
-def test_archives(tmp_path):
-    source = tmp_path / "dialogues_text.txt"
-    source.write_text(DAILY)
-    with zipfile.ZipFile(tmp_path / "ijcnlp_dailydialog.zip", "w") as z:
-        z.write(source, "inner/dialogues_text.txt")
-    with tarfile.open(tmp_path / "x.tar.gz", "w:gz") as t:
-        t.add(source, "dialogues_text.txt")
+def rows_of(df):
+    return sorted((r.file.rpartition("!")[2], r.line_no, r.value) for r in df.collect())
+
+
+@pytest.mark.parametrize("name", ["x.zip", "x.tar", "x.tar.gz", "x.tgz"])
+def test_archives_are_read_where_they_lie(spark, tmp_path, monkeypatch, name):
+    monkeypatch.setattr(A, "TASK", 8)  # members are dealt over tasks
+    texts = {"a/one.txt": "x\ny\r\n\nz", "a/b/two.txt": "é\n", "a/empty.txt": "", "skip.me": "no\n"}
+    for n, t in texts.items():
+        put(tmp_path / "in", {n: ""})
+        (tmp_path / "in" / n).write_bytes(t.encode())
+    import gzip
+
+    (tmp_path / "in/a/three.txt.gz").write_bytes(gzip.compress(b"q\nr\n"))
+    names = [*texts, "a/three.txt.gz"]
+    path = str(tmp_path / name)
+    if name.endswith("zip"):
+        with zipfile.ZipFile(path, "w") as z:
+            for n in names:
+                z.write(tmp_path / "in" / n, n)
+    else:
+        with tarfile.open(path, "w" if name.endswith("tar") else "w:gz") as t:
+            for n in names:
+                t.add(tmp_path / "in" / n, n)
+    want = [("a/b/two.txt", 0, "é"), ("a/one.txt", 0, "x"), ("a/one.txt", 1, "y"), ("a/one.txt", 2, ""), ("a/one.txt", 3, "z")]
+    assert rows_of(A.archive_lines(spark, path, "*.txt")) == want
+    assert rows_of(A.archive_lines(spark, f"file://{path}", "*three*")) == [("a/three.txt.gz", 0, "q"), ("a/three.txt.gz", 1, "r")]
+
+
+def test_long_members_in_pieces(spark, tmp_path):
+    reader = A.ArchiveReader("p.zip", "*")
+    import io
+
+    text = "".join(f"{'w' * (i % 50)}{i}\n" for i in range(400_000))
+    got = [x for b in reader._lines("m", io.BytesIO(text.encode())) for x in zip(b.column("line_no").to_pylist(), b.column("value").to_pylist(), strict=True)]
+    assert got == list(enumerate(text.split("\n")[:-1]))
+
+
+def test_downloads(tmp_path):
+    source = tmp_path / "x.tar.gz"
+    source.write_bytes(b"1" * 200_000)
     seen = []
-    raw = tmp_path / "raw"
-    wanted = [str(raw / "dialogues_text.txt")]
-    assert A.provided(wanted, "ijcnlp_dailydialog.zip", str(raw), (tmp_path / "ijcnlp_dailydialog.zip").as_uri()) == wanted
-    assert Path(wanted[0]).read_text() == DAILY
-    A.download((tmp_path / "x.tar.gz").as_uri(), str(tmp_path / "y.tgz"), lambda a, b: seen.append((a, b)))
-    assert seen[-1][0] == (tmp_path / "x.tar.gz").stat().st_size
-    A.extract(str(tmp_path / "y.tgz"), str(tmp_path / "z"))
-    assert (tmp_path / "z/dialogues_text.txt").read_text() == DAILY
+    A.download(source.as_uri(), str(tmp_path / "new/y.tgz"), lambda a, b: seen.append((a, b)))
+    assert (tmp_path / "new/y.tgz").read_bytes() == source.read_bytes() and seen[-1][0] == 200_000 and len(seen) > 1
     with pytest.raises(ValueError):
-        A.extract(str(source), str(tmp_path))
+        A.kind_of(str(tmp_path))
+
+
+def test_problems_read_archives(spark, tmp_path):
+    """Nothing is unpacked: the raw folder has the archive alone, as it came or was fetched."""
+    put(tmp_path / "in", {"OpenSubtitles/xml/en/2012/a/1.xml": SUBTITLES, "OpenSubtitles/xml/en/2012/b/2.xml": SUBTITLES, "OpenSubtitles/xml/en/2013/c/3.xml": SUBTITLES, "inner/dialogues_text.txt": DAILY})
+    (tmp_path / "raw").mkdir()
+    with tarfile.open(tmp_path / "raw/en.tar.gz", "w:gz") as t:
+        t.add(tmp_path / "in/OpenSubtitles", "OpenSubtitles")
+    made = P.generate(spark, "opensubtitles_chatbot", str(tmp_path / "raw"), str(tmp_path / "out"))
+    assert pairs_of(spark, made) == [("train", "hello there", "yes"), ("train", "yes", "fine")] * 2
+    with zipfile.ZipFile(tmp_path / "far.zip", "w") as z:
+        z.write(tmp_path / "in/inner/dialogues_text.txt", "inner/dialogues_text.txt")
+    made = P.generate(spark, "daily_dialog_chatbot", str(tmp_path / "raw"), str(tmp_path / "out"), url=(tmp_path / "far.zip").as_uri())
+    assert len(pairs_of(spark, made)) == 2
+    assert sorted(p.name for p in (tmp_path / "raw").iterdir()) == ["en.tar.gz", "ijcnlp_dailydialog.zip"]
     with pytest.raises(FileNotFoundError):
-        A.provided([str(tmp_path / "no")], "no.zip", str(tmp_path))
+        P.generate(spark, "persona_chat_chatbot", str(tmp_path / "raw"), str(tmp_path / "out"))
 
 
 def test_modes(spark, tmp_path):

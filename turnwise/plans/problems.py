@@ -21,25 +21,36 @@ from turnwise.plans.config import Config
 from turnwise.sinks import outputs as O
 from turnwise.sinks.paths import done, exists, written
 from turnwise.sources import readers as R
-from turnwise.sources.archives import provided
+from turnwise.sources.archives import archive_lines, download
 
 #: Reserved ids.
 PAD, END = 0, 1
 
 
 class RawFiles:
-    """A run's raw texts, each a file or a folder of part files; the lines of each are counted once."""
+    """A run's raw texts below raw_dir, each a file or a folder of part files, or where one isn't there, a member of the corpus' archive;
+    the lines of each are counted once."""
 
-    def __init__(self, spark: SparkSession, paths: list[str]):
-        self.spark, self.paths = spark, paths
+    def __init__(self, spark: SparkSession, paths: list[str], raw_dir: str = "", archive: str | None = None):
+        self.spark, self.paths, self.raw_dir, self.archive = spark, paths, raw_dir, archive
         self._lines: dict[int, DataFrame] = {}
 
+    def _there(self, i: int) -> bool:
+        return self.archive is None or exists(self.spark, self.paths[i])
+
     def lines(self, i: int) -> DataFrame:
         """(file, line_no, value) of a text."""
         if i not in self._lines:
-            self._lines[i] = R.lines(self.spark, self.paths[i], whole=True)
+            path = self.paths[i]
+            self._lines[i] = R.lines(self.spark, path, whole=True) if self._there(i) else archive_lines(self.spark, self.archive, f"*{path.rpartition('/')[2]}")
         return self._lines[i]
 
+    def tree(self) -> DataFrame:
+        """(file, line_no, value) of all files of a folder and of its folders."""
+        if self._there(0):
+            return R.lines(self.spark, self.paths[0], recursive=True)
+        return archive_lines(self.spark, self.archive, f"*{self.paths[0].removeprefix(self.raw_dir.rstrip('/')).lstrip('/')}/*")
+
     def numbered(self) -> DataFrame:
         """(part, line_no, value) of all texts, one after the other."""
         parts = [self.lines(i).select(F.lit(i).alias("part"), "line_no", "value") for i in range(len(self.paths))]
@@ -157,7 +168,7 @@ def _numbered_turns(spark: SparkSession, files: RawFiles, c: Config, folder: str
 
 
 def _subtitle_turns(spark: SparkSession, files: RawFiles, c: Config, folder: str) -> DataFrame:
-    said = R.subtitle_turns(R.lines(spark, files.paths, recursive=True), c.strict)
+    said = R.subtitle_turns(files.tree(), c.strict)
     # written in order of their paths, files have numbers in that order
     paths = written(said.select("file").distinct().orderBy("file").select("file", F.monotonically_increasing_id().alias("at")), f"{folder}/files")
     numbers = D.ordinals(paths, "at").join(paths, "at").select("file", F.col("ordinal").alias("dialog_no"))
@@ -225,7 +236,7 @@ def generate(spark: SparkSession, problem: str | Problem, raw_dir: str, out_dir:
 
     They lie in a folder named by the problem and by its settings.  What is there already is not made again: a run that was cut at any step
     is finished by the next one, and so is one whose outputs have been removed; a mark at the end says that all is done.  Without the
-    corpus' files its archive is unpacked, and without that fetched from url.
+    corpus' files its archive is read as it is, and without that fetched from url.
     """
     p = named(problem) if isinstance(problem, str) else problem
     folder = f"{out_dir.rstrip('/')}/{p.name}-{config.key()}"
@@ -236,13 +247,18 @@ def generate(spark: SparkSession, problem: str | Problem, raw_dir: str, out_dir:
     if exists(spark, f"{folder}/{O.FINISHED}") and all(done(spark, x) for x in wanted):
         return out
     files = R.corpus_files(p.corpus, raw_dir, config.opensubtitles_year)
+    archive = None
     if files and not all(exists(spark, f) for f in files):
-        files = provided(files, R.CORPORA[p.corpus]["archive"], raw_dir, url)
+        archive = f"{raw_dir.rstrip('/')}/{R.CORPORA[p.corpus]['archive']}"
+        if not exists(spark, archive):
+            if url is None:
+                raise FileNotFoundError(f"neither {files} nor {archive} is there, and no address is given")
+            download(url, archive)
     counts: dict[str, int] = {}
     if p.corpus == "pairs":
         routed, turns, splits = given_pairs(spark, raw_dir), None, None
     else:
-        files = RawFiles(spark, files)
+        files = RawFiles(spark, files, raw_dir, archive)
         turns = written(p.parse(spark, files, config, folder), f"{folder}/turns", counts)
         if p.faults:
             written(p.faults(spark, files), f"{folder}/quarantine", counts)
