@@ -92,17 +92,19 @@ def mix(docs: DataFrame, weights=WEIGHTS, share=SHARE, block: int = BLOCK, shard
     rows = sized.withColumn("_key", digest).alias("a").join(src.alias("b"), F.col("a.source").eqNullSafe(F.col("b.source")), "inner")
     rows = rows.select("a.doc_id", "a.size", "_key", "rank", "source_size", "target", "shards", "source_quota")
     rows = rows.withColumn("shard", F.pmod(F.conv(F.substring("_key", 1, 8), 16, 10).cast("long"), F.col("shards")))
-    per = rows.groupBy("rank", "shard").agg(F.sum("size").alias("words"), F.first("source_size").alias("source_size"), F.first("source_quota").alias("source_quota"))
+    full = rows.where("size > 0")  # others have no place in a shard, however many they are
+    per = full.groupBy("rank", "shard").agg(F.sum("size").alias("words"), F.first("source_size").alias("source_size"), F.first("source_quota").alias("source_quota"))
     per = sainte_lague(per, ["rank"], ["shard"], F.col("words"), F.col("source_size"), F.col("source_quota"))
     per = per.withColumn("n", F.expr(f"(words + {block - 1}) div {block}"))
     start = F.md5(F.concat_ws(":", F.lit(seed), "rank", "shard").cast("binary"))
     per = per.withColumn("quota", F.least("quota", 2 * F.col("n"))).withColumn("start", F.conv(F.substring(start, 1, 8), 16, 10).cast("long"))
     per = table(per.select("rank", "shard", "n", "quota", "start"), "shards")
     order = Window.partitionBy("rank", "shard").orderBy(F.substring("_key", 9, 24), "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    placed = rows.withColumn("b", F.sum("size").over(order)).join(per, ["rank", "shard"], "inner")
+    placed = full.withColumn("b", F.sum("size").over(order)).join(per, ["rank", "shard"], "inner")
     taken = f"""CASE WHEN size = 0 OR n = 0 THEN 0L ELSE
         (quota div n) * size + CASE WHEN i0 = i1 THEN size * (s(i0 + 1) - s(i0))
         ELSE ((i0 + 1) * {block} - a) * (s(i0 + 1) - s(i0)) + (b - i1 * {block}) * (s(i1 + 1) - s(i1)) + {block} * (s(i1) - s(i0 + 1)) END END"""
     taken = re.sub(r"\bs\((.*?)\)", r"((\1 + start % n) * (quota % n) div n)", taken)
     placed = placed.withColumn("a", F.col("b") - F.col("size")).withColumn("i0", F.expr(f"a div {block}")).withColumn("i1", F.expr(f"(b - 1) div {block}"))
-    return placed.select("doc_id", "size", "source_size", "target", F.expr(taken).cast("long").alias("taken"))
+    none = rows.where("size = 0").select("doc_id", "size", "source_size", "target", F.lit(0).cast("long").alias("taken"))
+    return placed.select("doc_id", "size", "source_size", "target", F.expr(taken).cast("long").alias("taken")).unionByName(none)
