@@ -34,3 +34,37 @@ def test_byte_ids(spark, text, ids):
 def test_accents(spark):
     df = spark.createDataFrame([("Étion ½ ﬁn",), (None,)], "t string").select(T.clean_accents(F.col("t")))
     assert [r[0] for r in df.collect()] == ["etion 12 fin ", None]
+
+
+def test_sentences(spark):
+    from turnwise.operators import segments as G
+
+    said = ["Dr. Gray met Mr. Low. They left.", "Ask Dr. Low! Is he in?  (He is.) \"Yes.\" Then...", "Wait... what? Wait... What", "J. S. Bach wrote it. the end", "No stop at all", "", None, "at 3.5 p.m. we ate. low"]
+    corpus = spark.createDataFrame([(i, t) for i, t in enumerate(said * 4 + ["They ate it and left. It ate her low bach and left with it. What they left is low and they ate her bach there, then we met; the low bach is his, and then she left it, what a low bach"] * 30)], "doc_id long, text string")
+    known = G.abbreviations(corpus)
+    words = {r.word for r in known.collect()}
+    assert {"dr", "mr"} <= words and not {"left", "ate", "low", "bach"} & words
+    table = spark.createDataFrame([("dr",), ("mr",), ("p.m",)], "word string")
+    got = {}
+    for r in G.sentences(spark.createDataFrame(list(enumerate(said)), "doc_id long, text string"), table).orderBy("doc_id", "sentence").collect():
+        got.setdefault(r.doc_id, []).append(r.text)
+    assert got == {
+        0: ["Dr. Gray met Mr. Low.", "They left."],
+        1: ["Ask Dr. Low!", "Is he in?", "(He is.)", '"Yes."', "Then..."],
+        2: ["Wait... what?", "Wait...", "What"],
+        3: ["J. S. Bach wrote it.", "the end"],
+        4: ["No stop at all"],
+        7: ["at 3.5 p.m. we ate.", "low"],
+    }
+    assert G.abbreviations(corpus.limit(0)).count() == 0
+
+
+def test_treebank_words(spark):
+    said = {
+        '"Hi," she said (twice)... "No!"': "`` Hi , '' she said ( twice ) ... `` No ! ''",
+        "It's 3,000 dollars: we can't, they'll see.": "It 's 3,000 dollars : we ca n't , they 'll see .",
+        "U.S. dogs' toys -- [old]": "U.S. dogs ' toys -- [ old ]",
+        "": "",
+    }
+    df = spark.createDataFrame([(k,) for k in [*said, None]], "t string")
+    assert {r.t: r.w for r in df.select("t", T.treebank(F.col("t")).alias("w")).collect()} == said | {None: None}

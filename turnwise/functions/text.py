@@ -87,6 +87,29 @@ def contractions(c: Column) -> Column:
     return F.trim(_chain(c, _TREEBANK))
 
 
+#: Public treebank conventions for a sentence's quotes, brackets, ellipses and punctuation; fixed values.
+SENTENCE_STEPS = [
+    ('^"', "`` "),
+    ('([ (\\[{<])"', "$1 `` "),
+    ("\\.\\.\\.", " ... "),
+    ("([,:])([^0-9])", " $1 $2"),
+    ("([,:])$", " $1 "),
+    ("([;@#$%&?!])", " $1 "),
+    ("([^.])(\\.)([\\])}>\"']*) *$", "$1 $2 $3 "),
+    ("([\\]\\[(){}<>])", " $1 "),
+    ("--", " -- "),
+    ('"', " '' "),
+    ("([^' ])('[sSmMdD]|') ", "$1 $2 "),
+    ("([^' ])('ll|'LL|'re|'RE|'ve|'VE|n't|N'T) ", "$1 $2 "),
+    (" +", " "),
+]
+
+
+def treebank(c: Column) -> Column:
+    """A sentence's words as the treebank cuts them, joined by one blank.  Null stays null."""
+    return F.trim(_chain(F.concat(c, F.lit(" ")), SENTENCE_STEPS))
+
+
 def clean_accents(c: Column) -> Column:
     """As clean, but accented letters keep their base letter, and apostrophes follow the treebank conventions."""
     c = F.replace(F.lower(c), F.lit(" ' "), F.lit("'"))

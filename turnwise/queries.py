@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -15,6 +16,7 @@ from turnwise.operators import filtering as E
 from turnwise.operators import forest as H
 from turnwise.operators import medoids as K
 from turnwise.operators import metrics as M
+from turnwise.operators import segments as G
 from turnwise.operators import sentences as SE
 from turnwise.operators import trees as TR
 from turnwise.operators import vocab as V
@@ -163,6 +165,40 @@ def encode_bytes(spark, sf_dir):
     return read(spark, sf_dir, "conversations").select("conv_id", "turn", F.array_join(T.byte_ids(F.col("text")), " ").alias("ids"))
 
 
+_SPACES = "[ \t\n\r\f]+"
+_BARE = """regexp_replace(regexp_replace(t, '[)\\]}"'']+$', ''), '^[(\\[{"'']+', '')"""
+_ABBREVIATED = f"""tk AS (SELECT doc_id, generate_subscripts(w, 1) AS i, unnest(w) AS t FROM (SELECT doc_id, list_filter(string_split_regex(text, '{_SPACES}'), lambda t: t <> '') AS w FROM documents)),
+bt AS (SELECT b, regexp_matches(b, '[^.]\\.$') AS dot FROM (SELECT {_BARE} AS b FROM tk)), ct AS (SELECT lower(CASE WHEN dot THEN left(b, length(b) - 1) ELSE b END) AS word, count(*) AS n, CAST(sum(CASE WHEN dot THEN 1 ELSE 0 END) AS BIGINT) AS dotted FROM bt GROUP BY 1),
+al AS (SELECT sum(dotted) / sum(n) AS p FROM ct), sc AS (SELECT word, n, dotted, length(replace(word, '.', '')) AS l, length(word) - length(replace(word, '.', '')) AS inn, p FROM ct, al WHERE dotted > 0 AND regexp_matches(word, '^[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+(\\.[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+)*$')),
+ab AS (SELECT word, n, dotted, round(-2 * (dotted * ln(p) + (n - dotted) * ln(greatest(1 - p, 1e-12)) - dotted * ln(0.99) - (n - dotted) * ln(0.01)) * exp(-l) * (inn + 1) * pow(l, -(n - dotted)), 6) AS score FROM sc)"""
+
+
+@query(f"WITH {_ABBREVIATED} SELECT word, n, dotted, score FROM ab WHERE score >= 0.3 ORDER BY score DESC, word LIMIT 10000")
+def abbreviations(spark, sf_dir):
+    """Words of documents that come with a period much more often than by chance."""
+    return G.abbreviations(read(spark, sf_dir, "documents"))
+
+
+@query(f"""WITH {_ABBREVIATED}, kn AS (SELECT word FROM ab WHERE score >= 0.3 ORDER BY score DESC, word LIMIT 10000), cr AS (SELECT *, regexp_replace(t, '[)\\]}}"'']+$', '') AS c, lead(t) OVER (PARTITION BY doc_id ORDER BY i) AS nx FROM tk),
+cw AS (SELECT *, lower(left(regexp_replace(c, '^[(\\[{{"'']+', ''), greatest(length(regexp_replace(c, '^[(\\[{{"'']+', '')) - 1, 0))) AS word, left(regexp_replace(nx, '^[(\\[{{"'']+', ''), 1) AS f FROM cr),
+en AS (SELECT doc_id, i, t, CASE WHEN regexp_matches(c, '[?!]$') THEN true WHEN ends_with(c, '..') THEN nx IS NULL OR f <> lower(f) WHEN ends_with(c, '.') THEN word NOT IN (SELECT word FROM kn) AND NOT (length(word) = 1 AND upper(word) <> word) ELSE false END AS e FROM cw),
+nm AS (SELECT doc_id, i, t, CAST(coalesce(sum(CASE WHEN e THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS sentence FROM en)
+SELECT doc_id, sentence, string_agg(t, ' ' ORDER BY i) AS text FROM nm GROUP BY ALL""")
+def sentence_split(spark, sf_dir):
+    """Documents' sentences, with the abbreviations that they show themselves."""
+    d = read(spark, sf_dir, "documents")
+    return G.sentences(d, G.abbreviations(d))
+
+
+_SENTENCE_SQL = [(p.replace("'", "''"), "'" + re.sub(r"\$(\d)", r"\\\1", to).replace("'", "''") + "'") for p, to in T.SENTENCE_STEPS]
+
+
+@query(f"SELECT conv_id, turn, trim({_rx("(text || ' ')", _SENTENCE_SQL)}) AS words FROM conversations")
+def treebank_words(spark, sf_dir):
+    """Turns as the treebank cuts words: quotes, brackets, ellipses, contractions."""
+    return read(spark, sf_dir, "conversations").select("conv_id", "turn", T.treebank(F.col("text")).alias("words"))
+
+
 # ---- Pairs and splits -------------------------------------------------------------------------------------------------------
 
 
