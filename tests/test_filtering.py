@@ -242,3 +242,25 @@ def test_top_accuracy(spark):
     rows = spark.createDataFrame([([["a", "b"], ["c"]], ["b", "x"]), ([], ["q"]), ([["z"]], [])], "candidates array<array<string>>, gold array<string>")
     assert tuple(M.top_accuracy(rows, "candidates", "gold").first()) == (3, round(1 / 3, 6))
     assert tuple(M.neg_log_perplexity(spark.createDataFrame([(0.5,), (0.25,)], "p double"), F.log("p")).first()) == (2, round((math.log(0.5) + math.log(0.25)) / 2, 6))
+
+
+def test_nearest_in_blocks_is_the_same(spark, monkeypatch):
+    v, df = points(spark)
+    centres = df.where("id % 5 = 0")
+    whole = sorted(map(tuple, E.nearest(df, centres).collect()))
+    monkeypatch.setattr(E, "CENTRES_SENT", 4)
+    assert sorted(map(tuple, E.nearest(df, centres).collect())) == whole
+    for i, c, d in whole:
+        far = {j: round(float(((v[i] - v[j]) ** 2).sum()), 6) for j in range(0, 60, 5)}
+        assert d == pytest.approx(min(far.values()), abs=2e-6) and far[c] == pytest.approx(d, abs=2e-6)
+
+
+def test_near_clusters_are_those_of_brute_force(spark):
+    """An utterance joins the least one that it is a near copy of, where that joins no other."""
+    texts = sorted({*planted(30), *(" ".join(f"x{i}" for i in range(100) if i != k) for k in range(0, 100, 9))})
+    sets = {t: {tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for t in texts}
+    near = {t: [o for o in texts if o < t and len(sets[t] & sets[o]) >= 0.8 * len(sets[t] | sets[o])] for t in texts}
+    want = {t: near[t][0] if near[t] and not near[near[t][0]] else t for t in texts}
+    shingles = lambda c: F.array_distinct(M.ngrams(F.split(c, " "), 5))
+    got = {r.utterance: r.medoid for r in E.near_clusters(spark.createDataFrame([(t,) for t in texts], "utterance string"), shingles).collect()}
+    assert set(got) == set(texts) and sum(got[t] == want[t] for t in texts) >= 0.97 * len(texts)

@@ -345,3 +345,50 @@ def test_an_output_that_is_gone_is_made_again(spark, tmp_path):
     shutil.rmtree(f"{made.folder}/trainTarget.txt")
     P.generate(spark, "daily_dialog_chatbot", raw, str(tmp_path / "out"))
     assert [spaced(r.value) for r in R.lines(spark, f"{made.folder}/trainTarget.txt", whole=True).orderBy("line_no").collect()] == ["i 'm ok !", "bye"]
+
+
+def plain_packs(rows, length):
+    """(shard, inputs, targets, segments of inputs, places in targets) row by row."""
+    out, held, key = [], [], None
+    for k, a, b in [*rows, (object(), [], [])]:
+        if held and (k != key or any(sum(len(h[s]) for h in held) + len((a, b)[s]) > length for s in (0, 1))):
+            out.append((key, [x for h in held for x in h[0]], [x for h in held for x in h[1]], [i for i, h in enumerate(held, 1) for _ in h[0]], [p for h in held for p in range(len(h[1]))]))
+            held = []
+        key = k
+        held.append((a, b))
+    return out
+
+
+@pytest.mark.parametrize("batch", [1, 3, 1000])
+def test_packing_over_batches(spark, batch):
+    import random
+
+    rng = random.Random(9)
+    rows = [(i // 40, [rng.randint(2, 99) for _ in range(rng.randint(0, 7))], [rng.randint(2, 99) for _ in range(rng.choice([0, 1, 5, 14]))]) for i in range(120)]
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    spark.conf.set(name, str(batch))
+    try:
+        got = V.packed(spark.createDataFrame(rows, "shard int, inputs array<int>, targets array<int>").coalesce(1), ["shard"], 12).collect()
+    finally:
+        spark.conf.unset(name)
+    assert [(r.shard, list(r.inputs), list(r.targets), list(r.inputs_segmentation), list(r.targets_position)) for r in got] == plain_packs(rows, 12)
+    assert all(len(r.inputs) == len(r.inputs_position) and len(r.targets) == len(r.targets_segmentation) for r in got)
+
+
+def test_shards_by_size(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(O, "SHARD_ROWS", 10)
+    coded = spark.createDataFrame([("train", i, [1], [1]) for i in range(35)] + [("dev", i, [1], [1]) for i in range(35, 40)], "split string, ordinal long, inputs array<int>, targets array<int>")
+    sizes = {(r.split, r.shard): r["count"] for r in O.write_shards(coded, {}, f"{tmp_path}/a").groupBy("split", "shard").count().collect()}
+    assert sizes == {("train", 0): 9, ("train", 1): 9, ("train", 2): 9, ("train", 3): 8, ("dev", 0): 5}
+    assert O.write_shards(coded, {"train": 1}, f"{tmp_path}/b").where("split = 'train'").select("shard").distinct().count() == 1
+
+
+def test_samples_and_shuffles_go_by_hash(spark):
+    """The same rows in the same order whatever the partitions: those of least seeded hash, told by the hash itself."""
+    rows = spark.createDataFrame([(i, i % 3, f"t{i}") for i in range(300)], "a long, b int, t string")
+    hashed = rows.select("a", "b", "t", F.xxhash64(F.lit(42), "a", "b").alias("h")).collect()
+    want = [r.t for r in sorted(hashed, key=lambda r: (r.h, r.a, r.b))]
+    for n in (1, 7):
+        assert [r.t for r in V.shuffled(rows.repartition(n), ["a", "b"]).collect()] == want
+        assert {r.t for r in R.random_sample(rows.repartition(n), ["a", "b"], 20).collect()} == set(want[:20])
+    assert want != [r.t for r in V.shuffled(rows, ["a", "b"], seed=7).collect()]

@@ -98,47 +98,65 @@ def shuffled(rows: DataFrame, keys: list[str], seed: int = 42) -> DataFrame:
     return rows.orderBy(F.xxhash64(F.lit(seed), *keys), *keys)
 
 
+def pack_starts(change: np.ndarray, sizes: tuple[np.ndarray, ...], length: int) -> np.ndarray:
+    """First rows of packs: as many rows in a row without a change as have no more than length in any of sizes; at least one."""
+    n = len(change)
+    upto = [np.concatenate([[0], np.cumsum(x)]) for x in sizes]
+    runs = np.append(np.flatnonzero(change), n)
+    starts, at = [], 0
+    while at < n:
+        starts.append(at)
+        fits = min(int(np.searchsorted(u, u[at] + length, "right")) - 1 for u in upto)
+        at = max(at + 1, min(fits, int(runs[np.searchsorted(runs, at, "right")])))
+    return np.array(starts, np.int64)
+
+
 def packed(rows: DataFrame, keys: list[str], length: int) -> DataFrame:
     """(keys, inputs, targets, and of each the segment, from 1, and the place in it): consecutive rows (keys, inputs, targets) of the
-    same keys put together as long as either side fits in length ids.  Longer rows stay alone and whole."""
+    same keys put together as long as either side fits in length ids.  Longer rows stay alone and whole.
+
+    A pack's ids lie one after the other already, so packing moves offsets and no lists; a batch's last pack goes on with the next batch.
+    """
     sides = ("inputs", "targets")
     lists = [StructField(f"{s}{x}", ArrayType(IntegerType())) for s in sides for x in ("", "_segmentation", "_position")]
     schema = StructType([*(rows.schema[k] for k in keys), *lists])
-    arrow, names = to_arrow_schema(schema), schema.names
+    arrow = to_arrow_schema(schema)
 
     def run(batches):
         import pyarrow as pa
 
-        key, held, out = None, [], []
-
-        def close():
-            nonlocal held
-            if held:
-                row = dict(zip(keys, key, strict=True))
-                for k, s in enumerate(sides):
-                    row[s] = [x for h in held for x in h[k]]
-                    row[f"{s}_segmentation"] = [i for i, h in enumerate(held, 1) for _ in h[k]]
-                    row[f"{s}_position"] = [p for h in held for p in range(len(h[k]))]
-                out.append(row)
-            held = []
-
-        def taken():
-            nonlocal out
-            given = pa.RecordBatch.from_arrays([pa.array([r[f.name] for r in out], f.type) for f in arrow], schema=arrow)
-            out = []
-            return given
+        held = None
+
+        def given(t, starts, end):
+            """Packs of rows up to end."""
+            cols = [t.column(k).take(pa.array(starts)) for k in keys]
+            bounds = np.append(starts, end)
+            segment = np.arange(end) - np.repeat(starts, np.diff(bounds)) + 1
+            for s in sides:
+                column = t.column(s)
+                off = column.offsets.to_numpy()[: end + 1].astype(np.int64)
+                n = np.diff(off)
+                cut = pa.array((off[bounds] - off[0]).astype(np.int32))
+                place = np.arange(n.sum()) - np.repeat(off[:-1] - off[0], n)
+                flat = column.values.slice(off[0], off[-1] - off[0])
+                cols += [pa.ListArray.from_arrays(cut, x) for x in (flat, pa.array(np.repeat(segment, n).astype(np.int32)), pa.array(place.astype(np.int32)))]
+            return pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(cols, arrow, strict=True)], schema=arrow)
 
         for b in batches:
-            for row in b.to_pylist():
-                now, pair = tuple(row[k] for k in keys), (row["inputs"], row["targets"])
-                if now != key or any(sum(len(h[k]) for h in held) + len(pair[k]) > length for k in (0, 1)):
-                    close()
-                    key = now
-                held.append(pair)
-            if out:
-                yield taken()
-        close()
-        if out:
-            yield taken()
+            t = pa.Table.from_batches([b] if held is None else [held, b]).combine_chunks()
+            t = t.to_batches()[0] if t.num_rows else None
+            if t is None:
+                continue
+            change = np.zeros(t.num_rows, bool)
+            for k in keys:
+                code = t.column(k).dictionary_encode().indices.fill_null(-1).to_numpy()
+                change[1:] |= code[1:] != code[:-1]
+            starts = pack_starts(change, tuple(np.diff(t.column(s).offsets.to_numpy()) for s in sides), length)
+            if len(starts) > 1:
+                yield given(t, starts[:-1], int(starts[-1]))
+            held = t.slice(int(starts[-1]))
+        if held is not None:
+            held = pa.Table.from_batches([held]).combine_chunks().to_batches()[0]
+            yield given(held, np.zeros(1, np.int64), held.num_rows)
 
     return rows.select(*keys, *sides).mapInArrow(run, schema)

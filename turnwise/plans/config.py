@@ -9,13 +9,14 @@ from dataclasses import asdict, dataclass, field
 
 @dataclass(frozen=True)
 class Config:
-    """strict reproduces the known oddities of each raw format; otherwise the evident intent holds.  dataset_size 0: all of it."""
+    """strict reproduces the known oddities of each raw format; otherwise the evident intent holds.  dataset_size 0: all of it.  shards: of
+    each split; of one that isn't named, as many as its examples need."""
 
     vocabulary_size: int = 16384
     name_vocabulary_size: int = 3000
     dataset_size: int = 0
     dataset_split: dict[str, int] = field(default_factory=lambda: {"train": 80, "val": 10, "test": 10})
-    shards: dict[str, int] = field(default_factory=lambda: {"train": 1, "dev": 1, "test": 1})
+    shards: dict[str, int] = field(default_factory=dict)
     packed_length: int = 0
     opensubtitles_year: int = 2012
     strict: bool = False

@@ -302,8 +302,9 @@ def name_annotated_pairs(spark, sf_dir):
 e AS (SELECT split, dialog_no, turn, array_to_string(list(coalesce(v.id, (SELECT max(id) FROM vocab)) ORDER BY pos), ' ') AS ids FROM w LEFT JOIN (SELECT * FROM vocab WHERE kind = 'word') v USING (token) GROUP BY ALL)
 SELECT r.split, r.dialog_no, r.turn, CASE WHEN ids IS NULL THEN '1' ELSE ids || ' 1' END AS ids FROM routed r LEFT JOIN e USING (split, dialog_no, turn)""")
 def encode_tokens(spark, sf_dir):
-    vocab = V.vocabulary(train_frequencies(spark, sf_dir), 1000)
-    return V.encode(routed(spark, sf_dir), "source", ["split", "dialog_no", "turn"], vocab).withColumn("ids", F.array_join("ids", " "))
+    r = written(routed(spark, sf_dir), scratch(spark, "routed"))  # counted and encoded
+    vocab = V.vocabulary(V.frequencies(r.where("split = 'train'"), "source", ["dialog_no", "turn"]), 1000)
+    return V.encode(r, "source", ["split", "dialog_no", "turn"], vocab).withColumn("ids", F.array_join("ids", " "))
 
 
 @query(f"""WITH {_VOCAB}, w AS (SELECT split, unnest({words_sql('source')}) AS token FROM routed)
@@ -518,6 +519,19 @@ def hparam_presets(spark, sf_dir):
     return spark.createDataFrame(C.preset_rows(), "preset string, name string, value string")
 
 
+_BATCHES = ", ".join(f"('{p}', {v})" for p, k, v in C.preset_rows() if k == "batch_size")
+
+
+@query(f"""WITH {_SPLIT}, w AS (SELECT CAST(sum(len({words_sql('source')}) + len({words_sql('target')}) + 2) AS BIGINT) AS tokens FROM routed WHERE split = 'train')
+SELECT preset, CAST(batch_size AS BIGINT) AS batch_size, tokens, CAST(ceil(tokens / batch_size) AS BIGINT) AS steps FROM (VALUES {_BATCHES}) t(preset, batch_size), w""")
+def preset_steps(spark, sf_dir):
+    """Steps of a pass over the training split under each preset that says how many tokens a batch has; each side has its end's, too."""
+    size = F.size(T.tokens(F.col("source"))) + F.size(T.tokens(F.col("target"))) + 2
+    tokens = routed(spark, sf_dir).where("split = 'train'").agg(F.sum(size).alias("tokens"))  # one row
+    batches = spark.createDataFrame([(p, int(v)) for p, k, v in C.preset_rows() if k == "batch_size"], "preset string, batch_size long")
+    return batches.join(F.broadcast(tokens), how="cross").select("preset", "batch_size", "tokens", F.ceil(F.col("tokens") / F.col("batch_size")).alias("steps"))
+
+
 @query(f"SELECT CAST(c AS INT) AS checkpoint, conv_id, turn, 'test_set_' || c || '.txt' AS output FROM (SELECT unnest({list(C.SWEEP)}) AS c), conversations WHERE turn = 0")
 def checkpoint_sweep(spark, sf_dir):
     """Every checkpoint scores every first turn."""

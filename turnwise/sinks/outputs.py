@@ -14,6 +14,8 @@ from turnwise.plans.config import Config
 from turnwise.sinks.paths import done, moved, removed, write_small, written
 
 SPLITS, SIDES = ("train", "dev", "test"), ("source", "target")
+#: Examples of a shard, where shards go by size.
+SHARD_ROWS = 250_000
 #: The file that says that a run has made all its outputs.
 FINISHED = "finished"
 
@@ -73,9 +75,14 @@ def read_vocabulary(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_shards(encoded: DataFrame, shards: dict[str, int], path: str, seed: int = 42) -> DataFrame:
-    """encoded (split, ordinal, inputs, targets) dealt in turn over each split's shards, each in a seeded order of its own."""
+    """encoded (split, ordinal, inputs, targets) dealt in turn over each split's shards, each in a seeded order of its own.
+
+    shards: how many a split has; of one that isn't there, as many as keep SHARD_ROWS examples or fewer each.
+    """
     spark = encoded.sparkSession
     if not done(spark, path):
+        sizes = {r.split: r["n"] for r in encoded.groupBy("split").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row a split
+        shards = {s: -(-n // SHARD_ROWS) for s, n in sizes.items()} | shards
         n = F.coalesce(*[F.when(F.col("split") == s, F.lit(k)) for s, k in shards.items()], F.lit(1))
         rows = encoded.withColumn("shard", F.pmod("ordinal", n).cast("int"))
         rows = rows.repartition("split", "shard").sortWithinPartitions("split", "shard", F.xxhash64(F.lit(seed), "ordinal"), "ordinal")
