@@ -738,7 +738,12 @@ def k_medoids(spark, sf_dir):
     return K.k_medoids(points, 8, share=0.01)[0]
 
 
-@query()
+@query(f"""WITH {_TURNS}, o AS (SELECT clean, row_number() OVER (ORDER BY dialog_no, turn) - 1 AS id FROM turns), w AS (SELECT id, unnest({words_sql('clean')}) AS token, generate_subscripts({words_sql('clean')}, 1) AS pos FROM o),
+vo AS (SELECT token FROM w GROUP BY token ORDER BY count(*) DESC, min((id, pos)) LIMIT 500), ne AS (SELECT count(*) AS n FROM embeddings), vv AS (SELECT token, embedding::DOUBLE[] AS e FROM vo, ne JOIN embeddings ON vec_id = (length(token) * 31 + ascii(token)) % ne.n),
+vd AS (SELECT a.token AS x, b.token AS y, list_distance(a.e, b.e) AS d FROM vv a, vv b), kw AS (SELECT id, token, count(*) AS c FROM w SEMI JOIN vo USING (token) GROUP BY ALL), qw AS (SELECT * FROM kw WHERE id % 50 = 0),
+fd AS (SELECT q.id AS input, r.id, min(d) AS d, any_value(q.c) AS c FROM qw q JOIN vd ON x = q.token JOIN kw r ON r.token = y GROUP BY q.id, q.token, r.id), bd AS (SELECT q.id AS input, r.id, min(d) AS d, any_value(r.c) AS c FROM qw q JOIN vd ON x = q.token JOIN kw r ON r.token = y GROUP BY q.id, r.token, r.id),
+fa AS (SELECT input, id, sum(c * d) / sum(c) AS d FROM fd GROUP BY ALL), ba AS (SELECT input, id, sum(c * d) / sum(c) AS d FROM bd GROUP BY ALL)
+SELECT input, id, round(greatest(fa.d, ba.d), 6) AS distance FROM fa JOIN ba USING (input, id) WHERE greatest(fa.d, ba.d) <= 0.5""")
 def sentence_distance(spark, sf_dir):
     """Turns near to the stated query set, ids divisible by 50, by the distances of their words' vectors; the vocabulary is the 500 most frequent words."""
     t = row_ordinals(turns(spark, sf_dir), "dialog_no", "turn", "id").select("id", F.col("clean").alias("utterance"))
@@ -811,14 +816,22 @@ def _shingles(clean):
     return F.array_distinct(M.ngrams(T.tokens(clean), 5))
 
 
-@query()
+def _near_sql(rows: str) -> str:
+    """Near copies of rows (id, clean) by all pairs that share a shingle."""
+    return f"""c AS (SELECT id, coalesce(clean, '') AS t FROM ({rows}) WHERE id IS NOT NULL), cl AS (SELECT t, min(id) AS a FROM c GROUP BY t), cw AS (SELECT a, {words_sql('t')} AS w FROM cl),
+sh AS (SELECT DISTINCT a, array_to_string(w[i:i+4], ' ') AS g FROM (SELECT a, w, unnest(range(1, len(w) - 3)) AS i FROM cw WHERE len(w) >= 5)), sz AS (SELECT a, count(*) AS n FROM sh GROUP BY a),
+pr AS (SELECT x.a, y.a AS b, count(*) AS k FROM sh x JOIN sh y ON x.g = y.g AND x.a < y.a GROUP BY ALL), jc AS (SELECT pr.a, b, round(k / (p.n + q.n - k), 6) AS jaccard FROM pr JOIN sz p ON p.a = pr.a JOIN sz q ON q.a = pr.b)
+SELECT a, b, jaccard, false AS copy FROM jc WHERE jaccard >= 0.8 UNION ALL SELECT a, id, 1.0, true FROM c JOIN cl USING (t) WHERE id <> a"""
+
+
+@query(f"WITH {_TURNS}, {_near_sql("SELECT dialog_no || ':' || turn AS id, clean FROM turns")}")
 def minhash_near_dups(spark, sf_dir):
     """Near-duplicate turns as sets of five-word shingles, by MinHash and exact Jaccard of 0.8 or more; turns that clean alike are copies."""
     t = turns(spark, sf_dir).select(F.concat_ws(":", "dialog_no", "turn").alias("id"), "clean")
     return E.near_copies(t, "id", "clean", _shingles)
 
 
-@query()
+@query(f"WITH {_near_sql(f'SELECT doc_id AS id, {clean_sql("text")} AS clean FROM documents')}")
 def minhash_near_docs(spark, sf_dir):
     """The same over documents."""
     d = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), T.clean(F.col("text")).alias("clean"))
