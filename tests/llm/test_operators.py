@@ -361,3 +361,47 @@ def test_windows_across_shards():
     for size in (5, 6, 17, 50):
         n, hits, items = decontaminate.search_texts(column, p, 5, size)
         assert (n.tolist(), hits, items) == (whole[0].tolist(), *whole[1:])
+
+
+def test_full_licence_texts_above_code(spark):
+    """A file's own licence, whichever way it is commented out; nobody else's, and no licence file."""
+    texts = dict(licenses.file_templates())
+    code = "\n".join(f"x{i} = call_{i}(x{i - 1}, {i})  # step {i}" for i in range(300))
+    lined = lambda name, mark: "\n".join(mark + x for x in texts[name].split("\n")) + "\n"
+    rows = [
+        ("a/one.py", lined("MIT", "# ") + code, "MIT"),
+        ("a/two.c", "/*\n" + texts["BSD-3-Clause"] + "*/\n" + code, "BSD-3-Clause"),
+        ("a/three.js", "'use strict'\n\n" + lined("ISC", "// ") + code, "ISC"),
+        ("a/four.py", '"""' + texts["BSD-2-Clause"] + '"""\n' + code, "BSD-2-Clause"),
+        ("a/five.java", "/**\n" + lined("MIT", " * ") + " */\n" + code, "MIT"),
+        ("a/six.py", lined("MIT", "# ")[:200] + "\n" + code, None),
+        ("a/seven.py", "\n".join("# any words at all here " * 3 for _ in range(200)) + code, None),
+        ("a/b/LICENSE", texts["MIT"], "MIT"),
+        ("a/b/c/x.py", code, None),
+    ]
+    docs = spark.createDataFrame([(i, t, p) for i, (p, t, _) in enumerate(rows)], "doc_id long, text string, where string").repartition(3)
+    got = {r.doc_id: r for r in licenses.scan(docs, F.col("where")).collect()}
+    for i, (p, _, name) in enumerate(rows):
+        assert got[i].own_license == name, p
+        assert got[i].is_license_file == (p == "a/b/LICENSE")
+    assert (got[8].license, got[8].license_from, got[8].license_dir) == ("MIT", "ancestor", "a/b")
+    assert got[6].license is None
+
+
+def test_inheritance_over_many_directories(spark):
+    """Generated trees: each text has the licence of the nearest directory above it that has a licence file."""
+    import random
+
+    rng = random.Random(8)
+    texts = dict(licenses.file_templates())
+    names = ["MIT", "ISC", "BSD-2-Clause"]
+    dirs = sorted({"/".join(f"d{rng.randint(0, 3)}" for _ in range(rng.randint(1, 6))) for _ in range(120)})
+    licensed = {d: rng.choice(names) for d in dirs if rng.random() < 0.2}
+    rows = [(f"{d}/LICENSE", texts[n]) for d, n in licensed.items()] + [(f"{d}/code{k}.py", f"print({k})") for d in dirs for k in range(rng.randint(1, 5))]
+    docs = spark.createDataFrame([(i, t, p) for i, (p, t) in enumerate(rows)], "doc_id long, text string, where string").repartition(4)
+    for r in licenses.scan(docs, F.col("where")).collect():
+        parts = rows[r.doc_id][0].split("/")[:-1]
+        above = next((d for d in ("/".join(parts[:k]) for k in range(len(parts), 0, -1)) if d in licensed), None)
+        assert r.license == licensed.get(above)
+        if not r.is_license_file:
+            assert r.license_dir == above

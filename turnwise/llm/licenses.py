@@ -3,13 +3,14 @@
 Runs of consecutive lines (one, and as many as the longest notice wraps to; lines without a term don't count) are compared as headers
 with the notices, and the whole text as a licence file with the notices and with the full licence texts: vectors are sparse and hold
 term frequency times the inverse document frequency among the templates; a term that no template has weighs as much as the rarest.
-Full texts are compared without their most common words, in vectors of their own.
+Full texts are compared without their most common words, in vectors of their own, with the whole text and with each of its comments:
+runs of lines that begin with a comment mark, and what stands between a comment's or a docstring's marks.
 A run can only reach the threshold for a template if it holds one of that template's key terms, chosen so that what is left without
 them is too short.  So texts without any such term, and runs around no such line, are left out before words are counted; and runs in
 which terms that no notice has weigh too much, by their lines' sums.  Neither changes the result.
 
-A text whose whole is a full licence text is its directory's licence file; one that is a notice, or little more, has that licence
-itself but gives it to nobody else, since a short file of code with a header looks the same.  Texts without a licence of their own take that of the nearest
+A text whose whole is a full licence text is its directory's licence file; one that has a full text as a comment above its code, or that
+is a notice, or little more, has that licence itself but gives it to nobody else, since a short file of code with a header looks the same.  Texts without a licence of their own take that of the nearest
 directory above them that has one, found by joining the distinct directories' ancestors with the directories of licence files.
 """
 
@@ -143,14 +144,14 @@ def _runs(spark: SparkSession, lined: DataFrame, v: Vectors, most: int, threshol
     Norms of lines add up to no less than the norm of their run, and their squares to no more.  So a run is out if the share of
     terms that some notice has is too small even with the sum of their norms against the sum of the other terms' squares.
     """
-    key = F.filter(F.transform("lines", lambda x, i: F.when(x.rlike(v.key_pattern()), i)), lambda i: i.isNotNull())
-    keyed = lined.withColumn("key", key).where(F.size("key") > 0)
+    keyed = lined.withColumn("flags", F.transform("lines", lambda x: x.rlike(v.key_pattern()))).where(F.array_contains("flags", True))
+    keyed = keyed.withColumn("key", F.filter(F.transform("flags", lambda x, i: F.when(x, i)), lambda i: i.isNotNull()))
     square, known = F.col("w") * F.col("w"), F.col("idf").isNotNull()
     sums = _bags(spark, keyed.select("rid", F.posexplode("lines").alias("unit", "body")), v).groupBy("rid", "unit")
     sums = sums.agg(F.sqrt(F.sum(F.when(known, square).otherwise(0.0))).alias("a"), F.sum(F.when(known, 0.0).otherwise(square)).alias("b"))
     sums = sums.groupBy("rid").agg(F.array_sort(F.collect_list(F.struct("unit", "a", "b"))).alias("sums"))  # of each of a text's lines
     starts = F.array_distinct(F.flatten(F.transform("key", lambda i: F.sequence(F.greatest(i - (most - 1), F.lit(0)), i))))
-    line = F.transform("lines", lambda x, i: F.struct(x.alias("body"), F.array_contains("key", i).alias("key"), F.get("sums", i)["a"].alias("a"), F.get("sums", i)["b"].alias("b")))
+    line = F.transform("lines", lambda x, i: F.struct(x.alias("body"), F.get("flags", i).alias("key"), F.get("sums", i)["a"].alias("a"), F.get("sums", i)["b"].alias("b")))
     runs = keyed.join(sums, "rid").select("rid", starts.alias("starts"), line.alias("line"))
     runs = runs.select("rid", F.explode(F.transform("starts", lambda s: F.struct(s.alias("s"), F.slice("line", s + 1, most).alias("line")))).alias("r")).select("rid", "r.s", "r.line")
     total = lambda x, k: F.aggregate(x, F.lit(0.0), lambda a, y: a + y[k])
@@ -160,11 +161,30 @@ def _runs(spark: SparkSession, lined: DataFrame, v: Vectors, most: int, threshol
     return runs.select("rid", (F.col("s") * most + F.col("n") - 1).alias("unit"), F.array_join(F.slice("line", F.lit(1), F.col("n"))["body"], "\n").alias("body"))
 
 
+#: What a comment line begins with; marks that a comment or a docstring stands between; characters of a comment that is compared.
+COMMENT_LINE, LEAST_COMMENT = r"^[ \t]*(?:#|//|\*|/\*|--|;|%|<!--|rem )", 300
+BETWEEN = "(?s)" + "|".join((r"/\*.*?\*/", '"{3}.*?"{3}', "'{3}.*?'{3}"))
+
+
+def _comments(body: Column) -> Column:
+    """The longer comments of a text."""
+
+    def runs(m: Column) -> Column:
+        inside = lambda i: (i >= 0) & F.coalesce(F.get(m, i)["c"], F.lit(False))
+        at = lambda edge: F.filter(F.transform(m, lambda x, i: F.when(x["c"] & ~inside(i + edge), i)), lambda i: i.isNotNull())
+        cut = lambda r: F.array_join(F.transform(F.slice(m, r["a"] + 1, r["b"] - r["a"] + 1), lambda x: x["x"]), "\n")
+        return F.transform(F.arrays_zip(at(-1).alias("a"), at(1).alias("b")), cut)
+
+    marked = F.transform(F.split(body, "\n"), lambda x: F.struct(x.alias("x"), x.rlike(COMMENT_LINE).alias("c")))
+    found = F.concat(F.get(F.transform(F.array(marked), runs), F.lit(0)), F.regexp_extract_all(body, F.lit(BETWEEN), F.lit(0)))
+    return F.filter(found, lambda x: F.length(x) >= LEAST_COMMENT)
+
+
 def scan(docs: DataFrame, path: Column | None = None, templates=TEMPLATES, threshold: float = THRESHOLD, files=None) -> DataFrame:
     """(doc_id, path, own_license, own_score, is_license_file, license, license_from) for each row of docs.
 
-    own_license: of the file if the whole text is one of files (default: the full licence texts), else of the best run of lines, else of
-    the whole text (ties: the first template); is_license_file: the whole text is one of files; license_from: 'own', 'ancestor' (then of the directory in license_dir)
+    own_license: of the file if the whole text is one of files (default: the full licence texts), else of a comment that is, else of the
+    best run of lines, else of the whole text (ties: the first template); is_license_file: the whole text is one of files; license_from: 'own', 'ancestor' (then of the directory in license_dir)
     or null.  Directories with several licence files take the highest score, then the smallest path.  Null texts count as empty; rows
     that repeat are judged alike; rows without doc_id or source lie in folders named none.
     """
@@ -180,12 +200,15 @@ def scan(docs: DataFrame, path: Column | None = None, templates=TEMPLATES, thres
     runs = table(_runs(spark, lined, v, most_lines(templates), threshold), "license-runs")
     units = runs.unionByName(base.where("notice").select("rid", F.lit(-1).alias("unit"), "body"))
     found = _cosines(spark, units, v)
-    full = _cosines(spark, base.where("whole").select("rid", F.lit(-1).alias("unit"), "body"), t)
+    whole = base.where("whole")
+    comments = whole.select("rid", F.posexplode(_comments(F.col("body"))).alias("unit", "body")).where(F.col("body").rlike(t.key_pattern()))
+    full = _cosines(spark, whole.select("rid", F.lit(-1).alias("unit"), "body").unionByName(comments.withColumn("unit", -2 - F.col("unit"))), t)
     found = found.unionByName(full.withColumn("template", F.col("template") + len(templates))).where(F.col("cosine") >= threshold)
     best = lambda when: F.max(F.when(when, F.struct("cosine", (-F.col("template")).alias("t"), "license")))
-    own = table(found.groupBy("rid").agg(best(F.col("unit") >= 0).alias("line"), best(F.col("unit") < 0).alias("file"), best(F.col("template") >= len(templates)).alias("full")), "own-licenses")
+    long = F.col("template") >= len(templates)
+    own = table(found.groupBy("rid").agg(best(F.col("unit") >= 0).alias("line"), best(~long & (F.col("unit") < 0)).alias("file"), best(long & (F.col("unit") == -1)).alias("full"), best(long & (F.col("unit") < -1)).alias("header")), "own-licenses")
     rows = base.select("rid", "doc_id", "path", "dir").join(own, "rid", "left")
-    rows = rows.select("doc_id", "path", "dir", F.coalesce("full.license", "line.license", "file.license").alias("own_license"), F.coalesce("full.cosine", "line.cosine", "file.cosine").alias("own_score"), F.col("full").isNotNull().alias("is_license_file"), F.col("full.license").alias("file_license"), F.col("full.cosine").alias("file_score"))
+    rows = rows.select("doc_id", "path", "dir", F.coalesce("full.license", "header.license", "line.license", "file.license").alias("own_license"), F.coalesce("full.cosine", "header.cosine", "line.cosine", "file.cosine").alias("own_score"), F.col("full").isNotNull().alias("is_license_file"), F.col("full.license").alias("file_license"), F.col("full.cosine").alias("file_score"))
     rows = table(rows, "licensed")
     files = rows.where("is_license_file").groupBy(F.col("dir").alias("license_dir")).agg(F.min(F.struct((-F.col("file_score")).alias("s"), "path", "file_license")).alias("f"))
     files = files.select("license_dir", F.col("f.file_license").alias("dir_license"))
