@@ -405,3 +405,17 @@ def test_inheritance_over_many_directories(spark):
         assert r.license == licensed.get(above)
         if not r.is_license_file:
             assert r.license_dir == above
+
+
+def test_long_pages_and_long_licensed_texts(spark):
+    page = "<p>" + "é long page " * 300_000
+    pages = spark.createDataFrame([(1, "u", page), (2, "v", page + "x"), (3, "w", page)], "page_id long, url string, html string")
+    got = {r.page_id: r for r in warc.round_trip(spark, pages).collect()}
+    for i, html in ((1, page), (2, page + "x"), (3, page)):
+        raw = html.encode()
+        assert (got[i].payload_bytes, got[i].payload_digest) == (len(raw), base64.b32encode(hashlib.sha1(raw).digest()).decode())
+    assert [(got[i].record_type, got[i].refers_to) for i in (1, 2, 3)] == [("response", None), ("response", None), ("revisit", 1)]
+    notice = "This work is licensed under the GNU General Public License, version 3.\n"
+    rows = [(1, notice + "word and license here\n" * 20_000), (2, "# one comment\n" * 60_000), (3, "no line end " * 100_000)]
+    found = {r.doc_id: r.own_license for r in licenses.scan(spark.createDataFrame([(i, t, "s") for i, t in rows], "doc_id long, text string, source string")).collect()}
+    assert found == {1: "GPL-3.0", 2: None, 3: None}
