@@ -746,7 +746,7 @@ fa AS (SELECT input, id, sum(c * d) / sum(c) AS d FROM fd GROUP BY ALL), ba AS (
 SELECT input, id, round(greatest(fa.d, ba.d), 6) AS distance FROM fa JOIN ba USING (input, id) WHERE greatest(fa.d, ba.d) <= 0.5""")
 def sentence_distance(spark, sf_dir):
     """Turns near to the stated query set, ids divisible by 50, by the distances of their words' vectors; the vocabulary is the 500 most frequent words."""
-    t = row_ordinals(turns(spark, sf_dir), "dialog_no", "turn", "id").select("id", F.col("clean").alias("utterance"))
+    t = written(row_ordinals(turns(spark, sf_dir), "dialog_no", "turn", "id").select("id", F.col("clean").alias("utterance")), scratch(spark, "utterances"))
     words = V.top(V.frequencies(t, "utterance", ["id"]), 500).select("token")
     e = read(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("vector"))
     n = e.agg(F.count(F.lit(1)).alias("n"))  # one row
