@@ -69,7 +69,7 @@ def test_movies(spark, tmp_path):
     assert [spaced(x) for x in lines["Source"]] == [p[1] for p in pairs_of(spark, made)]
     assert [spaced(x) for x in lines["Target"]] == [p[2] for p in pairs_of(spark, made)]
     record = next(p for p in Path(made.folder).iterdir() if p.name.startswith("config."))
-    assert json.loads(record.read_text())["rows"] == {"turns": 8, "splits": 3, "routed": 3}
+    assert json.loads(record.read_text())["rows"] == {"turns": 8, "quarantine": 0, "splits": 3, "routed": 3}
 
 
 def test_what_is_there_is_not_made_again(spark, tmp_path):
