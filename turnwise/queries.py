@@ -809,7 +809,7 @@ def forest_clusters(spark, sf_dir):
 @query()
 def forest_filter(spark, sf_dir):
     """Pairs without those of such clusters, by characters, whose other side is of many clusters."""
-    return _filtered_by(spark, sf_dir, H.forest_clusters(_said(spark, sf_dir)[1], 32, characters=True), 2.0)
+    return _filtered_by(spark, sf_dir, H.forest_clusters(_said(spark, sf_dir)[1], 32, characters=True), 1.5)
 
 
 def _shingles(clean):
