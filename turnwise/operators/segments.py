@@ -26,7 +26,8 @@ def abbreviations(texts: DataFrame, text: str = "text", least: float = LEAST, mo
     bare = F.regexp_replace(F.regexp_replace("t", CLOSERS, ""), OPENERS, "")
     dotted = F.col("t").rlike("[^.]\\.$")
     word = F.lower(F.when(dotted, F.expr("left(t, length(t) - 1)")).otherwise(F.col("t")))
-    counts = texts.select(token).select(bare.alias("t")).groupBy(word.alias("word")).agg(F.count(F.lit(1)).alias("n"), F.sum(dotted.cast("long")).alias("dotted"))
+    each = texts.select(token).groupBy("t").agg(F.count(F.lit(1)).alias("n"))  # what follows is for distinct tokens
+    counts = each.select(bare.alias("t"), "n").groupBy(word.alias("word")).agg(F.sum("n").alias("n"), F.sum(F.when(dotted, F.col("n")).otherwise(0)).alias("dotted"))
     total = counts.agg(F.sum("n").alias("all_n"), F.sum("dotted").alias("all_dotted"))  # one row
     c = counts.where((F.col("dotted") > 0) & F.col("word").rlike(WORD)).join(F.broadcast(total), how="cross")
     p, without = F.col("all_dotted") / F.col("all_n"), F.col("n") - F.col("dotted")
