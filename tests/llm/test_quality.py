@@ -19,11 +19,18 @@ def mixed(h):
 
 
 def plain_features(text, s):
-    """Buckets of a text's words, of the places where a word comes again after k words, and of its words' n-grams with their borders."""
+    """Buckets of a text's words, of words in a row, of the places where a word comes again after k words, and of its words' n-grams with
+    their borders."""
     raw, shift = text.encode(), 64 - (s.buckets.bit_length() - 1)
     words = [w for w in raw.replace(b"\t", b" ").replace(b"\n", b" ").split(b" ") if w]
     one = lambda w: int(hash_spans(np.frombuffer(w, np.uint8), np.array([0]), np.array([len(w)]))[0])
     out = [one(w) >> shift for w in words]
+    for n in s.word_ngrams:
+        for i in range(len(words) - n + 1):
+            code = n
+            for w in words[i : i + n]:
+                code = mixed(code + one(w) & MASK)
+            out.append(code >> shift)
     for k in range(1, s.lags + 1):
         out += [mixed(k) >> shift for a, b in zip(words, words[k:]) if a == b]
     space = b" \t\n"
@@ -40,8 +47,9 @@ def plain_features(text, s):
 
 
 @pytest.mark.parametrize("text", ["", "a", "one two one two three", "tab\there  there\nthere", "é ü é", " lead and trail ", "x" * 5000 + " y " * 300])
-def test_a_text_s_score(text):
-    s = quality.Settings(buckets=1 << 10, dim=3)
+@pytest.mark.parametrize("word_ngrams", [(2,), (2, 3), ()])
+def test_a_text_s_score(text, word_ngrams):
+    s = quality.Settings(buckets=1 << 10, dim=3, word_ngrams=word_ngrams)
     rng = np.random.RandomState(1)
     model = quality.Model(s, rng.normal(0, 1, (s.buckets, s.dim)).astype(np.float32), rng.normal(0, 1, (s.dim, 2)).astype(np.float32), np.array([0.2, -0.3], np.float32))
     ids = plain_features(text, s)
@@ -96,3 +104,45 @@ def test_a_step_goes_down_the_gradient():
 def test_training_without_a_class():
     model = quality.train([(np.array([1]), np.array([1.0], np.float32))], np.array([1]), quality.Settings(buckets=4, dim=2))
     assert quality.text_scores(pa.array(["a b"]), model.logit, model.prior, model.settings)[0] == 0.5
+
+
+def labelled(spark, n, text):
+    docs = spark.createDataFrame([(i, text(i)) for i in range(n)], "doc_id long, text string")
+    return docs, spark.createDataFrame([(i, int(i % 3 > 0)) for i in range(n)], "doc_id long, quality int")
+
+
+def test_bags_are_read_file_by_file(spark, monkeypatch):
+    """What fits in memory decides how often files are read, not what is learned; every labelled text of the fold is learned from."""
+    docs, labels = labelled(spark, 180, lambda i: f"{'good' if i % 3 else 'bad'} w{i} w{i % 7}")
+    seen, reads = [], []
+    opened, init = quality.reading, quality.Bags.__init__
+    monkeypatch.setattr(quality, "reading", lambda uri, random=False: reads.append(uri) or opened(uri, random))
+
+    def fit(kept):
+        monkeypatch.setattr(quality.Bags, "__init__", lambda self, path, files: seen.append(files) or init(self, path, files, kept))
+        reads.clear()
+        model = quality.fit(docs.repartition(5), labels, quality.Settings(buckets=1 << 10, dim=3, epochs=2), 200)
+        return model, len(reads), len(set(reads))
+
+    whole, n, files = fit(1 << 30)
+    assert n == files > 1
+    for kept in (0, 4000):
+        again, n, same = fit(kept)
+        assert same == files < n
+        assert np.array_equal(again.vectors, whole.vectors) and np.array_equal(again.weights, whole.weights)
+    fold = {r.doc_id for r in docs.where(quality.fold_of(docs.doc_id) != quality.HELD_OUT).collect()}
+    assert {sum(size for _, size in files) for files in seen} == {len(fold)}
+
+
+def test_many_long_labelled_texts(spark):
+    """Bags don't pass through Spark's results, so their sum may exceed the driver's bound on those: only names and labels do."""
+    docs, labels = labelled(spark, 60, lambda i: " ".join(f"{'g' if i % 3 else 'b'}{i}x{k}" for k in range(20_000)))
+    results = []
+    collect = type(docs).collect
+    try:
+        type(docs).collect = lambda self: results.append(collect(self)) or results[-1]
+        model = quality.fit(docs, labels, quality.Settings(epochs=1))
+    finally:
+        type(docs).collect = collect
+    assert len(results) == 1 and len(str(results)) < 20_000
+    assert model.vectors.any()

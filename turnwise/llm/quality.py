@@ -1,11 +1,16 @@
 """Quality classifier: supervised subword embeddings, trained by stochastic gradient descent in numpy.
 
-A text's features are its words and the character n-grams of its words (n-grams of bytes, word borders included), all hashed into
-``buckets``.  Word n-grams are there by their pattern: of a word and the one k places before, whether they are the same, for small k;
-plain pairs of words tell less (of the held-out rows at 0.1: 96 of 100 right instead of all).  Learned vectors of the features are
-averaged and go through a softmax over the two classes.  Since the average and the last layer are linear, a trained model scores a
-text from one number for each bucket, so every text is scored whole in one pass without a join; what executors get is 4 bytes x
-buckets, a fixed size.
+A text's features are its words, its word n-grams and the character n-grams of its words (n-grams of bytes, word borders included),
+all hashed into ``buckets``, and patterns: of a word and the one k places before, whether they are the same, for small k.  Learned
+vectors of the features are averaged and go through a softmax over the two classes.  Since the average and the last layer are linear,
+a trained model scores a text from one number for each bucket, so every text is scored whole in one pass without a join; what
+executors get is 4 bytes x buckets, a fixed size.
+
+Features are chosen by a split inside the training fold, never by the held-out one: of its rows at 0.1, a quarter by hash set aside, 627 of
+647 come out right with words and character n-grams, 627 with word pairs too, 643 with patterns too.
+
+Training texts become bags of features on executors, which write them to files of some texts each.  The driver takes them file by file,
+in another order every epoch, and keeps those that fit in KEPT_BYTES from one epoch to the next.
 """
 
 from __future__ import annotations
@@ -18,13 +23,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .shared import small_batches
+from .files import reading, writing
+from .shared import shared_dir, small_batches
 from .textbuf import NOT_SPACE, chunks, hash_spans, mix, trim, utf8, words
 
 #: At most so many labelled ids of each class are learned from, those with the smallest hashes; their texts are read whole.
 MAX_PER_CLASS = 1500
 FOLDS, HELD_OUT = 3, 1
 SEED = 13
+#: Labelled texts in a file of bags, about; a bag has a number for each bucket at most.
+FILE_TEXTS, KEPT_BYTES = 50, 128 << 20
 
 
 @dataclass(frozen=True)
@@ -32,6 +40,7 @@ class Settings:
     buckets: int = 1 << 18
     dim: int = 8
     ngrams: tuple[int, ...] = (3, 4)
+    word_ngrams: tuple[int, ...] = (2,)
     lags: int = 6
     epochs: int = 12
     rate: float = 0.5
@@ -46,6 +55,14 @@ def feature_ids(buf: np.ndarray, off: np.ndarray, s: Settings) -> tuple[np.ndarr
     tokens = hash_spans(buf, w.start, w.end)
     of_word = np.repeat(np.arange(len(off) - 1), w.counts)
     ids, rows = [(tokens >> shift).astype(np.int64)], [of_word]
+    for n in s.word_ngrams:
+        m = max(0, len(tokens) - n + 1)
+        code = np.full(m, n, np.uint64)
+        for k in range(n):
+            code = mix(code + tokens[k : k + m])
+        at = np.flatnonzero(of_word[:m] == of_word[n - 1 : n - 1 + m]) if m else np.zeros(0, np.int64)
+        ids.append((code[at] >> shift).astype(np.int64))
+        rows.append(of_word[at])
     for k in range(1, s.lags + 1):
         same = np.flatnonzero((tokens[k:] == tokens[:-k]) & (of_word[k:] == of_word[:-k])) + k
         ids.append(np.full(len(same), int(mix(np.array([k], np.uint64))[0] >> shift)))
@@ -106,7 +123,40 @@ class Model:
         return float(self.bias[1] - self.bias[0])
 
 
-def train(examples: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, s: Settings = Settings()) -> Model:
+class Bags:
+    """Examples in files of a shared folder; those that fit in kept_bytes are read once, others each time their file's turn comes."""
+
+    def __init__(self, path: str, files: list[tuple[int, int]], kept_bytes: int = KEPT_BYTES):
+        """files: (name, number of examples) of each file."""
+        self.path, self.names, self.kept_bytes = path, [name for name, _ in files], kept_bytes
+        self.ends = np.cumsum([n for _, n in files], dtype=np.int64)
+        self.starts = self.ends - [n for _, n in files]
+        self.kept: dict[int, list] = {}
+        self.latest: tuple[int, list] = (-1, [])
+
+    def groups(self) -> list[np.ndarray]:
+        """Numbers of the examples that are in a file together."""
+        return [np.arange(a, b) for a, b in zip(self.starts, self.ends, strict=True)]
+
+    def __getitem__(self, i: int) -> tuple[np.ndarray, np.ndarray]:
+        g = int(np.searchsorted(self.ends, i, side="right"))
+        if g in self.kept:
+            return self.kept[g][i - self.starts[g]]
+        if self.latest[0] != g:
+            self.latest = (-1, [])  # let go of the file before
+            with reading(f"{self.path}/{self.names[g]}", random=True) as f:
+                got = pa.ipc.open_file(f).read_all()
+            bags_of = [(np.frombuffer(a, np.int32), np.frombuffer(b, np.float32)) for a, b in zip(got.column("ids").to_pylist(), got.column("share").to_pylist(), strict=True)]
+            self.latest = (g, bags_of)
+            self.kept_bytes -= (size := sum(a.nbytes + b.nbytes for a, b in bags_of))
+            if self.kept_bytes >= 0:
+                self.kept[g] = bags_of
+            else:
+                self.kept_bytes += size
+        return self.latest[1][i - self.starts[g]]
+
+
+def train(examples: list[tuple[np.ndarray, np.ndarray]] | Bags, labels: np.ndarray, s: Settings = Settings()) -> Model:
     """Both classes weigh the same.  Without an example of either class every text scores 0.5."""
     rng = np.random.RandomState(SEED)
     vectors = rng.uniform(-1 / s.dim, 1 / s.dim, (s.buckets, s.dim)).astype(np.float32)
@@ -116,15 +166,17 @@ def train(examples: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, s:
     if counts.min() == 0:
         return Model(s, vectors * 0, weights, bias)
     weigh = (len(labels) / (2 * counts)).astype(np.float32)
+    groups = examples.groups() if isinstance(examples, Bags) else [np.arange(len(labels))]
     epochs = int(min(60, max(s.epochs, 20_000 // len(labels))))
     steps, step = epochs * -(-len(labels) // s.batch), 0
     for _ in range(epochs):
-        order = rng.permutation(len(labels))
+        order = np.concatenate([rng.permutation(groups[g]) for g in rng.permutation(len(groups))])
         for at in range(0, len(order), s.batch):
             pick = order[at : at + s.batch]
             rate = s.rate * (1 - step / steps)
             step += 1
-            hidden = np.stack([examples[i][1] @ vectors[examples[i][0]] for i in pick])
+            held = [examples[i] for i in pick]
+            hidden = np.stack([share @ vectors[ids] for ids, share in held])
             z = hidden @ weights + bias
             p = np.exp(z - z.max(1, keepdims=True))
             p /= p.sum(1, keepdims=True)
@@ -133,8 +185,7 @@ def train(examples: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, s:
             back = p @ weights.T
             weights -= rate * (hidden.T @ p + s.decay * weights)
             bias -= rate * p.sum(0)
-            for i, g in zip(pick, back, strict=True):
-                ids, share = examples[i]
+            for (ids, share), g in zip(held, back, strict=True):
                 vectors[ids] -= (rate * len(pick)) * share[:, None] * g
     return Model(s, vectors, weights, bias)
 
@@ -171,9 +222,18 @@ def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings(), max
 
     bagged = rows.mapInArrow(run, "h long, label int, check long, ids binary, share binary")
     one = bagged.groupBy("h").agg(F.min(F.struct("check", "ids", "share", "label")).alias("r")).select("h", "r.label", "r.ids", "r.share")
-    got = one.toPandas().sort_values("h")  # a row for each id, of at most buckets numbers
-    examples = [(np.frombuffer(a, np.int32), np.frombuffer(b, np.float32)) for a, b in zip(got["ids"], got["share"], strict=True)]
-    return train(examples, got["label"].to_numpy(np.int64), settings)
+    path = shared_dir(docs.sparkSession, "bags")
+
+    def write(key, got):
+        name, got = key[0].as_py(), got.sort_by("h")
+        with writing(f"{path}/{name}") as out, pa.ipc.new_file(out, got.schema) as f:
+            f.write_table(got, max_chunksize=1)
+        return pa.table([pa.array([name], pa.int32()), pa.array([got.column("label").to_pylist()], pa.list_(pa.int32()))], names=["name", "labels"])
+
+    files = F.pmod("h", F.lit(max(1, -(-2 * max_per_class // FILE_TEXTS)))).cast("int").alias("name")
+    written = one.select(files, "h", "label", "ids", "share").groupBy("name").applyInArrow(write, "name int, labels array<int>")
+    made = sorted(written.collect())  # a row for each file, a number for each id
+    return train(Bags(path, [(r.name, len(r.labels)) for r in made]), np.array([x for r in made for x in r.labels], np.int64), settings)
 
 
 def text_scores(column: pa.Array, logit: np.ndarray, prior: float, s: Settings) -> np.ndarray:
