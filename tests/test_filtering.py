@@ -255,6 +255,29 @@ def test_nearest_in_blocks_is_the_same(spark, monkeypatch):
         assert d == pytest.approx(min(far.values()), abs=2e-6) and far[c] == pytest.approx(d, abs=2e-6)
 
 
+@pytest.mark.parametrize("sent", [1 << 21, 12])
+def test_mean_vectors(spark, monkeypatch, sent):
+    """Means of all known words with repeats, in one block and in several."""
+    monkeypatch.setattr(E, "NUMBERS_SENT", sent)
+    monkeypatch.setattr(E, "WORDS_ADDED", 5)
+    rng = np.random.RandomState(1)
+    v = {f"w{i}": rng.normal(0, 1, 3) for i in range(30)}
+    texts = [(f"t{k}", [f"w{rng.randint(0, 40)}" for _ in range(rng.randint(0, 20))]) for k in range(100)] + [("none", None), ("unknown", ["w99"])]
+    want = {i: np.mean([v[w] for w in ws if w in v], axis=0) for i, ws in texts if any(w in v for w in ws or [])}
+    df = spark.createDataFrame(texts, "id string, words array<string>").repartition(3)
+    out = E.mean_vectors(df, spark.createDataFrame([(w, [float(y) for y in x]) for w, x in v.items()], "word string, vector array<double>"))
+    got = {r.id: r.vector for r in out.collect()}
+    assert set(got) == set(want) and all(got[i] == pytest.approx(list(want[i])) for i in want)
+
+
+def test_nearest_of_equal_centres_is_the_smallest_id(spark):
+    rows = [(5, [1.0, 0.0]), (3, [1.0, 0.0]), (4, [-1.0, 0.0]), (9, [0.0, 1.0 + 1e-9])]
+    centres = spark.createDataFrame(rows, "id long, vector array<double>")
+    points = spark.createDataFrame([("a", [0.0, 0.0]), ("b", [-0.5, 0.0]), ("c", None)], "id string, vector array<double>")
+    assert sorted(map(tuple, E.nearest(points, centres).collect())) == [("a", 3, 1.0), ("b", 4, 0.25), ("c", None, None)]
+    assert [tuple(r) for r in E.nearest(points.limit(1), centres.limit(0)).collect()] == [("a", None, None)]
+
+
 def test_near_clusters_are_those_of_brute_force(spark):
     """An utterance joins the least one that it is a near copy of, where that joins no other."""
     texts = sorted({*planted(30), *(" ".join(f"x{i}" for i in range(100) if i != k) for k in range(0, 100, 9))})
