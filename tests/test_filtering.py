@@ -2,6 +2,7 @@
 
 import math
 import random
+import time
 from collections import Counter
 
 import numpy as np
@@ -100,6 +101,22 @@ def test_sentence_distances(spark):
     assert SE.sentence_distances(rows.limit(0), rows, words, 99.0).count() == 0
 
 
+def test_all_pairs_are_near(spark):
+    """Where no bound tells pairs apart, both directions of all pairs of blocks are measured at once; words with equal vectors are one."""
+    rng = np.random.RandomState(2)
+    v = rng.normal(0, 1, (40, 8)).repeat(10, axis=0)
+    words = SE.word_distances(spark.createDataFrame([(f"w{i:03d}", [float(y) for y in x]) for i, x in enumerate(v)], "token string, vector array<double>"))
+    assert words.few.shape == (40, 40)
+    texts = [" ".join(f"w{i:03d}" for i in rng.randint(0, 400, 60)) for _ in range(1500)]
+    asked, every = SE.Sentences(list(range(1000)), texts[:1000], words), SE.Sentences(list(range(1500)), texts, words)
+    start = time.time()
+    q, r, far, measured = SE.near_pairs(asked, every, words, 99.0)
+    assert len(q) == measured == 1_500_000 and time.time() - start < 10  # pair by pair it takes over 20 s
+    for k in range(0, len(q), 100_003):
+        d = words.matrix[np.ix_([int(w[1:]) for w in texts[q[k]].split()], [int(w[1:]) for w in texts[r[k]].split()])]
+        assert far[k] == pytest.approx(max(d.min(1).mean(), d.min(0).mean()))
+
+
 @pytest.mark.parametrize("most", [0.3, 0.8])
 def test_pruned_distances_are_the_whole_matrix_s(spark, monkeypatch, most):
     monkeypatch.setattr(SE, "QUERY_BLOCK", 7)
