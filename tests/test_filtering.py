@@ -196,6 +196,24 @@ def test_nearest_medoids_in_a_forest(spark, characters):
     assert got[""] == (min(chosen), 0.0)
 
 
+def test_forest_in_blocks(spark, monkeypatch):
+    """Medoids in blocks find as similar ones or better, points aren't shuffled, and few elements at once change nothing."""
+    rng = random.Random(6)
+    said = sorted({" ".join(f"w{rng.randint(0, 60)}" for _ in range(rng.randint(1, 30))) for _ in range(200)}) + [""]
+    sets = spark.createDataFrame([(t,) for t in said], "id string").select("id", H.elements(F.col("id")).alias("set"))
+    some = sets.where(F.col("id").isin(said[::5]))
+    near = H.nearest_medoids(sets, some)[0]
+    assert "Exchange" not in near._jdf.queryExecution().executedPlan().toString()
+    whole = {r.id: (r.medoid, r.similarity) for r in near.collect()}
+    monkeypatch.setattr(H, "COMPARED", 50)
+    assert {r.id: (r.medoid, r.similarity) for r in H.nearest_medoids(sets, some)[0].collect()} == whole
+    monkeypatch.setattr(H, "MEDOIDS_SENT", 9)
+    parts, met = H.nearest_medoids(sets, some)
+    got = {r.id: (r.medoid, r.similarity) for r in parts.collect()}
+    assert set(got) == set(whole) and all(got[i][1] >= whole[i][1] for i in whole)
+    assert {(i, m) for i, (m, _) in got.items()} <= {tuple(r) for r in met.collect()}
+
+
 def test_forest_clusters_feed_the_filter(spark):
     pairs = spark.createDataFrame([("how are you my friend", "fine thanks a lot"), ("how are you my dear friend", "not well at all"), ("what is the time now", "noon"), ("what is the time just now", "noon")], "source string, target string")
     clusters = H.forest_clusters(pairs.select(F.col("source").alias("utterance")), 2)

@@ -2,7 +2,8 @@
 
 Each of TREES trees orders the medoids by its own DEPTH minima.  A point looks in all trees for medoids that begin with all its minima,
 then for those that begin with all but the last, and so on, until it has met enough of them; these are compared exactly.  So near ones
-are found by long prefixes, which few medoids share, and points that are near to nothing still find what shares one minimum.
+are found by long prefixes, which few medoids share, and points that are near to nothing still find what shares one minimum.  The medoids' trees go
+to the points, in blocks.
 """
 
 from __future__ import annotations
@@ -34,61 +35,122 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(33))
 
 
-def signed(points: DataFrame, seed: int = 42) -> DataFrame:
-    """(id, hashes, keys) of points (id, set): hashes of the set's elements, and for each tree the hashes of its prefixes, the shortest
-    first; an empty set has no keys."""
-
-    def run(batches):
-        import pyarrow as pa
-
-        salts = _mix(np.arange(1, TREES * DEPTH + 1, dtype=np.uint64) * _GOLDEN + np.uint64(seed))
-        for b in batches:
-            lists = b.column(1)
-            off = lists.offsets.to_numpy().astype(np.int64)
-            flat = lists.values.to_numpy()[off[0] : off[-1]].view(np.uint64)
-            off = off - off[0]
-            full = np.flatnonzero(np.diff(off) > 0)
-            keys = np.zeros((len(full), TREES * DEPTH), np.uint64)
-            for k, salt in enumerate(salts if len(full) else ()):
-                low = np.minimum.reduceat(_mix(flat ^ salt), off[full])
-                before = keys[:, k - 1] if k % DEPTH else np.full(len(full), k, np.uint64)
-                keys[:, k] = _mix(before * _GOLDEN + low)
-            of = np.zeros(b.num_rows + 1, np.int32)
-            of[1:][full] = TREES * DEPTH
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.ListArray.from_arrays(pa.array(np.cumsum(of).astype(np.int32)), pa.array(keys.view(np.int64).ravel()))], names=["id", "hashes", "keys"])
-
-    kind = dict(points.dtypes)["id"]
-    hashed = points.select("id", F.transform("set", lambda w: F.xxhash64(w)).alias("hashes"))
-    return hashed.mapInArrow(run, f"id {kind}, hashes array<bigint>, keys array<bigint>")
-
-
-def _at_depth(points: DataFrame, name: str, depth: int) -> DataFrame:
-    """(name, key): the prefixes of that depth."""
-    return points.select(F.col("id").alias(name), F.explode(F.filter("keys", lambda _, i: i % DEPTH == depth - 1)).alias("key"))
-
-
-def nearest_medoids(points: DataFrame, medoids: DataFrame, enough: int = ENOUGH) -> tuple[DataFrame, DataFrame]:
+def _prefixes(flat: np.ndarray, off: np.ndarray, seed: int) -> np.ndarray:
+    """Of each set (flat[off[i]:off[i + 1]], not empty) TREES * DEPTH keys: for each tree its prefixes' hashes, the shortest first."""
+    salts = _mix(np.arange(1, TREES * DEPTH + 1, dtype=np.uint64) * _GOLDEN + np.uint64(seed))
+    keys = np.zeros((len(off) - 1, TREES * DEPTH), np.uint64)
+    for k, salt in enumerate(salts if len(keys) else ()):
+        low = np.minimum.reduceat(_mix(flat ^ salt), off[:-1])
+        before = keys[:, k - 1] if k % DEPTH else np.full(len(keys), k, np.uint64)
+        keys[:, k] = _mix(before * _GOLDEN + low)
+    return keys
+
+
+def _sets(lists) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, offsets) of an Arrow array of lists of hashes, none of them null."""
+    off = lists.offsets.to_numpy().astype(np.int64)
+    return lists.values.to_numpy()[off[0] : off[-1]].view(np.uint64), off - off[0]
+
+
+#: Medoids that are sent to all tasks at once; elements of points, times these medoids, that are compared at once.
+MEDOIDS_SENT, COMPARED = 1024, 1 << 21
+
+
+class _Trees:
+    """A block of medoids, in their order: their sets, and in each tree their prefixes in order."""
+
+    def __init__(self, flat: np.ndarray, off: np.ndarray, seed: int):
+        self.seed, self.size = seed, np.diff(off)
+        full = np.flatnonzero(self.size)
+        keys = _prefixes(flat, off[np.append(full, len(self.size))], seed)
+        order = keys.argsort(0, kind="stable")
+        self.keys, self.at = np.take_along_axis(keys, order, 0), full[order]
+        self.words, place = np.unique(flat, return_inverse=True)
+        self.held = np.sort(np.repeat(np.arange(len(self.size)), self.size) * (len(self.words) + 1) + place.reshape(-1))  # (medoid, word)
+
+    def met(self, keys: np.ndarray, enough: int) -> np.ndarray:
+        """Whether a point of these prefixes meets each medoid: depth by depth, until it has met enough."""
+        out = np.zeros((len(keys), len(self.size)), bool)
+        looking = np.arange(len(keys))
+        for depth in range(DEPTH - 1, -1, -1):
+            for k in range(depth, TREES * DEPTH, DEPTH):
+                own = keys[looking, k]
+                low, high = np.searchsorted(self.keys[:, k], own), np.searchsorted(self.keys[:, k], own, "right")
+                n = high - low
+                within = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                out[np.repeat(looking, n), self.at[np.repeat(low, n) + within, k]] = True
+            looking = looking[out[looking].sum(1) < enough]
+        return out
+
+    def compared(self, flat: np.ndarray, off: np.ndarray, enough: int):
+        """Yields (rows, medoids, similarity) of sets' pairs with the medoids that they meet, the first one if they meet none."""
+        size = np.diff(off)
+        most, x = max(1, COMPARED // len(self.size)), 0
+        while x < len(size):
+            y = max(x + 1, int(np.searchsorted(off, off[x] + most, "right")) - 1)
+            y = min(y, x + max(1, COMPARED // len(self.size)))
+            full = np.flatnonzero(size[x:y])
+            met = np.zeros((y - x, len(self.size)), bool)
+            met[full] = self.met(_prefixes(flat[off[x] : off[y]], off[x + np.append(full, y - x)] - off[x], self.seed), enough)
+            met[~met.any(1), 0] = True
+            r, m = np.nonzero(met)
+            word = np.searchsorted(self.words, flat[off[x] : off[y]])
+            known = word < len(self.words)
+            known[known] = self.words[word[known]] == flat[off[x] : off[y]][known]
+            word = np.where(known, word, len(self.words))  # one that no medoid holds
+            n = size[x:y][r]
+            pair = np.repeat(np.arange(len(r)), n)
+            asked = np.repeat(m, n) * (len(self.words) + 1) + word[np.repeat(off[x:y][r] - off[x], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
+            at = np.searchsorted(self.held, asked)
+            hit = at < len(self.held)
+            hit[hit] = self.held[at[hit]] == asked[hit]
+            shared = np.bincount(pair[hit], minlength=len(r))
+            yield x + r, m, np.round(shared / np.maximum(n + self.size[m] - shared, 1), 6)
+            x = y
+
+
+def nearest_medoids(points: DataFrame, medoids: DataFrame, enough: int = ENOUGH, seed: int = 42) -> tuple[DataFrame, DataFrame]:
     """((id, medoid, similarity), (id, medoid) compared) of points (id, set) and medoids (id, set), both tables.
 
     Of the compared medoids the most similar one, of equals the smallest.  Points that share no minimum with any medoid, empty ones too, go
-    to the smallest.  Each depth is a join of the points that still look for medoids.
+    to the smallest.  Medoids go to the points in blocks of about MEDOIDS_SENT, in each of which a point meets enough, so points are never
+    shuffled for it; with more than one block each is a job of its own, and a point's bests are compared.
     """
-    spark, folder = points.sparkSession, scratch(points.sparkSession, "forest")
-    p, m = written(signed(points), f"{folder}/points"), written(signed(medoids), f"{folder}/medoids")
-    left, met = p, None
-    for depth in range(DEPTH, 0, -1):
-        found = _at_depth(left, "id", depth).join(_at_depth(m, "medoid", depth), "key").select("id", "medoid")
-        found = written((found if met is None else found.unionByName(met)).distinct(), f"{folder}/met-{depth}")
-        met = found
-        if depth > 1:
-            have = found.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= enough)
-            left = p.join(have, "id", "left_anti")
-    lost = p.join(met, "id", "left_anti").select("id").join(F.broadcast(m.agg(F.min("id").alias("medoid"))), how="cross")  # one row
-    both = met.unionByName(lost).join(p.select("id", "hashes"), "id").join(m.select(F.col("id").alias("medoid"), F.col("hashes").alias("_m")), "medoid")
-    shared = F.size(F.array_intersect("hashes", "_m"))
-    alike = F.coalesce(F.round(F.try_divide(shared, F.size("hashes") + F.size("_m") - shared), 6), F.lit(0.0))
-    best = both.select("id", "medoid", alike.alias("similarity")).groupBy("id").agg(F.min(F.struct((-F.col("similarity")).alias("far"), "medoid", "similarity")).alias("b"))
-    return best.select("id", "b.medoid", "b.similarity"), met
+    spark, kind, named = points.sparkSession, dict(points.dtypes)["id"], dict(medoids.dtypes)["id"]
+    hashed = lambda rows: rows.select("id", F.transform("set", lambda w: F.xxhash64(w)).alias("hashes"))
+    p, m = hashed(points), written(hashed(medoids), scratch(spark, "medoids"))
+    blocks = -(-m.count() // MEDOIDS_SENT) or 1
+
+    def block(k: int, whole: bool) -> DataFrame:
+        rows = m.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == k).orderBy("id").toArrow()  # about MEDOIDS_SENT
+        ids, trees = rows.column("id").combine_chunks(), _Trees(*_sets(rows.column("hashes").combine_chunks()), seed)
+
+        def run(batches):
+            import pyarrow as pa
+
+            for b in batches if len(ids) else ():
+                for r, c, alike in trees.compared(*_sets(b.column("hashes")), enough):
+                    if not whole:
+                        order = np.lexsort((c, -alike, r))
+                        first = order[np.flatnonzero(np.diff(r[order], prepend=-1))]
+                        r, c, alike = r[first], c[first], alike[first]
+                    yield pa.RecordBatch.from_arrays([b.column("id").take(pa.array(r)), ids.take(pa.array(c)), pa.array(alike)], names=["id", "medoid", "similarity"])
+
+        return p.mapInArrow(run, f"id {kind}, medoid {named}, similarity double")
+
+    def every(whole: bool) -> DataFrame:
+        if blocks == 1:
+            return block(0, whole)
+        path = scratch(spark, "forest")
+        for k in range(blocks):
+            block(k, whole).write.mode("append").parquet(path)
+        return spark.read.schema(f"id {kind}, medoid {named}, similarity double").parquet(path)
+
+    near = every(False)
+    if blocks > 1:
+        best = F.min(F.struct((-F.col("similarity")).alias("far"), "medoid", "similarity")).alias("b")
+        near = near.groupBy("id").agg(best).select("id", "b.medoid", "b.similarity")
+    return near, every(True).select("id", "medoid")
 
 
 def forest_clusters(utterances: DataFrame, k: int, characters: bool = False, seed: int = 42) -> DataFrame:
