@@ -92,6 +92,18 @@ def test_exact_medoids(spark, monkeypatch, block, spread):
         assert measured < 600
 
 
+def test_distances_keep_their_digits():
+    """Far from the origin and for equal rows, and faster than row by row."""
+    rng = np.random.RandomState(0)
+    a = rng.normal(0, 1, (600, 64)) + 1000
+    b = np.concatenate([a[:50], a[:50] + 1e-7, rng.normal(0, 1, (9000, 64)) + 1000])
+    start = time.time()
+    got = K._distances(a, b)
+    took, start = time.time() - start, time.time()
+    want = np.stack([np.sqrt(((b - x) ** 2).sum(1)) for x in a])
+    assert np.abs(got - want).max() < 1e-9 and took < (time.time() - start) / 2
+
+
 def test_sentence_distances(spark):
     words = SE.word_distances(spark.createDataFrame([("a", [0.0, 0.0]), ("b", [3.0, 4.0]), ("c", [0.0, 1.0])], "token string, vector array<double>"))
     assert words.tokens == ["a", "b", "c"] and words.matrix[0, 1] == pytest.approx(5) and words.matrix[0, 2] == pytest.approx(1)

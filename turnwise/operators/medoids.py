@@ -32,10 +32,11 @@ def _measured(points: DataFrame, some: list[tuple]) -> DataFrame:
     def run(batches):
         sums = {c: np.zeros(len(ids)) for c, (ids, _) in by.items()}
         size = dict.fromkeys(by, 0)
+        asked = {c: np.array(v) for c, (_, v) in by.items()}
         for b in batches:
             for c, members in _by_cluster(b).items():
                 if c in by:
-                    sums[c] += _distances(np.array(by[c][1]), members[1]).sum(1)
+                    sums[c] += _distances(asked[c], members[1]).sum(1)
                     size[c] += len(members[1])
         ids = [i for c, (ids, _) in by.items() if size[c] for i in ids]
         if ids:
@@ -47,17 +48,34 @@ def _measured(points: DataFrame, some: list[tuple]) -> DataFrame:
 
 
 def _by_cluster(b: pa.RecordBatch) -> dict:
-    clusters = np.array(b.column(1).to_pylist(), object)
-    vectors = np.array(b.column(2).to_pylist(), float).reshape(b.num_rows, -1)
-    out: dict = {}
-    for c in set(clusters.tolist()):
-        at = np.flatnonzero(clusters == c)
-        out[c] = (at, vectors[at])
-    return out
+    """Of each cluster in a batch (id, cluster, vector) its rows' places and vectors; null clusters and vectors are none."""
+    vectors = b.column(2).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(b.num_rows, -1)
+    codes = b.column(1).dictionary_encode()
+    code = codes.indices.to_numpy(zero_copy_only=False)
+    order = np.argsort(code, kind="stable")
+    cuts = np.searchsorted(code[order], np.arange(len(codes.dictionary) + 1))
+    return {c: (at := order[cuts[k] : cuts[k + 1]], vectors[at]) for k, c in enumerate(codes.dictionary.to_pylist())}
+
+
+#: Vectors that are measured against all members at once, and pairs that are measured one by one.
+AT_ONCE, PAIRS_AT_ONCE = 256, 1 << 14
 
 
 def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return np.stack([np.sqrt(((b - x) ** 2).sum(1)) for x in a])
+    """Distances of a's rows to b's: by a product of matrices around b's mean, and one by one where that would lose digits."""
+    centre = b.mean(0) if len(b) else 0.0
+    a, b = a - centre, b - centre
+    own, other = (a**2).sum(1), (b**2).sum(1)
+    out = np.empty((len(a), len(b)))
+    for x in range(0, len(a), AT_ONCE):
+        size = own[x : x + AT_ONCE, None] + other
+        about = size - 2 * a[x : x + AT_ONCE] @ b.T
+        r, c = np.nonzero(about <= 1e-4 * size)
+        for y in range(0, len(r), PAIRS_AT_ONCE):
+            i, j = r[y : y + PAIRS_AT_ONCE], c[y : y + PAIRS_AT_ONCE]
+            about[i, j] = ((a[x + i] - b[j]) ** 2).sum(1)
+        out[x : x + AT_ONCE] = np.sqrt(about)
+    return out
 
 
 def exact_medoids(points: DataFrame, labels: DataFrame) -> tuple[DataFrame, int]:
