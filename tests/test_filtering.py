@@ -37,6 +37,16 @@ def test_cluster_filter(spark):
     assert sorted((r.source, r.target) for r in E.cluster_filter(identity, "source", E.Limits(0.5)).collect()) == sorted((r.source, r.target) for r in E.entropy_filter(df, "source", 0.5).collect())
 
 
+def test_clusters_of_small_files_are_not_broadcast(spark):
+    df = spark.createDataFrame([("hi", "a"), ("bye", "b")], "source string, target string")
+    clusters = spark.createDataFrame([(t, 1, t) for t in ("hi", "bye", "a", "b")], "utterance string, cluster int, medoid string")
+    both, one = E.clustered(df, clusters, clusters), E.with_clusters(df, clusters, "target")
+    for made in (both, one):
+        plan = made._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+    assert sorted((r.source, r.source_cluster, r.source_medoid, r.target_medoid) for r in both.collect()) == [("bye", 1, "bye", "b"), ("hi", 1, "hi", "a")]
+
+
 def test_next_word_loss(spark):
     rows = [("q", ["a", "b"]), ("q", ["a", "c"]), ("r", ["a", "b"]), ("r", []), ("q", ["d"])]
     got = E.next_word_loss(spark.createDataFrame(rows, "given string, words array<string>"), "given", "words").first()
