@@ -301,6 +301,33 @@ def test_top_accuracy(spark):
     assert tuple(M.neg_log_perplexity(spark.createDataFrame([(0.5,), (0.25,)], "p double"), F.log("p")).first()) == (2, round((math.log(0.5) + math.log(0.25)) / 2, 6))
 
 
+@pytest.mark.parametrize("sent", [1 << 15, 3])
+def test_top_dots_are_those_of_all_pairs(spark, monkeypatch, sent):
+    monkeypatch.setattr(M, "QUERIES_SENT", sent)
+    monkeypatch.setattr(M, "ROWS_AT_ONCE", 16)
+    rng = random.Random(6)
+    rows = [(i, [round(rng.uniform(-1, 1), 2) for _ in range(3)]) for i in range(120)]
+    rows += [(i, [0.5, 0.25, 0.0]) for i in range(120, 200)] + [(7, [1.0, 1.0, 1.0]), (200, None), (201, [1.0, None, 2.0]), (202, [1.0]), (203, [float("nan"), 0.0, 0.0]), (204, [1e200, 0.0, 0.0]), (None, [9.0, 9.0, 9.0])]
+    df = spark.createDataFrame(rows, "id long, vector array<double>")
+    some = df.where("id % 10 = 0 or id > 199")
+    slow = M.best(M.dot_scores(some, df), "input", "score", "candidate", 4)
+    as_rows = lambda d: sorted(map(str, d.select("input", "candidate", "score", "rank").collect()))
+    assert as_rows(M.top_dots(some, df, 4)) == as_rows(slow)
+    few = df.where("id < 3")
+    assert as_rows(M.top_dots(few, few, 4)) == as_rows(M.best(M.dot_scores(few, few), "input", "score", "candidate", 4))
+    assert M.top_dots(df.where("id < 0"), df, 4).count() == 0
+
+
+def test_only_pairs_that_may_be_best_are_rows(spark):
+    """Before, every pair was a row."""
+    rng = np.random.default_rng(1)
+    found = M.TopDots(np.arange(0, 4000, 50), rng.normal(size=(80, 8)), 10)
+    for x in range(0, 4000, 1000):
+        found.add(np.arange(x, x + 1000), rng.normal(size=(1000, 8)))
+    assert len(found.query) == 80 * 10
+    assert M.rounded(np.array([0.00005, -0.00005, 1.00015, 2.5, -0.00001])).tolist() == [0.0001, -0.0001, 1.0002, 2.5, 0.0]
+
+
 def test_nearest_in_blocks_is_the_same(spark, monkeypatch):
     v, df = points(spark)
     centres = df.where("id % 5 = 0")
