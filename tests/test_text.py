@@ -59,6 +59,36 @@ def test_sentences(spark):
     assert G.abbreviations(corpus.limit(0)).count() == 0
 
 
+def test_sentences_are_those_of_every_token(spark):
+    """Only tokens with a mark are looked at; before, each was."""
+    import random
+    import re
+
+    from turnwise.operators import segments as G
+
+    rng = random.Random(3)
+    tokens = ["a", "Dr.", "dr.)", "J.", "(J.", "what?\"", "no!]}", "...", "Wait...", "..", "x..y", "3.5", "p.m.", ".", "?", '".', "\u00c9t\u00e9.", "\u00e9.", "\"The", "(the", "end.\u00a0", "a.\x0b", "", "!a", "a!b?"]
+    for _ in range(3000):
+        body = rng.choice(["", " ", "\n"]) + "".join(rng.choice(tokens) + rng.choice([" ", "  ", "\t", "\r\n", "\x0c"]) for _ in range(rng.randrange(8)))
+        words, out, start = [t for t in re.split(G.SPACE, body) if t], [], 0
+        for i, t in enumerate(words):
+            if i + 1 == len(words) or G.ends(t, words[i + 1], {"dr", "p.m"}):
+                out.append(" ".join(words[start : i + 1]))
+                start = i + 1
+        assert G.cut(body, {"dr", "p.m"}) == out
+
+
+def test_tokens_are_counted_where_the_texts_are(spark, monkeypatch):
+    """Before, every token was a row."""
+    from turnwise.operators import segments as G
+
+    df = spark.createDataFrame([(f" a b.\t{i % 3} a  ",) for i in range(300)] + [(None,), ("",)], "text string").coalesce(1)
+    assert sorted(map(tuple, G.token_counts(df, "text").collect())) == [("0", 100), ("1", 100), ("2", 100), ("a", 600), ("b.", 300)]
+    monkeypatch.setattr(G, "COUNTED", 2)
+    again = G.token_counts(df, "text").groupBy("t").sum("n").collect()
+    assert sorted(map(tuple, again)) == [("0", 100), ("1", 100), ("2", 100), ("a", 600), ("b.", 300)]
+
+
 def test_treebank_words(spark):
     said = {
         '"Hi," she said (twice)... "No!"': "`` Hi , '' she said ( twice ) ... `` No ! ''",

@@ -7,10 +7,13 @@ Kiss and Strunk's unsupervised method, times factors for short words, inner peri
 from __future__ import annotations
 
 import re
+from collections import Counter
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from turnwise.sinks.paths import scratch, written
+
 #: White space between tokens; what may close or open a quotation or a bracket around one.
 SPACE, CLOSERS, OPENERS = "[ \t\n\r\f]+", "[)\\]}\"']+$", "^[(\\[{\"']+"
 #: Letters, ASCII or not, with single periods between them.
@@ -19,15 +22,46 @@ WORD = "^[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+(\\.[^\\x00-\\x40\\x5B-\\x60\\x7B-
 LEAST, MOST = 0.3, 10_000
 
 
+#: Distinct tokens that a task counts before it gives their counts.
+COUNTED = 1 << 17
+
+
+def token_counts(texts: DataFrame, text: str) -> DataFrame:
+    """(t, n): tokens of whole texts and how often they come, a row or more for each."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        count, split = Counter(), re.compile(SPACE).split
+
+        def given():
+            tokens = list(count)
+            for x in range(0, len(tokens), 1 << 15):
+                some = tokens[x : x + (1 << 15)]
+                yield pa.RecordBatch.from_arrays([pa.array(some, pa.string()), pa.array([count[t] for t in some], pa.int64())], names=["t", "n"])
+
+        for b in batches:
+            for body in b.column(0):
+                count.update(split(body.as_py() or ""))
+                if len(count) > COUNTED:
+                    count.pop("", None)
+                    yield from given()
+                    count.clear()
+        count.pop("", None)
+        yield from given()
+
+    return texts.select(text).mapInArrow(run, "t string, n long")
+
+
 def abbreviations(texts: DataFrame, text: str = "text", least: float = LEAST, most: int = MOST) -> DataFrame:
     """(word, n, dotted, score) of the words of texts that are abbreviations, in lower case and without their last period: one grouping
-    of all words.  Ties go by word."""
-    token = F.explode(F.filter(F.split(F.col(text), SPACE), lambda t: t != "")).alias("t")
+    of all words, counted where the texts are, once.  Ties go by word."""
     bare = F.regexp_replace(F.regexp_replace("t", CLOSERS, ""), OPENERS, "")
     dotted = F.col("t").rlike("[^.]\\.$")
     word = F.lower(F.when(dotted, F.expr("left(t, length(t) - 1)")).otherwise(F.col("t")))
-    each = texts.select(token).groupBy("t").agg(F.count(F.lit(1)).alias("n"))  # what follows is for distinct tokens
+    each = token_counts(texts, text).groupBy("t").agg(F.sum("n").alias("n"))  # what follows is for distinct tokens
     counts = each.select(bare.alias("t"), "n").groupBy(word.alias("word")).agg(F.sum("n").alias("n"), F.sum(F.when(dotted, F.col("n")).otherwise(0)).alias("dotted"))
+    counts = written(counts, scratch(texts.sparkSession, "word-counts"))  # summed and scored
     total = counts.agg(F.sum("n").alias("all_n"), F.sum("dotted").alias("all_dotted"))  # one row
     c = counts.where((F.col("dotted") > 0) & F.col("word").rlike(WORD)).join(F.broadcast(total), how="cross")
     p, without = F.col("all_dotted") / F.col("all_n"), F.col("n") - F.col("dotted")
@@ -54,6 +88,30 @@ def ends(token: str, following: str | None, known: set[str]) -> bool:
     return word not in known and not (len(word) == 1 and word.isalpha())
 
 
+#: Characters of sentences that are given at once.
+GIVEN = 1 << 22
+#: Where a sentence may end: a mark, what closes, and the token's end, in tokens joined by one blank.
+MAY_END = re.compile("[.?!][)\\]}\"']*(?= |$)")
+
+
+def cut(body: str, known: set[str]) -> list[str]:
+    """Sentences of a text, words joined by one blank.  Only tokens with an ending mark are looked at."""
+    flat = " ".join(t for t in re.split(SPACE, body) if t)
+    out, start = [], 0
+    for m in MAY_END.finditer(flat):
+        end = m.end()
+        if end == len(flat):
+            break
+        after = flat.find(" ", end + 1)
+        first = max(start, flat.rfind(" ", start, end) + 1)
+        if ends(flat[first:end], flat[end + 1 : after if after >= 0 else len(flat)], known):
+            out.append(flat[start:end])
+            start = end + 1
+    if flat:
+        out.append(flat[start:])
+    return out
+
+
 def sentences(texts: DataFrame, known: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, sentence from 0, text) of whole texts, words joined by one blank; known: (word), a table of a set size at most.
 
@@ -66,14 +124,20 @@ def sentences(texts: DataFrame, known: DataFrame, key: str = "doc_id", text: str
         import pyarrow as pa
 
         for b in batches:
-            for key_value, body in zip(b.column(0), b.column(1).to_pylist(), strict=True):
-                tokens = [t for t in re.split(SPACE, body or "") if t]
-                out, start = [], 0
-                for i, t in enumerate(tokens):
-                    if i + 1 == len(tokens) or ends(t, tokens[i + 1], words):
-                        out.append(" ".join(tokens[start : i + 1]))
-                        start = i + 1
-                if out:
-                    yield pa.RecordBatch.from_arrays([pa.array([key_value.as_py()] * len(out), b.schema.field(0).type), pa.array(range(len(out)), pa.int64()), pa.array(out)], names=[key, "sentence", "text"])
+            row, place, out, size = [], [], [], 0
+
+            def given(row, place, out, b=b):
+                return pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row, pa.int64())), pa.array(place, pa.int64()), pa.array(out, pa.string())], names=[key, "sentence", "text"])
+
+            for i, body in enumerate(b.column(1)):
+                got = cut(body.as_py() or "", words)
+                row += [i] * len(got)
+                place += range(len(got))
+                out += got
+                size += sum(map(len, got))
+                if size > GIVEN:
+                    yield given(row, place, out)
+                    row, place, out, size = [], [], [], 0
+            yield given(row, place, out)
 
     return texts.select(key, text).mapInArrow(run, f"{key} {kind}, sentence long, text string")
