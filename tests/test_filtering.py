@@ -295,6 +295,23 @@ def test_near_copies_are_found(spark, monkeypatch):
     assert heads.count() == len(set(texts)) and 60 <= heads.where("medoid <> utterance").count()
 
 
+def test_members_of_keys_are_paired_in_runs(spark, monkeypatch):
+    """Before, each key was a call of its own."""
+    rng = np.random.default_rng(3)
+    rows = [(i, [int(rng.integers(0, 12)) * 7 + k for k in range(3)]) for i in range(200)]
+    df = spark.createDataFrame(rows, "id long, keys array<bigint>")
+    want = sorted((a, b) for a, x in rows for b, y in rows if a < b and any(p == q for p, q in zip(x, y)))
+    plan = E.candidate_pairs(df)._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapGroupsInArrow" not in plan
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "5")
+    try:
+        for piece in (4, 1024):
+            monkeypatch.setattr(E, "PIECE", piece)
+            assert sorted(map(tuple, E.candidate_pairs(df).collect())) == want
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
 def test_top_accuracy(spark):
     rows = spark.createDataFrame([([["a", "b"], ["c"]], ["b", "x"]), ([], ["q"]), ([["z"]], [])], "candidates array<array<string>>, gold array<string>")
     assert tuple(M.top_accuracy(rows, "candidates", "gold").first()) == (3, round(1 / 3, 6))
