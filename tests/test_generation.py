@@ -392,3 +392,21 @@ def test_samples_and_shuffles_go_by_hash(spark):
         assert [r.t for r in V.shuffled(rows.repartition(n), ["a", "b"]).collect()] == want
         assert {r.t for r in R.random_sample(rows.repartition(n), ["a", "b"], 20).collect()} == set(want[:20])
     assert want != [r.t for r in V.shuffled(rows, ["a", "b"], seed=7).collect()]
+
+
+def test_a_shard_is_more_than_one_task(spark, tmp_path):
+    """Before, a shard was sorted by a single task and was one file, however large."""
+    from pathlib import Path
+
+    rows = spark.range(4000).selectExpr("'train' AS split", "id AS ordinal", "array(CAST(id AS INT)) AS inputs", "array(1) AS targets")
+    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = O.write_shards(rows, {"train": 1}, f"{tmp_path}/s")
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
+    files = sorted(Path(tmp_path, "s").rglob("part-*.parquet"))
+    assert len(files) > 1 and got.count() == 4000
+    # the files, by name, hold the shard's seeded order
+    told = [r.ordinal for f in files for r in spark.read.parquet(str(f)).collect()]
+    assert told == [r.ordinal for r in rows.orderBy(F.xxhash64(F.lit(42), "ordinal"), "ordinal").collect()]

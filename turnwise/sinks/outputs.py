@@ -77,6 +77,7 @@ def read_vocabulary(spark: SparkSession, path: str) -> DataFrame:
 def write_shards(encoded: DataFrame, shards: dict[str, int], path: str, seed: int = 42) -> DataFrame:
     """encoded (split, ordinal, inputs, targets) dealt in turn over each split's shards, each in a seeded order of its own.
 
+    Shards are sorted together, by ranges, so a large one is several part files, in the order of their names, and no task holds it whole.
     shards: how many a split has; of one that isn't there, as many as keep SHARD_ROWS examples or fewer each.
     """
     spark = encoded.sparkSession
@@ -85,7 +86,7 @@ def write_shards(encoded: DataFrame, shards: dict[str, int], path: str, seed: in
         shards = {s: -(-n // SHARD_ROWS) for s, n in sizes.items()} | shards
         n = F.coalesce(*[F.when(F.col("split") == s, F.lit(k)) for s, k in shards.items()], F.lit(1))
         rows = encoded.withColumn("shard", F.pmod("ordinal", n).cast("int"))
-        rows = rows.repartition("split", "shard").sortWithinPartitions("split", "shard", F.xxhash64(F.lit(seed), "ordinal"), "ordinal")
+        rows = rows.orderBy("split", "shard", F.xxhash64(F.lit(seed), "ordinal"), "ordinal")
         rows.write.mode("overwrite").partitionBy("split", "shard").parquet(path)
     return spark.read.parquet(path)
 
