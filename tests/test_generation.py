@@ -410,3 +410,14 @@ def test_a_shard_is_more_than_one_task(spark, tmp_path):
     # the files, by name, hold the shard's seeded order
     told = [r.ordinal for f in files for r in spark.read.parquet(str(f)).collect()]
     assert told == [r.ordinal for r in rows.orderBy(F.xxhash64(F.lit(42), "ordinal"), "ordinal").collect()]
+
+
+def test_a_tree_of_files_is_read_into_one_table(spark, tmp_path):
+    """Before, every step over the lines opened all files again."""
+    for name in ("a/1.xml", "b/2.xml"):
+        at = tmp_path / "raw/OpenSubtitles/xml/en/2012" / name
+        at.parent.mkdir(parents=True)
+        at.write_text("\n".join(f'<s id="{i}">\n<w id="1">{w}</w>' for i, w in enumerate(("hi", "there", name[0]))) + "\n")
+    made = P.generate(spark, "opensubtitles_chatbot", str(tmp_path / "raw"), str(tmp_path / "out"), Config(vocabulary_size=10))
+    assert spark.read.parquet(f"{made.folder}/lines").count() == 12
+    assert sorted((r.dialog_no, r.turn, r.source, r.target) for r in spark.read.parquet(made.pairs).collect()) == [(0, 0, "hi", "there"), (0, 1, "there", "a"), (1, 0, "hi", "there"), (1, 1, "there", "b")]

@@ -168,7 +168,8 @@ def _numbered_turns(spark: SparkSession, files: RawFiles, c: Config, folder: str
 
 
 def _subtitle_turns(spark: SparkSession, files: RawFiles, c: Config, folder: str) -> DataFrame:
-    said = R.subtitle_turns(files.tree(), c.strict)
+    # a file for each dialog is slow to open, and sentences are told from their lines more than once
+    said = R.subtitle_turns(written(files.tree(), f"{folder}/lines"), c.strict)
     # written in order of their paths, files have numbers in that order
     paths = written(said.select("file").distinct().orderBy("file").select("file", F.monotonically_increasing_id().alias("at")), f"{folder}/files")
     numbers = D.ordinals(paths, "at").join(paths, "at").select("file", F.col("ordinal").alias("dialog_no"))
