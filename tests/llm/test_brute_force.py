@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 import duckdb
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -134,6 +135,29 @@ def test_order_by_key():
         assert 1 + (k[1:] != k[:-1]).sum() == len(np.unique(key)) and (np.diff((k >> np.uint64(32)).astype(np.int64)) >= 0).all()
 
 
+def test_order_by_sorted_numbers():
+    """Places come with the numbers that are sorted, also where numbers differ in the bits alone that places take."""
+    rng = np.random.RandomState(7)
+    for n in (0, 1, 2, 5000):
+        for g in (rng.randint(0, 1 << 62, n), rng.randint(0, 40, n), (1 << 62) + rng.randint(0, 1 << 14, n), rng.randint(0, 9, n) << 60 | rng.randint(0, 99, n)):
+            g = g.astype(np.uint64) << np.uint64(1)
+            order, s = katz.stable_order(g)
+            assert (order == np.argsort(g, kind="stable")).all() and (s == np.sort(g)).all()
+
+
+def test_katz_knows_distinct_grams():
+    """A block keeps a probability of each distinct n-gram, not of each token."""
+    t = katz.BlockTokens(pa.table({"text": ["a b a b a b", "a b", ""], "train": [True, True, False]}))
+    one = katz.Scorer(t, [katz.Level([1, 1, 0, 0, 0, 0], np.zeros((1, katz.TOP + 2)), 10, 3)])
+    distinct = len(np.unique(t.seq))
+    assert distinct == 3 and len(t.seq) == 11
+    one.first([(0, blocks.squeeze(blocks.planes(np.array([4, 4, 2]), np.arange(3, dtype=np.uint64))))])
+    keys, extra, of, _, context, rest, gram = one.rows(2)
+    # begin a, a b, b a, b end, begin end
+    assert len(one.prob) == 3 and len(keys) == len(extra()) == len(context) == len(rest) == len(np.unique(gram)) == 5
+    assert len(of) == 11 and len(np.unique(of)) == 5 and (np.diff(keys.astype(float)) >= 0).all()
+
+
 def fingerprint(text):
     w = [x.encode() for x in WORD.findall((text or "").translate(FOLD))]
     shingles = [b" ".join(w[i : i + 3]) for i in range(max(len(w) - 2, 1))] if w else []

@@ -82,52 +82,21 @@ class Level:
 
 
 class BlockTokens:
-    """A block's tokens (words, then one end, for each document) after order-1 beginnings.
+    """A block's tokens: words, then one end, for each document; seq has their hashes."""
 
-    Words are told by their hashes until the first answer numbers them; then n-grams are hashes of numbers, and within a context a word
-    is its number, which is exact and, as frequent words have small ones, short.
-    """
-
-    def __init__(self, got: pa.Table, order: int):
+    def __init__(self, got: pa.Table):
         buf, off = utf8(got.column("text"))
         w = words(LOWER[buf], off)
         self.n_words = w.counts
-        rows, lead = len(self.n_words), order - 1
-        each = self.n_words + 1 + lead
-        first = np.cumsum(each) - each
-        self.seq = np.full(int(each.sum()), _BEGIN, np.uint64)
-        self.at = np.arange(len(w.start) + rows)  # places of predicted tokens
+        rows = len(self.n_words)
         self.doc = np.repeat(np.arange(rows), self.n_words + 1)
-        self.at += np.repeat((np.arange(rows) + 1) * lead, self.n_words + 1)
-        self.seq[first + lead + self.n_words] = _END
-        is_word = np.ones(len(self.at), bool)
-        is_word[np.cumsum(self.n_words + 1) - 1] = False
-        self.seq[self.at[is_word]] = hash_spans(w.buf, w.start, w.end)
+        self.last = np.cumsum(self.n_words + 1) - 1
+        self.seq = np.full(len(self.doc), _END, np.uint64)
+        is_word = np.ones(len(self.doc), bool)
+        is_word[self.last] = False
+        self.seq[is_word] = hash_spans(w.buf, w.start, w.end)
         self.train = np.asarray(got.column("train").to_numpy(), bool)[self.doc]
 
-    def words(self) -> np.ndarray:
-        return self.seq[self.at]
-
-    def number(self, numbers: np.ndarray) -> None:
-        """From now on predicted tokens are these numbers."""
-        self.seq = np.full(len(self.seq), _BEGIN, np.uint64)
-        self.seq[self.at] = numbers
-        self.numbers = numbers
-
-    def _all_grams(self, j: int) -> np.ndarray:
-        g = word_gram(self.seq)
-        for _ in range(j - 1):
-            g = extended(mix(np.concatenate([g[:1], g[:-1]])), self.seq)
-        return g
-
-    def grams(self, j: int) -> np.ndarray:
-        """Hash of the j tokens that end at each predicted token."""
-        return self._all_grams(j)[self.at]
-
-    def grams_before(self, j: int) -> np.ndarray:
-        """Hash of the j-1 tokens before each predicted token: the context of its j-gram."""
-        return self._all_grams(j - 1)[self.at - 1]
-
 
 def word_gram(number: np.ndarray) -> np.ndarray:
     return mix(number + np.uint64(1))
@@ -138,14 +107,49 @@ def extended(mixed_context: np.ndarray, number: np.ndarray) -> np.ndarray:
     return mix(mixed_context + (number + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15))
 
 
-def _distinct(g: np.ndarray, train: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(sorted distinct, first place, place of each, training count)."""
-    order = np.argsort(g)
-    s = g[order]
-    head = np.concatenate([[True], s[1:] != s[:-1]]) if len(s) else np.zeros(0, bool)
+def stable_order(g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(stable order, sorted) of 64-bit numbers.
+
+    Places stand in the last bits of what is sorted, as sorting numbers is several times faster than sorting places by them; runs that the
+    bits before those leave out of order are sorted again.
+    """
+    mask = np.uint64((1 << max(1, (len(g) - 1).bit_length())) - 1)
+    s = np.sort((g & ~mask) | np.arange(len(g), dtype=np.uint64))
+    order = (s & mask).astype(np.int64)
+    got = g[order]
+    near = (s[1:] & ~mask) == (s[:-1] & ~mask)
+    down = near & (got[1:] < got[:-1])
+    if down.any():
+        run = np.concatenate([[0], np.cumsum(~near)])
+        mixed = np.zeros(int(run[-1]) + 1, bool)
+        mixed[run[1:][down]] = True
+        at = np.flatnonzero(mixed[run])
+        order[at] = order[at][np.argsort(got[at], kind="stable")]
+        got = g[order]
+    return order, got
+
+
+def _heads(s: np.ndarray) -> np.ndarray:
+    """Whether a number differs from the one before it."""
+    return np.concatenate([[True], s[1:] != s[:-1]]) if len(s) else np.zeros(0, bool)
+
+
+def _distinct(g: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(sorted distinct, first place, place of each, sum of n)."""
+    order, s = stable_order(g)
+    head = _heads(s)
     of = np.empty(len(g), np.int64)
     of[order] = np.cumsum(head) - 1
-    return s[head], order[head], of, np.bincount(of, weights=train, minlength=int(head.sum())).astype(np.int64)
+    at = np.flatnonzero(head)
+    return s[at], order[at], of, np.add.reduceat(n[order].astype(np.int64), at) if len(at) else np.zeros(0, np.int64)
+
+
+def _pairs(a: np.ndarray, b: np.ndarray, n_a: int, n_b: int) -> np.ndarray:
+    """One number of each pair of numbers below n_a and n_b, which sort like the pairs; their free bits come last."""
+    high, low = max(1, n_a.bit_length()), max(1, n_b.bit_length())
+    if high + low > 64:
+        raise ValueError("a block or a range has too many n-grams")
+    return ((a.astype(np.uint64) << np.uint64(low)) | b.astype(np.uint64)) << np.uint64(64 - high - low)
 
 
 def _sums(group: np.ndarray, n: int, r: np.ndarray, lower: np.ndarray) -> np.ndarray:
@@ -200,40 +204,43 @@ def _count_grams(keys, extras, p, least: int, hot_contexts: np.ndarray, below: L
     Heavy rows: (n-gram, [-1, total]), unless this is the last level, and (hot context's number, sums of its part here).
     """
     sizes = [len(k) for k in keys]
+    ends = np.cumsum(sizes)
     key = np.concatenate(keys)
     rows = np.concatenate([unsqueeze(x, _WIDTH) for x in extras])
-    n, hot = column(rows, 8, np.uint32), column(rows, 20, np.uint32).astype(np.int64)
-    of_context = key  # which is the context mixed, or for a hot one that of a part
-    if len(hot_contexts):
-        of_context = np.where(hot > 0, mix(hot_contexts[np.maximum(hot, 1) - 1]), key)
-    gram = extended(of_context, column(rows, 0, np.uint64))
+    number, n, hot = column(rows, 0, np.uint64), column(rows, 8, np.uint32), column(rows, 20, np.uint32).astype(np.int64)
     lower = below.discounted(column(rows, 12, np.int64))
-    del rows, of_context
-    distinct, first, of, _ = _distinct(gram, n)
-    total = np.bincount(of, weights=n, minlength=len(distinct)).astype(np.int64)
+    del rows
+    head = _heads(key)  # of a context's n-grams in a message, which stand together
+    head[ends[:-1]] = True
+    heads = np.flatnonzero(head)
+    contexts, one, of_head, _ = _distinct(key[heads], np.ones(len(heads), np.int64))
+    hot_context = hot[heads[one]]
+    context = of_head[np.cumsum(head) - 1]
+    _, first, of, total = _distinct(_pairs(context, number, len(contexts), int(number.max())), n)
     r = total[of]
     stats = [int(total.sum()), int((total > 0).sum()), *[int((total == x).sum()) for x in range(1, TOP + 2)]]
-    heavy = [] if last else [{"key": int(distinct[i].view(np.int64)), "numbers": [-1.0, float(total[i])]} for i in _heavy(total, least)]
-    each_hot, each_low, each_key = hot[first], lower[first], key[first]
-    warm = np.flatnonzero(each_hot > 0)
-    numbers, group = np.unique(each_hot[warm], return_inverse=True)
-    of_hot = _sums(group.ravel(), len(numbers), total[warm], each_low[warm])
+    heavy = []
+    if not last:  # a key is the context mixed, or for a hot one that of a part
+        at = _heavy(total, least)
+        most, mixed = first[at], contexts[context[first[at]]]
+        if len(hot_contexts):
+            mixed = np.where(hot[most] > 0, mix(hot_contexts[np.maximum(hot[most], 1) - 1]), mixed)
+        heavy = [{"key": int(g), "numbers": [-1.0, float(x)]} for g, x in zip(extended(mixed, number[most]).view(np.int64), total[at], strict=True)]
+    sums = _sums(context[first], len(contexts), total, lower[first])
+    warm = np.flatnonzero(hot_context > 0)
+    numbers, group = np.unique(hot_context[warm], return_inverse=True)
+    of_hot = np.zeros((len(numbers), TOP + 2))
+    np.add.at(of_hot, group.ravel(), sums[warm])
     heavy += [{"key": int(x), "numbers": y.tolist()} for x, y in zip(numbers, of_hot, strict=True) if y[0]]
-    cold = np.flatnonzero(each_hot == 0)
-    contexts, group = np.unique(each_key[cold], return_inverse=True)
-    sums = _sums(group.ravel(), len(contexts), total[cold], each_low[cold])
-    out, at = [], 0
-    for k, size in zip(keys, sizes, strict=True):
-        mine_cold = hot[at : at + size] == 0
-        own = k[mine_cold]
-        head = np.concatenate([[True], own[1:] != own[:-1]]) if len(own) else np.zeros(0, bool)
-        mine = sums[np.searchsorted(contexts, own[head])]
-        backs_off = np.bincount(np.cumsum(head) - 1, weights=r[at : at + size][mine_cold] == 0, minlength=int(head.sum())) > 0
-        which = ((mine[:, 1:-1] > 0) << np.arange(TOP)).sum(1).astype(np.uint8) | (backs_off << _BACKS_OFF).astype(np.uint8)
-        full = mine[backs_off]
-        some = squeeze(which[:, None])
-        out.append((squeeze(planes(r[at : at + size])), len(some).to_bytes(8, "little") + some + squeeze(planes(full[:, 1:-1].astype(np.uint64), full[:, -1]))))
-        at += size
+    lacks = np.logical_or.reduceat(r == 0, heads)
+    bits = ((sums[:, 1:-1] > 0) << np.arange(TOP)).sum(1).astype(np.uint8)[of_head] | (lacks << _BACKS_OFF).astype(np.uint8)
+    cuts = np.searchsorted(heads, [0, *ends])
+    out = []
+    for to, size, h0, h1 in zip(ends, sizes, cuts[:-1], cuts[1:], strict=True):
+        mine = h0 + np.flatnonzero(hot_context[of_head[h0:h1]] == 0)
+        full = sums[of_head[mine[lacks[mine]]]]
+        some = squeeze(bits[mine][:, None])
+        out.append((squeeze(planes(r[to - size : to])), len(some).to_bytes(8, "little") + some + squeeze(planes(full[:, 1:-1].astype(np.uint64), full[:, -1]))))
     return out, stats, heavy
 
 
@@ -245,7 +252,7 @@ def by_key(key: np.ndarray, n: np.ndarray) -> np.ndarray:
 
     One sort serves unless keys differ in those bits alone.
     """
-    order = np.argsort((key & ~_RANK) | np.minimum(n, int(_RANK)).astype(np.uint64), kind="stable")
+    order, _ = stable_order((key & ~_RANK) | np.minimum(n, int(_RANK)).astype(np.uint64))
     k = key[order]
     if ((k[1:] != k[:-1]) & ((k[1:] | _RANK) == (k[:-1] | _RANK))).any():
         return np.lexsort((n, key))
@@ -255,52 +262,67 @@ def by_key(key: np.ndarray, n: np.ndarray) -> np.ndarray:
 class Scorer:
     """Evaluates the recursion for a block, level by level, from the answers so far.
 
-    count: each token's n-gram's total count at the level reached; scale: what one occurrence weighs in its context there.
+    What is known of the level reached is known of its distinct n-grams: of: each token's n-gram; gram: their hashes; r: their total
+    counts; scale: what one occurrence weighs in its context; prob: their probabilities.  A token's n-gram of the next level is its
+    predecessor's n-gram here with its own, so two small numbers tell it.
     """
 
     def __init__(self, tokens: BlockTokens, levels: list[Level]):
         self.t, self.levels = tokens, levels
+        self.begins = tokens.last - tokens.n_words
+        self.begin = word_gram(np.array([_BEGIN]))  # what stands before a text: as many beginnings as the n-grams are long
 
-    def first(self, answer: list[tuple[int, bytes]]) -> np.ndarray:
-        """Level 1's probability of each token."""
+    def first(self, answer: list[tuple[int, bytes]]) -> None:
         level = self.levels[0]
-        _, _, of, _ = _distinct(self.t.words(), self.t.train)
-        rows = np.concatenate([unsqueeze(x, 16) for _, x in sorted(answer)]) if answer else np.zeros((0, 16), np.uint8)
-        self.count = column(rows, 0, np.int64)[of]
-        self.t.number(column(rows, 8, np.uint64)[of])
-        self.scale = np.full(len(of), level.scale)
-        begins = np.cumsum(self.t.n_words + 1) - (self.t.n_words + 1)
-        self.begins, self.texts = begins, self.count[begins + self.t.n_words][:1]  # each text ends once
-        return level.word(self.count)
-
-    def contexts(self) -> np.ndarray:
-        """How often the next level's context of each token occurs: as often as what ends before the token, or as there are texts."""
-        c = np.concatenate([self.texts, self.count[:-1]])
-        c[self.begins] = self.texts
-        return c
+        _, _, self.of, _ = _distinct(self.t.seq, self.t.train)
+        rows = np.concatenate([unsqueeze(x, 16) for _, x in sorted(answer)])
+        self.r, number = column(rows, 0, np.int64), column(rows, 8, np.uint64)
+        self.number, self.gram = number[self.of], word_gram(number)
+        self.prob, self.scale = level.word(self.r), np.full(len(self.r), level.scale)
+        self.texts = self.r[self.of[self.t.last[:1]]]  # each text ends once
 
     def rows(self, j: int):
-        """Level j's distinct n-grams in the order in which they are sent: (keys, extra bytes, row of each token's, hot numbers, first
-        place of each)."""
-        g = self.t.grams(j)
-        distinct, at, of, n = _distinct(g, self.t.train)
-        context = self.t.grams_before(j)[at]
+        """Level j's distinct n-grams in the order in which they are sent: (keys, extra bytes, row of each token's, hot numbers, their
+        contexts and what they are without their first words, as numbers of level j-1's n-grams, hashes)."""
+        m = len(self.r)
+        before = np.concatenate([[m], self.of[:-1]])
+        before[self.begins] = m
+        contexts = np.concatenate([self.gram, self.begin])
         hot_keys = self.levels[j - 2].next_hot
-        place = np.minimum(np.searchsorted(hot_keys, context), max(0, len(hot_keys) - 1))
-        hot = np.where(hot_keys[place] == context, place + 1, 0) if len(hot_keys) else np.zeros(len(context), np.int64)
-        key = part_keys(context, distinct, hot, self.levels[j - 2].next_parts)
-        below = self.count[at]
-        order = by_key(key, below)
-        back = np.empty(len(order), np.int64)
-        back[order] = np.arange(len(order))
-        extra = planes(self.t.numbers[at[order]], n[order].astype(np.uint32), below[order], hot[order].astype(np.uint32))
-        return key[order], extra, back[of], hot[order], at[order]
+        place = np.minimum(np.searchsorted(hot_keys, contexts), max(0, len(hot_keys) - 1))
+        hot_context = np.where(hot_keys[place] == contexts, place + 1, 0) if len(hot_keys) else np.zeros(m + 1, np.int64)
+        mixed = mix(contexts)
+        rank, by_count = np.empty(m + 1, np.uint64), np.empty(m, np.uint64)
+        rank[stable_order(mixed)[0]] = np.arange(m + 1, dtype=np.uint64)
+        by_count[stable_order(self.r.astype(np.uint64) << np.uint64(24))[0]] = np.arange(m, dtype=np.uint64)
+        _, at, of, n = _distinct(_pairs(rank[before], by_count[self.of], m, m), self.t.train)
+        context, rest, number = before[at], self.of[at], self.number[at]
+        hot, key = hot_context[context], mixed[context]
+        gram = extended(key, number)
+        warm = np.flatnonzero(hot > 0)
+        if len(warm):  # the others are in order: those of hot contexts go between them
+            key[warm] = part_keys(contexts[context[warm]], gram[warm], hot[warm], self.levels[j - 2].next_parts)
+            warm = warm[by_key(key[warm], self.r[rest[warm]])]
+            cold = np.flatnonzero(hot == 0)
+            to = np.maximum.accumulate(np.searchsorted(key[cold], key[warm])) + np.arange(len(warm))
+            is_cold = np.ones(len(key), bool)
+            is_cold[to] = False
+            order = np.empty(len(key), np.int64)
+            order[to], order[is_cold] = warm, cold
+            back = np.empty(len(order), np.int64)
+            back[order] = np.arange(len(order))
+            of = back[of]
+            n, context, rest, number, hot, key, gram = (x[order] for x in (n, context, rest, number, hot, key, gram))
+        return key, lambda: planes(number, n.astype(np.uint32), self.r[rest], hot.astype(np.uint32)), of, hot, context, rest, gram
+
+    def _reach(self, r: np.ndarray, of: np.ndarray, gram: np.ndarray) -> None:
+        self.r, self.of, self.gram = r, of, gram
+        self.begin = extended(mix(self.begin), np.array([_BEGIN]))
 
     def counts(self, j: int, answer: list[tuple[int, bytes]]) -> None:
         """Go on to level j's counts alone."""
-        _, _, of, _, _ = self.rows(j)
-        if answer:
-            self.count = self._counts(answer)[of]
+        _, _, of, _, _, _, gram = self.rows(j)
+        self._reach(self._counts(answer), of, gram)
 
     @staticmethod
     def _counts(answer: list[tuple[int, bytes]]) -> np.ndarray:
@@ -321,30 +343,26 @@ class Scorer:
             parts.append(s)
         return np.concatenate(parts)
 
-    def next(self, j: int, lower: np.ndarray, answer: list[tuple[int, bytes]], sums: list[tuple[int, bytes]]) -> np.ndarray:
-        """Level j's probability of each token, from that one level below."""
-        key, _, of, hot, at = self.rows(j)
+    def next(self, j: int, answer: list[tuple[int, bytes]], sums: list[tuple[int, bytes]]) -> None:
+        """Go on to level j's probabilities."""
+        key, _, of, hot, context, rest, gram = self.rows(j)
         level = self.levels[j - 1]
-        if not answer:
-            return lower
         r = self._counts(answer)
         cold = hot == 0
-        heads = np.concatenate([[True], key[cold][1:] != key[cold][:-1]]) if cold.any() else np.zeros(0, bool)
         of_context = np.zeros(len(key), np.int64)
-        of_context[cold] = np.cumsum(heads) - 1 + len(level.hot)
+        of_context[cold] = np.cumsum(_heads(key[cold])) - 1 + len(level.hot)
         of_context[~cold] = hot[~cold]
         s = np.concatenate([level.hot[:, 1:], self._sums(sums)])
-        c = self.contexts()[at]
+        c = np.concatenate([self.r, self.texts])[context]  # how often what ends before the token occurs, or how many texts there are
         freed = sum((1 - level.d[k]) * k * s[:, k - 1] for k in range(1, TOP + 1))[of_context]
         none = freed <= 0
         with np.errstate(divide="ignore"):
             scale = np.where(c > 0, np.where(none, 1 / (c + 1), 1 / c), 0)
         kept = np.where(none, scale, freed * scale)
-        alpha = np.where(c > 0, kept / np.maximum(1 - s[of_context, TOP] * self.scale[at], 1e-15), 1.0)
+        alpha = np.where(c > 0, kept / np.maximum(1 - s[of_context, TOP] * self.scale[rest], 1e-15), 1.0)
         seen = np.where(none, r, level.discounted(r)) * scale
-        out = np.where(r[of] > 0, seen[of], alpha[of] * lower)
-        self.count, self.scale = r[of], scale[of]
-        return out
+        self.prob, self.scale = np.where(r > 0, seen, alpha * self.prob[rest]), scale
+        self._reach(r, of, gram)
 
 
 def _summed(answered: DataFrame, n: int) -> list[int]:
@@ -386,8 +404,8 @@ def score(docs: DataFrame, training: Column | None = None, order: int = ORDER, b
     p = ranges(n_bytes, spark)
 
     def send_words(block, _):
-        t = BlockTokens(read_block(path, block), order)
-        keys, _, _, n = _distinct(t.words(), t.train)
+        t = BlockTokens(read_block(path, block))
+        keys, _, _, n = _distinct(t.seq, t.train)
         yield messages(block, keys, planes(n), p, True)
 
     least = max(1, n_bytes // (TOKEN_BYTES * min(max(p, LEAST_SHARES), MOST_SHARES)))
@@ -399,12 +417,12 @@ def score(docs: DataFrame, training: Column | None = None, order: int = ORDER, b
     for j in range(2, order + 1):
 
         def send(block, got, j=j, levels=levels):
-            scorer = Scorer(BlockTokens(read_block(path, block), order), levels)
+            scorer = Scorer(BlockTokens(read_block(path, block)), levels)
             scorer.first(got[0])
             for k in range(2, j):
                 scorer.counts(k, got[k - 1])
-            keys, extra, _, _, _ = scorer.rows(j)
-            yield messages(block, keys, extra, p, True)
+            keys, extra, *_ = scorer.rows(j)
+            yield messages(block, keys, extra(), p, True)
 
         count = functools.partial(_count_grams, least=least, hot_contexts=levels[-1].next_hot, below=levels[-1], last=j == order)
         answered.append(replied(each_block(blocks, send, MESSAGE, *[a.select("block", "p", "answer") for a in answered]), count, f"katz-{j}"))
@@ -416,15 +434,15 @@ def score(docs: DataFrame, training: Column | None = None, order: int = ORDER, b
 
     def finish(block, got):
         table = read_block(path, block)
-        t = BlockTokens(table, order)
+        t = BlockTokens(table)
         scorer = Scorer(t, levels)
-        prob = scorer.first(got[0])
-        c = scorer.count
+        scorer.first(got[0])
+        c = scorer.r[scorer.of]
         for j in range(2, order + 1):
-            prob = scorer.next(j, prob, got[j - 1], got[order + j - 2])
+            scorer.next(j, got[j - 1], got[order + j - 2])
         rows = table.num_rows
         base = np.bincount(t.doc, weights=np.log10((c + 1) / (n_train + n_types + 1)), minlength=rows)
-        total = np.bincount(t.doc, weights=np.log10(prob), minlength=rows)
+        total = np.bincount(t.doc, weights=np.log10(scorer.prob)[scorer.of], minlength=rows)
         known = np.bincount(t.doc, weights=c > 0, minlength=rows).astype(np.int64)
         ids = table.column("doc_id").combine_chunks()
         held = pa.array(~np.asarray(table.column("train").to_numpy(), bool))
