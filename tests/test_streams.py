@@ -110,3 +110,64 @@ def test_turns_in_any_order(spark, tmp_path):
         if k == 1:
             assert found == [(1, 0, "a", "b"), (1, 1, "b", "c")]
     assert found == [(1, 0, "a", "b"), (1, 1, "b", "c"), (2, 0, "p", "s"), (9, 0, "x", "y"), (9, 1, "y", "z")]
+
+
+def test_a_late_copy_keeps_a_dialog_open(spark, tmp_path):
+    """A copy of a turn adds nothing but its time: the dialog is closed, and its gap paired, silence after that."""
+    hour, base = 3600, 1_000_000
+    files = [[(1, 0, "a", 0), (1, 2, "c", 5)], [(1, 0, "copy", hour)], [(9, 0, "x", 2 * hour + 100)], [(9, 1, "y", 3 * hour + 100)], [(9, 2, "z", 3 * hour + 101)]]
+    seen = []
+    for rows in files:
+        df = spark.createDataFrame([(d, t, x, base + s) for d, t, x, s in rows], "dialog_no long, turn int, clean string, at long").withColumn("ts", F.timestamp_seconds("at")).drop("at")
+        df.coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        got = SD.with_rocks(spark, lambda: SD.drained_once(SD.pairs(SD.arriving(spark, f"{tmp_path}/in", df.schema)), f"{tmp_path}/out"))  # noqa: B023
+        seen.append((1, 0, "a", "c") in {tuple(r) for r in got.collect()})
+    assert seen == [False, False, False, True, True]
+
+
+def test_calls_of_the_state_do_not_grow_with_turns():
+    """Each call goes to the JVM and back: a batch makes as many for a dialog of thirty turns as for one of two."""
+    from pyspark.sql import Row
+
+    calls = []
+
+    class Held:
+        def __init__(self):
+            self.rows = []
+
+        def get(self):
+            calls.append("get")
+            return iter(self.rows)
+
+        def appendList(self, rows):
+            calls.append("append")
+            self.rows += rows
+
+    class Handle:
+        timers = set()
+
+        def getListState(self, name, schema):
+            return Held()
+
+        def deleteTimer(self, at):
+            calls.append("delete")
+            self.timers.remove(at)
+
+        def registerTimer(self, at):
+            calls.append("register")
+            self.timers.add(at)
+
+    def told(n):
+        p = SD.Neighbours(1000)
+        p.init(Handle())
+        p.handle.timers = set()
+        calls.clear()
+        out = []
+        for half in (0, 1):
+            rows = [Row(turn=t, clean=f"t{t}", ms=t) for t in range(half, n, 2)]
+            out += list(p.handleInputRows((5,), iter(rows), None))
+        assert p.handle.timers == {n - 1 + 1000}
+        assert sorted(map(tuple, out)) == [(5, t, f"t{t}", f"t{t + 1}") for t in range(n - 1)]
+        return list(calls)
+
+    assert told(2) == told(30) == ["get", "append", "register", "get", "append", "delete", "register"]

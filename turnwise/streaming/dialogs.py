@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -42,44 +42,56 @@ def decoded(sources: DataFrame, answers: DataFrame, folder: str) -> DataFrame:
 
 class Neighbours(StatefulProcessor):
     """A dialog's turns so far.  A pair is given once both its turns are there; when a dialog has been silent for long enough it is
-    closed: turns with a gap between them are paired, too, and the dialog is forgotten."""
+    closed: turns with a gap between them are paired, too, and the dialog is forgotten.
+
+    Every call of the state goes to the JVM and back, so a dialog's state is one list, read and added to once a batch.  It has a row for
+    each turn, and one without a turn where a copy came later than all turns; the latest time in it tells the timer.
+    """
 
     def __init__(self, silence_ms: int):
         self.silence_ms = silence_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.turns = handle.getMapState("turns", "turn long", "text string")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        got, latest = {int(t[0]): x[0] for t, x in self.turns.iterator()}, 0
-        out = []
-        for part in rows:
-            latest = max(latest, int(part["ms"].max()))
-            for turn, text in zip(part["turn"].tolist(), part["clean"].tolist(), strict=True):
-                if turn in got:
-                    continue  # a turn that comes twice is what it was first
-                got[turn] = text
-                self.turns.updateValue((turn,), (text,))
-                out += [(t, got[t], got[t + 1]) for t in (turn - 1, turn) if t in got and t + 1 in got]
-        for timer in list(self.handle.listTimers()):
-            latest = max(latest, timer - self.silence_ms)
-            self.handle.deleteTimer(timer)
-        self.handle.registerTimer(latest + self.silence_ms)
-        yield self._rows(key, out)
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        got = sorted((int(t[0]), x[0]) for t, x in self.turns.iterator())
+        self.turns = handle.getListState("turns", "turn long, text string, ms long")
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        held = list(self.turns.get())
+        got = {turn: text for turn, text, _ in held if turn is not None}
+        before = latest = max((ms for _, _, ms in held), default=None)
+        new, out = [], []
+        for row in rows:
+            turn, text = row.turn, row.clean
+            later = latest is None or row.ms > latest
+            latest = row.ms if later else latest
+            if turn in got:  # a turn that comes twice is what it was first
+                if later:
+                    new.append((None, None, row.ms))
+                continue
+            got[turn] = text
+            new.append((turn, text, row.ms))
+            out += [(t, got[t], got[t + 1]) for t in (turn - 1, turn) if t in got and t + 1 in got]
+        if new:
+            self.turns.appendList(new)
+        if latest != before:
+            if before is not None:
+                self.handle.deleteTimer(before + self.silence_ms)
+            self.handle.registerTimer(latest + self.silence_ms)
+        yield from self._rows(key, out)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        got = sorted((turn, text) for turn, text, _ in self.turns.get() if turn is not None)
         self.turns.clear()
-        yield self._rows(key, [(a, x, y) for (a, x), (b, y) in zip(got[:-1], got[1:], strict=True) if b != a + 1])
+        yield from self._rows(key, [(a, x, y) for (a, x), (b, y) in zip(got[:-1], got[1:], strict=True) if b != a + 1])
 
     def close(self) -> None:
         pass
 
     @staticmethod
-    def _rows(key, pairs) -> pd.DataFrame:
-        told = [(key[0], t, a.strip(" "), b.strip(" ")) for t, a, b in pairs if a is not None and b is not None]
-        return pd.DataFrame(told, columns=["dialog_no", "turn", "source", "target"]).astype({"dialog_no": "int64", "turn": "int64"})
+    def _rows(key, pairs) -> Iterator[Row]:
+        for t, a, b in pairs:
+            if a is not None and b is not None:
+                yield Row(dialog_no=key[0], turn=t, source=a.strip(" "), target=b.strip(" "))
 
 
 def pairs(turns: DataFrame, late: str = "1 hour", silence: str = "1 hour") -> DataFrame:
@@ -89,7 +101,7 @@ def pairs(turns: DataFrame, late: str = "1 hour", silence: str = "1 hour") -> Da
     missing text is no turn of a pair, but no gap either.  State is one dialog's turns, in RocksDB.
     """
     timed = turns.select("dialog_no", F.col("turn").cast("long").alias("turn"), "clean", "ts", F.unix_millis("ts").alias("ms")).withWatermark("ts", late)
-    return timed.groupBy("dialog_no").transformWithStateInPandas(Neighbours(int(pd.Timedelta(silence).total_seconds() * 1000)), "dialog_no long, turn long, source string, target string", "append", "eventTime")
+    return timed.groupBy("dialog_no").transformWithState(Neighbours(int(pd.Timedelta(silence).total_seconds() * 1000)), "dialog_no long, turn long, source string, target string", "append", "eventTime")
 
 
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
