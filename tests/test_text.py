@@ -89,6 +89,25 @@ def test_tokens_are_counted_where_the_texts_are(spark, monkeypatch):
     assert sorted(map(tuple, again)) == [("0", 100), ("1", 100), ("2", 100), ("a", 600), ("b.", 300)]
 
 
+def _many(spark, tmp_path):
+    """A table of 11,000 abbreviations, more than go to all tasks; each is a document's, which is of two sentences."""
+    from itertools import islice, product
+
+    made = ["".join(p) for p in islice(product("bcdfghjklmnpqrstvwxyz", "aeiou", "abcdefghijklmnopqrstuvwxyz", "bcdf"), 11_000)]
+    texts = [(i, f"So {w}. Low and {w}. {w}. {w}. {w}. {w}. {w}. {w}. Lee {'went there and ' * 30}out again and again. They left it") for i, w in enumerate(made)]
+    spark.createDataFrame(texts + [(None, None), (-1, "")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    return made, [t for _, t in texts]
+
+
+def test_all_abbreviations_are_given(spark, tmp_path):
+    """Before, 10,000 at most."""
+    import __spark_entry__ as entry
+
+    made, _ = _many(spark, tmp_path)
+    got = [(r.word, r.n, r.dotted) for r in entry.queries()["abbreviations"](spark, str(tmp_path)).collect()]
+    assert got == [(w, 8, 8) for w in sorted(made)]
+
+
 def test_treebank_words(spark):
     said = {
         '"Hi," she said (twice)... "No!"': "`` Hi , '' she said ( twice ) ... `` No ! ''",

@@ -18,7 +18,7 @@ from turnwise.sinks.paths import scratch, written
 SPACE, CLOSERS, OPENERS = "[ \t\n\r\f]+", "[)\\]}\"']+$", "^[(\\[{\"']+"
 #: Letters, ASCII or not, with single periods between them.
 WORD = "^[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+(\\.[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+)*$"
-#: A score from which a word is an abbreviation; so many of them at most, the best ones, go to all tasks.
+#: A score from which a word is an abbreviation; so many of them go to all tasks as they are, more are joined with what texts ask for.
 LEAST, MOST = 0.3, 10_000
 
 
@@ -53,8 +53,8 @@ def token_counts(texts: DataFrame, text: str) -> DataFrame:
     return texts.select(text).mapInArrow(run, "t string, n long")
 
 
-def abbreviations(texts: DataFrame, text: str = "text", least: float = LEAST, most: int = MOST) -> DataFrame:
-    """(word, n, dotted, score) of the words of texts that are abbreviations, in lower case and without their last period: one grouping
+def abbreviations(texts: DataFrame, text: str = "text", least: float = LEAST) -> DataFrame:
+    """(word, n, dotted, score) of all words of texts that are abbreviations, in lower case and without their last period: one grouping
     of all words, counted where the texts are, once.  Ties go by word."""
     bare = F.regexp_replace(F.regexp_replace("t", CLOSERS, ""), OPENERS, "")
     dotted = F.col("t").rlike("[^.]\\.$")
@@ -70,7 +70,7 @@ def abbreviations(texts: DataFrame, text: str = "text", least: float = LEAST, mo
     inner = F.length("word") - F.length(F.translate("word", ".", ""))
     letters = (F.length("word") - inner).cast("double")
     score = -2 * (chance - sure) * F.exp(-letters) * (inner + 1) * F.pow(letters, -without.cast("double"))
-    return c.withColumn("score", F.round(score, 6)).where(F.col("score") >= least).select("word", "n", "dotted", "score").orderBy(F.desc("score"), "word").limit(most)
+    return c.withColumn("score", F.round(score, 6)).where(F.col("score") >= least).select("word", "n", "dotted", "score").orderBy(F.desc("score"), "word")
 
 
 def ends(token: str, following: str | None, known: set[str]) -> bool:
