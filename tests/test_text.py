@@ -108,6 +108,19 @@ def test_all_abbreviations_are_given(spark, tmp_path):
     assert got == [(w, 8, 8) for w in sorted(made)]
 
 
+def test_sentences_know_all_abbreviations(spark, tmp_path):
+    """Before, the 10,000 best."""
+    import __spark_entry__ as entry
+
+    _, texts = _many(spark, tmp_path)
+    got = {(r.doc_id, r.sentence): r.text for r in entry.queries()["sentence_split"](spark, str(tmp_path)).collect()}
+    want = {}
+    for i, t in enumerate(texts):
+        end = t.index("again. ") + 6
+        want[i, 0], want[i, 1] = t[:end], t[end + 1 :]
+    assert got == want
+
+
 def test_treebank_words(spark):
     said = {
         '"Hi," she said (twice)... "No!"': "`` Hi , '' she said ( twice ) ... `` No ! ''",

@@ -112,13 +112,49 @@ def cut(body: str, known: set[str]) -> list[str]:
     return out
 
 
+class _Asked(set):
+    """Holds the words that are looked up in it, and knows none."""
+
+    def __contains__(self, word) -> bool:
+        self.add(word)
+        return False
+
+
+def _asked(rows: DataFrame, words: set[str]) -> DataFrame:
+    """(row, word): of rows (row, text) the distinct words, other than words, that must be no abbreviations for a sentence to end."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            row, word = [], []
+            for i, body in enumerate(b.column(1)):
+                asked = _Asked()
+                cut(body.as_py() or "", asked)
+                mine = set(asked) - words
+                row += [i] * len(mine)
+                word += mine
+                if len(word) > COUNTED:
+                    yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row, pa.int64())), pa.array(word, pa.string())], names=["row", "word"])
+                    row, word = [], []
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row, pa.int64())), pa.array(word, pa.string())], names=["row", "word"])
+
+    return rows.select("row", "text").mapInArrow(run, "row long, word string")
+
+
 def sentences(texts: DataFrame, known: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, sentence from 0, text) of whole texts, words joined by one blank; known: (word), a table of a set size at most.
+    """(key, sentence from 0, text) of whole texts, words joined by one blank; known: (word), as many as there are.
 
-    Null and empty texts have no sentences.  Texts are split where they are, without a shuffle.
+    Null and empty texts have no sentences.  MOST known words or fewer go to all tasks, and texts are split where they are, without a
+    shuffle.  Of more, the first MOST do; a text gets those of the others that it asks for, by a join.
     """
-    words = {r.word for r in known.select("word").collect()}  # MOST at most
-    kind = dict(texts.dtypes)[key]
+    first = [r.word for r in known.select("word").limit(MOST + 1).collect()]
+    words, kind, whole = set(first[:MOST]), dict(texts.dtypes)[key], len(first) <= MOST
+    rows = texts.select(F.col(key).alias("key"), F.col(text).alias("text"))
+    if not whole:
+        rows = written(rows.withColumn("row", F.monotonically_increasing_id()), scratch(texts.sparkSession, "texts"))
+        more = _asked(rows, words).join(known.select("word"), "word", "left_semi").groupBy("row").agg(F.collect_list("word").alias("more"))
+        rows = rows.join(more, "row", "left").select("key", "text", "more")
 
     def run(batches):
         import pyarrow as pa
@@ -130,7 +166,8 @@ def sentences(texts: DataFrame, known: DataFrame, key: str = "doc_id", text: str
                 return pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row, pa.int64())), pa.array(place, pa.int64()), pa.array(out, pa.string())], names=[key, "sentence", "text"])
 
             for i, body in enumerate(b.column(1)):
-                got = cut(body.as_py() or "", words)
+                more = None if whole else b.column(2)[i].as_py()
+                got = cut(body.as_py() or "", words.union(more) if more else words)
                 row += [i] * len(got)
                 place += range(len(got))
                 out += got
@@ -140,4 +177,4 @@ def sentences(texts: DataFrame, known: DataFrame, key: str = "doc_id", text: str
                     row, place, out, size = [], [], [], 0
             yield given(row, place, out)
 
-    return texts.select(key, text).mapInArrow(run, f"{key} {kind}, sentence long, text string")
+    return rows.mapInArrow(run, f"{key} {kind}, sentence long, text string")
