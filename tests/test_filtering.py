@@ -123,6 +123,18 @@ def test_sentence_distances(spark):
     assert SE.sentence_distances(rows.limit(0), rows, words, 99.0).count() == 0
 
 
+def test_distances_are_not_kept(spark, monkeypatch, tmp_path):
+    """Before, they were written to the shared folder and read again, so that disk grew with the square of the rows."""
+    monkeypatch.setattr(SE, "scratch", lambda spark, name: f"{tmp_path}/{name}")
+    monkeypatch.setattr(SE, "QUERY_BLOCK", 100)
+    words = SE.word_distances(spark.createDataFrame([("a", [0.0]), ("b", [1.0])], "token string, vector array<double>"))
+    rows = spark.createDataFrame([(i, "a b" if i % 2 else "a") for i in range(1000)], "id long, utterance string").repartition(3)
+    got = SE.sentence_distances(rows, rows, words, 99.0)
+    assert sorted((r.distance, r["count"]) for r in got.groupBy("distance").count().collect()) == [(0.0, 500_000), (0.5, 500_000)]
+    kept = [p for p in tmp_path.rglob("*.parquet") if p.is_file()]
+    assert len(kept) >= 10 and sum(spark.read.parquet(str(p)).count() for p in kept) == 1000
+
+
 def test_all_pairs_are_near(spark):
     """Where no bound tells pairs apart, both directions of all pairs of blocks are measured at once; words with equal vectors are one."""
     rng = np.random.RandomState(2)
