@@ -178,6 +178,20 @@ def test_pruned_distances_are_the_whole_matrix_s(spark, monkeypatch, most):
     assert len(want) <= measured < len(asked) * len(every) / 2
 
 
+def test_near_copies_keep_no_shingles(spark, monkeypatch, tmp_path):
+    """Before, all texts' shingles were written, some eight bytes a word, and shuffled."""
+    from turnwise import queries as Q
+
+    monkeypatch.setattr(E, "scratch", lambda spark, name: f"{tmp_path}/{name}")
+    rng = random.Random(4)
+    texts = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(400)) for _ in range(300)]
+    texts += [t + " more" for t in texts[:20]] + texts[:5]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate([*texts, "", None])] + [(7, texts[7])], "id long, clean string").repartition(3)
+    got = sorted((r.a, r.b, r["copy"]) for r in E.near_copies(rows, "id", "clean", Q._shingles).collect())
+    assert got == sorted([(i, 300 + i, False) for i in range(20)] + [(i, 320 + i, True) for i in range(5)] + [(325, 326, True)])
+    assert sum(p.stat().st_size for p in tmp_path.rglob("*.parquet") if p.is_file()) < 300 * 400 * 4
+
+
 def test_word_tree(spark):
     rng = random.Random(2)
     said = [[rng.choice("abc") for _ in range(rng.randint(0, 6))] for _ in range(200)] + [None, []]
